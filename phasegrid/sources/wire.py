@@ -8,6 +8,7 @@ sample bytes stay binary until a task needs the numbers.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,17 +48,27 @@ def bytes_of(values, size: int = 1) -> Column:
     return pack(_c(values))
 
 
-def encode_frame(sample_count, source_id, channel, scales, samples, ip_octet=None) -> Column:
+def encode_frame(sample_count, source_id, channel, scales, samples, ip_octet=0) -> Column:
     """Build a full frame; ``scales`` and ``samples`` are integer arrays in wire order."""
-    zeros = lambda n: F.unhex(F.lit("00" * n))
-    octet = _c(0 if ip_octet is None else ip_octet)
-    network = F.concat(
-        zeros(12), F.unhex(F.lit("0800")),                             # Ethernet
-        F.unhex(F.lit("45")), zeros(8), F.unhex(F.lit("11")), zeros(2),  # IPv4, UDP
-        F.unhex(F.lit("0A00")), to_little_endian(octet, 1), F.unhex(F.lit("01")), zeros(4),
-        zeros(8))                                                      # UDP
-    return F.concat(network, to_little_endian(sample_count, 8), to_little_endian(source_id, 4),
-                    to_little_endian(channel, 2), zeros(8), bytes_of(scales, 2), bytes_of(samples, 1))
+    network = bytearray(ETHERNET_BYTES)
+    network[12:15] = b"\x08\x00\x45"                 # IPv4 in Ethernet
+    network[23] = 17                                  # UDP
+    network[SOURCE_IP_OFFSET:SOURCE_IP_OFFSET + 4] = bytes([10, 0, 0, 1])
+
+    @F.pandas_udf("binary")
+    def build(count: pd.Series, source: pd.Series, chan: pd.Series, octet: pd.Series,
+              scale: pd.Series, data: pd.Series) -> pd.Series:
+        frames = []
+        for c, s, f, o, k, x in zip(count, source, chan, octet, scale, data):
+            head = bytearray(network)
+            head[SOURCE_IP_OFFSET + 2] = o
+            frames.append(bytes(head) + struct.pack("<QIH8x", c, s, f)
+                          + np.asarray(k).astype("<i2").tobytes() + np.asarray(x).astype("i1").tobytes())
+        return pd.Series(frames)
+
+    # marked so that a filter on the frame is not pushed below it, which would build it twice
+    return build.asNondeterministic()(_c(sample_count).cast("long"), _c(source_id).cast("int"), _c(channel).cast("int"),
+                 _c(ip_octet).cast("int"), _c(scales), _c(samples))
 
 
 def parse_frames(frames: DataFrame, cfg: ArrayConfig, source_from_ip: bool = False,
