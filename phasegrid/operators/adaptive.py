@@ -149,6 +149,20 @@ def mitigate(packed: DataFrame, cfg: ArrayConfig, delta: float | None = None, mo
                                    "vec_im array<double>, proj_re array<double>, proj_im array<double>")
 
 
+def whiten_visibilities(vis: DataFrame) -> DataFrame:
+    """V_ij / sqrt(V_ii V_jj) of long visibilities, p == q only.
+
+    The diagonal of a matrix is a bounded map of receivers, joined once per matrix.
+    """
+    same = vis.where(F.col("p") == F.col("q"))
+    diag = (same.where(F.col("i") == F.col("j")).groupBy("block", "channel", "p")
+            .agg(F.map_from_entries(F.collect_list(F.struct(
+                "i", F.sqrt(F.greatest("re", F.lit(1e-10)))))).alias("d")))
+    scale = F.element_at("d", F.col("i")) * F.element_at("d", F.col("j"))
+    return (same.join(diag, ["block", "channel", "p"])
+            .withColumns({"re": F.col("re") / scale, "im": F.col("im") / scale}).drop("d"))
+
+
 def project_weights(projections: DataFrame, weights: DataFrame, n: int) -> DataFrame:
     """Adapted weights w' = w P for every (block, channel, pol, beam).
 

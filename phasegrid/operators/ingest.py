@@ -95,8 +95,11 @@ def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFram
 
 
 def expected_cells(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """Every (block, channel, source) between the first and the last block."""
-    span = arrived.agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    """Every (block, channel, source) between the first and the last block.
+
+    A block that only holds halo packets of its neighbour does not extend the range.
+    """
+    span = arrived.where(F.col("pkt").between(0, cfg.packets - 1)).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
     axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
     return (scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
             .select("block", F.explode(axis(cfg.channels)).alias("channel"))

@@ -8,6 +8,8 @@ packets and blocks, never a wider array.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasegrid.config import ArrayConfig
@@ -127,3 +129,26 @@ def order_benchmarks(spark: SparkSession, root: str) -> DataFrame:
         F.col("o_orderpriority").alias("stage"), (8 * (1 + F.pmod(key, F.lit(4)))).cast("int").alias("channels"),
         (1 + F.pmod("o_custkey", F.lit(5))).cast("int").alias("fpgas"), F.rint(F.col("o_totalprice") * 100)
         .cast("long").alias("rate"), F.col("o_orderstatus").alias("campaign"))
+
+
+def embedding_packets(spark: SparkSession, root: str) -> DataFrame:
+    """Parsed packets with binary payloads: four receivers of one source in each."""
+    cfg = FRAME_CFG
+    n = cfg.recv_per_fpga
+
+    @F.pandas_udf("binary")
+    def payload(scales: pd.Series, data: pd.Series) -> pd.Series:
+        def build(s, x):
+            cube = np.stack(x).reshape(n, cfg.steps, cfg.pols, 2).transpose(1, 0, 2, 3)
+            return np.repeat(np.asarray(s), cfg.pols).astype("<i2").tobytes() + cube.astype("i1").tobytes()
+        return pd.Series([build(s, x) for s, x in zip(scales, data)])
+
+    rows = embedding_frames(spark, root).withColumn("fpga_id", idiv(F.col("recv"), n).cast("int"))
+    entry = F.struct("recv", "scale", "data")
+    groups = rows.groupBy("block", "channel", "pkt", "fpga_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("g")).where(F.size("g") == n)
+    seq = F.col("block") * cfg.packets + F.col("pkt")
+    return groups.select((seq * cfg.channels * cfg.fpgas + F.col("channel") * cfg.fpgas + F.col("fpga_id"))
+                         .alias("arrival"), (seq * cfg.step + 16000).alias("sample_count"), "fpga_id",
+                         F.col("channel").alias("freq_channel"),
+                         payload(F.col("g.scale"), F.col("g.data")).alias("payload"))

@@ -35,7 +35,8 @@ arrived AS (
 GRID = ARRIVED + """,
 cells AS (
   SELECT b.block, c.channel, s.source
-  FROM (SELECT unnest(range((SELECT min(block) FROM arrived), (SELECT max(block) FROM arrived) + 1)) AS block) b,
+  FROM (SELECT unnest(range((SELECT min(block) FROM arrived WHERE pkt BETWEEN 0 AND 15),
+               (SELECT max(block) FROM arrived WHERE pkt BETWEEN 0 AND 15) + 1)) AS block) b,
        (SELECT CAST(unnest(range(4)) AS INTEGER) AS channel) c,
        (SELECT CAST(unnest(range(2)) AS INTEGER) AS source) s)"""
 

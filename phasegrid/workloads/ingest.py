@@ -193,7 +193,7 @@ def missing_percent(spark, root):
     """Missing, expected and percentage of every integration; holes count as missing."""
     have = (arrived(spark, root).where(F.col("pkt").between(0, CFG.packets - 1))
             .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
-    span = arrived(spark, root).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    span = have.agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
     blocks = op.scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
     per = (blocks.join(have, "block", "left").groupBy(N.floor_div("block", CFG.accumulate).alias("integration"))
            .agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("have")))

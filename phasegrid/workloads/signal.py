@@ -126,11 +126,9 @@ def align_samples(spark, root):
     """Receivers shifted by -9..12 samples, reading the halo of the neighbouring blocks."""
     d = tb.embedding_frames(spark, root).withColumn("index", F.col("block") * CFG.packets + F.col("pkt"))
     d = ingest.block_members(d.drop("block", "pkt"), CFG)
-    # a block exists only where it holds packets of its own
-    last = tb.embedding_frames(spark, root).select(F.max("block")).scalar()
     x = tb.samples_of_frames(d, CFG)
     x = calibrate.align_samples(x, F.col("recv") * 3 - 9, CFG.steps, CFG.packets)
-    return x.where(F.col("block") <= last + 1).select("block", "channel", "recv", "pol", "s", "re", "im")
+    return x.select("block", "channel", "recv", "pol", "s", "re", "im")
 
 
 def integer_weights(spark, root):
