@@ -9,13 +9,20 @@ from phasegrid.functions import numeric as N
 from phasegrid.operators import adaptive, correlate, fold, ingest
 from phasegrid.plans import blocks
 from phasegrid.plans.blocks import Calibration
+from phasegrid.session import materialize
 
 
-def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration) -> dict[str, DataFrame]:
-    """Correlate, integrate and beamform: visibilities, gaps, beams, block spectra, arrivals."""
+def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, shared: bool = False) -> dict[str, DataFrame]:
+    """Correlate, integrate and beamform: visibilities, gaps, beams, block spectra, arrivals.
+
+    ``shared`` writes the block products to the scratch area once; use it when more
+    than one of the results is consumed.
+    """
     arrived = blocks.assembled(packets, cfg)
     products = blocks.reduce_blocks(arrived, cfg, cal, beams=cal.weights is not None,
                                     spectra="block" if cal.weights is not None else None)
+    if shared:
+        products = materialize(products, "block-products")
     packed = products.select("block", "channel", F.col("vis_re").alias("re"), F.col("vis_im").alias("im"))
     out = {"visibilities": correlate.accumulate_packed(packed, cfg, cfg.accumulate),
            "eigen": adaptive.eigen(packed, cfg),

@@ -71,7 +71,7 @@ ls AS (
 
 WIRING = """
 w0 AS (SELECT c_custkey // 40 AS run, CAST(c_custkey % 40 AS INTEGER) AS flat, CAST((c_custkey % 40) // 2 AS INTEGER)
-       AS slot, c_custkey, c_nationkey FROM customer),
+       AS slot, c_custkey, c_mktsegment FROM customer),
 wiring AS (
   SELECT run, flat // 20 AS fpga_id, flat % 20 AS stream,
          CAST(CASE WHEN (slot + run) % 6 = 0 THEN -1 ELSE (slot * 7 + run) % 20 + 1 END AS INTEGER) AS antenna_id,

@@ -405,10 +405,13 @@ def phase_fold_by_channel(spark, root):
     return fold.fold(event_power(spark, root), ["channel"], 113, 16)
 
 
-@query(f"""WITH {EVENT_POWER} SELECT c.channel, b.bin, coalesce(total / hits, 0) AS profile
-FROM (SELECT DISTINCT channel FROM folded) c CROSS JOIN (SELECT CAST(unnest(range(16)) AS INTEGER) AS bin) b
-LEFT JOIN folded f ON f.channel = c.channel AND f.bin = b.bin AND b.bin % 3 <> 1""")
+@query(f"""WITH {EVENT_POWER}, fine AS (
+SELECT channel, CAST(((((sample - delay) % 113) + 113) % 113 * 256) // 113 AS INTEGER) AS bin, avg(power) AS profile
+FROM pw WHERE power > 0 GROUP BY ALL)
+SELECT c.channel, b.bin, round(coalesce(profile, 0), 6) AS profile FROM (SELECT DISTINCT channel FROM fine) c
+CROSS JOIN (SELECT CAST(unnest(range(256)) AS INTEGER) AS bin) b
+LEFT JOIN fine f ON f.channel = c.channel AND f.bin = b.bin""")
 def fold_profile(spark, root):
-    """Normalised profile on the full bin axis (every third bin left without hits)."""
-    d = fold.fold(event_power(spark, root), ["channel"], 113, 16).where(F.pmod("bin", F.lit(3)) != 1)
-    return fold.normalise_fold(d, ["channel"], 16)
+    """Normalised profile on the full bin axis; more bins than phases leaves some empty."""
+    d = fold.normalise_fold(fold.fold(event_power(spark, root), ["channel"], 113, 256), ["channel"], 256)
+    return d.withColumn("profile", F.round("profile", 6))

@@ -71,7 +71,7 @@ def baseline_table(spark, root):
 
 GAINS = """,
 gains AS (SELECT run, slot + 1 AS antenna_id, CASE WHEN flat % 2 = 0 THEN 'XX' ELSE 'YY' END AS pol_name,
-CAST(c_custkey % 7 - 3 AS INTEGER) AS gre, CAST(c_custkey % 5 - 2 AS INTEGER) AS gim FROM w0 WHERE c_nationkey % 3 <> 0),
+CAST(c_custkey % 7 - 3 AS INTEGER) AS gre, CAST(c_custkey % 5 - 2 AS INTEGER) AS gim FROM w0 WHERE c_mktsegment <> 'BUILDING'),
 wired AS (SELECT w.run, w.fpga_id, w.stream, w.antenna_id, w.polarization, coalesce(gre, 1)::DOUBLE AS gre,
 coalesce(gim, 0)::DOUBLE AS gim FROM wiring w LEFT JOIN gains g ON g.run = w.run AND g.antenna_id = w.antenna_id
 AND g.pol_name = CASE WHEN w.polarization = 0 THEN 'XX' ELSE 'YY' END)"""
@@ -105,13 +105,13 @@ def gain_canonical_rule(spark, root):
 
 
 def delay_table(spark, root):
-    """Fine delays of even antennas, one per run and antenna."""
-    c = tb.customer_wiring(spark, root).where((F.col("antenna_id") > 0) & (F.pmod("antenna_id", F.lit(2)) == 0))
+    """Fine delays per run and antenna; antennas up to 8 have none."""
+    c = tb.customer_wiring(spark, root).where(F.col("antenna_id") > 8)
     return c.select("run", "antenna_id").distinct().withColumn(
         "delay_ns", (F.col("antenna_id") * 10 + F.pmod("run", F.lit(10))).cast("double") / 4)
 
 
-@query(f"""WITH {WIRING} SELECT run, canonical, antenna_id, CASE WHEN antenna_id > 0 AND antenna_id % 2 = 0
+@query(f"""WITH {WIRING} SELECT run, canonical, antenna_id, CASE WHEN antenna_id > 8
 THEN (antenna_id * 10 + run % 10)::DOUBLE / 4 ELSE 0 END::DOUBLE AS delay_ns FROM canonical_map""")
 def fine_delay_defaults(spark, root):
     receivers = op.canonical_map(tb.customer_wiring(spark, root), CFG)
@@ -119,8 +119,8 @@ def fine_delay_defaults(spark, root):
 
 
 def position_table(spark, root):
-    """Positions of a subset of antennas (suppliers 1..18 of the given table)."""
-    s = tb.table(spark, root, "supplier").where(F.col("s_suppkey").between(1, 18))
+    """Positions of the antennas whose supplier has a balance above 2000."""
+    s = tb.table(spark, root, "supplier").where(F.col("s_acctbal") > 2000)
     return s.select(F.col("s_suppkey").cast("int").alias("antenna_id"),
                     (F.col("s_suppkey") * 3 - 20).cast("double").alias("east"),
                     (F.lit(15) - F.col("s_nationkey")).cast("double").alias("north"),
@@ -129,7 +129,7 @@ def position_table(spark, root):
 
 POSITIONS = """
 pos AS (SELECT CAST(s_suppkey AS INTEGER) AS antenna_id, CAST(s_suppkey * 3 - 20 AS DOUBLE) AS east,
-CAST(15 - s_nationkey AS DOUBLE) AS north, CAST(0.5 AS DOUBLE) AS up FROM supplier WHERE s_suppkey BETWEEN 1 AND 18)"""
+CAST(15 - s_nationkey AS DOUBLE) AS north, CAST(0.5 AS DOUBLE) AS up FROM supplier WHERE s_acctbal > 2000)"""
 
 
 @query(f"""WITH {WIRING}, {POSITIONS} SELECT run, canonical, m.antenna_id, coalesce(east, 0) AS east,
