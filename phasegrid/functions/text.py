@@ -47,21 +47,28 @@ def nth_cpu(cpu_list, n) -> Column:
     return F.when(good, F.trim(F.element_at(parts, -1)).cast("int")).otherwise(F.lit(-1))
 
 
+def bind(value, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def key_values(line) -> Column:
     """``key=number`` pairs of a log line as a map; a repeated key keeps the last.
 
     Values that are not a number are dropped, a trailing percent sign is ignored.
     """
-    pattern = r"([A-Za-z_][A-Za-z0-9_/]*)=([-+0-9.eE]+)%?"
-    keys = F.regexp_extract_all(_c(line), F.lit(pattern), F.lit(1))
-    vals = F.regexp_extract_all(_c(line), F.lit(pattern), F.lit(2))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), vals.alias("v")),
-                     lambda p: p["v"].try_cast("double").isNotNull())
-    # keep the last occurrence of each key
-    n = F.size(pairs)
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"].try_cast("double"))))
+    pattern = r"[A-Za-z_][A-Za-z0-9_/]*=[-+0-9.eE]+"
+    key = lambda p: F.substring_index(p, "=", 1)
+    value = lambda p: F.substring_index(p, "=", -1).try_cast("double")
+    pairs = F.reverse(F.filter(F.regexp_extract_all(_c(line), F.lit(pattern), F.lit(0)),
+                               lambda p: value(p).isNotNull()))
+
+    def to_map(ps):
+        keys = F.transform(ps, key)
+        return F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(
+            k, value(F.element_at(ps, F.array_position(keys, k).cast("int"))))))
+
+    return bind(pairs, to_map)
 
 
 def json_number(doc, path: str, default) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from phasegrid.config import ArrayConfig
 from phasegrid.functions import numeric as N
@@ -24,16 +24,27 @@ def wide_samples(samples: DataFrame, cfg: ArrayConfig, time: list[str]) -> DataF
     Input i = recv * pols + pol.  Repeated cells resolve to the last arrival in
     the same aggregation; absent inputs are zero.
     """
-    has_pol, has_arrival = "pol" in samples.columns, "arrival" in samples.columns
-    unit = F.col("recv") * cfg.pols + (F.col("pol") if has_pol else F.lit(0))
-    d = samples.withColumn("__u", unit)
-    order = F.col("arrival") if has_arrival else F.lit(0)
-    aggs = [F.max_by(F.struct("re", "im"), F.when(F.col("__u") == i, order)).alias(f"x{i}")
-            for i in range(cfg.receivers * cfg.pols)]
-    wide = d.groupBy("block", "channel", *time).agg(*aggs)
+    unit = F.col("recv") * cfg.pols + (F.col("pol") if "pol" in samples.columns else F.lit(0))
+    order = F.col("arrival") if "arrival" in samples.columns else F.lit(0)
+    integers = all(samples.schema[c].dataType == T.IntegerType() for c in ("re", "im"))
+    # A pair of ints travels as one long: with a numeric arrival the aggregation then
+    # runs on fixed-width buffers (hash instead of sort).
+    pair = (F.shiftleft(F.col("re").cast("long"), 32).bitwiseOR(F.col("im").bitwiseAND(F.lit(0xFFFFFFFF)))
+            if integers else F.struct("re", "im"))
+    d = samples.withColumns({"__u": unit, "__x": pair})
+    inputs = range(cfg.receivers * cfg.pols)
+    wide = d.groupBy("block", "channel", *time).agg(
+        *[F.max_by("__x", F.when(F.col("__u") == i, order)).alias(f"x{i}") for i in inputs])
+
+    def part(i: int, z: str):
+        x = F.col(f"x{i}")
+        if not integers:
+            return F.coalesce(x[z], F.lit(0.0))
+        value = F.shiftright(x, 32) if z == "re" else F.shiftright(F.shiftleft(x, 32), 32)
+        return F.coalesce(value, F.lit(0).cast("long"))
+
     return wide.select("block", "channel", *time, *[
-        F.coalesce(F.col(f"x{i}.{z}"), F.lit(0)).cast("long").alias(f"{c}{i}")
-        for i in range(cfg.receivers * cfg.pols) for z, c in (("re", "r"), ("im", "m"))])
+        part(i, z).alias(f"{c}{i}") for i in inputs for z, c in (("re", "r"), ("im", "m"))])
 
 
 def visibilities_wide(wide: DataFrame, cfg: ArrayConfig, keys: list[str]) -> DataFrame:

@@ -94,57 +94,54 @@ def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFram
             .withColumn("end_seq", first + (cfg.packets - 1) * cfg.step))
 
 
-def expected_cells(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """Every (block, channel, source) between the first and the last block.
+def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = ()) -> DataFrame:
+    """Every (block, channel, source) between the first and the last block with what arrived.
 
-    A block that only holds halo packets of its neighbour does not extend the range.
+    ``have`` maps packet numbers to ``values``; it is bounded by N+2 entries and null
+    for a cell without packets.  A block that only holds halo packets of its
+    neighbour does not extend the range.  Folding the packets first leaves one row
+    per cell to join with the grid.
     """
-    span = arrived.where(F.col("pkt").between(0, cfg.packets - 1)).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    entry = F.struct(F.col("pkt"), F.struct("pkt", *values))
+    own = F.bool_or(F.col("pkt").between(0, cfg.packets - 1))
+    cells = arrived.groupBy("block", "channel", "source").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("have"), own.alias("own"))
+    span = cells.where("own").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
     axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
-    return (scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
+    grid = (scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
             .select("block", F.explode(axis(cfg.channels)).alias("channel"))
             .select("block", "channel", F.explode(axis(cfg.fpgas)).alias("source")))
+    return grid.join(cells.drop("own"), ["block", "channel", "source"], "left")
 
 
 def missing_packets(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
     """Expected packets that never arrived; the halo does not count.
 
-    The packets of a cell are folded into one bounded set first, so the large
-    side shuffles one row per cell and the anti join becomes a set difference.
+    An anti join by set difference inside each cell.
     """
-    have = (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
-            .groupBy("block", "channel", "source").agg(F.collect_set("pkt").alias("have")))
     every = F.sequence(F.lit(0), F.lit(cfg.packets - 1))
-    gone = F.array_except(every, F.coalesce("have", F.array().cast("array<int>")))
-    return (expected_cells(arrived, cfg).join(have, ["block", "channel", "source"], "left")
-            .select("block", "channel", "source", F.explode(gone).alias("pkt")))
+    gone = F.array_except(every, F.coalesce(F.map_keys("have"), F.array().cast("array<int>")))
+    return cell_contents(arrived, cfg).select("block", "channel", "source", F.explode(gone).alias("pkt"))
 
 
-def arrival_flags(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """Arrived flag of every packet slot of every block, halo included."""
-    have = arrived.groupBy("block", "channel", "source").agg(F.collect_set("pkt").alias("have"))
+def _slots(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
     slots = F.sequence(F.lit(-1), F.lit(cfg.packets))
-    return (expected_cells(arrived, cfg).join(have, ["block", "channel", "source"], "left")
+    return (cell_contents(arrived, cfg, values)
             .select("block", "channel", "source", "have", F.explode(slots).alias("pkt"))
-            .select("block", "channel", "source", "pkt",
-                    F.coalesce(F.array_contains("have", F.col("pkt")), F.lit(False)).alias("arrived")))
+            .select("block", "channel", "source", "pkt", F.element_at("have", F.col("pkt")).alias("cell")))
 
 
-def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
-    """Complete every slot; a missing packet gets zeros (a zero scale silences it).
+def arrival_flags(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
+    """Arrived flag of every packet slot of every block, halo included."""
+    d = _slots(arrived.select("block", "channel", "source", "pkt"), cfg, [])
+    return d.select("block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"))
 
-    The packets of one (block, channel, source) are a bounded array of at most
-    N+2 entries, filled and exploded again.
-    """
-    entry = F.struct("pkt", *values)
-    have = arrived.groupBy("block", "channel", "source").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("pkt"), entry))).alias("have"))
-    slots = F.sequence(F.lit(-1), F.lit(cfg.packets))
-    d = (expected_cells(arrived, cfg).join(have, ["block", "channel", "source"], "left")
-         .select("block", "channel", "source", "have", F.explode(slots).alias("pkt"))
-         .withColumn("cell", F.element_at("have", F.col("pkt"))))
-    return d.select("block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"),
-                    *[F.coalesce(F.col(f"cell.{v}"), F.lit(0)).alias(v) for v in values])
+
+def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
+    """Complete every slot; a missing packet gets zeros (a zero scale silences it)."""
+    return _slots(arrived, cfg, values).select(
+        "block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"),
+        *[F.coalesce(F.col(f"cell.{v}"), F.lit(0)).alias(v) for v in values])
 
 
 def missing_share(missing_per_group: Column, blocks: Column, cfg: ArrayConfig) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from phasegrid import scale
 from phasegrid.functions import numeric as N
@@ -85,17 +85,16 @@ def metric_presence(launches: DataFrame, columns: list[str]) -> DataFrame:
 LOG_LINE = r"^\[(\w[\w ]+) ch=(\d+) fpga=(\d+) rx=(\d+)\](.+)"
 
 
-def parse_benchmark_log(lines: DataFrame, section: Column | None = None) -> DataFrame:
+def parse_benchmark_log(lines: DataFrame) -> DataFrame:
     """Tagged result lines: tag, ch, fpga, rx and the map of their numbers."""
-    hit = F.regexp_extract("line", LOG_LINE, 1) != ""
-    part = lambda g: F.regexp_extract("line", LOG_LINE, g)
+    # one pass of the pattern: the groups are joined by a separator and split again
+    groups = F.split(F.regexp_replace("line", LOG_LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
     keep = [c for c in lines.columns if c != "line"]
-    out = [*keep, F.trim(part(1)).alias("tag"), part(2).cast("int").alias("ch"),
-           part(3).cast("int").alias("fpga"), part(4).cast("int").alias("rx"),
-           text.key_values(part(5)).alias("metrics")]
-    if section is not None:
-        out.append(section.alias("sweep"))
-    return lines.where(hit).select(*out)
+    hit = lines.where(F.col("line").rlike(LOG_LINE)).select(*keep, groups.alias("__g"))
+    part = lambda g: F.col("__g")[g]
+    out = [*keep, F.trim(part(0)).alias("tag"), part(1).cast("int").alias("ch"), part(2).cast("int").alias("fpga"),
+           part(3).cast("int").alias("rx"), text.key_values(part(4)).alias("metrics")]
+    return hit.select(*out)
 
 
 def bottleneck(results: DataFrame, keys: list[str], label: str, rate: str) -> DataFrame:

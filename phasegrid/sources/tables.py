@@ -8,6 +8,8 @@ packets and blocks, never a wider array.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -79,12 +81,16 @@ SAMPLE_CFG = ArrayConfig(channels=4, fpgas=1, recv_per_fpga=7, pols=1, steps=64,
 def lineitem_samples(spark: SparkSession, root: str) -> DataFrame:
     """Samples with repeated cells; the row shipped last is the one that counts."""
     t = idiv(F.col("l_orderkey"), 4)
+    # (ship date, part, supplier) as one number: ordered like the triple, fixed width
+    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("decimal(6,0)")
+    arrival = (day * F.lit(Decimal(10) ** 25) + F.col("l_partkey").cast("decimal(13,0)") * F.lit(Decimal(10) ** 12)
+               + F.col("l_suppkey").cast("decimal(12,0)"))
     return table(spark, root, "lineitem").select(
         idiv(t, 64).alias("block"), F.pmod("l_orderkey", F.lit(4)).cast("int").alias("channel"),
         F.pmod(t, F.lit(64)).cast("int").alias("t"), (F.col("l_linenumber") - 1).alias("recv"),
         (F.col("l_quantity").cast("int") - 25).alias("re"),
         (F.rint(F.col("l_discount") * 100).cast("int") - 5).alias("im"),
-        F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("arrival"))
+        arrival.alias("arrival"))
 
 
 # Wiring: every 40 customers are one run of two sources x ten receivers x two pols.

@@ -15,14 +15,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from phasegrid.config import ArrayConfig
 from phasegrid.functions.numeric import floor_div
 from phasegrid.operators import ingest
 
 META = ("start long, next_block long, stalled_ms long, received long, discarded_channel long, "
-        "discarded_old long, deferred long, emitted_blocks long")
+        "discarded_old long, deferred long, emitted_blocks long, "
+        "marks array<struct<channel: int, source: int, mark: long>>")
 
 
 class BlockAssembler:
@@ -53,50 +54,81 @@ class BlockAssembler:
         meta = spark.read.schema(META).parquet(self._folder("meta", batch_id - 1)).first()
         if meta["start"] is None:
             return None
-        marks = {(r["channel"], r["source"]): r["mark"]
-                 for r in spark.read.parquet(self._folder("marks", batch_id - 1)).collect()}
+        marks = {(m["channel"], m["source"]): m["mark"] for m in meta["marks"]}
         return meta, marks, spark.read.parquet(self._folder("open", batch_id - 1))
 
     # --- progress ---------------------------------------------------------------
 
+    def _done(self, position):
+        """Blocks passed at a position: half a packet beyond their last packet."""
+        cfg = self.cfg
+        return (position + cfg.step - cfg.step // 2, cfg.packets * cfg.step)
+
     def _completed(self, marks: dict) -> int:
         """Number of blocks, from the first one, that every stream has passed."""
-        cfg = self.cfg
-        if len(marks) < cfg.channels * cfg.fpgas:
+        if len(marks) < self.cfg.channels * self.cfg.fpgas:
             return 0
-        lowest = min(marks.values())
-        return max((lowest + cfg.step - cfg.step // 2) // (cfg.packets * cfg.step), 0)
+        top, size = self._done(min(marks.values()))
+        return max(top // size, 0)
 
-    def _marks(self, progress: DataFrame) -> dict:
-        """Furthest position per (channel, source); bounded by the array, so collected."""
-        return {(r["channel"], r["source"]): r["m"] for r in
-                progress.groupBy("channel", "source").agg(F.max("position").alias("m")).collect()}
+    def _reach(self, progress: DataFrame, marks: dict, next_block: int) -> int:
+        """Block up to which every stream runs without a jump beyond the horizon.
+
+        A stream stops at its end, or before a packet that lies a horizon or more
+        ahead of what the stream has completed.  The slowest stream decides.
+        ``progress`` has one row per (channel, source, block).
+        """
+        cfg = self.cfg
+        size = cfg.packets * cfg.step
+        origin = next_block * size - cfg.step
+        known = [(c, s, m // size, m) for (c, s), m in
+                 {(c, s): max(marks.get((c, s), origin), origin)
+                  for c in range(cfg.channels) for s in range(cfg.fpgas)}.items()]
+        rows = progress.select("channel", "source", "block", "position").unionByName(
+            progress.sparkSession.createDataFrame(known, "channel int, source int, block long, position long"))
+        rows = rows.groupBy("channel", "source", "block").agg(F.max("position").alias("position"))
+        top, size = self._done(F.col("position"))
+        rows = rows.withColumn("done", floor_div(top, size))
+        after = F.lead("block").over(W.partitionBy("channel", "source").orderBy("block"))
+        rows = rows.withColumn("stops", after.isNull() | (after >= F.col("done") + self.horizon))
+        stops = rows.where("stops").groupBy("channel", "source").agg(F.min("done").alias("stop"))
+        slowest = stops.agg(F.min("stop")).first()[0]
+        return max(next_block, slowest)
+
+    def _split(self, progress: DataFrame, limit: int) -> tuple[dict, dict, int]:
+        """Furthest position per stream before and beyond ``limit``, and packets held back."""
+        ahead = F.col("block") >= limit
+        per = progress.groupBy("channel", "source").agg(
+            F.max(F.when(~ahead, F.col("position"))).alias("near"),
+            F.max(F.when(ahead, F.col("position"))).alias("far"),
+            F.sum(F.when(ahead, F.col("n")).otherwise(0)).alias("held")).collect()   # bounded by the array
+        pick = lambda name: {(r["channel"], r["source"]): r[name] for r in per if r[name] is not None}
+        return pick("near"), pick("far"), sum(r["held"] for r in per)
 
     def _advance(self, pending: DataFrame, marks: dict, next_block: int,
-                 stalled_ms: int | None) -> tuple[dict, int, int | None]:
+                 stalled_ms: int | None) -> tuple[dict, int, int | None, int]:
         """Admit packets up to the horizon until nothing more completes."""
         now = int(self.clock() * 1000)
         block = floor_div("index", self.cfg.packets)
         progress = (pending.groupBy("channel", "source", block.alias("block"))
-                    .agg(F.max("position").alias("position")).persist())
+                    .agg(F.max("position").alias("position"), F.count(F.lit(1)).alias("n")).persist())
         try:
             while True:
-                ahead = F.col("block") >= next_block + self.horizon
-                _raise(marks, self._marks(progress.where(~ahead)))
-                done = self._completed(marks)
-                if done > next_block:
-                    next_block, stalled_ms = done, None
-                    continue
-                held = self._marks(progress.where(ahead))
+                reached = self._reach(progress, marks, next_block)
+                if reached > next_block:
+                    stalled_ms = None
+                next_block = reached
+                near, far, held = self._split(progress, next_block + self.horizon)
+                _raise(marks, near)
                 if not held:
-                    return marks, next_block, None
+                    return marks, next_block, None, 0
                 if stalled_ms is None:
                     stalled_ms = now
                 if now - stalled_ms < self.stall_ms:
-                    return marks, next_block, stalled_ms
-                _raise(marks, held)
+                    return marks, next_block, stalled_ms, held
+                _raise(marks, far)
                 if self._completed(marks) <= next_block:
-                    return marks, next_block, stalled_ms
+                    return marks, next_block, stalled_ms, held
                 next_block = self._completed(marks)
         finally:
             progress.unpersist()
@@ -105,7 +137,6 @@ class BlockAssembler:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, cfg = batch.sparkSession, self.cfg
-        received = batch.count()
         accepted = ingest.channel_window(batch, cfg).withColumn("source", ingest.source_index(cfg))
         state = self._load(spark, batch_id)
         if state is None:
@@ -114,27 +145,26 @@ class BlockAssembler:
         else:
             meta, marks, opened = state
             start, next_block, stalled = meta["start"], meta["next_block"], meta["stalled_ms"]
+        inside = F.col("freq_channel").between(cfg.min_channel, cfg.min_channel + cfg.channels - 1)
+        position = F.col("sample_count") - ingest.packet_delay(cfg) - F.lit(start).cast("long")
+        too_old = floor_div(position, cfg.step) < next_block * cfg.packets - 1
+        counts = batch.agg(F.count(F.lit(1)).alias("received"), F.count_if(~inside).alias("other"),
+                           F.count_if(inside & too_old).alias("old")).first()
         if start is None:   # nothing accepted yet
-            self._save(spark, batch_id, None, {}, None, (None, 0, None, received, received, 0, 0, 0))
+            self._save(spark, batch_id, None, {}, (None, 0, None, counts["received"], counts["other"], 0, 0, 0))
             return
-        fresh = ingest.packet_index(accepted, cfg, F.lit(start))
-        fresh = fresh.withColumn("position", F.col("sample_count") - ingest.packet_delay(cfg) - F.lit(start))
         columns = ["index", "position", "channel", "source", "arrival", *self.values]
-        fresh = fresh.select(*columns)
-        old = F.col("index") < next_block * cfg.packets - 1
-        counts = fresh.agg(F.count(F.lit(1)).alias("n"), F.count_if(old).alias("old")).first()
-        pending = fresh.where(~old)
+        fresh = ingest.packet_index(accepted, cfg, F.lit(start)).withColumn("position", position).select(*columns)
+        pending = fresh.where(F.col("index") >= next_block * cfg.packets - 1)
         if opened is not None:
             pending = pending.unionByName(opened.select(*columns))
         first = next_block
-        marks, next_block, stalled = self._advance(pending, marks, next_block, stalled)
+        marks, next_block, stalled, held = self._advance(pending, marks, next_block, stalled)
         limit = (next_block + self.horizon) * cfg.packets - 1
-        blocks = self._blocks(pending.where(F.col("index") <= limit), first, next_block)
-        self._emit(blocks, batch_id)
+        self._emit(self._blocks(pending.where(F.col("index") <= limit), first, next_block), batch_id)
         keep = pending.where(F.col("index") >= next_block * cfg.packets - 1)
-        deferred = keep.where(F.col("index") > limit).count()
-        self._save(spark, batch_id, keep, marks, stalled, (
-            start, next_block, stalled, received, received - counts["n"], counts["old"], deferred, next_block - first))
+        self._save(spark, batch_id, keep, marks, (
+            start, next_block, stalled, counts["received"], counts["other"], counts["old"], held, next_block - first))
 
     def _blocks(self, packets: DataFrame, first: int, last: int) -> DataFrame:
         members = ingest.block_members(packets, self.cfg)
@@ -147,13 +177,12 @@ class BlockAssembler:
         if self.on_blocks is not None:
             self.on_blocks(blocks.sparkSession.read.schema(blocks.schema).parquet(path), batch_id)
 
-    def _save(self, spark, batch_id, keep, marks, stalled, meta) -> None:
+    def _save(self, spark, batch_id, keep, marks, meta) -> None:
         if keep is not None:
             keep.write.mode("overwrite").parquet(self._folder("open", batch_id))
-            rows = [(c, s, m) for (c, s), m in marks.items()]
-            spark.createDataFrame(rows, "channel int, source int, mark long").coalesce(1).write.mode(
-                "overwrite").parquet(self._folder("marks", batch_id))
-        spark.createDataFrame([meta], META).coalesce(1).write.mode("overwrite").parquet(self._folder("meta", batch_id))
+        rows = [(c, s, m) for (c, s), m in marks.items()]
+        spark.createDataFrame([(*meta, rows)], META).coalesce(1).write.mode("overwrite").parquet(
+            self._folder("meta", batch_id))
 
     def flush(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """End of stream: emit the block in progress after batch ``batch_id``, gaps included."""
@@ -174,7 +203,7 @@ class BlockAssembler:
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """Counter row of every micro-batch."""
-        return spark.read.schema(META + ", batch long").parquet(f"{self.root}/meta")
+        return spark.read.schema(META + ", batch long").parquet(f"{self.root}/meta").drop("marks")
 
 
 def _raise(marks: dict, seen: dict) -> None:
