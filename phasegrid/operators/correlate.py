@@ -8,6 +8,8 @@ shuffle and no pair rows exist.  A larger array multiplies one bounded matrix pe
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -88,7 +90,7 @@ def visibilities_packed(frames: DataFrame, cfg: ArrayConfig) -> DataFrame:
     ``frames`` holds each packet of a block once (halo removed), so a group is
     bounded by the array shape whatever the size of the input.
     """
-    def gram(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def gram(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         v = packed_triangle(block_matrix(pdf, cfg), cfg.receivers, cfg.pols).ravel()
         return pd.DataFrame({"block": [key[0]], "channel": [key[1]], "re": [v.real], "im": [v.imag]})
 

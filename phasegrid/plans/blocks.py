@@ -8,6 +8,7 @@ turn it into a cube and reduce it to the products of the block.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
     receivers) averaged over ``factor`` bins.  ``mitigation``: ``"null"`` or
     ``"shrink"`` adds a projected copy of every beam.
     """
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         block, channel = key
         own = int(pdf["pkt"].between(0, cfg.packets - 1).sum())
         if own == 0:   # nothing but halo packets of the neighbours

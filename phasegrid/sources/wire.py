@@ -168,7 +168,7 @@ def beam_packet_header(payload) -> dict[str, Column]:
               "first_chan": le(48, 4), "num_chan": le(52, 2).cast("int"),
               "valid_chan": le(54, 2).cast("int"), "num_sample": le(56, 2).cast("int"),
               "beam_id": le(58, 2).cast("int"), "sample_per_weight": le(67, 1).cast("int")}
-    weights = header["num_sample"] / header["sample_per_weight"] * 2 * header["num_chan"]
+    weights = F.try_divide(header["num_sample"], header["sample_per_weight"]) * 2 * header["num_chan"]
     header["data_offset"] = (F.lit(96) + F.ceil(weights / 16) * 16).cast("int")
     return header
 
