@@ -75,15 +75,48 @@ def last_wins(rows: DataFrame, keys: list[str], values: list[str], arrival: str
     return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
+def last_wins_in_place(rows: DataFrame, keys: list[str], arrival: str = "arrival",
+                       max_keys: int = 1_000_000) -> DataFrame:
+    """Drop every row that a later arrival of the same key replaces; nothing else moves.
+
+    Meant for rows with large payloads.  A first pass reads only keys and arrivals
+    and finds the keys that occur more than once.  While those are few (counted
+    here), they are broadcast and the payloads stay where they are; otherwise the
+    rows are aggregated by key.  ``arrival`` must be unique per packet.
+    """
+    twice = rows.groupBy(*keys).agg(F.max(arrival).alias("__latest"), F.count(F.lit(1)).alias("__n"))
+    twice = twice.where(F.col("__n") > 1).drop("__n")
+    if twice.limit(max_keys + 1).count() > max_keys:
+        values = [c for c in rows.columns if c not in keys and c != arrival]
+        return last_wins(rows, keys, values, arrival)
+    kept = rows.join(F.broadcast(twice), keys, "left")
+    return kept.where(F.col("__latest").isNull() | (F.col(arrival) == F.col("__latest"))).drop("__latest", arrival)
+
+
+def _members(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
+    accepted = channel_window(packets, cfg).withColumn("source", source_index(cfg))
+    indexed = packet_index(accepted, cfg, stream_start(accepted, cfg))
+    return block_members(indexed.select("index", "channel", "source", "arrival", *values), cfg)
+
+
+SLOT = ["block", "channel", "source", "pkt"]
+
+
 def assemble(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
     """Filter, look up sources, assign blocks and resolve duplicates.
 
-    Result: ``block, channel, source, pkt`` and ``values``.
+    Result: ``block, channel, source, pkt`` and ``values``, in one shuffle.
     """
-    accepted = channel_window(packets, cfg).withColumn("source", source_index(cfg))
-    indexed = packet_index(accepted, cfg, stream_start(accepted, cfg))
-    members = block_members(indexed.select("index", "channel", "source", "arrival", *values), cfg)
-    return last_wins(members, ["block", "channel", "source", "pkt"], values)
+    return last_wins(_members(packets, cfg, values), SLOT, values)
+
+
+def assemble_payloads(packets: DataFrame, cfg: ArrayConfig, max_keys: int = 1_000_000) -> DataFrame:
+    """The same for binary payloads, which are not moved here.
+
+    The next step groups them by block and shuffles them once.
+    """
+    members = _members(packets, cfg, ["payload"])
+    return last_wins_in_place(members, SLOT, max_keys=max_keys).select(*SLOT, "payload")
 
 
 def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFrame:

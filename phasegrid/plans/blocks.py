@@ -75,7 +75,7 @@ def packet_spectra_sum(beams: np.ndarray, steps: int, trim: int) -> np.ndarray:
 
 def assembled(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
     """Parsed packets to (block, channel, source, pkt, payload), one row per slot."""
-    return ingest.assemble(packets, cfg, ["payload"])
+    return ingest.assemble_payloads(packets, cfg)
 
 
 PRODUCT_SCHEMA = ("block long, channel int, missing int, vis_re array<double>, vis_im array<double>, "

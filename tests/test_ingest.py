@@ -120,6 +120,20 @@ def test_hot_copies_fold_before_the_shuffle(spark):
     assert "partial_max_by" in plan
 
 
+def test_payloads_resolve_without_moving(spark):
+    rows = full_block(SMALL, 400, 1 + 1j, blocks=2)
+    rows += [(400, 0, 0, payload(SMALL, 5 + 0j)), (404, 0, 0, payload(SMALL, 6 + 0j)), (404, 0, 0, payload(SMALL, 7 + 0j))]
+    d = packets(spark, rows)
+    few, many = ingest.assemble_payloads(d, SMALL), ingest.assemble_payloads(d, SMALL, max_keys=1)
+    want = ingest.assemble(d, SMALL, ["payload"])
+    for got in (few, many):
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    plan = blocks.reduce_blocks(few, SMALL, blocks.Calibration())._jdf.queryExecution().executedPlan().toString()
+    body = plan.split("FlatMapGroupsInPandas")[1]
+    main = body[:body.index("BroadcastExchange")]
+    assert main.count("Exchange hashpartitioning") == 1   # payloads shuffle once, by block
+
+
 SMALL = ArrayConfig(channels=1, fpgas=1, recv_per_fpga=2, pols=1, steps=4, packets=3)
 
 
