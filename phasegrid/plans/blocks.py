@@ -90,13 +90,14 @@ def _flat(x) -> np.ndarray | None:
 
 def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, visibilities: bool = True,
                   beams: bool = False, spectra: str | None = None, trim: int = 5, factor: int = 1,
-                  mitigation: str | None = None, modes: int = 1, delta: float | None = None) -> DataFrame:
+                  mitigation: str | None = None, modes: int | dict[int, int] = 1, delta: float | None = None) -> DataFrame:
     """One product row per (block, channel) that holds a packet of its own.
 
     ``spectra``: ``"packet"`` sums trimmed packet spectra of the beams, ``"block"``
     and ``"antenna"`` take the power spectrum of the whole block (beams or
     receivers) averaged over ``factor`` bins.  ``mitigation``: ``"null"`` or
-    ``"shrink"`` adds a projected copy of every beam.
+    ``"shrink"`` adds a projected copy of every beam; ``modes`` is the number of
+    signal vectors, or a map by channel where an absent channel has none.
     """
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         block, channel = key
@@ -110,8 +111,9 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
         weights = cal.weights[channel] if cal.weights is not None else None
         counts = lam = y = spec = None
         if mitigation:
+            fixed = modes.get(channel, 0) if isinstance(modes, dict) else modes
             same = np.stack([adaptive.hermitian(vis[None, :, p, p], cfg.receivers)[0] for p in range(cfg.pols)])
-            lam, _, counts, proj = adaptive.decompose(same, np.full(cfg.pols, modes), delta, mitigation)
+            lam, _, counts, proj = adaptive.decompose(same, np.full(cfg.pols, fixed), delta, mitigation)
             weights = np.concatenate([weights, weights @ proj], axis=1)
         if weights is not None and (beams or spectra in ("packet", "block")):
             y = form_beams(cube, weights)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from phasegrid.config import ArrayConfig
@@ -57,10 +60,13 @@ def beam_rows(products: DataFrame, cfg: ArrayConfig, beams: int) -> DataFrame:
 
 
 def adaptive_spectra(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, mode: str = "null",
-                     modes: int = 1, delta: float | None = None, trim: int = 5) -> dict[str, DataFrame]:
+                     modes: int | dict[int, int] = 1, delta: float | None = None, trim: int = 5,
+                     shared: bool = False) -> dict[str, DataFrame]:
     """Original and interference-mitigated beams, their packet spectra and mode counts."""
     products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, cal, visibilities=False, beams=True,
                                     spectra="packet", trim=trim, mitigation=mode, modes=modes, delta=delta)
+    if shared:
+        products = materialize(products, "adaptive-products")
     m = 2 * cal.weights.shape[2]
     counts = blocks.unpack_axis(products, "k", {"pol": cfg.pols}, "k")
     return {"beams": beam_rows(products, cfg, m),
@@ -96,6 +102,26 @@ def projection_matrix(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, k:
     return adaptive.top_vectors(mean, cfg.receivers, k)
 
 
+def project_beam(cal: Calibration, vectors: DataFrame, window: int, beam: int, k: int = 3) -> Calibration:
+    """Calibration whose ``beam`` has the k strongest stored vectors removed: w - U (U^H w).
+
+    ``vectors`` is the product of :func:`projection_matrix`; one window of it holds
+    channels x pols x k vectors, so it is read like any other dimension table.
+    """
+    rows = vectors.where((F.col("window") == window) & (F.col("p") == F.col("q")) & (F.col("rank") < k)).select(
+        "channel", "p", "rank", "u_re", "u_im").collect()
+    if not rows:
+        raise ValueError(f"no vectors for window {window}")
+    if not 0 <= beam < cal.weights.shape[2]:
+        raise ValueError(f"no beam {beam}")
+    weights = cal.weights.copy()
+    original = cal.weights[:, :, beam]
+    for r in rows:
+        u = np.array(r["u_re"]) + 1j * np.array(r["u_im"])
+        weights[r["channel"], r["p"], beam] -= u * (u.conj() @ original[r["channel"], r["p"]])
+    return replace(cal, weights=weights)
+
+
 def pulsar_fold(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, period: float, n_bins: int,
                 delays: dict[int, int] | None = None) -> DataFrame:
     """Fold the beam power of every channel, polarization and beam at a period in samples."""

@@ -48,10 +48,12 @@ def integer_map(spark: SparkSession, path: str, key: str, value: str) -> DataFra
     return d.select(F.col("k").cast("int").alias(key), value)
 
 
-def targets(spark: SparkSession, path: str, key: str = "beams") -> DataFrame:
-    """Beam targets; a missing mode is zenith."""
-    d = _document(spark, path, f"{key} {_TARGETS}").select(F.posexplode(f"d.{key}").alias("beam", "t"))
-    return d.select("beam", F.coalesce("t.mode", F.lit("zenith")).alias("mode"),
+def targets(spark: SparkSession, path: str) -> DataFrame:
+    """Beam targets; a missing mode is zenith, an unknown one fails."""
+    d = _document(spark, path, f"targets {_TARGETS}").select(F.posexplode("d.targets").alias("beam", "t"))
+    mode = F.coalesce("t.mode", F.lit("zenith"))
+    bad = F.concat(F.lit("unknown beam target mode "), mode)
+    return d.select("beam", F.when(mode.isin("zenith", "radec"), mode).otherwise(F.raise_error(bad)).alias("mode"),
                     F.coalesce("t.ra_deg", F.lit(0.0)).alias("ra_deg"),
                     F.coalesce("t.dec_deg", F.lit(0.0)).alias("dec_deg"))
 

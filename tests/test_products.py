@@ -90,7 +90,7 @@ def test_dimension_files(spark, tmp_path):
         "map": {"fpgas": {"0": {"board": "A", "streams": [{"stream": 2, "antenna_id": 35, "polarization": 0}]}}},
         "gains": {"weights": {"192": {"XX": {"7": {"real": 2.0, "imag": -1.0}}}}},
         "delays": {"1": 2.5, "2": 0.0}, "ints": {"3": 133},
-        "targets": {"beams": [{"mode": "radec", "ra_deg": 1.5, "dec_deg": -2.0}, {}]},
+        "targets": {"targets": [{"mode": "radec", "ra_deg": 1.5, "dec_deg": -2.0}, {}]},
         "config": {"array_location": {"latitude_deg": -30.0, "longitude_deg": 149.0, "height_m": 237},
                    "frequency_plan": {"base_frequency_hz": 0, "channel_bandwidth_hz": 781250},
                    "antenna_positions": {"1": {"35": {"east": 1.0, "north": 2.0, "up": 0}}}}}
