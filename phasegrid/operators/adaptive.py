@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from phasegrid import scale
 from phasegrid.config import ArrayConfig
 from phasegrid.functions import numeric as N
 
@@ -158,9 +159,9 @@ def whiten_visibilities(vis: DataFrame) -> DataFrame:
     diag = (same.where(F.col("i") == F.col("j")).groupBy("block", "channel", "p")
             .agg(F.map_from_entries(F.collect_list(F.struct(
                 "i", F.sqrt(F.greatest("re", F.lit(1e-10)))))).alias("d")))
-    scale = F.element_at("d", F.col("i")) * F.element_at("d", F.col("j"))
+    norm = F.element_at("d", F.col("i")) * F.element_at("d", F.col("j"))
     return (same.join(diag, ["block", "channel", "p"])
-            .withColumns({"re": F.col("re") / scale, "im": F.col("im") / scale}).drop("d"))
+            .withColumns({"re": F.col("re") / norm, "im": F.col("im") / norm}).drop("d"))
 
 
 def project_weights(projections: DataFrame, weights: DataFrame, n: int) -> DataFrame:
@@ -169,7 +170,7 @@ def project_weights(projections: DataFrame, weights: DataFrame, n: int) -> DataF
     ``weights`` has arrays ``w_re, w_im`` per (channel, pol, beam).  The product is
     array arithmetic on the joined row: n x n numbers, nothing exploded.
     """
-    d = projections.join(weights, ["channel", "pol"])
+    d = projections.join(scale.broadcast_if_small(weights, 1 << 16), ["channel", "pol"])
     rows = F.sequence(F.lit(0), F.lit(n - 1))
 
     def column(part):
@@ -185,7 +186,7 @@ def project_weights(projections: DataFrame, weights: DataFrame, n: int) -> DataF
 
 def signal_counts(channels: DataFrame, configured: DataFrame, default: int = 1) -> DataFrame:
     """Number of signal vectors of each channel, with a default where none is set."""
-    return channels.join(configured, "channel", "left").withColumn("k", F.coalesce("k", F.lit(default)))
+    return channels.join(scale.broadcast_if_small(configured, 100_000), "channel", "left").withColumn("k", F.coalesce("k", F.lit(default)))
 
 
 def detect_spectra(values: DataFrame, keys: list[str], value: str, delta: float) -> DataFrame:

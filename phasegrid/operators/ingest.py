@@ -177,10 +177,19 @@ def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> D
         *[F.coalesce(F.col(f"cell.{v}"), F.lit(0)).alias(v) for v in values])
 
 
-def missing_share(missing_per_group: Column, blocks: Column, cfg: ArrayConfig) -> tuple[Column, Column]:
-    """(expected packets, percent missing) of an integration."""
-    total = blocks * cfg.packets_per_block
-    return total, F.lit(100.0) * missing_per_group / total
+def missing_by_integration(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
+    """Missing and expected packets and the percentage of every integration.
+
+    Blocks without any packet count in full.  Only packet numbers are read.
+    """
+    have = (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
+            .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+    span = have.agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    blocks = scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
+    per = blocks.join(have, "block", "left").groupBy(floor_div("block", cfg.accumulate).alias("integration")).agg(
+        (F.count(F.lit(1)) * cfg.packets_per_block).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("have"))
+    missing = F.col("total") - F.col("have")
+    return per.select("integration", missing.alias("missing"), "total", (F.lit(100.0) * missing / F.col("total")).alias("pct"))
 
 
 def counters(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
@@ -226,7 +235,7 @@ def replay(packets: DataFrame, loops: int, jump: int = 64) -> DataFrame:
     """
     span = packets.groupBy("fpga_id").agg(
         (F.max("sample_count") - F.min("sample_count") + jump).alias("__span"))
-    return (packets.join(span, "fpga_id")
+    return (packets.join(scale.broadcast_if_small(span, 256), "fpga_id")   # few keys: not by shuffle
             .withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
             .withColumn("sample_count", F.col("sample_count") + F.col("loop") * F.col("__span"))
             .drop("__span"))

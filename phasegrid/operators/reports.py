@@ -22,7 +22,7 @@ def nearest_rank(values: DataFrame, keys: list[str], value: str, quantiles: list
     per = wanted.groupBy(*keys).agg(F.collect_list(F.struct("q", "at")).alias("w"))
     hits = F.filter("w", lambda x: (x["at"] >= F.col("smaller"))
                     & (x["at"] < F.col("smaller") + F.col("hits")))
-    joined = hist.join(per, keys) if keys else hist.withColumn("w", per.select("w").scalar())
+    joined = hist.join(scale.broadcast_if_small(per, 100_000), keys) if keys else hist.withColumn("w", per.select("w").scalar())
     return (joined.select(*keys, value, F.explode(hits).alias("x"))
             .select(*keys, F.col("x.q").alias("q"), F.col(value)))
 
@@ -126,7 +126,7 @@ def histogram(samples: DataFrame, keys: list[str], value: str, bins: int = 100)
     """
     span = samples.groupBy(*keys).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    d = counts.join(span, keys) if keys else counts.select(
+    d = counts.join(scale.broadcast_if_small(span, 100_000), keys) if keys else counts.select(
         "*", samples.select(F.min(value).cast("double")).scalar().alias("lo"),
         samples.select(F.max(value).cast("double")).scalar().alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -157,7 +157,7 @@ def inventory(df: DataFrame, name: str) -> DataFrame:
 def latest_block(rows: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
     """Rows of the newest block of each key."""
     newest = rows.groupBy(*keys).agg(F.max(block).alias(block))
-    return rows.join(newest, keys + [block], "left_semi")
+    return rows.join(scale.broadcast_if_small(newest, 100_000), keys + [block], "left_semi")
 
 
 def rollup_max(rows: DataFrame, keys: list[str], ts: str, value: str, width: str) -> DataFrame:

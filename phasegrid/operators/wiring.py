@@ -179,7 +179,7 @@ def baseline_table(receivers: DataFrame, zero_negative: bool = True) -> DataFram
 
 def antenna_positions(receivers: DataFrame, positions: DataFrame) -> DataFrame:
     """East, north, up of each receiver through its antenna; the origin by default."""
-    d = receivers.join(positions, "antenna_id", "left")
+    d = receivers.join(scale.broadcast_if_small(positions, 4096), "antenna_id", "left")
     return d.select("run", "canonical", "antenna_id",
                     *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("east", "north", "up")])
 

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, functions as F
 from phasegrid.config import ArrayConfig
 from phasegrid.operators import adaptive, ingest
 from phasegrid.operators.correlate import packed_triangle
-from phasegrid.sources import wire
 
 
 @dataclass(frozen=True)
@@ -33,22 +32,41 @@ class Calibration:
     residuals: dict[int, int] = field(default_factory=dict)   # sample delay by source position
 
 
-def block_cube(pdf: pd.DataFrame, channel: int, cfg: ArrayConfig, cal: Calibration) -> np.ndarray:
-    """Calibrated, aligned samples ``[receiver][pol][time]`` of one group; gaps are zero."""
+def decode_payloads(payloads: pd.Series, cfg: ArrayConfig) -> np.ndarray:
+    """Scaled complex samples ``[packet][step][receiver][pol]`` of binary payloads."""
+    n, p, u, head = cfg.recv_per_fpga, cfg.pols, cfg.steps, cfg.scale_bytes
+    need = head + cfg.sample_bytes
+    raw = np.frombuffer(b"".join(x[:need] for x in payloads), dtype=np.int8).reshape(len(payloads), need)
+    scales = np.ascontiguousarray(raw[:, :head]).view("<i2").reshape(-1, 1, n, p).astype(float)
+    z = raw[:, head:].reshape(-1, u, n, p, 2)
+    x = np.empty(z.shape[:-1], dtype=complex)
+    x.real, x.imag = z[..., 0] * scales, z[..., 1] * scales
+    return x
+
+
+def block_cube(pdf: pd.DataFrame, channel: int, cfg: ArrayConfig, cal: Calibration) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated, aligned samples ``[receiver][pol][time]`` and the packets its time axis covers.
+
+    Without delays a packet nobody sent is left out; otherwise the axis covers the
+    whole block (gaps are zero) because alignment and transforms need it.
+    """
     r, n, p, u = cfg.recv_per_fpga, cfg.packets, cfg.pols, cfg.steps
-    halo = np.zeros((cfg.fpgas, (n + 2), u, r, p), dtype=complex)
-    for source, pkt, payload in zip(pdf["source"], pdf["pkt"], pdf["payload"]):
-        scales, samples = wire.split_payload(payload, cfg)
-        halo[source, pkt + 1] = samples * scales
-    halo = halo.reshape(cfg.fpgas, (n + 2) * u, r, p)
+    shifted = any(cal.residuals.values()) or cal.delays_ns is not None
+    if not shifted:
+        pdf = pdf[pdf["pkt"].between(0, n - 1)]
+    x = decode_payloads(pdf["payload"], cfg)
+    source, pkt = pdf["source"].to_numpy(), pdf["pkt"].to_numpy()
     if cal.gains is not None:
-        gains = cal.gains[channel].T.reshape(cfg.fpgas, r, p)
-        halo = halo * gains[:, None]
-    cube = np.empty((cfg.fpgas, r, p, n * u), dtype=complex)
-    for source in range(cfg.fpgas):
-        first = u + cal.residuals.get(source, 0)
-        cube[source] = halo[source, first:first + n * u].transpose(1, 2, 0)
-    cube = cube.reshape(cfg.receivers, p, n * u)
+        x *= cal.gains[channel].T.reshape(cfg.fpgas, r, p)[source][:, None]
+    slots = np.arange(-1, n + 1) if shifted else np.unique(pkt)
+    cube = np.zeros((cfg.fpgas, len(slots), r, p, u), dtype=complex)
+    cube[source, np.searchsorted(slots, pkt)] = x.transpose(0, 2, 3, 1)
+    cube = cube.transpose(0, 2, 3, 1, 4).reshape(cfg.fpgas, r, p, -1)
+    if shifted:
+        start = [u + cal.residuals.get(f, 0) for f in range(cfg.fpgas)]
+        cube = np.stack([cube[f, ..., s:s + n * u] for f, s in enumerate(start)])
+        slots = slots[1:-1]
+    cube = cube.reshape(cfg.receivers, p, -1)
     if cal.permutation is not None:
         recv, pol = cal.permutation[..., 0], cal.permutation[..., 1]
         cube = np.where((recv >= 0)[..., None], cube[np.maximum(recv, 0), pol], 0)
@@ -57,7 +75,16 @@ def block_cube(pdf: pd.DataFrame, channel: int, cfg: ArrayConfig, cal: Calibrati
         freq = freq + np.fft.fftfreq(n * u) * cal.bandwidth_hz
         turn = np.exp(-2j * np.pi * freq[None, :] * cal.delays_ns[:, None] * 1e-9)
         cube = np.fft.ifft(np.fft.fft(cube, axis=2) * turn[:, None, :], axis=2)
-    return cube
+    return cube, slots
+
+
+def whole_block(series: np.ndarray, slots: np.ndarray, cfg: ArrayConfig) -> np.ndarray:
+    """Series on the full time axis of a block, zero where no packet arrived."""
+    if len(slots) == cfg.packets:
+        return series
+    full = np.zeros((*series.shape[:-1], cfg.packets, cfg.steps), dtype=complex)
+    full[..., slots, :] = series.reshape(*series.shape[:-1], len(slots), cfg.steps)
+    return full.reshape(*series.shape[:-1], -1)
 
 
 def form_beams(cube: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -104,7 +131,7 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
         own = int(pdf["pkt"].between(0, cfg.packets - 1).sum())
         if own == 0:   # nothing but halo packets of the neighbours
             return pd.DataFrame(columns=PRODUCT_COLUMNS)
-        cube = block_cube(pdf, channel, cfg, cal)
+        cube, slots = block_cube(pdf, channel, cfg, cal)
         vis = packed_triangle(cube.reshape(cfg.receivers * cfg.pols, -1), cfg.receivers, cfg.pols)
         out = {"block": block, "channel": channel,
                "missing": cfg.fpgas * cfg.packets - own}
@@ -120,14 +147,13 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
         if spectra == "packet":
             spec = packet_spectra_sum(y, cfg.steps, trim)
         elif spectra:
-            series = y if spectra == "block" else cube
+            series = whole_block(y if spectra == "block" else cube, slots, cfg)
             power = np.abs(np.fft.fft(series, axis=-1)) ** 2
             bins = power.shape[-1] // factor
             spec = power[..., :bins * factor].reshape(*power.shape[:-1], bins, factor).mean(axis=-1)
         if not visibilities:
             vis = None
-        if not beams:
-            y = None
+        y = whole_block(y, slots, cfg) if beams else None
         out.update(vis_re=_flat(None if vis is None else vis.real), vis_im=_flat(None if vis is None else vis.imag),
                    beam_re=_flat(None if y is None else y.real), beam_im=_flat(None if y is None else y.imag),
                    spectrum=_flat(spec), k=_flat(None if counts is None else counts.astype(np.int32)),

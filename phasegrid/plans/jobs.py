@@ -29,7 +29,7 @@ def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, shared: bool
     packed = products.select("block", "channel", F.col("vis_re").alias("re"), F.col("vis_im").alias("im"))
     out = {"visibilities": correlate.accumulate_packed(packed, cfg, cfg.accumulate),
            "eigen": adaptive.eigen(packed, cfg),
-           "missing": integration_gaps(products, cfg),
+           "missing": ingest.missing_by_integration(arrived, cfg),
            "arrivals": ingest.arrival_flags(arrived, cfg)}
     if cal.weights is not None:
         out["beams"] = beam_rows(products, cfg, cal.weights.shape[2])
@@ -38,19 +38,6 @@ def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, shared: bool
     return out
 
 
-def integration_gaps(products: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """(missing, total, percent) per integration; a block without any packet counts as missing."""
-    span = products.agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    cells = ingest.scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(cfg.channels - 1))).alias("channel"))
-    per_cell = cfg.fpgas * cfg.packets
-    d = cells.join(products.select("block", "channel", "missing"), ["block", "channel"], "left")
-    d = d.groupBy(N.floor_div("block", cfg.accumulate).alias("integration")).agg(
-        F.sum(F.coalesce("missing", F.lit(per_cell))).alias("missing"),
-        (F.count(F.lit(1)) * per_cell).alias("total"))
-    return d.withColumn("pct", F.lit(100.0) * F.col("missing") / F.col("total"))
-
-
 def beam_rows(products: DataFrame, cfg: ArrayConfig, beams: int) -> DataFrame:
     axes = {"pol": cfg.pols, "beam": beams, "s": cfg.block_samples}
     both = products.withColumn("z", F.arrays_zip("beam_re", "beam_im"))

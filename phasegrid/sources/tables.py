@@ -158,3 +158,31 @@ def embedding_packets(spark: SparkSession, root: str) -> DataFrame:
                          .alias("arrival"), (seq * cfg.step + 16000).alias("sample_count"), "fpga_id",
                          F.col("channel").alias("freq_channel"),
                          payload(F.col("g.scale"), F.col("g.data")).alias("payload"))
+
+
+# Captured bytes: texts are cut into payloads of the production packet shape.
+TEXT_CFG = ArrayConfig(channels=8, fpgas=1, recv_per_fpga=10, pols=2, steps=64, packets=256, accumulate=4)
+
+
+def document_packets(spark: SparkSession, root: str) -> DataFrame:
+    """The bytes of every whole text as samples of consecutive packets.
+
+    A text continues over as many packets as it needs; the last one is filled with
+    zeros.  Texts of one channel follow each other at the length of the longest.
+    """
+    cfg = TEXT_CFG
+    size = cfg.sample_bytes
+    scales = "".join(f"{1 + (n + p) % 3:02x}00" for n in range(cfg.recv_per_fpga) for p in range(cfg.pols))
+    docs = table(spark, root, "documents")
+    parts = F.ceil(F.octet_length("text") / size)
+    stride = docs.select(F.max(parts)).scalar()
+    d = (docs.withColumn("parts", parts).where(F.col("parts") > 0)
+         .select("doc_id", F.encode("text", "UTF-8").alias("bytes"),
+                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    body = F.substring("bytes", (F.col("part") * size + 1).cast("int"), F.lit(size))
+    filled = F.concat(body, F.unhex(F.repeat(F.lit("00"), F.lit(size) - F.length(body))))
+    index = idiv(F.col("doc_id"), cfg.channels) * stride + F.col("part")
+    return d.select((F.col("doc_id") * stride + F.col("part")).alias("arrival"),
+                    ((index + 1) * cfg.step).alias("sample_count"), F.lit(0).alias("fpga_id"),
+                    F.pmod("doc_id", F.lit(cfg.channels)).cast("int").alias("freq_channel"),
+                    F.concat(F.unhex(F.lit(scales)), filled).alias("payload"))

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("ingest", "wiring", "signal", "adaptive", "scalars", "reports", "streams")
+_MODULES = ("ingest", "wiring", "signal", "adaptive", "scalars", "reports", "captures", "streams")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

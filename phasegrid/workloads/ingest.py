@@ -191,16 +191,7 @@ def impute_missing(spark, root):
 SELECT integration, missing, blocks * 128 AS total, 100.0::DOUBLE * missing / (blocks * 128) AS pct FROM per""")
 def missing_percent(spark, root):
     """Missing, expected and percentage of every integration; holes count as missing."""
-    have = (arrived(spark, root).where(F.col("pkt").between(0, CFG.packets - 1))
-            .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
-    span = have.agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    blocks = op.scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
-    per = (blocks.join(have, "block", "left").groupBy(N.floor_div("block", CFG.accumulate).alias("integration"))
-           .agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("have")))
-    total = F.col("blocks") * CFG.packets_per_block
-    missing = total - F.col("have")
-    total, pct = op.missing_share(missing, F.col("blocks"), CFG)
-    return per.select("integration", missing.alias("missing"), total.alias("total"), pct.alias("pct"))
+    return op.missing_by_integration(arrived(spark, root), CFG)
 
 
 @query(f"""WITH {PACKETS} SELECT arrival, fpga_id, freq_channel, sample_count,
