@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasegrid.config import ArrayConfig
-from phasegrid.functions import numeric as N
 from phasegrid.operators import ingest as op
 from phasegrid.sources import tables as tb
 from phasegrid.sources import wire

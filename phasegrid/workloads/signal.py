@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phasegrid.functions import numeric as N
-from phasegrid.operators import adaptive, beam, calibrate, correlate, fold, ingest, reports, spectra, wiring
+from phasegrid.operators import beam, calibrate, correlate, fold, ingest, reports, spectra, wiring
 from phasegrid.sources import tables as tb
 from phasegrid.workloads import query
-from phasegrid.workloads.bindings import ACCEPTED, LINE_SAMPLES, SAMPLES, SCALED, VIS, WIRING
+from phasegrid.workloads.bindings import LINE_SAMPLES, SAMPLES, SCALED, VIS, WIRING
 from phasegrid.workloads.wiring import POSITIONS, position_table
 
 CFG = tb.FRAME_CFG

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phasegrid import scale
-from phasegrid.functions import numeric as N
 from phasegrid.operators import calibrate, wiring as op
 from phasegrid.sources import tables as tb
 from phasegrid.workloads import query
