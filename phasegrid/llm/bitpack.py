@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 
-from phasegrid.llm.common import F, bounded_slices, column, crc32, materialize, open_fs
+from phasegrid.llm.common import F, bounded_slices, column, crc32, materialize, open_fs, text_sizes
 from phasegrid.llm.word_encoder import shared_encoder
 
 MAGIC = b"TOKPACK1"
 BLOCK_IDS = 4096
-SHARD_IDS = 1 << 24
-CHUNK_CHARS = 2 << 20
+SHARD_IDS = 1 << 22
+CHUNK_BYTES = 6 << 20
 
 
 def width_of(vocabulary: int) -> int:
@@ -145,12 +145,12 @@ def write_packed(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
 
         for batch in batches:
             texts = batch.column("text")
-            sizes = np.array([len(t) if t else 0 for t in texts.to_pylist()], np.int64)
+            sizes = text_sizes(texts)
             keys = batch.column("doc_id")
             null = np.array(keys.is_null())
             keys = keys.fill_null(0).to_numpy()
-            for a, b in bounded_slices(sizes, CHUNK_CHARS):
-                flat, counts = encoder.encode(texts.slice(a, b - a).to_pylist())
+            for a, b in bounded_slices(sizes, CHUNK_BYTES):
+                flat, counts = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts + 1)
                 ids = np.full(int(ends[-1]), end_id, np.uint32)
                 keep = np.ones(len(ids), bool)

@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasegrid.session import materialize, scratch_path, ship_package
 
 __all__ = ["F", "binary_buffer", "bounded_slices", "column", "materialize", "mix64", "open_fs", "scratch_path",
-           "ship_package", "strings", "table"]
+           "ship_package", "table", "text_sizes"]
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -35,8 +36,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def strings(col: pa.Array | pa.ChunkedArray) -> list[str | None]:
-    return col.to_pylist()
+def text_sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; null has none."""
+    return pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
 
 
 def binary_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm.bitpack import CHUNK_CHARS, put
-from phasegrid.llm.common import F, bounded_slices, column, materialize, open_fs
+from phasegrid.llm.bitpack import CHUNK_BYTES, put
+from phasegrid.llm.common import F, bounded_slices, column, materialize, open_fs, text_sizes
 from phasegrid.llm.word_encoder import shared_encoder
 from phasegrid.scale import ordered_prefix
 
-FILE_IDS = 1 << 24
+FILE_IDS = 1 << 22
 BLOCK_IDS = 1 << 18
 
 
@@ -53,9 +53,9 @@ def write_flat(docs: DataFrame, out: str, tokenizer: str, separator: int, id_byt
 
         for batch in batches:
             texts = batch.column("text")
-            sizes = np.array([len(t) if t else 0 for t in texts.to_pylist()], np.int64)
-            for a, b in bounded_slices(sizes, CHUNK_CHARS):
-                flat, counts = encoder.encode(texts.slice(a, b - a).to_pylist())
+            sizes = text_sizes(texts)
+            for a, b in bounded_slices(sizes, CHUNK_BYTES):
+                flat, counts = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts + 1)
                 ids = np.full(int(ends[-1]), separator, f"<u{id_bytes}")
                 keep = np.ones(len(ids), bool)

@@ -11,22 +11,49 @@ import functools
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000
-_TAIL = b".,;:!?"
+from phasegrid.llm.common import binary_buffer
 
+CACHE_WORDS = 300_000
+_TAIL = ".,;:!?"
 
-class _Index(dict):
-    """Numbers unseen keys in order of appearance."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[bytes] = []
+class WordTable:
+    """Distinct words seen so far, numbered; kept as one Arrow array."""
 
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self)
-        self.fresh.append(key)
-        return n
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.uses = np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def numbers(self, flat: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+        """Number of each word, and the words seen for the first time in order of their numbers."""
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary
+        known = pc.index_in(distinct, self.words)
+        fresh = distinct.filter(known.is_null())
+        number = known.fill_null(-1).to_numpy().astype(np.int64)
+        number[number < 0] = len(self.words) + np.arange(len(fresh))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.uses[number] += 1
+        return number[coded.indices.to_numpy()], fresh
+
+    def shrink(self, bound: int) -> np.ndarray | None:
+        """Beyond ``bound`` words, forget those seen in one call only (all, if that is not enough).
+
+        Returns the old numbers of the words that stay, or nothing if all stay.
+        """
+        if len(self.words) <= bound:
+            return None
+        stay = np.flatnonzero(self.uses > 1)
+        stay = stay if len(stay) <= bound // 2 else stay[:0]
+        self.words, self.uses = self.words.take(pa.array(stay)), np.ones(len(stay), np.int64)
+        return stay
 
 
 class _Tokens:
@@ -43,6 +70,13 @@ class _Tokens:
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
 
+    def keep(self, numbers: np.ndarray | None) -> None:
+        """Only these lists stay, renumbered; nothing changes without ``numbers``."""
+        if numbers is not None:
+            flat, size = self.take(numbers)
+            self.flat, self.size = flat, size
+            self.start = np.cumsum(size) - size
+
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[numbers]
         ends = np.cumsum(size)
@@ -63,57 +97,78 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = special_as_text
         self.cache_words = cache_words
-        self._clear()
+        self.words, self.word_ids = WordTable(), _Tokens()
+        self.stems, self.stem_ids = WordTable(), _Tokens()
+        # Models that mark word ends tell where one word of letters stops in a run of ids.
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(self.vocabulary, bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     @property
     def vocabulary(self) -> int:
         return self.model.get_vocab_size(with_added_tokens=True)
 
-    def _clear(self) -> None:
-        self.words, self.word_ids = _Index(), _Tokens()
-        self.stems, self.stem_ids = _Index(), _Tokens()
+    def _encode_each(self, words: list[str]) -> None:
+        got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.stem_ids.add(np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum())), size)
+
+    def _encode_letters(self, words: list[str]) -> bool:
+        """Words of letters in one call, cut at closing ids; says whether every word closed once."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return False
+        self.stem_ids.add(ids, np.diff(ends, prepend=0))
+        return True
 
-    def _learn(self) -> None:
+    def _learn(self, fresh: pa.StringArray) -> None:
         """Ids of words seen for the first time.
 
         A word of letters before closing punctuation has the ids of both parts,
         and ASCII letters are encoded in lower case, as the model lowers them anyway.
         """
-        fresh, self.words.fresh = self.words.fresh, []
-        if not fresh:
+        if not len(fresh):
             return
-        head, tail = np.zeros(len(fresh), np.int64), np.full(len(fresh), -1, np.int64)
-        stems = self.stems
-        for i, word in enumerate(fresh):
-            stem = word.rstrip(_TAIL)
-            if stem.isalpha():
-                head[i] = stems[stem.lower()]
-                if len(stem) < len(word):
-                    tail[i] = stems[word[len(stem):]]
-            else:
-                head[i] = stems[word]
-        new, stems.fresh = stems.fresh, []
-        got = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.stem_ids.add(np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum())), size)
-        pair = np.stack([head, tail], 1).ravel()
-        flat, size = self.stem_ids.take(pair[pair >= 0])
-        sizes = np.zeros(len(pair), np.int64)
-        sizes[pair >= 0] = size
-        self.word_ids.add(flat, sizes.reshape(-1, 2).sum(1))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > self.cache_words:
-            self._clear()
-        counts, numbers, get = [], [], self.words.__getitem__
-        for text in texts:
-            words = text.encode().split() if text else []
-            counts.append(len(words))
-            numbers.extend(map(get, words))
-        self._learn()
-        flat, size = self.word_ids.take(np.array(numbers, np.int64))
+        stem = pc.utf8_rtrim(fresh, characters=_TAIL)
+        letters = pc.utf8_is_alpha(stem)
+        whole = pc.if_else(letters, stem, fresh)
+        whole = pc.if_else(pc.and_(letters, pc.string_is_ascii(whole)), pc.ascii_lower(whole), whole)
+        cut = np.where(letters.to_numpy(zero_copy_only=False), pc.binary_length(stem).to_numpy(), 0)
+        raw, offsets = binary_buffer(fresh)
+        lengths = np.where(letters.to_numpy(zero_copy_only=False), np.diff(offsets) - cut, 0)
+        at = np.repeat(offsets[:-1] + cut - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        tail = pa.StringArray.from_buffers(len(fresh), pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
+                                           pa.py_buffer(raw[at]))
+        both = pa.concat_arrays([whole, tail])
+        number, new = self.stems.numbers(both)
+        is_word = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+        new = new.to_pylist()
+        for a in range(0, len(new), 5000):
+            part = new[a:a + 5000]
+            some = is_word[a:a + 5000]
+            ordered = np.concatenate([np.flatnonzero(some), np.flatnonzero(~some)])
+            keep = len(self.stem_ids.size)
+            if not (some.any() and self._encode_letters([part[i] for i in np.flatnonzero(some)])):
+                ordered = np.arange(len(part))
+                self._encode_each(part)
+            elif not some.all():
+                self._encode_each([part[i] for i in np.flatnonzero(~some)])
+            place = np.empty(len(part), np.int64)
+            place[ordered] = keep + np.arange(len(part))
+            self.stem_ids.start[keep:], self.stem_ids.size[keep:] = self.stem_ids.start[place], self.stem_ids.size[place]
+        flat, size = self.stem_ids.take(number.reshape(2, -1).T.ravel())
+        self.word_ids.add(flat, size.reshape(-1, 2).sum(1))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        self.word_ids.keep(self.words.shrink(self.cache_words))
+        self.stem_ids.keep(self.stems.shrink(self.cache_words))
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        numbers, fresh = self.words.numbers(words.flatten())
+        self._learn(fresh)
+        flat, size = self.word_ids.take(numbers)
         ends = np.concatenate([[0], np.cumsum(size)])
-        docs = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
+        docs = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
         return flat, np.diff(ends[docs])
 
 
