@@ -26,7 +26,12 @@ def words(text: Column) -> Column:
 def leaf_rows(docs: DataFrame, levels: dict[str, Column], key: Column, text: Column) -> DataFrame:
     """What the mixture needs of each row: key, tie, tokens, levels.  Null level values are one value, ``(none)``."""
     named = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(name) for name, c in levels.items()]
-    return docs.select(key.cast("long").alias("key"), F.xxhash64(text, *levels.values()).alias("tie"), words(text).alias("tokens"), *named)
+    return docs.select(key.cast("long").alias("key"), tie_of(levels, text).alias("tie"), words(text).alias("tokens"), *named)
+
+
+def tie_of(levels: dict[str, Column], text: Column) -> Column:
+    """Tells rows of one key apart by their content."""
+    return F.xxhash64(text, *levels.values())
 
 
 def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from phasegrid.llm import bitpack, cover_tree, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup, token_scan
+from phasegrid.llm import bitpack, cover_tree, group_join, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup, token_scan
 from phasegrid.llm.common import F, scratch_path, table
 from phasegrid.llm.registry import query
 
@@ -127,3 +127,8 @@ def op2_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_recompression_dedup")
 def op3_recompression_dedup(spark: SparkSession, root: str) -> DataFrame:
     return recompression.digest_columns(recompression.remove_repeats(table(spark, root, "documents"), length=50))
+
+
+@query("op6_group_jaccard_join")
+def op6_group_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return group_join.link_groups(table(spark, root, "documents"), words=5, percent=80)
