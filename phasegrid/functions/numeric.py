@@ -81,9 +81,9 @@ def nearest_multiple(x, k: int) -> tuple[Column, Column]:
     return closest, x - closest
 
 
-def quantise_int8(x, limit: int = 127) -> Column:
-    """Round half to even and clip symmetrically."""
-    return F.greatest(F.least(F.rint(_c(x)), F.lit(float(limit))), F.lit(float(-limit))).cast("int")
+def quantise_int8(x) -> Column:
+    """Round half to even and clip to the range of a signed byte."""
+    return F.greatest(F.least(F.rint(_c(x)), F.lit(127.0)), F.lit(-128.0)).cast("int")
 
 
 def fft_shift_index(k, n: int) -> Column:

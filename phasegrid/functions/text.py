@@ -32,12 +32,17 @@ def series_key(prefix, channel, pol, beam, freq) -> Column:
 
 
 def clean_kernel_name(raw) -> Column:
-    """Drop argument list, template arguments and namespaces, then shorten to 40."""
-    raw = _c(raw)
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(raw, r"\(.*\)", "")), "<[^>]*>", ""))
-    name = F.trim(F.element_at(F.split(bare, "::"), -1))
-    short = F.when(F.length(name) > 40, F.concat(F.substring(name, 1, 37), F.lit("…"))).otherwise(name)
-    return F.when(short == "", bare).otherwise(short)
+    """The bare function name of a signature, whole: the last name before templates and arguments.
+
+    A signature without such a name (an unnamed operator, say) stays as it is, trimmed.
+    """
+    name = F.trim(F.regexp_extract(_c(raw), r"([^:<>()]+)(?:<.*>)?\s*(?:\(.*\))?\s*$", 1))
+    return F.when(name == "", F.trim(_c(raw))).otherwise(name)
+
+
+def short_label(name, width: int = 40) -> Column:
+    """A name for display: cut to ``width`` with an ellipsis.  Not a key, as cuts may coincide."""
+    return F.when(F.length(_c(name)) > width, F.concat(F.substring(_c(name), 1, width - 1), F.lit("…"))).otherwise(_c(name))
 
 
 def nth_cpu(cpu_list, n) -> Column:
@@ -55,13 +60,14 @@ def bind(value, body) -> Column:
 def key_values(line) -> Column:
     """``key=number`` pairs of a log line as a map; a repeated key keeps the last.
 
-    Values that are not a number are dropped, a trailing percent sign is ignored.
+    A pair is a piece between blanks, cut at its first ``=``.  Values that are not a
+    number are dropped; a unit after the digits, such as a percent sign, is ignored.
     """
-    pattern = r"[A-Za-z_][A-Za-z0-9_/]*=[-+0-9.eE]+"
     key = lambda p: F.substring_index(p, "=", 1)
-    value = lambda p: F.substring_index(p, "=", -1).try_cast("double")
-    pairs = F.reverse(F.filter(F.regexp_extract_all(_c(line), F.lit(pattern), F.lit(0)),
-                               lambda p: value(p).isNotNull()))
+    digits = lambda p: F.rtrim(F.substring(p, F.instr(p, "=") + 1, F.length(p)), F.lit("%,;xsmunGMKBkHz/"))
+    value = lambda p: digits(p).try_cast("double")
+    pieces = F.filter(F.split(_c(line), " "), lambda p: F.instr(p, "=") > 1)
+    pairs = F.reverse(F.filter(pieces, lambda p: value(p).isNotNull()))
 
     def to_map(ps):
         keys = F.transform(ps, key)

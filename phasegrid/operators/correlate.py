@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from phasegrid.config import ArrayConfig
 from phasegrid.functions import numeric as N
 
-WIDE_INPUTS = 12  # receivers x pols up to which products are written as columns
 
 
 def wide_samples(samples: DataFrame, cfg: ArrayConfig, time: list[str]) -> DataFrame:

@@ -28,18 +28,21 @@ def fold(powers: DataFrame, keys: list[str], period, n_bins: int,
          sample: str = "sample", delay: str = "delay", power: str = "power") -> DataFrame:
     """Sum and count of positive powers per phase bin.
 
-    ``keys=[]`` merges channels and polarizations; passing them keeps them apart.
+    ``keys=[]`` merges channels and polarizations; passing them keeps them apart.  A bin
+    that was sampled without positive power has no hits and a total of 0.
     """
-    d = powers.where(F.col(power) > 0).withColumn("bin", fold_bin(sample, delay, period, n_bins))
-    return d.groupBy(*keys, "bin").agg(F.sum(power).alias("total"), F.count(F.lit(1)).alias("hits"))
+    d = powers.withColumn("bin", fold_bin(sample, delay, period, n_bins))
+    loud = F.when(F.col(power) > 0, F.col(power))
+    zero = F.lit(0).cast(dict(powers.dtypes)[power])
+    return d.groupBy(*keys, "bin").agg(F.sum(F.coalesce(loud, zero)).alias("total"), F.count(loud).alias("hits"))
 
 
 def normalise_fold(folded: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
-    """Mean per bin on the complete bin axis, 0 for a bin without hits.
+    """Mean per bin on the complete bin axis, 0 for a bin without hits; a silent key is all 0.
 
     The bins of a key are a bounded map, so the axis is filled without a join.
     """
     per = folded.groupBy(*keys).agg(F.map_from_entries(
-        F.collect_list(F.struct("bin", F.col("total") / F.col("hits")))).alias("m"))
+        F.collect_list(F.struct("bin", F.try_divide("total", "hits")))).alias("m"))
     d = per.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     return d.select(*keys, "bin", F.coalesce(F.element_at("m", F.col("bin")), F.lit(0.0)).alias("profile"))

@@ -7,6 +7,9 @@ may read across the edge.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasegrid import scale
@@ -70,27 +73,13 @@ def block_members(indexed: DataFrame, cfg: ArrayConfig) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, keys: list[str], values: list[str], arrival: str = "arrival") -> DataFrame:
-    """Keep the latest arrival per key.  Copies fold before the shuffle."""
-    latest = F.max_by(F.struct(*values), F.col(arrival)).alias("__v")
-    return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col(f"__v.{v}").alias(v) for v in values])
-
+    """Keep the latest arrival per key.  Copies fold before the shuffle.
 
-def last_wins_in_place(rows: DataFrame, keys: list[str], arrival: str = "arrival",
-                       max_keys: int = 1_000_000) -> DataFrame:
-    """Drop every row that a later arrival of the same key replaces; nothing else moves.
-
-    Meant for rows with large payloads.  A first pass reads only keys and arrivals
-    and finds the keys that occur more than once.  While those are few (counted
-    here), they are broadcast and the payloads stay where they are; otherwise the
-    rows are aggregated by key.  ``arrival`` must be unique per packet.
+    Arrivals that are equal are ordered by their values, so one row a key is left and it
+    is the same on every run.
     """
-    twice = rows.groupBy(*keys).agg(F.max(arrival).alias("__latest"), F.count(F.lit(1)).alias("__n"))
-    twice = twice.where(F.col("__n") > 1).drop("__n")
-    if twice.limit(max_keys + 1).count() > max_keys:
-        values = [c for c in rows.columns if c not in keys and c != arrival]
-        return last_wins(rows, keys, values, arrival)
-    kept = rows.join(F.broadcast(twice), keys, "left")
-    return kept.where(F.col("__latest").isNull() | (F.col(arrival) == F.col("__latest"))).drop("__latest", arrival)
+    latest = F.max_by(F.struct(*values), F.struct(F.col(arrival), *values)).alias("__v")
+    return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
 def _members(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
@@ -110,13 +99,44 @@ def assemble(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFra
     return last_wins(_members(packets, cfg, values), SLOT, values)
 
 
-def assemble_payloads(packets: DataFrame, cfg: ArrayConfig, max_keys: int = 1_000_000) -> DataFrame:
-    """The same for binary payloads, which are not moved here.
+def assemble_payloads(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
+    """The same for binary payloads: the rule is the same, whatever number of copies there is.
 
-    The next step groups them by block and shuffles them once.
+    Copies fold inside each input task, so a flood of them is one row a task and slot.
+    Rows then move once: they are dealt by block and channel, which is also how the next
+    step groups them and which keeps all copies of a slot together.
     """
     members = _members(packets, cfg, ["payload"])
-    return last_wins_in_place(members, SLOT, max_keys=max_keys).select(*SLOT, "payload")
+    folded = last_of_task(members)
+    dealt = folded.repartition("block", "channel")
+    return last_wins(dealt, SLOT, ["payload"]).select(*SLOT, "payload")
+
+
+def last_of_task(members: DataFrame) -> DataFrame:
+    """Members without those that a later arrival of the same input batch replaces."""
+    def run(batches):
+        for batch in batches:
+            slots = pa.table([batch.column(c) for c in SLOT], SLOT)
+            number = pa.array(np.arange(len(batch)))
+            repeated = slots.append_column("n", number).group_by(SLOT).aggregate([("n", "list")])
+            groups = repeated.column("n_list").combine_chunks()
+            if len(groups) == len(batch):
+                yield batch
+                continue
+            order = {}
+            arrivals, payloads = batch.column("arrival"), batch.column("payload")
+            for rows in groups.filter(pc.greater(pc.list_value_length(groups), 1)).to_pylist():
+                best = max(rows, key=lambda i: (_sortable(arrivals[i].as_py()), payloads[i].as_py() or b""))
+                order.update((i, i == best) for i in rows)
+            keep = pa.array([order.get(i, True) for i in range(len(batch))])
+            yield batch.filter(keep)
+
+    return members.mapInArrow(run, members.schema)
+
+
+def _sortable(arrival):
+    """Arrivals are numbers or structs; Arrow gives structs as dictionaries in field order."""
+    return tuple(arrival.values()) if isinstance(arrival, dict) else arrival
 
 
 def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from phasegrid import scale
 from phasegrid.functions import numeric as N
@@ -38,22 +38,34 @@ def timing_summary(runs: DataFrame, keys: list[str], time: str, resolution: floa
     return basic.join(ranks, keys)
 
 
+# A rate is labelled by the largest share of the needed rate that it reaches.
+GRADES = [(1.2, "OK"), (1.0, "MARGINAL"), (0.0, "TOO SLOW")]
+
+
+def graded(rate, needed: float):
+    """Label of a rate from the table of grades."""
+    shares = F.filter(F.array(*[F.struct(F.lit(s).alias("share"), F.lit(g).alias("grade")) for s, g in GRADES]),
+                      lambda row: F.col(rate) >= row["share"] * needed)
+    return shares[0]["grade"]
+
+
 def capacity(summary: DataFrame, packets_per_buffer: int, buffers: int, target: float) -> DataFrame:
-    """Buffers per second a mean run time (ms) sustains, against a packet rate."""
-    need = F.lit(target / packets_per_buffer)
-    margin = lambda c: F.col(c) / need
-    verdict = lambda c: (F.when(margin(c) >= 1.2, "OK").when(margin(c) >= 1.0, "MARGINAL").otherwise("TOO SLOW"))
-    return (summary.withColumn("serial", F.lit(1000.0) / F.col("mean"))
-            .withColumn("overlapped", F.col("serial") * buffers)
-            .withColumn("serial_verdict", verdict("serial"))
-            .withColumn("overlapped_verdict", verdict("overlapped")))
+    """Rates that a mean run time (ms) allows, one buffer after the other or all at once, and their grades.
+
+    A rate counts buffers per second; ``target`` is a packet rate.
+    """
+    rates = summary.selectExpr("*", "1000D / mean AS serial", f"1000D / mean * {buffers} AS overlapped")
+    needed = target / packets_per_buffer
+    return rates.select("*", *[graded(rate, needed).alias(f"{rate}_verdict") for rate in ("serial", "overlapped")])
 
 
 def last_runs(runs: DataFrame, order: str, keep: int = 100) -> DataFrame:
-    """The last ``keep`` runs; slots of the ring are the run number modulo ``keep``."""
-    newest = runs.select(F.max(order)).scalar()
-    return (runs.where(F.col(order) > newest - keep)
-            .withColumn("slot", F.pmod(order, F.lit(keep)).cast("int")))
+    """The last ``keep`` runs, whatever gaps their numbers have.
+
+    ``slot`` counts them from the oldest kept.  Only ``keep`` rows reach the final sort.
+    """
+    kept = runs.orderBy(F.col(order).desc()).limit(keep)
+    return kept.withColumn("slot", (F.row_number().over(W.orderBy(order)) - 1).cast("int"))
 
 
 # --- profiles -----------------------------------------------------------------
@@ -82,19 +94,22 @@ def metric_presence(launches: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- benchmarks ------------------------------------------------------------------
 
-LOG_LINE = r"^\[(\w[\w ]+) ch=(\d+) fpga=(\d+) rx=(\d+)\](.+)"
-
-
 def parse_benchmark_log(lines: DataFrame) -> DataFrame:
-    """Tagged result lines: tag, ch, fpga, rx and the map of their numbers."""
-    # one pass of the pattern: the groups are joined by a separator and split again
-    groups = F.split(F.regexp_replace("line", LOG_LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
+    """Tagged result lines: tag, ch, fpga, rx and the map of their numbers.
+
+    Such a line begins with a bracket that names its tag and then its three dimensions as
+    key=value pairs; the numbers follow the bracket, also as pairs.
+    """
     keep = [c for c in lines.columns if c != "line"]
-    hit = lines.where(F.col("line").rlike(LOG_LINE)).select(*keep, groups.alias("__g"))
-    part = lambda g: F.col("__g")[g]
-    out = [*keep, F.trim(part(0)).alias("tag"), part(1).cast("int").alias("ch"), part(2).cast("int").alias("fpga"),
-           part(3).cast("int").alias("rx"), text.key_values(part(4)).alias("metrics")]
-    return hit.select(*out)
+    head = F.substring_index(F.substring("line", 2, 1 << 20), "]", 1)
+    rest = F.substring(F.col("line"), F.length("head") + 3, F.lit(1 << 20))
+    d = (lines.where(F.col("line").startswith("[") & F.col("line").contains("]"))
+         .withColumn("head", head).withColumn("rest", rest).where(F.length("rest") > 0))
+    d = d.withColumn("dims", text.key_values("head"))
+    d = d.where(F.forall(F.array(F.lit("ch"), F.lit("fpga"), F.lit("rx")), lambda k: F.map_contains_key("dims", k)))
+    tag = F.trim(F.array_join(F.filter(F.split("head", " "), lambda w: ~w.contains("=")), " "))
+    dims = [F.col("dims")[k].cast("int").alias(k) for k in ("ch", "fpga", "rx")]
+    return d.where(F.length(tag) > 1).select(*keep, tag.alias("tag"), *dims, text.key_values("rest").alias("metrics"))
 
 
 def bottleneck(results: DataFrame, keys: list[str], label: str, rate: str) -> DataFrame:

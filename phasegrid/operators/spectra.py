@@ -41,11 +41,16 @@ def split_frames(frames: DataFrame, pols: int, steps: int) -> DataFrame:
             .select(*keys, "pol", at(0).alias("re"), at(1).alias("im")))
 
 
-def block_series(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the packet series of a block in packet order (bounded by the block length)."""
-    ordered = F.array_sort(F.collect_list(F.struct("pkt", "re", "im")))
-    return (packets.groupBy(*keys).agg(ordered.alias("__s"))
-            .select(*keys, F.flatten(F.col("__s.re")).alias("re"), F.flatten(F.col("__s.im")).alias("im")))
+def block_series(packets: DataFrame, keys: list[str], n_packets: int, steps: int) -> DataFrame:
+    """Join the packet series of a block in packet order (bounded by the block length).
+
+    A missing packet is ``steps`` zeros at its place.
+    """
+    have = packets.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pkt", F.struct("re", "im")))).alias("__m"))
+    silent = F.array_repeat(F.lit(0.0), steps)
+    part = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_packets - 1)), lambda k: F.coalesce(
+        F.try_element_at("__m", k)[c].cast("array<double>"), silent)))
+    return have.select(*keys, part("re").alias("re"), part("im").alias("im"))
 
 
 def bins(spectrum: DataFrame) -> DataFrame:
@@ -58,8 +63,8 @@ def bins(spectrum: DataFrame) -> DataFrame:
 def downsample_power(spectrum: DataFrame, factor: int) -> DataFrame:
     """Mean power over groups of ``factor`` bins, NaN bins skipped, 0 if none is left.
 
-    Works inside each array row: no explode and no shuffle.  Bins beyond the last
-    full group are dropped.
+    Works inside each array row: no explode and no shuffle.  A short last group is the
+    mean of the bins it has.
     """
     keys = [c for c in spectrum.columns if c not in ("re", "im")]
     power = F.zip_with("re", "im", lambda a, b: a * a + b * b)
@@ -69,8 +74,8 @@ def downsample_power(spectrum: DataFrame, factor: int) -> DataFrame:
         total = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x)
         return F.when(F.size(part) > 0, total / F.size(part)).otherwise(0.0)
 
-    groups = F.sequence(F.lit(0), N.idiv(F.size("__p"), factor).cast("int") - 1)
-    return (spectrum.withColumn("__p", power).where(F.size("__p") >= factor)
+    groups = F.sequence(F.lit(0), N.idiv(F.size("__p") - 1, factor).cast("int"))
+    return (spectrum.withColumn("__p", power).where(F.size("__p") > 0)
             .select(*keys, F.transform(groups, mean).alias("power")))
 
 

@@ -149,8 +149,8 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
         elif spectra:
             series = whole_block(y if spectra == "block" else cube, slots, cfg)
             power = np.abs(np.fft.fft(series, axis=-1)) ** 2
-            bins = power.shape[-1] // factor
-            spec = power[..., :bins * factor].reshape(*power.shape[:-1], bins, factor).mean(axis=-1)
+            edges = np.arange(0, power.shape[-1], factor)     # a short last group is the mean of the bins it has
+            spec = np.add.reduceat(power, edges, axis=-1) / np.diff(edges, append=power.shape[-1])
         if not visibilities:
             vis = None
         y = whole_block(y, slots, cfg) if beams else None

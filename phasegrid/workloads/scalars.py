@@ -92,7 +92,7 @@ def index_arithmetic(spark, root):
         N.round_up_32("user_id").alias("padded"))
 
 
-@query("""SELECT vec_id, CAST(e AS INTEGER) AS e, CAST(greatest(least(round_even(CAST(v AS DOUBLE) * 300, 0), 127), -127)
+@query("""SELECT vec_id, CAST(e AS INTEGER) AS e, CAST(greatest(least(round_even(CAST(v AS DOUBLE) * 300, 0), 127), -128)
 AS INTEGER) AS q FROM (SELECT vec_id, unnest(range(64)) AS e, unnest(embedding) AS v FROM embeddings)""")
 def quantise(spark, root):
     d = tb.table(spark, root, "embeddings").select("vec_id", F.posexplode("embedding").alias("e", "v"))
@@ -149,7 +149,7 @@ def series_keys(spark, root):
                                                     F.size(names).cast("long").alias("names"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN left(repeat(k, 9), 37) || '…' ELSE k END AS kernel
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN repeat(k, 9) ELSE k END AS kernel
 FROM (SELECT p_partkey, lower(p_type) AS k FROM part)""")
 def kernel_names(spark, root):
     """Raw profiler names (namespaces, templates, arguments) reduced to the bare kernel."""

@@ -269,19 +269,17 @@ def packet_fft(spark, root):
     return d.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("re", "im")})
 
 
-@query(f"""WITH {SCALED}, s AS (SELECT block, channel, recv, pol, pkt * 16 + t AS n, re, im,
-max(pkt) OVER (PARTITION BY block, channel, recv, pol) AS last FROM x),
-full_blocks AS (SELECT * FROM s WHERE last = 7),
+@query(f"""WITH {SCALED}, s AS (SELECT block, channel, recv, pol, pkt * 16 + t AS n, re, im FROM x WHERE (block + pkt) % 5 <> 3),
 sp AS (SELECT block, channel, recv, pol, k,
   sum(re * cos(2 * pi() * ((k * n) % 128) / 128) + im * sin(2 * pi() * ((k * n) % 128) / 128)) AS re,
   sum(im * cos(2 * pi() * ((k * n) % 128) / 128) - re * sin(2 * pi() * ((k * n) % 128) / 128)) AS im
-  FROM full_blocks, (SELECT CAST(unnest(range(128)) AS INTEGER) AS k) GROUP BY ALL)
+  FROM s, (SELECT CAST(unnest(range(128)) AS INTEGER) AS k) GROUP BY ALL)
 SELECT block, channel, recv, pol, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM sp""")
 def block_fft(spark, root):
-    """128-point spectra of complete blocks."""
+    """128-point spectra of all blocks; packets that are missing count as zeros in their place."""
     series = spectra.split_frames(tb.embedding_frames(spark, root), CFG.pols, CFG.steps)
-    whole = spectra.block_series(series, ["block", "channel", "recv", "pol"])
-    whole = whole.where(F.size("re") == CFG.block_samples)
+    series = series.where((F.col("block") + F.col("pkt")) % 5 != 3)
+    whole = spectra.block_series(series, ["block", "channel", "recv", "pol"], CFG.packets, CFG.steps)
     d = spectra.bins(spectra.fft_rows(whole))
     return d.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("re", "im")})
 
@@ -397,21 +395,22 @@ def event_power(spark, root):
 FROM folded GROUP BY bin""")
 def phase_fold(spark, root):
     """All channels folded together; only positive powers count."""
-    return fold.fold(event_power(spark, root), [], 113, 16)
+    return fold.fold(event_power(spark, root), [], 113, 16).where("hits > 0")
 
 
 @query(f"WITH {EVENT_POWER} SELECT * FROM folded")
 def phase_fold_by_channel(spark, root):
-    return fold.fold(event_power(spark, root), ["channel"], 113, 16)
+    return fold.fold(event_power(spark, root), ["channel"], 113, 16).where("hits > 0")
 
 
-@query(f"""WITH {EVENT_POWER}, fine AS (
+@query(f"""WITH {EVENT_POWER}, quiet AS (SELECT * REPLACE (CASE WHEN channel = 2 THEN -1 ELSE power END AS power) FROM pw), fine AS (
 SELECT channel, CAST(((((sample - delay) % 113) + 113) % 113 * 256) // 113 AS INTEGER) AS bin, avg(power) AS profile
-FROM pw WHERE power > 0 GROUP BY ALL)
-SELECT c.channel, b.bin, round(coalesce(profile, 0), 6) AS profile FROM (SELECT DISTINCT channel FROM fine) c
+FROM quiet WHERE power > 0 GROUP BY ALL)
+SELECT c.channel, b.bin, round(coalesce(profile, 0), 6) AS profile FROM (SELECT DISTINCT channel FROM quiet) c
 CROSS JOIN (SELECT CAST(unnest(range(256)) AS INTEGER) AS bin) b
 LEFT JOIN fine f ON f.channel = c.channel AND f.bin = b.bin""")
 def fold_profile(spark, root):
-    """Normalised profile on the full bin axis; more bins than phases leaves some empty."""
-    d = fold.normalise_fold(fold.fold(event_power(spark, root), ["channel"], 113, 256), ["channel"], 256)
+    """Normalised profile on the full bin axis, one channel silent; more bins than phases leaves some empty."""
+    quiet = event_power(spark, root).withColumn("power", F.when(F.col("channel") == 2, F.lit(-1).cast("long")).otherwise(F.col("power")))
+    d = fold.normalise_fold(fold.fold(quiet, ["channel"], 113, 256), ["channel"], 256)
     return d.withColumn("profile", F.round("profile", 6))

@@ -68,7 +68,8 @@ def test_text_helpers(spark):
     assert rows[0].kv == {"a": 3.0, "b/s": 2.5, "d": 1000.0} and rows[1].kv == {}
     names = spark.createDataFrame([("void a::b::kern<int, 4>(float*, x<2>)",), ("plain",), ("q" * 50,)], "k string")
     got = [r[0] for r in names.select(text.clean_kernel_name("k")).collect()]
-    assert got == ["kern", "plain", "q" * 37 + "…"]
+    assert got == ["kern", "plain", "q" * 50]
+    assert names.select(text.short_label(text.clean_kernel_name("k"))).collect()[2][0] == "q" * 39 + "…"
     paths = spark.createDataFrame([("/a.b/run",), ("/a/run.h5",), ("x",)], "p string")
     assert [r[0] for r in paths.select(text.sidecar_name("p")).collect()] == [
         "/a.b/run.streams.csv", "/a/run.streams.csv", "x.streams.csv"]

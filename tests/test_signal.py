@@ -261,7 +261,7 @@ def test_tone_lands_in_its_bin(spark):
 def test_mean_power_skips_nan(spark):
     x = np.array([[1, 2, np.nan, 3, np.nan, np.nan, 4, 4j, 9]], dtype=complex)
     d = series(spark, x, id=1.0)
-    assert [round(v, 6) for v in spectra.downsample_power(d, 2).first().power] == [2.5, 9.0, 0.0, 16.0]
+    assert [round(v, 6) for v in spectra.downsample_power(d, 2).first().power] == [2.5, 9.0, 0.0, 16.0, 81.0]
     long = spectra.bins(d)
     rows = spectra.downsample_power_long(long, ["id"], 2).orderBy("bin").collect()
     assert [round(r.power, 6) for r in rows] == [2.5, 9.0, 0.0, 16.0, 81.0]
@@ -310,7 +310,7 @@ def test_fold_bins_and_profile(spark):
     d = spark.createDataFrame([(0, 0, 5), (9, 0, 7), (10, 0, 3), (3, 5, 11), (4, 0, 0), (5, 0, -2)],
                               "sample long, delay long, power long")
     rows = {r.bin: (r.total, r.hits) for r in fold.fold(d, [], 10, 5).collect()}
-    assert rows == {0: (8, 2), 4: (18, 2)}
+    assert rows == {0: (8, 2), 2: (0, 0), 4: (18, 2)}
     profile = fold.normalise_fold(fold.fold(d, [], 10, 5).withColumn("g", F.lit(1)), ["g"], 5).orderBy("bin").collect()
     assert [r.profile for r in profile] == [4.0, 0.0, 0.0, 0.0, 9.0]
     # a fractional period agrees with the definition
@@ -319,7 +319,11 @@ def test_fold_bins_and_profile(spark):
     for n, dl, p in [(0, 0, 5), (9, 0, 7), (10, 0, 3), (3, 5, 11)]:
         b = int(((n - dl) / 7.5 % 1.0) * 4)
         want[b] = want.get(b, 0) + p
-    assert {r.bin: r.total for r in frac} == want
+    assert {r.bin: r.total for r in frac if r.hits} == want
+    # a silent key keeps its row of zeros
+    quiet = d.withColumn("g", F.lit(1)).unionByName(d.withColumn("g", F.lit(2)).withColumn("power", F.lit(-1).cast("long")))
+    got = fold.normalise_fold(fold.fold(quiet, ["g"], 10, 5), ["g"], 5).where("g = 2").collect()
+    assert len(got) == 5 and {r.profile for r in got} == {0.0}
 
 
 def test_pulsar_job(spark):
