@@ -4,9 +4,11 @@ Words become 64-bit symbols.  A round first replaces runs of one symbol, then jo
 neighbours of which the first is coloured left and the second right.  New names and
 colours are hashes of what they stand for, so they are the same in every task and
 document.  A symbol keeps the words on which its making depends; where those lie inside
-a repeated passage, the symbol is in every copy of it.  A window's anchor is the first
-symbol of the highest round that depends on nothing outside the window, so windows
-with equal words have equal anchors, and shared symbols reveal and verify repeats.
+a repeated passage, the symbol is in every copy of it.  A window's anchor is the symbol
+of least name among those of the highest round that depend on nothing outside the
+window, so windows with equal words have equal anchors, and shared symbols reveal and
+verify repeats.  (A symbol is coloured by its own name, so no pair has twice the same
+symbol, and runs need not be named in every round; naming them widens dependences.)
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from phasegrid.llm import windows as win
 from phasegrid.llm.common import F, binary_buffer, bounded_slices, materialize, mix64, text_sizes
 
 LENGTH = 50
-ROUNDS = 6
+ROUNDS = 5
+RUN_EVERY = 3           # rounds in which runs are named
+FEW = 4                 # symbols of fewer words are anchors only where a window has no other
 CHUNK_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -97,6 +101,34 @@ class Level:
         return Level(name, self.at[keep], new_lo, new_hi, np.where(pair, self.last[mate], self.last[keep]))
 
 
+def _preference(level: Level, n: int, height: int) -> np.ndarray:
+    """Order in which symbols are taken for anchors: those of several words first, then by name."""
+    words = np.diff(level.at, append=n)
+    return (level.name >> np.uint64(1)) | (((words < FEW) & (height > 0)).astype(np.uint64) << np.uint64(63))
+
+
+def _least(value: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Place of the least value in each range ``start <= i < stop``, the leftmost of equals.
+
+    Least places of all ranges of 1, 2, 4, ... are made once; a range is two of these.
+    """
+    size = stop - start
+    best = np.arange(len(value))
+    out = np.empty(len(start), np.int64)
+    width = 1
+    while len(start):
+        mine = np.flatnonzero((size >= width) & (size < 2 * width))
+        if len(mine):
+            a, b = best[start[mine]], best[stop[mine] - width]
+            out[mine] = np.where(value[b] < value[a], b, a)
+        if width * 2 > size.max(initial=0):
+            break
+        a, b = best[:len(best) - width], best[width:]
+        best = np.where(value[b] < value[a], b, a)
+        width *= 2
+    return out
+
+
 def anchors_of(symbols: np.ndarray, docs: np.ndarray, length: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Anchors of the texts laid out in ``symbols``: text, first window, lead, span, name, context digest.
 
@@ -113,7 +145,7 @@ def anchors_of(symbols: np.ndarray, docs: np.ndarray, length: int, rounds: int =
     level = Level(symbols, at, at, at + 1, last)
     levels = [level]
     for turn in range(rounds):
-        level = level.runs().pairs(turn)
+        level = (level.runs() if turn % RUN_EVERY == 0 else level).pairs(turn)
         levels.append(level)
     count = sizes[some] - length + 1
     first = docs[some]
@@ -123,15 +155,15 @@ def anchors_of(symbols: np.ndarray, docs: np.ndarray, length: int, rounds: int =
     open_ = np.arange(len(window))
     for height in range(rounds, -1, -1):
         level = levels[height]
-        # Dependences grow along the text, so the first symbol that starts late enough is the one to try.
-        low = np.maximum.accumulate(level.lo)
-        which = np.searchsorted(low, window[open_])
-        fits = which < len(low)
-        which = np.minimum(which, len(low) - 1)
-        fits &= (level.lo[which] >= window[open_]) & (level.hi[which] <= window[open_] + length)
+        # Dependences grow along the text, so the symbols inside a window are neighbours.
+        low, high = np.maximum.accumulate(level.lo), np.minimum.accumulate(level.hi[::-1])[::-1]
+        from_ = np.searchsorted(low, window[open_])
+        to = np.searchsorted(high, window[open_] + length, side="right")
+        fits = from_ < to
+        which = _least(_preference(level, n, height), from_[fits], to[fits])
         got = open_[fits]
-        anchor[got] = level.at[which[fits]]
-        name[got] = mix64(level.name[which[fits]] ^ np.uint64(height + 1))
+        anchor[got] = level.at[which]
+        name[got] = mix64(level.name[which] ^ np.uint64(height + 1))
         open_ = open_[~fits]
         if not len(open_):
             break
@@ -158,10 +190,9 @@ def anchor_frame(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, win.ANCHORS)
 
 
-def verify(rows: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
+def verify(rows: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """Windows of contexts whose name has several: name, ctx, at, digest.  One representative text a context."""
-    wanted = mixed.select("name", "ctx", F.col("rep.doc").alias("doc"), F.col("rep.twin").alias("twin"), F.col("rep.place").alias("place"))
-    by_doc = wanted.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "ctx", "place")).alias("wanted"))
+    by_doc = win.wanted_places(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +213,7 @@ def verify(rows: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
                     [flat.field("name").take(take), flat.field("ctx").take(take), pa.array(inner.astype(np.int32)),
                      pa.array(digest[np.repeat(docs[row] + begin, count) + inner].view(np.int64))], ["name", "ctx", "at", "digest"])
 
-    return rows.join(by_doc, ["doc", "twin"]).select("text", "wanted").mapInArrow(run, "name long, ctx long, at int, digest long")
+    return win.attach(rows, by_doc, keep_all=False).select("text", "wanted").mapInArrow(run, "name long, ctx long, at int, digest long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,19 +228,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("window length out of range")
     rows = win.keyed(docs, id_col, text_col)
     hits = win.shared_anchors(anchor_frame(rows, length), across_docs=True)
-    classes = win.classes_of(hits, F.lit(True))
-    mixed = classes.where("n_ctx > 1")
-    spots = verify(rows, mixed, length).join(mixed.select("name", "ctx", "low"), ["name", "ctx"])
+    mixed = hits.where("not single")
+    classes = win.classes_of(mixed)
+    spots = verify(rows, classes, length).join(classes.select("name", "ctx", "low"), ["name", "ctx"])
     spots = materialize(spots, "recompression-windows")
     least = spots.groupBy("name", "digest").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most")
     # Windows of a context with the least document that has them, where that is not the context's own least.
     better = (spots.join(least, ["name", "digest"]).where("least < low").groupBy("name", "ctx")
               .agg(F.collect_list(F.struct("at", "least")).alias("better")))
     marks = classes.select("name", "ctx", "low").join(better, ["name", "ctx"], "left")
-    cover = hits.join(marks, ["name", "ctx"]).where("low < doc or better is not null")
-    cover = cover.select("doc", "twin", "place", (F.col("low") < F.col("doc")).alias("whole"),
-                         F.when(F.col("low") >= F.col("doc"), F.transform(F.filter("better", lambda b: b["least"] < F.col("doc")), lambda b: b["at"])).alias("ats"))
-    by_doc = cover.where("whole or size(ats) > 0").groupBy("doc", "twin").agg(F.collect_list(F.struct("place", "ats")).alias("marks"))
+    cover = mixed.drop("low").join(marks, ["name", "ctx"]).where("low < doc or better is not null")
+    ats = F.when(F.col("low") >= F.col("doc"), F.transform(F.filter("better", lambda b: b["least"] < F.col("doc")), lambda b: b["at"]))
+    cover = cover.select("doc", "twin", "place", ats.alias("ats")).where("ats is null or size(ats) > 0")
+    # A name whose contexts are all equal: all windows go but in its least document.
+    plain = hits.where("single and low < doc").select("doc", "twin", "place", F.lit(None).cast("array<int>").alias("ats"))
+    by_doc = cover.unionByName(plain).groupBy("doc", "twin").agg(F.collect_list(F.struct("place", "ats")).alias("marks"))
+    by_doc = materialize(by_doc, "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                      pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), batch.column("twin").slice(lo, hi - lo)],
                     ["doc", "kept", "n_words", "n_removed", "removed", "twin"])
 
-    out = rows.join(by_doc, ["doc", "twin"], "left").select("doc", "twin", "text", "marks").mapInArrow(
+    out = win.attach(rows, by_doc, keep_all=True).select("doc", "twin", "text", "marks").mapInArrow(
         run, "doc long, kept string, n_words long, n_removed long, removed array<array<long>>, twin int")
     return out.select(F.when(F.col("doc") != win.NO_ID, F.col("doc")).alias("doc_id"), "kept", "n_words", "n_removed", "removed", "twin")
 

@@ -212,11 +212,10 @@ def settle(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def mark_repeats(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """Marks of contexts with repeated windows: name, ctx, mask (null: all windows)."""
-    classes = win.classes_of(hits, F.col("n") > 1)
-    mixed = classes.where("n_ctx > 1")
-    wanted = mixed.select("name", "ctx", "n_ctx", F.col("rep.doc").alias("doc"), F.col("rep.twin").alias("twin"), F.col("rep.place").alias("place"))
-    by_doc = wanted.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "ctx", "n_ctx", "place")).alias("wanted"))
+    """Places with repeated windows: doc, twin, place, mask and ats (both null: all windows)."""
+    mixed = hits.where("not single")
+    classes = win.classes_of(mixed)
+    by_doc = win.wanted_places(classes, "n_ctx")
     k = length // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,18 +237,21 @@ def mark_repeats(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
                                                  ["name", "salt", "salts", "ctx", "lead", "span", "before", "after"])
 
     # One text may hold the representatives of many contexts; a document is read once for all of them.
-    pieces = rows.join(by_doc, ["doc", "twin"]).select("text", "wanted").mapInArrow(
+    pieces = win.attach(rows, by_doc, keep_all=False).select("text", "wanted").mapInArrow(
         cut, "name long, salt int, salts int, ctx long, lead int, span int, before binary, after binary")
     solved = materialize(settle(pieces, length), "suffix-blocks")
     # Windows that repeat between blocks of one name.
     far = solved.where("digests is not null").select("name", "ctx", F.posexplode("digests").alias("at", "digest"))
     twice = far.groupBy("name", "digest").agg(F.count("*").alias("n")).where("n > 1").select("name", "digest")
     more = far.join(twice, ["name", "digest"]).groupBy("name", "ctx").agg(F.collect_list("at").alias("ats"))
-    whole = classes.where("whole").select("name", "ctx", F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<int>").alias("ats"))
+    ats = F.lit(None).cast("array<int>").alias("ats")
+    whole = classes.where("n > 1").select("name", "ctx", F.lit(None).cast("binary").alias("mask"), ats)
     part = (solved.select("name", "ctx", "mask").join(more, ["name", "ctx"], "left")
             .where("mask is not null or ats is not null")
-            .join(classes.where("not whole").select("name", "ctx"), ["name", "ctx"]))
-    return whole.unionByName(part)
+            .join(classes.where("n = 1").select("name", "ctx"), ["name", "ctx"]))
+    found = mixed.join(whole.unionByName(part), ["name", "ctx"]).select("doc", "twin", "place", "mask", "ats")
+    # A name whose contexts are all equal: every window repeats.
+    return found.unionByName(hits.where("single").select("doc", "twin", "place", F.lit(None).cast("binary").alias("mask"), ats))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,9 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("window length out of range")
     rows = win.keyed(docs, id_col, text_col)
     hits = win.shared_anchors(anchor_frame(rows, length), across_docs=False)
-    marks = mark_repeats(rows, hits, length)
-    cover = hits.join(marks, ["name", "ctx"]).select("doc", "twin", "place", "mask", "ats")
-    by_doc = cover.groupBy("doc", "twin").agg(F.collect_list(F.struct("place", "mask", "ats")).alias("marks"))
+    cover = mark_repeats(rows, hits, length)
+    by_doc = materialize(cover.groupBy("doc", "twin").agg(F.collect_list(F.struct("place", "mask", "ats")).alias("marks")), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     [batch.column("doc").slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                      pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["doc", "kept", "spans", "n_bytes", "n_removed"])
 
-    out = rows.join(by_doc, ["doc", "twin"], "left").select("doc", "text", "marks").mapInArrow(
+    out = win.attach(rows, by_doc, keep_all=True).select("doc", "text", "marks").mapInArrow(
         run, "doc long, kept binary, spans array<array<long>>, n_bytes long, n_removed long")
     return out.select(F.when(F.col("doc") != win.NO_ID, F.col("doc")).alias("doc_id"), "kept", "spans", "n_bytes", "n_removed")
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from phasegrid.llm.common import F, column, materialize, mix64
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = -(1 << 63)      # stands for a null id
+SMALL_ROWS = 1_000_000  # id lists up to this length are broadcast
 MAX_LENGTH = 4095       # lead and span share a long with the start
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -87,30 +88,46 @@ ANCHORS = "name long, ctx long, doc long, twin int, place long"
 def shared_anchors(anchors: DataFrame, across_docs: bool) -> DataFrame:
     """Anchors whose name occurs more than once (``across_docs``: in more than one document).
 
-    Counts are combined before they move; a frequent name is one row a task.
+    Adds ``low``, the least document of the name, and ``single``: all its contexts are
+    equal.  Names are summed up before they move; a frequent name is one row a task.
     """
-    if across_docs:
-        names = anchors.groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("name")
-    else:
-        names = anchors.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    names = anchors.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"),
+                                        F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
+    names = names.where("low < high" if across_docs else "n > 1").select("name", "low", (F.col("c0") == F.col("c1")).alias("single"))
     return materialize(anchors.join(names, "name"), "shared-anchors")
 
 
-def classes_of(hits: DataFrame, first: Column) -> DataFrame:
-    """One row a context: n, ``low`` (least doc), a representative, and how many contexts its name has."""
-    classes = hits.groupBy("name", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("low"),
-                                              F.min(F.struct("doc", "twin", "place")).alias("rep"))
+def classes_of(mixed: DataFrame) -> DataFrame:
+    """One row a context of names that have several: n, ``low`` (least doc), a representative, contexts of the name."""
+    classes = mixed.groupBy("name", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("low"),
+                                               F.min(F.struct("doc", "twin", "place")).alias("rep"))
     sizes = classes.groupBy("name").agg(F.count("*").alias("n_ctx"))
-    return materialize(classes.join(sizes, "name").select("name", "ctx", "n", "low", "rep", "n_ctx", first.alias("whole")), "window-classes")
+    return materialize(classes.join(sizes, "name"), "window-classes")
 
 
-def marks_by_doc(hits: DataFrame, marks: DataFrame) -> DataFrame:
-    """Places of each document whose context has a mark: doc, twin, list of (place, mask).
+def wanted_places(classes: DataFrame, *columns: str) -> DataFrame:
+    """Representatives by document: doc, twin, ``wanted`` (list, bounded by the text)."""
+    flat = classes.select("name", "ctx", *columns, F.col("rep.doc").alias("doc"), F.col("rep.twin").alias("twin"), F.col("rep.place").alias("place"))
+    return materialize(flat.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "ctx", *columns, "place")).alias("wanted")), "wanted-places")
 
-    The list of a document is bounded by its length.
+
+def attach(rows: DataFrame, lists: DataFrame, keep_all: bool) -> DataFrame:
+    """Texts with their list; with ``keep_all`` also those without.
+
+    Texts without a list stay where they are if the ids of those with one are few enough
+    to be broadcast; otherwise all texts move.  The rows are the same either way.
     """
-    cover = hits.join(marks, ["name", "ctx"]).select("doc", "twin", "place", "mask")
-    return cover.groupBy("doc", "twin").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+    ids = lists.select("doc", "twin")
+    if ids.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        return rows.join(lists, ["doc", "twin"], "left" if keep_all else "inner")
+    some = rows.join(F.broadcast(ids), ["doc", "twin"], "left_semi").join(lists, ["doc", "twin"])
+    if not keep_all:
+        return some
+    rest = rows.join(F.broadcast(ids), ["doc", "twin"], "left_anti")
+    for field in lists.schema.fields:
+        if field.name not in ("doc", "twin"):
+            rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return some.unionByName(rest)
 
 
 def covered_units(places: np.ndarray, masks: list[bytes | None], length: int, n_units: int) -> np.ndarray:
