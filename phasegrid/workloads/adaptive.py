@@ -10,6 +10,7 @@ from phasegrid.operators import adaptive as op
 from phasegrid.plans import jobs
 from phasegrid.plans.blocks import Calibration
 from phasegrid.sources import tables as tb
+from phasegrid.workloads import eigen_sql as E
 from phasegrid.workloads import query
 from phasegrid.workloads.bindings import SAMPLES, SCALED, VIS
 from phasegrid.workloads.signal import CFG, WEIGHTS, packed, visibilities
@@ -78,11 +79,18 @@ def eigen_invariants(spark, root):
                     F.round(F.sqrt(fold(lambda x: x * x)), 3).alias("eigen_norm"))
 
 
-@query()
+MATRIX_KEYS = "block, channel, p, q"
+EIGEN = f"WITH RECURSIVE {VIS}, {E.matrices('vis', MATRIX_KEYS)}, {E.modes('mat', MATRIX_KEYS, 8)}"
+WHITE = f"""WITH RECURSIVE {VIS}, {E.matrices('vis', MATRIX_KEYS, where='p = q')}, {E.whitened()},
+{E.modes('wm', 'block, channel, pol', 8)}"""
+
+
+@query(f"{EIGEN} SELECT {MATRIX_KEYS}, CAST(7 - mode AS INTEGER) AS mode, round(lam, 3) + 0.0 AS eigval FROM modes")
 def eigen_decomposition(spark, root):
     """Ascending eigenvalues of every polarization pair."""
     d = op.eigen(packed(spark, root), CFG)
-    return d.select("block", "channel", "p", "q", F.posexplode("eigvals").alias("mode", "eigval"))
+    d = d.select("block", "channel", "p", "q", F.posexplode("eigvals").alias("mode", "eigval"))
+    return d.withColumn("eigval", F.round("eigval", 3) + F.lit(0.0))
 
 
 @query(f"""WITH {VIS}, d AS (SELECT block, channel, p, i, greatest(re, 1e-10) AS d FROM vis WHERE i = j AND p = q)
@@ -105,12 +113,27 @@ def null_projection_trace(spark, root):
     return d.select("block", "channel", "pol", "k", F.round(trace, 6).alias("trace"))
 
 
-@query()
+def _cells(d):
+    d = d.select("block", "channel", "pol", "k", F.posexplode(F.arrays_zip("proj_re", "proj_im")).alias("cell", "v"))
+    return d.select("block", "channel", "pol", "k", "cell", F.round(F.col("v.proj_re"), 6) + F.lit(0.0), F.round(F.col("v.proj_im"), 6) + F.lit(0.0)) \
+        .toDF("block", "channel", "pol", "k", "cell", "re", "im")
+
+
+NULLED = E.projection("SELECT *, 1 AS factor FROM um WHERE mode <= channel")
+
+
+@query(f"""{WHITE}, {E.unwhitened()}, {NULLED} SELECT block, channel, pol, 1 + channel AS k, c AS cell, round(re, 6) + 0.0 AS re,
+round(im, 6) + 0.0 AS im FROM proj""")
+def null_projection(spark, root):
+    """Projection matrices without the strongest modes (their number differs by channel), vectors un-whitened."""
+    return _cells(op.mitigate(packed(spark, root).withColumn("k", F.col("channel") + 1), CFG, mode="null"))
+
+
+@query(f"""{WHITE}, {E.detected(0.8416)}, {E.projection(E.SHRINK)} SELECT block, channel, pol, CAST(k AS INTEGER) AS k, c AS cell,
+round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM proj JOIN det USING (block, channel, pol)""")
 def shrink_projection(spark, root):
     """Projection matrices that shrink detected modes to the noise floor."""
-    d = op.mitigate(packed(spark, root), CFG, delta=0.8416, mode="shrink")
-    return d.select("block", "channel", "pol", "k", F.posexplode(F.arrays_zip("proj_re", "proj_im")).alias("cell", "v")) \
-        .select("block", "channel", "pol", "k", "cell", F.col("v.proj_re").alias("re"), F.col("v.proj_im").alias("im"))
+    return _cells(op.mitigate(packed(spark, root), CFG, delta=0.8416, mode="shrink"))
 
 
 def weight_arrays(spark, root):
@@ -136,23 +159,50 @@ def identity_projection(spark, root):
     return d.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("re", "im")})
 
 
-@query()
+ONE_OUT = E.projection("SELECT *, 1 AS factor FROM um WHERE mode = 0")
+
+
+@query(f"""{WHITE}, {E.unwhitened()}, {ONE_OUT}, {WEIGHTS.split(SCALED + ",")[1]}
+SELECT block, p.channel, p.pol, w.beam, CAST(c % 8 AS INTEGER) AS recv, round(sum(wr * re - wi * im), 6) + 0.0 AS re,
+round(sum(wr * im + wi * re), 6) + 0.0 AS im FROM proj p JOIN wts w ON w.channel = p.channel AND w.pol = p.pol AND w.recv = c // 8
+GROUP BY block, p.channel, p.pol, w.beam, c % 8""")
 def adapted_weights(spark, root):
     """Weights after nulling the strongest mode."""
     proj = op.mitigate(packed(spark, root), CFG, mode="null")
-    return _weight_rows(op.project_weights(proj, weight_arrays(spark, root), 8))
+    d = _weight_rows(op.project_weights(proj, weight_arrays(spark, root), 8))
+    return d.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("re", "im")})
 
 
-@query()
+@query(f"""{EIGEN} SELECT {MATRIX_KEYS}, CAST(mode AS INTEGER) AS rank, round(lam, 3) + 0.0 AS eigval, r AS recv, round(pr[9 * r + 1], 6) + 0.0 AS power
+FROM modes, (SELECT CAST(unnest(range(8)) AS INTEGER) AS r) WHERE mode < 3""")
 def top_eigenvectors(spark, root):
+    """The three largest modes; of their vectors the power by receiver, which has no phase."""
     d = op.top_vectors(op.eigen(packed(spark, root), CFG), 8, 3)
-    return d.select("block", "channel", "p", "q", "rank", "eigval", "u_re", "u_im")
+    power = F.zip_with("u_re", "u_im", lambda a, b: a * a + b * b)
+    d = d.select("block", "channel", "p", "q", "rank", F.round("eigval", 3).alias("eigval"), F.posexplode(power).alias("recv", "power"))
+    return d.withColumns({"power": F.round("power", 6) + F.lit(0.0), "eigval": F.col("eigval") + F.lit(0.0)})
 
 
-@query()
+@query(f"""{EIGEN} SELECT a.block, a.p, a.q, a.channel, round(sqrt(greatest({E.both('a.pr', 'a.pi', 'b.pr', 'b.pi')}, 0)), 5) + 0.0 AS similarity
+FROM modes a JOIN modes b ON b.block = a.block AND b.p = a.p AND b.q = a.q AND b.channel = a.channel + 1
+WHERE a.mode = 0 AND b.mode = 0 AND a.p = a.q""")
 def eigenvector_similarity(spark, root):
+    """|u^H v| of the dominant vectors of neighbouring channels."""
     d = op.dominant_vector(op.eigen(packed(spark, root), CFG, cross=False), 8)
-    return op.vector_similarity(d, ["block", "p", "q"])
+    return op.vector_similarity(d, ["block", "p", "q"]).withColumn("similarity", F.round("similarity", 5) + F.lit(0.0))
+
+
+MEAN_TOP = f"""mean_long AS (SELECT block // 4 AS win, channel, p, q, c, sum(pr[c + 1]) / count(DISTINCT block) AS re, sum(pi[c + 1]) / count(DISTINCT block) AS im
+  FROM modes, (SELECT unnest({E.CELLS}) AS c) WHERE mode < 3 GROUP BY ALL),
+mean_mat AS (SELECT win, channel, p, q, list(re ORDER BY c) AS re, list(im ORDER BY c) AS im FROM mean_long GROUP BY ALL),
+{E.modes('mean_mat', 'win, channel, p, q', 3, 'mean_modes')}"""
+
+
+@query(f"""{EIGEN}, {MEAN_TOP} SELECT win AS "window", channel, p, q, CAST(mode AS INTEGER) AS rank, round(lam, 6) + 0.0 AS eigval FROM mean_modes""")
+def mean_projection(spark, root):
+    """Largest eigenvalues of the projection averaged over four blocks."""
+    d = op.top_vectors(op.mean_projection(op.eigen(packed(spark, root), CFG), 8, 3, 4), 8, 3)
+    return d.select("window", "channel", "p", "q", "rank", (F.round("eigval", 6) + F.lit(0.0)).alias("eigval"))
 
 
 @query(f"""WITH {SAMPLES} SELECT DISTINCT block // 4 AS "window", channel, p.p, q.q, CAST(3 AS DOUBLE) AS rank_sum
@@ -212,15 +262,26 @@ def adaptive_original_spectra(spark, root):
     return d.where(F.col("beam") < 2).withColumn("value", F.round("value", 4))
 
 
-@query()
+@query(f"""{WHITE}, {E.detected(0.8416)}, {E.projection(E.SHRINK)}, {WEIGHTS.split(SCALED + ",")[1].replace("beams AS", "plain AS")},
+pw AS (SELECT p.block, p.channel, p.pol, w.beam, CAST(c % 8 AS INTEGER) AS recv, sum(wr * re - wi * im) AS ar, sum(wr * im + wi * re) AS ai
+  FROM proj p JOIN wts w ON w.channel = p.channel AND w.pol = p.pol AND w.recv = c // 8 GROUP BY p.block, p.channel, p.pol, w.beam, c % 8),
+y AS (SELECT x.block, x.channel, x.pol, pw.beam, x.pkt, x.t, sum(ar * re - ai * im) AS re, sum(ar * im + ai * re) AS im
+  FROM x JOIN pw ON pw.block = x.block AND pw.channel = x.channel AND pw.pol = x.pol AND pw.recv = x.recv GROUP BY ALL),
+spec AS (SELECT block, channel, pol, beam, pkt, k,
+  sum(re * cos(2 * pi() * ((k * t) % 16) / 16) + im * sin(2 * pi() * ((k * t) % 16) / 16)) AS re,
+  sum(im * cos(2 * pi() * ((k * t) % 16) / 16) - re * sin(2 * pi() * ((k * t) % 16) / 16)) AS im
+  FROM y, (SELECT CAST(unnest(range(16)) AS INTEGER) AS k) GROUP BY ALL)
+SELECT block, channel, pol, CAST(beam + 2 AS INTEGER) AS beam, CAST((k + 8) % 16 - 2 AS INTEGER) AS bin,
+round(sum(sqrt(re * re + im * im)), 3) AS value FROM spec WHERE (k + 8) % 16 BETWEEN 2 AND 13 GROUP BY ALL""")
 def adaptive_mitigated_spectra(spark, root):
     """Spectra of the projected beams (shrink mode, detected modes)."""
     d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), mode="shrink", delta=0.8416,
                               trim=2)["spectra"]
-    return d.where(F.col("beam") >= 2)
+    return d.where(F.col("beam") >= 2).withColumn("value", F.round("value", 3))
 
 
-@query()
+@query(f"""{WHITE}, {E.detected(0.8416)} SELECT channel, pol, CAST(min(k) AS INTEGER) AS min_k, CAST(max(k) AS INTEGER) AS max_k,
+median(k) AS median_k, avg(k) AS mean_k FROM det GROUP BY ALL""")
 def adaptive_mode_statistics(spark, root):
     return jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), delta=0.8416,
                                  trim=2)["statistics"]
@@ -250,9 +311,14 @@ def beamformed_bandpass(spark, root):
     return d.withColumn("value", F.round("value", 2))
 
 
-@query()
+@query(f"""{EIGEN}, {MEAN_TOP} SELECT win AS "window", channel, p, q, CAST(mode AS INTEGER) AS rank, round(lam, 6) + 0.0 AS eigval, r AS recv,
+round(pr[9 * r + 1], 5) + 0.0 AS power FROM mean_modes, (SELECT CAST(unnest(range(8)) AS INTEGER) AS r)""")
 def projection_matrix(spark, root):
-    return jobs.projection_matrix(tb.embedding_packets(spark, root), CFG, Calibration())
+    """The job from packets on: eigenvalues of the averaged projections and their vectors' power by receiver."""
+    d = jobs.projection_matrix(tb.embedding_packets(spark, root), CFG, Calibration())
+    power = F.zip_with("u_re", "u_im", lambda a, b: a * a + b * b)
+    d = d.select("window", "channel", "p", "q", "rank", F.round("eigval", 6).alias("eigval"), F.posexplode(power).alias("recv", "power"))
+    return d.withColumns({"power": F.round("power", 5) + F.lit(0.0), "eigval": F.col("eigval") + F.lit(0.0)})
 
 
 @query(f"""WITH {WEIGHTS}, f AS (SELECT channel, pol, beam,
