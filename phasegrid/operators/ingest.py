@@ -10,11 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from phasegrid import scale
 from phasegrid.config import ArrayConfig
 from phasegrid.functions.numeric import floor_div
+from phasegrid.session import materialize
 
 
 def _lookup(values: dict[int, int], key: Column) -> Column:
@@ -106,12 +107,18 @@ def assemble_payloads(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
     Rows then move once: they are dealt by block and channel, which is also how the next
     step groups them and which keeps all copies of a slot together.
     """
-    members = _members(packets, cfg, ["payload"])
+    members = _members(usable_payloads(packets, cfg)[0], cfg, ["payload"])
     folded = last_of_task(members)
     dealt = folded.repartition("block", "channel")
     return last_wins(dealt, SLOT, ["payload"]).select(*SLOT, "payload")
 
 
+def usable_payloads(packets: DataFrame, cfg: ArrayConfig) -> tuple[DataFrame, DataFrame]:
+    """Packets whose payload holds all scales and samples, and the truncated ones, which jobs skip."""
+    whole = F.coalesce(F.length("payload") >= cfg.scale_bytes + cfg.sample_bytes, F.lit(False))
+    return packets.where(whole), packets.where(~whole)
+
+
 def last_of_task(members: DataFrame) -> DataFrame:
     """Members without those that a later arrival of the same input batch replaces."""
     def run(batches):
@@ -147,9 +154,25 @@ def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFram
             .withColumn("end_seq", first + (cfg.packets - 1) * cfg.step))
 
 
-def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = ()) -> DataFrame:
+#: Blocks without any packet that are listed one by one; a longer gap is an outage and is left out.
+HORIZON = 1 << 16
+
+
+def block_axis(occupied: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Blocks from the first to the last of ``occupied`` (distinct ``block``), without gaps above ``horizon``.
+
+    One wrong counter far away therefore adds its own block and not all blocks up to it.
+    """
+    d = scale.ordered_prev(occupied.withColumn("__all", F.lit(0)), ["__all"], "block", "block", "__prev")
+    near = F.col("block") - F.col("__prev") <= horizon
+    return d.select(F.explode(F.sequence(F.when(near, F.col("__prev") + 1).otherwise(F.col("block")), F.col("block"))).alias("block"))
+
+
+def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = (), horizon: int = HORIZON) -> DataFrame:
     """Every (block, channel, source) between the first and the last block with what arrived.
 
+    Gaps of more than ``horizon`` blocks are outages: their blocks are not listed.
+
     ``have`` maps packet numbers to ``values``; it is bounded by N+2 entries and null
     for a cell without packets.  A block that only holds halo packets of its
     neighbour does not extend the range.  Folding the packets first leaves one row
@@ -159,9 +182,8 @@ def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = ())
     own = F.bool_or(F.col("pkt").between(0, cfg.packets - 1))
     cells = arrived.groupBy("block", "channel", "source").agg(
         F.map_from_entries(F.collect_list(entry)).alias("have"), own.alias("own"))
-    span = cells.where("own").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
     axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
-    grid = (scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
+    grid = (block_axis(cells.where("own").select("block").distinct(), horizon)
             .select("block", F.explode(axis(cfg.channels)).alias("channel"))
             .select("block", "channel", F.explode(axis(cfg.fpgas)).alias("source")))
     return grid.join(cells.drop("own"), ["block", "channel", "source"], "left")
@@ -197,15 +219,14 @@ def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> D
         *[F.coalesce(F.col(f"cell.{v}"), F.lit(0)).alias(v) for v in values])
 
 
-def missing_by_integration(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
+def missing_by_integration(arrived: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> DataFrame:
     """Missing and expected packets and the percentage of every integration.
 
-    Blocks without any packet count in full.  Only packet numbers are read.
+    Blocks without any packet count in full, but for outages (see :func:`block_axis`).  Only packet numbers are read.
     """
     have = (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
             .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
-    span = have.agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    blocks = scale.explode_range(span, F.col("lo"), F.col("hi"), "block").select("block")
+    blocks = block_axis(have.select("block"), horizon)
     per = blocks.join(have, "block", "left").groupBy(floor_div("block", cfg.accumulate).alias("integration")).agg(
         (F.count(F.lit(1)) * cfg.packets_per_block).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("have"))
     missing = F.col("total") - F.col("have")
@@ -224,16 +245,27 @@ def counters(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
         F.count_if(old).alias("discarded_old"), F.count_if(F.col("ok") & ~old).alias("processed"))
 
 
+def numbered_arrivals(packets: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Packets whose arrival is an integer: another type, such as (time, file, position), is replaced by its order.
+
+    The numbers ascend with the arrivals and are unique, but not dense.
+    """
+    if isinstance(packets.schema[arrival].dataType, T.IntegralType):
+        return packets
+    ordered = packets.repartitionByRange(arrival).sortWithinPartitions(arrival)
+    return materialize(ordered.withColumn(arrival, F.monotonically_increasing_id()), "numbered-arrivals")
+
+
 def watermarks(packets: DataFrame, keys: list[str], seq: str = "sample_count",
                arrival: str = "arrival", width: int = scale.RANGE) -> DataFrame:
     """Highest counter seen so far by key, in arrival order."""
-    return scale.ordered_prefix(packets, keys, arrival, seq, "max", "watermark", True, width)
+    return scale.ordered_prefix(numbered_arrivals(packets, arrival), keys, arrival, seq, "max", "watermark", True, width)
 
 
 def sequence_gaps(packets: DataFrame, keys: list[str], step: int, seq: str = "sample_count",
                   arrival: str = "arrival", width: int = scale.RANGE) -> DataFrame:
     """Packets whose counter is not one step after the previous arrival of the key."""
-    d = scale.ordered_prev(packets, keys, arrival, seq, "previous", width)
+    d = scale.ordered_prev(numbered_arrivals(packets, arrival), keys, arrival, seq, "previous", width)
     return (d.withColumn("gap", F.col(seq) - F.col("previous"))
             .where(F.col("gap").isNotNull() & (F.col("gap") != step)))
 

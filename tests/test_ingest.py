@@ -132,6 +132,37 @@ def test_payloads_move_once(spark):
     assert plan.count("FlatMapGroupsInPandas") >= 1
 
 
+def test_truncated_payloads_are_set_aside(spark):
+    rows = full_block(SMALL, 400, 1 + 1j)
+    d = packets(spark, rows)
+    short = d.withColumn("payload", F.substring("payload", F.lit(1), F.length("payload") - 1))
+    none = d.withColumn("payload", F.lit(None).cast("binary"))
+    both = d.unionByName(short).unionByName(none)
+    good, bad = ingest.usable_payloads(both, SMALL)
+    assert (good.count(), bad.count()) == (len(rows), 2 * len(rows))
+    got, want = ingest.assemble_payloads(both, SMALL), ingest.assemble_payloads(d, SMALL)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert blocks.reduce_blocks(got, SMALL, blocks.Calibration()).count() == blocks.reduce_blocks(want, SMALL, blocks.Calibration()).count()
+
+
+def test_far_counter_does_not_fill_the_gap(spark):
+    cell = lambda b: [(b, 0, 0, k) for k in range(SMALL.packets)]
+    d = spark.createDataFrame(cell(3) + cell(5) + [(10 ** 15, 0, 0, 0)], "block long, channel int, source int, pkt int")
+    axis = [r.block for r in ingest.block_axis(d.select("block").distinct()).orderBy("block").collect()]
+    assert axis == [3, 4, 5, 10 ** 15]
+    gone = ingest.missing_packets(d, SMALL).groupBy("block").count().count()
+    assert gone == 2 and ingest.missing_by_integration(d, SMALL).count() <= 3
+
+
+def test_struct_arrivals_are_numbered(spark):
+    rows = [(0, "a", 0, 100), (0, "a", 1, 104), (0, "b", 0, 112), (1, "a", 2, 116)]
+    d = spark.createDataFrame(rows, "ts long, file string, pos long, sample_count long").repartition(3)
+    d = d.select(F.struct("ts", "file", "pos").alias("arrival"), "sample_count", F.lit(1).alias("k"))
+    gaps = ingest.sequence_gaps(d, ["k"], 4).collect()
+    assert [(r.sample_count, r.gap) for r in gaps] == [(112, 8)]
+    assert sorted(r.watermark for r in ingest.watermarks(d, ["k"]).collect()) == [100, 104, 112, 116]
+
+
 def test_tied_arrivals_leave_one_row(spark):
     rows = full_block(SMALL, 400, 1 + 1j)
     d = packets(spark, rows)
