@@ -41,10 +41,25 @@ def wired_streams(spark: SparkSession, cfg: ArrayConfig, files: RunFiles) -> Dat
     d = dims.stream_map(spark, files.stream_map).where(F.col("fpga_id").isin(*cfg.fpga_ids))
     position = F.element_at(_positions(cfg), F.col("fpga_id"))
     inside = F.col("stream").between(0, cfg.recv_per_fpga * cfg.pols - 1)
-    return d.where(inside).select(F.lit(0).cast("long").alias("run"), position.alias("fpga_id"), "stream",
+    _refuse(d.where(~F.coalesce(inside, F.lit(False))), "stream", f"streams outside 0 to {cfg.recv_per_fpga * cfg.pols - 1}")
+    return d.select(F.lit(0).cast("long").alias("run"), position.alias("fpga_id"), "stream",
                                   "antenna_id", "polarization")
 
 
+def _refuse(rows: DataFrame, column: str, what: str) -> None:
+    """Dimension rows that the array has no place for are an error, not something to leave out."""
+    bad = [r[0] for r in rows.select(column).limit(5).collect()]
+    if bad:
+        raise ValueError(f"{what}: {bad}")
+
+
+def beam_targets(targets: DataFrame, beams: int) -> DataFrame:
+    """One target a beam; a beam without one points to the zenith."""
+    _refuse(targets.where(~F.coalesce(F.col("beam").between(0, beams - 1), F.lit(False))), "beam", f"targets of beams outside 0 to {beams - 1}")
+    all_beams = targets.sparkSession.range(beams).select(F.col("id").cast(targets.schema["beam"].dataType).alias("beam"))
+    return all_beams.join(targets, "beam", "left").withColumn("mode", F.coalesce("mode", F.lit("zenith")))
+
+
 def receivers(spark: SparkSession, cfg: ArrayConfig, streams: DataFrame | None) -> DataFrame:
     """Antenna of every receiver: stream map, built-in wiring, or the receiver number."""
     if streams is not None:
@@ -113,7 +128,7 @@ def load_calibration(spark: SparkSession, cfg: ArrayConfig, files: RunFiles, utc
         at = F.lit(utc).cast("timestamp") if utc else F.current_timestamp()
         run = F.lit(0).cast("long")
         directions = beam.target_directions(
-            dims.targets(spark, files.targets).where(F.col("beam") < cfg.beams).withColumn("ts", at),
+            beam_targets(dims.targets(spark, files.targets), cfg.beams).withColumn("ts", at),
             site["latitude_deg"], site["longitude_deg"]).withColumn("run", run)
         places = dims.antenna_positions(spark, files.config).groupBy("antenna_id").agg(
             *[F.max_by(c, "fpga_id").alias(c) for c in ("east", "north", "up")])

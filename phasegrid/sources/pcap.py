@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 GLOBAL_HEADER, RECORD_HEADER = 24, 16
+LARGEST_RECORD = 262_144    # no capture tool stores longer frames
 SPLIT_BYTES = 128 << 20
 BATCH_ROWS = 4096
 PCAP_SCHEMA = "file string, position long, ts timestamp, wire_length int, frame binary"
@@ -49,6 +50,8 @@ def records(stream, order: str, ticks: int, start: int, end: int | None,
         seconds, fraction, captured, length = struct.unpack(order + "IIII", head)
         if expect is not None and captured != expect:
             raise ValueError(f"record at {position} holds {captured} bytes, not {expect}")
+        if captured > LARGEST_RECORD:
+            raise ValueError(f"record at {position} claims {captured} bytes: the capture is damaged here")
         frame = stream.read(captured)
         if len(frame) < captured:
             return   # the capture ends inside a record

@@ -143,21 +143,24 @@ def embedding_packets(spark: SparkSession, root: str) -> DataFrame:
     n = cfg.recv_per_fpga
 
     @F.pandas_udf("binary")
-    def payload(scales: pd.Series, data: pd.Series) -> pd.Series:
-        def build(s, x):
-            cube = np.stack(x).reshape(n, cfg.steps, cfg.pols, 2).transpose(1, 0, 2, 3)
-            return np.repeat(np.asarray(s), cfg.pols).astype("<i2").tobytes() + cube.astype("i1").tobytes()
-        return pd.Series([build(s, x) for s, x in zip(scales, data)])
+    def payload(receivers: pd.Series, scales: pd.Series, data: pd.Series) -> pd.Series:
+        def build(r, s, x):     # absent receivers are zero
+            at = np.asarray(r) % n
+            scale, cube = np.zeros(n), np.zeros((n, cfg.steps, cfg.pols, 2))
+            scale[at] = s
+            cube[at] = np.stack(x).reshape(-1, cfg.steps, cfg.pols, 2)
+            return np.repeat(scale, cfg.pols).astype("<i2").tobytes() + cube.transpose(1, 0, 2, 3).astype("i1").tobytes()
+        return pd.Series([build(r, s, x) for r, s, x in zip(receivers, scales, data)])
 
     rows = embedding_frames(spark, root).withColumn("fpga_id", idiv(F.col("recv"), n).cast("int"))
     entry = F.struct("recv", "scale", "data")
     groups = rows.groupBy("block", "channel", "pkt", "fpga_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("g")).where(F.size("g") == n)
+        F.array_sort(F.collect_list(entry)).alias("g"))
     seq = F.col("block") * cfg.packets + F.col("pkt")
     return groups.select((seq * cfg.channels * cfg.fpgas + F.col("channel") * cfg.fpgas + F.col("fpga_id"))
                          .alias("arrival"), (seq * cfg.step + 16000).alias("sample_count"), "fpga_id",
                          F.col("channel").alias("freq_channel"),
-                         payload(F.col("g.scale"), F.col("g.data")).alias("payload"))
+                         payload(F.col("g.recv"), F.col("g.scale"), F.col("g.data")).alias("payload"))
 
 
 # Captured bytes: texts are cut into payloads of the production packet shape.
