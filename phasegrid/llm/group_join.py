@@ -9,18 +9,17 @@ group's union; only those groups are opened and compared with exactly.
 
 Prefix rule.  With shingles in one global order (their hash), take of a set of n the
 first floor(n (100 - T + E) / 100) + 1.  Two sets similar by T percent share more than
-E n T / 10000 of these, so at least ``need(n)`` of them.  A token met in very many groups is
-left out for documents that have fewer than ``need`` such tokens: a link always has
-another one.
+E n T / 10000 of these, so at least ``need(n)`` of them.  Among the prefix tokens, those in
+most groups can then be left out, ``need - 1`` of them for each document (see ``_rarest``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 
 from phasegrid.llm import windows as win
 from phasegrid.llm.common import F, binary_buffer, bounded_slices, column, materialize, mix64, text_sizes
@@ -31,7 +30,7 @@ from phasegrid.scale import broadcast_if_small
 WORDS = 5
 PERCENT = 80
 EXTRA = 5
-WIDE = 64               # groups that a token may be in before it counts as frequent
+WIDE = 32               # groups that a token may be in before documents are looked at whole
 SMALL_ROWS = 1_000_000  # id lists up to this length are broadcast
 CHUNK_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,11 +144,12 @@ def _around_centres(postings: DataFrame, percent: int, extra: int) -> DataFrame:
     A document's connectedness is the sum of how often its tokens occur; the original of
     many copies has the largest.
     """
-    often = postings.groupBy("token").agg(F.count("*").alias("df"))
+    often = materialize(postings.groupBy("token").agg(F.count("*").alias("df")), "token-counts")
     weight = postings.join(often, "token").groupBy("doc").agg(F.sum("df").alias("w"), F.first("n").alias("n"))
     weight = materialize(weight, "group-weights")
     tagged = postings.select("token", "doc").join(broadcast_if_small(weight, SMALL_ROWS), "doc")
     centre = tagged.groupBy("token").agg(F.max(F.struct("w", F.negate("doc").alias("d"), F.col("n").alias("m"))).alias("c"))
+    centre = materialize(centre, "centres")
     pairs = (tagged.join(centre, "token").select("doc", "n", (-F.col("c.d")).alias("centre"), F.col("c.m").alias("m"))
              .where("doc <> centre").where(_fits("n", "m", percent)))
     shared = pairs.groupBy("doc", "n", "centre").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), percent, extra))
@@ -157,33 +157,88 @@ def _around_centres(postings: DataFrame, percent: int, extra: int) -> DataFrame:
     return best.select(F.col("doc").alias("a"), F.col("centre").alias("b"))
 
 
-def _foreign_groups(matrix: DataFrame, percent: int, extra: int) -> DataFrame:
-    """Pairs of documents of different groups that the token-group matrix leaves open.
+def _rarest(matrix: DataFrame, least: Column) -> DataFrame:
+    """Rows of a token-group matrix that a link to a foreign group has to touch.
 
-    ``matrix``: token, doc, n, component.
+    Tokens are ordered by the number of groups that have them, then by name.  If a link
+    shares ``least`` tokens or more, the rarest of these has ``least - 1`` tokens after
+    it in both documents, so every document can do without its last ``least - 1`` tokens.
+    ``rest`` counts the tokens after this one: no link through it shares more than
+    ``rest + 1``.  ``matrix``: token, doc, n, component.
     """
-    groups = matrix.groupBy("component").agg(F.countDistinct("doc").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    groups = materialize(groups, "groups")
-    cells = matrix.groupBy("token", "component").agg(F.lit(1).alias("one"))
-    spread = cells.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    rows = materialize(matrix.join(spread, "token").withColumn("frequent", F.col("groups") > WIDE), "matrix-rows")
-    held = rows.groupBy("doc").agg(F.sum(F.col("frequent").cast("int")).alias("held"))
-    rows = rows.join(broadcast_if_small(held, SMALL_ROWS), "doc")
-    least = need(F.col("n"), percent, extra)
-    rows = rows.withColumn("bound", F.when(F.col("held") < least, least - F.col("held")).otherwise(least))
-    rows = rows.where(~F.col("frequent") | (F.col("held") >= least)).drop("groups", "held", "frequent")
-    rows = rows.join(broadcast_if_small(groups, SMALL_ROWS), "component")
-    # The group with fewer members asks, so each pair of groups is looked at once.
-    union = rows.select("token", F.col("component").alias("g"), F.col("members").alias("g_members"), F.col("least").alias("g_least"), F.col("most").alias("g_most")).distinct()
-    asks = (F.struct("members", "component") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("component")))
+    spread = matrix.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("groups"))
+    spread = materialize(spread.where("groups > 1"), "token-groups")
+    last = W.partitionBy("doc").orderBy(F.desc("groups"), F.desc("token"))      # as many rows as a text has tokens at most
+    rows = matrix.join(spread, "token").withColumn("rest", F.row_number().over(last) - 1)
+    return materialize(rows.where(F.col("rest") + 1 >= least), "rarest-tokens")
+
+
+def _open_groups(rows: DataFrame, groups: DataFrame, percent: int, enough: Callable[..., Column]) -> DataFrame:
+    """Pairs of documents of different groups that the matrix leaves open: a, b, n, m, k shared rows.
+
+    Of two groups the one with fewer members asks.  A document opens a group if a group's
+    token union touches its rarest tokens and the sizes of the members allow a link; the
+    members are then those that share such a token.  ``enough`` bounds what a pair can
+    share by the tokens after the one that joins it (``rest``, ``rest2``, ``n``, ``m``).
+    """
+    ask = rows.join(broadcast_if_small(groups, SMALL_ROWS), "component")
+    union = ask.groupBy("token", F.col("component").alias("g")).agg(F.first("members").alias("g_members"), F.first("least").alias("g_least"),
+                                                                    F.first("most").alias("g_most"), F.max("rest").alias("g_rest"))
+    union = materialize(union, "group-unions")
+    first = F.struct("members", "component") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("component"))
     sized = (F.col("g_most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_least") * percent)
-    opened = (rows.join(union, "token").where(asks & sized).groupBy("doc", "g", "bound").agg(F.count("*").alias("k"))
-              .where("k >= bound").select("doc", "g"))
-    opened = materialize(opened, "opened-groups")
-    member = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("g"))
-    asking = rows.select("token", F.col("doc").alias("a"), "n", "bound").join(opened.withColumnRenamed("doc", "a"), "a")
-    return (asking.join(member, ["token", "g"]).where(_fits("n", "m", percent)).groupBy("a", "b", "bound").agg(F.count("*").alias("k"))
-            .where("k >= bound").select("a", "b"))
+    # The most favourable member: most tokens after this one, and the smallest size that fits.
+    best = F.greatest(F.col("g_least"), F.ceil(F.col("n") * percent / 100))
+    kind = enough(F.col("rest"), F.col("g_rest"), F.col("n"), best)
+    opened = materialize(ask.join(union, "token").where(first & sized & kind).select("doc", "g").distinct(), "opened-groups")
+    asking = rows.select("token", F.col("doc").alias("a"), "n", "rest").join(opened.withColumnRenamed("doc", "a"), "a")
+    member = rows.select("token", F.col("component").alias("g"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest2"))
+    fits = _fits("n", "m", percent) & enough(F.col("rest"), F.col("rest2"), F.col("n"), F.col("m"))
+    return asking.join(member, ["token", "g"]).where(fits).groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
+
+
+def _foreign_links(matrix: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, extra: int) -> DataFrame:
+    """Pairs ``a, b`` of different groups that remain to be compared.
+
+    Pairs that share a token of few groups are found with the prefix tokens.  Where
+    documents are left with tokens of very many groups (a passage that fills much of
+    each), their whole sets take the place of the prefixes: the more of a set is in the
+    order, the more of its frequent tokens can be left out.
+    """
+    sizes = matrix.groupBy("component").agg(F.countDistinct("doc").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = materialize(sizes, "group-sizes")
+    own = need(F.col("n"), percent, extra)
+    rows = _rarest(matrix, own)
+    least = lambda r1, r2, n, m: F.least(r1, r2) + 1 >= F.greatest(need(n, percent, extra), need(m, percent, extra))
+    near = _open_groups(rows.where(F.col("groups") <= WIDE), sizes, percent, least)
+    # Prefix tokens that a pair of these sizes shares at least, less what was left out of the count.
+    hot = rows.groupBy("doc").agg(F.count_if(F.col("groups") > WIDE).alias("hot"))
+    near = near.join(hot.withColumnsRenamed({"doc": "a", "hot": "hot_a"}), "a")
+    both = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    prefix = lambda c: F.least(F.col(c), F.floor(F.col(c) * (100 - percent + extra) / 100) + 1)
+    shared = F.least(prefix("n") - F.col("n") + both, prefix("m") - F.col("m") + both)
+    near = near.where(F.col("k") >= shared - (need(F.col("n"), percent, extra) - 1) - (need(F.col("m"), percent, extra) - 1) - F.col("hot_a"))
+
+    crowd = materialize(rows.where(F.col("groups") > WIDE).select("doc").distinct(), "crowded")
+    whole = unpacked(sets.join(broadcast_if_small(crowd, SMALL_ROWS), "doc", "left_semi"))
+    whole = materialize(whole.join(broadcast_if_small(groups, SMALL_ROWS), F.col("doc") == F.col("node"), "left")
+                        .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")), "crowded-sets")
+    rows = _rarest(whole, F.ceil(F.col("n") * percent / 100))
+    full = lambda r1, r2, n, m: (F.least(r1, r2) + 1) * (100 + percent) >= (n + m) * percent
+    far = _open_groups(rows, sizes, percent, full)
+    return near.select("a", "b").unionByName(far.select("a", "b")).distinct()
+
+
+def unpacked(sets: DataFrame) -> DataFrame:
+    """token, doc, n of packed sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = binary_buffer(batch.column("tokens"))
+            row = pa.array(np.repeat(np.arange(len(batch)), np.diff(offsets) // 8))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), batch.column("doc").take(row),
+                                              batch.column("n").take(row)], ["token", "doc", "n"])
+
+    return sets.mapInArrow(run, "token long, doc long, n int")
 
 
 def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, extra: int = EXTRA, id_col: str = "doc_id",
@@ -203,11 +258,12 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ext
     nodes = member.where("n > 0 and doc = node").select("doc").distinct()
 
     tokens = prefix_tokens(rows, words, percent, extra)
-    twice = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    # Counts are written before they are joined: both sides are then plain shuffles that Spark can split at a frequent token.
+    twice = materialize(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     postings = tokens.join(twice, "token").join(broadcast_if_small(nodes, SMALL_ROWS), "doc", "left_semi").distinct()
     postings = materialize(postings, "postings")
     # Copies of a set no longer count; what is met once or in too few tokens cannot link.
-    shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    shared = materialize(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     postings = postings.join(shared, "token")
     enough = (postings.groupBy("doc").agg(F.count("*").alias("c"), F.min("n").alias("n"))
               .where(F.col("c") >= need(F.col("n"), percent, extra)).select("doc"))
@@ -220,7 +276,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ext
     groups = components(near)
     matrix = (postings.join(groups, F.col("doc") == F.col("node"), "left")
               .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
-    far = materialize(confirm(_foreign_groups(matrix, percent, extra), sets, percent), "far-links")
+    far = materialize(confirm(_foreign_links(matrix, sets, groups, words, percent, extra), sets, percent), "far-links")
     final = components(near.unionByName(far))
     out = member.join(final, "node", "left")
     back = lambda c: F.when(c != win.NO_ID, c)

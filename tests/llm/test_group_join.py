@@ -37,7 +37,7 @@ def corpus(seed: int) -> list[tuple[int, str | None]]:
     return [(i * 2 + 3, d) for i, d in enumerate(docs)] + [(9999, None)]
 
 
-@pytest.mark.parametrize("seed,wide", [(1, 64), (2, 2), (3, 1)])
+@pytest.mark.parametrize("seed,wide", [(1, 64), (2, 2), (3, 1), (4, 0)])
 def test_matches_all_pairs(spark, seed, wide, monkeypatch):
     monkeypatch.setattr(gj, "WIDE", wide)       # few groups make a token frequent
     monkeypatch.setattr(gj, "SMALL_ROWS", 64 if wide > 1 else 0)
