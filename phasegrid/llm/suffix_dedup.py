@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from phasegrid.llm import windows as win
 from phasegrid.llm.common import F, binary_buffer, bounded_slices, materialize, mix64, text_sizes
 from phasegrid.llm.suffix_array import common_prefixes, suffix_array
+from phasegrid.scale import broadcast_if_small
 
 LENGTH = 200
 CHUNK_BYTES = 1 << 20   # bytes hashed at once; longer texts are cut into pieces that overlap by a window
@@ -215,7 +216,10 @@ def mark_repeats(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
     """Places with repeated windows: doc, twin, place, mask and ats (both null: all windows)."""
     mixed = hits.where("not single")
     classes = win.classes_of(mixed)
-    by_doc = win.wanted_places(classes, "n_ctx")
+    # Names with so many contexts that they are salted: at most one in GROUP rows.
+    large = materialize(classes.groupBy("name").agg(F.count("*").alias("n_ctx")).where(F.col("n_ctx") > GROUP), "large-names")
+    sized = classes.join(broadcast_if_small(large, win.SMALL_ROWS), "name", "left").withColumn("n_ctx", F.coalesce("n_ctx", F.lit(1)))
+    by_doc = win.wanted_places(sized, "n_ctx")
     k = length // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

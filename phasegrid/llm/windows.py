@@ -94,15 +94,16 @@ def shared_anchors(anchors: DataFrame, across_docs: bool) -> DataFrame:
     names = anchors.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"),
                                         F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
     names = names.where("low < high" if across_docs else "n > 1").select("name", "low", (F.col("c0") == F.col("c1")).alias("single"))
+    # Written first, so that the join has plain shuffles on both sides and a frequent name can be split among tasks.
+    names = materialize(names, "shared-names")
     return materialize(anchors.join(names, "name"), "shared-anchors")
 
 
 def classes_of(mixed: DataFrame) -> DataFrame:
-    """One row a context of names that have several: n, ``low`` (least doc), a representative, contexts of the name."""
+    """One row a context of names that have several: n, ``low`` (least doc) and a representative."""
     classes = mixed.groupBy("name", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("low"),
                                                F.min(F.struct("doc", "twin", "place")).alias("rep"))
-    sizes = classes.groupBy("name").agg(F.count("*").alias("n_ctx"))
-    return materialize(classes.join(sizes, "name"), "window-classes")
+    return materialize(classes, "window-classes")
 
 
 def wanted_places(classes: DataFrame, *columns: str) -> DataFrame:
