@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasegrid.session import materialize, scratch_path, ship_package
 
-__all__ = ["F", "binary_buffer", "bounded_slices", "column", "materialize", "mix64", "open_fs", "scratch_path",
+__all__ = ["F", "binary_buffer", "bounded_slices", "column", "materialize", "mix64", "open_fs", "release", "scratch_path",
            "ship_package", "table", "text_sizes"]
 
 
@@ -41,6 +41,11 @@ def text_sizes(texts: pa.Array) -> np.ndarray:
     return pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for reuse back, as workers live on and take turns at different work."""
+    pa.default_memory_pool().release_unused()
+
+
 def binary_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its rows; null rows are empty."""
     col = col.fill_null("") if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else col.fill_null(b"")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 
 from phasegrid.llm import windows as win
-from phasegrid.llm.common import F, binary_buffer, bounded_slices, column, materialize, mix64, text_sizes
+from phasegrid.llm.common import F, binary_buffer, bounded_slices, column, materialize, mix64, release, text_sizes
 from phasegrid.llm.components import components
 from phasegrid.llm.recompression import word_spans, word_symbols
 from phasegrid.scale import broadcast_if_small
@@ -32,7 +32,7 @@ PERCENT = 80
 EXTRA = 5
 WIDE = 32               # groups that a token may be in before documents are looked at whole
 SMALL_ROWS = 1_000_000  # id lists up to this length are broadcast
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,6 +71,7 @@ def _map(docs: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
         for batch in batches:
             for lo, hi in bounded_slices(text_sizes(batch.column("text")), CHUNK_BYTES):
                 yield pa.RecordBatch.from_arrays(fn(batch.slice(lo, hi - lo)), names)
+            release()
 
     return docs.mapInArrow(run, schema)
 
@@ -102,35 +103,24 @@ def prefix_tokens(docs: DataFrame, words: int, percent: int, extra: int) -> Data
     return _map(docs, prefix, "token long, doc long, n int", ["token", "doc", "n"])
 
 
-def packed_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc, n, tokens: whole sets as bytes."""
+def whole_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc, n, tokens: whole sets."""
     def sets(batch: pa.RecordBatch) -> list[pa.Array]:
         token, count = token_sets(batch.column("text"), words)
-        offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(count * 8)]).astype(np.int32))
-        return [batch.column("doc"), pa.array(count.astype(np.int32)),
-                pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, offsets, pa.py_buffer(token)])]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        return [batch.column("doc"), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64)))]
 
-    return _map(docs, sets, "doc long, n int, tokens binary", ["doc", "n", "tokens"])
+    return _map(docs, sets, "doc long, n int, tokens array<long>", ["doc", "n", "tokens"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough."""
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")      # two ascending runs
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    same = F.size(F.array_intersect("left", "right"))
+    return (pairs.join(left, "a").join(right, "b")
+            .select("a", "b", same.alias("same"), (F.size("left") + F.size("right")).alias("both"))
+            .where(F.col("same") * 100 >= (F.col("both") - F.col("same")) * percent).select("a", "b"))
 
 
 def _fits(n: str, m: str, percent: int) -> Column:
@@ -197,7 +187,7 @@ def _open_groups(rows: DataFrame, groups: DataFrame, percent: int, enough: Calla
     return asking.join(member, ["token", "g"]).where(fits).groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
 
 
-def _foreign_links(matrix: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, extra: int) -> DataFrame:
+def _foreign_links(matrix: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, extra: int) -> DataFrame:
     """Pairs ``a, b`` of different groups that remain to be compared.
 
     Pairs that share a token of few groups are found with the prefix tokens.  Where
@@ -220,7 +210,7 @@ def _foreign_links(matrix: DataFrame, sets: DataFrame, groups: DataFrame, words:
     near = near.where(F.col("k") >= shared - (need(F.col("n"), percent, extra) - 1) - (need(F.col("m"), percent, extra) - 1) - F.col("hot_a"))
 
     crowd = materialize(rows.where(F.col("groups") > WIDE).select("doc").distinct(), "crowded")
-    whole = unpacked(sets.join(broadcast_if_small(crowd, SMALL_ROWS), "doc", "left_semi"))
+    whole = sets.join(broadcast_if_small(crowd, SMALL_ROWS), "doc", "left_semi").select(F.explode("tokens").alias("token"), "doc", "n")
     whole = materialize(whole.join(broadcast_if_small(groups, SMALL_ROWS), F.col("doc") == F.col("node"), "left")
                         .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")), "crowded-sets")
     rows = _rarest(whole, F.ceil(F.col("n") * percent / 100))
@@ -229,18 +219,6 @@ def _foreign_links(matrix: DataFrame, sets: DataFrame, groups: DataFrame, words:
     return near.select("a", "b").unionByName(far.select("a", "b")).distinct()
 
 
-def unpacked(sets: DataFrame) -> DataFrame:
-    """token, doc, n of packed sets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = binary_buffer(batch.column("tokens"))
-            row = pa.array(np.repeat(np.arange(len(batch)), np.diff(offsets) // 8))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), batch.column("doc").take(row),
-                                              batch.column("n").take(row)], ["token", "doc", "n"])
-
-    return sets.mapInArrow(run, "token long, doc long, n int")
-
-
 def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, extra: int = EXTRA, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Class of each row: doc_id, n_shingles, component_id (least doc_id reachable by links).
@@ -270,13 +248,13 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ext
     enough = materialize(enough, "candidates")
     small = broadcast_if_small(enough, SMALL_ROWS)
     postings = materialize(postings.join(small, "doc"), "postings")
-    sets = materialize(packed_sets(rows.join(small, "doc", "left_semi"), words), "sets")
+    sets = materialize(whole_sets(rows.join(small, "doc", "left_semi"), words), "sets")
 
     near = materialize(confirm(_around_centres(postings, percent, extra), sets, percent), "near-links")
     groups = components(near)
     matrix = (postings.join(groups, F.col("doc") == F.col("node"), "left")
               .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
-    far = materialize(confirm(_foreign_links(matrix, sets, groups, words, percent, extra), sets, percent), "far-links")
+    far = materialize(confirm(_foreign_links(matrix, sets, groups, percent, extra), sets, percent), "far-links")
     final = components(near.unionByName(far))
     out = member.join(final, "node", "left")
     back = lambda c: F.when(c != win.NO_ID, c)

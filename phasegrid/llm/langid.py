@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from phasegrid.llm.common import F, bounded_slices, column, materialize, text_sizes
+from phasegrid.llm.common import F, bounded_slices, column, materialize, release, text_sizes
 from phasegrid.llm.trie import PieceTable, Trie, codes_of
 from phasegrid.llm.word_encoder import WordTable
 
@@ -30,8 +30,8 @@ ROUNDS = 2
 PRIOR = 0.01
 UNKNOWN = 1e-8          # probability of a character that is no piece
 RUN = 48                # longer runs of letters are scored in parts of this length
-CACHE_WORDS = 400_000
-CHUNK_BYTES = 6 << 20
+CACHE_WORDS = 150_000
+CHUNK_BYTES = 2 << 20
 _SCALE = 16.0           # factor a character, against underflow
 
 
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score += np.where(counts > 0, share, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
+            release()
 
     return plain.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score")
 

@@ -27,7 +27,7 @@ LENGTH = 50
 ROUNDS = 5
 RUN_EVERY = 3           # rounds in which runs are named
 FEW = 4                 # symbols of fewer words are anchors only where a window has no other
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
