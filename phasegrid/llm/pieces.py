@@ -21,8 +21,8 @@ from phasegrid.llm.trie import PieceTable, Trie
 from phasegrid.llm.word_encoder import WordTable, _Tokens
 
 MARK = "▁"
-CACHE_WORDS = 300_000
-SUBTREE_CHARS = 1 << 21
+CACHE_WORDS = 100_000
+SUBTREE_CHARS = 1 << 19
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _FAR = np.int64(1) << np.int64(60)
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")

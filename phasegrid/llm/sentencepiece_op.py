@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from phasegrid.llm.common import F, bounded_slices, column, text_sizes
+from phasegrid.llm.common import F, bounded_slices, column, release, text_sizes
 from phasegrid.llm.pieces import shared_pieces
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,6 +40,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))),
                      pa.array(text_sizes(raw)), same],
                     ["doc_id", "n_pieces", "ids", "n_bytes", "round_trip"])
+            release()
 
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, n_bytes long, round_trip boolean")
 
