@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from phasegrid import scale
 from phasegrid.config import ArrayConfig
-from phasegrid.functions.numeric import floor_div
+from phasegrid.functions.numeric import floor_div, idiv
 from phasegrid.session import materialize
 
 
@@ -154,24 +154,88 @@ def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFram
             .withColumn("end_seq", first + (cfg.packets - 1) * cfg.step))
 
 
-#: Blocks without any packet that are listed one by one; a longer gap is an outage and is left out.
+#: Blocks without any packet that are listed one by one; a longer gap is an outage, which is one row of :func:`outages`.
 HORIZON = 1 << 16
 
 
-def block_axis(occupied: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def _with_prev(occupied: DataFrame) -> DataFrame:
+    return scale.ordered_prev(occupied.withColumn("__all", F.lit(0)), ["__all"], "block", "block", "__prev").drop("__all")
+
+
+def _spread(d: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
+    """One row per integer of ``[lo, hi]``; long ranges are dealt in parts, so that none grows inside one task."""
+    starts = F.sequence(lo.cast("long"), hi.cast("long"), F.lit(scale.RANGE).cast("long"))
+    d = d.withColumn("__hi", hi).withColumn("__first", F.explode(starts)).repartition("__first")
+    last = F.least(F.col("__hi"), F.col("__first") + (scale.RANGE - 1))
+    return d.withColumn(out, F.explode(F.sequence(F.col("__first"), last))).drop("__hi", "__first")
+
+
+def block_axis(occupied: DataFrame, horizon: int | None = HORIZON) -> DataFrame:
     """Blocks from the first to the last of ``occupied`` (distinct ``block``), without gaps above ``horizon``.
 
-    One wrong counter far away therefore adds its own block and not all blocks up to it.
+    The gaps left out are the rows of :func:`outages`; with ``horizon`` None there are
+    none and every block is listed.
     """
-    d = scale.ordered_prev(occupied.withColumn("__all", F.lit(0)), ["__all"], "block", "block", "__prev")
+    d = _with_prev(occupied)
+    if horizon is None:
+        return _spread(d.withColumnRenamed("block", "__to"), F.coalesce(F.col("__prev") + 1, F.col("__to")), F.col("__to"),
+                       "block").select("block")
     near = F.col("block") - F.col("__prev") <= horizon
     return d.select(F.explode(F.sequence(F.when(near, F.col("__prev") + 1).otherwise(F.col("block")), F.col("block"))).alias("block"))
 
 
-def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = (), horizon: int = HORIZON) -> DataFrame:
+def outages(occupied: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> DataFrame:
+    """Gaps that :func:`block_axis` does not list, a row each: first and last block, blocks, missing packets."""
+    d = _with_prev(occupied).where(F.col("block") - F.col("__prev") > horizon)
+    d = d.select((F.col("__prev") + 1).alias("first_block"), (F.col("block") - 1).alias("last_block"))
+    n = F.col("last_block") - F.col("first_block") + 1
+    return d.withColumn("blocks", n).withColumn("missing", n * cfg.packets_per_block).where("blocks > 0")
+
+
+def own_blocks(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
+    """Blocks that hold packets of their own, halo aside, and how many: ``block, n``."""
+    return (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
+            .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+
+
+def stray_flags(occupied: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """``occupied`` (``block, n``) with ``stray``: a single packet more than ``horizon`` blocks from all others.
+
+    Where every packet is alone there is no stream to be away from, and none is stray.
+    """
+    d = _with_prev(occupied).withColumn("__back", -F.col("block")).withColumn("__all", F.lit(0))
+    d = scale.ordered_prev(d, ["__all"], "__back", "block", "__next")
+    far = lambda gap: F.coalesce(gap > horizon, F.lit(True))
+    alone = (F.col("n") == 1) & far(F.col("block") - F.col("__prev")) & far(F.col("__next") - F.col("block"))
+    d = d.withColumn("__alone", alone)
+    stream = d.select(F.bool_or(~F.col("__alone"))).scalar()
+    return d.withColumn("stray", F.col("__alone") & stream).drop("__prev", "__back", "__all", "__next", "__alone")
+
+
+def far_counters(packets: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> tuple[DataFrame, DataFrame]:
+    """Packets without those of a stray counter, and the stray counters with their packets (copies included).
+
+    A stray counter is a single packet of the configured channels that is more than ``horizon``
+    blocks away from all others (see :func:`stray_flags`): a wrong counter, not the end of an outage.
+    """
+    lo = cfg.min_channel
+    inside = F.col("freq_channel").between(lo, lo + cfg.channels - 1)
+    at = floor_div(F.col("sample_count") - packet_delay(cfg), cfg.step * cfg.packets)
+    tagged = packets.withColumn("__at", F.when(inside, at))
+    slot = F.struct("sample_count", "fpga_id", "freq_channel")
+    blocks = (tagged.where(inside).groupBy(F.col("__at").alias("block"))
+              .agg(F.when(F.min(slot) == F.max(slot), 1).otherwise(2).alias("n")))
+    stray = stray_flags(blocks, horizon).where("stray").select(F.col("block").alias("__at"))
+    stray = scale.broadcast_if_small(materialize(stray, "stray-counters"), 1 << 16)
+    counted = tagged.join(stray, "__at", "left_semi").groupBy("fpga_id", "freq_channel", "sample_count")
+    return tagged.join(stray, "__at", "left_anti").drop("__at"), counted.agg(F.count(F.lit(1)).alias("packets"))
+
+
+def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = (),
+                  horizon: int | None = HORIZON) -> DataFrame:
     """Every (block, channel, source) between the first and the last block with what arrived.
 
-    Gaps of more than ``horizon`` blocks are outages: their blocks are not listed.
+    Gaps of more than ``horizon`` blocks are rows of :func:`outages` instead; None lists all blocks.
 
     ``have`` maps packet numbers to ``values``; it is bounded by N+2 entries and null
     for a cell without packets.  A block that only holds halo packets of its
@@ -189,32 +253,32 @@ def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = (),
     return grid.join(cells.drop("own"), ["block", "channel", "source"], "left")
 
 
-def missing_packets(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
+def missing_packets(arrived: DataFrame, cfg: ArrayConfig, horizon: int | None = HORIZON) -> DataFrame:
     """Expected packets that never arrived; the halo does not count.
 
-    An anti join by set difference inside each cell.
+    An anti join by set difference inside each cell.  Those of an outage are counted in :func:`outages`.
     """
     every = F.sequence(F.lit(0), F.lit(cfg.packets - 1))
     gone = F.array_except(every, F.coalesce(F.map_keys("have"), F.array().cast("array<int>")))
-    return cell_contents(arrived, cfg).select("block", "channel", "source", F.explode(gone).alias("pkt"))
+    return cell_contents(arrived, cfg, horizon=horizon).select("block", "channel", "source", F.explode(gone).alias("pkt"))
 
 
-def _slots(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
+def _slots(arrived: DataFrame, cfg: ArrayConfig, values: list[str], horizon: int | None) -> DataFrame:
     slots = F.sequence(F.lit(-1), F.lit(cfg.packets))
-    return (cell_contents(arrived, cfg, values)
+    return (cell_contents(arrived, cfg, values, horizon)
             .select("block", "channel", "source", "have", F.explode(slots).alias("pkt"))
             .select("block", "channel", "source", "pkt", F.element_at("have", F.col("pkt")).alias("cell")))
 
 
-def arrival_flags(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """Arrived flag of every packet slot of every block, halo included."""
-    d = _slots(arrived.select("block", "channel", "source", "pkt"), cfg, [])
+def arrival_flags(arrived: DataFrame, cfg: ArrayConfig, horizon: int | None = HORIZON) -> DataFrame:
+    """Arrived flag of every packet slot of every block, halo included; outages are rows of :func:`outages`."""
+    d = _slots(arrived.select("block", "channel", "source", "pkt"), cfg, [], horizon)
     return d.select("block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"))
 
 
-def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
-    """Complete every slot; a missing packet gets zeros (a zero scale silences it)."""
-    return _slots(arrived, cfg, values).select(
+def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str], horizon: int | None = HORIZON) -> DataFrame:
+    """Complete every slot; a missing packet gets zeros (a zero scale silences it).  Outages are rows of :func:`outages`."""
+    return _slots(arrived, cfg, values, horizon).select(
         "block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"),
         *[F.coalesce(F.col(f"cell.{v}"), F.lit(0)).alias(v) for v in values])
 
@@ -222,15 +286,33 @@ def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str]) -> D
 def missing_by_integration(arrived: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> DataFrame:
     """Missing and expected packets and the percentage of every integration.
 
-    Blocks without any packet count in full, but for outages (see :func:`block_axis`).  Only packet numbers are read.
+    Blocks without any packet count in full, at any length of a gap: an outage is added to its first and
+    last integration by arithmetic, and those between are one row that stands for ``integrations`` of them.
+    Stray blocks (:func:`stray_flags`) take no part.  Only packet numbers are read.
     """
-    have = (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
-            .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
-    blocks = block_axis(have.select("block"), horizon)
-    per = blocks.join(have, "block", "left").groupBy(floor_div("block", cfg.accumulate).alias("integration")).agg(
-        (F.count(F.lit(1)) * cfg.packets_per_block).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("have"))
+    have = stray_flags(own_blocks(arrived, cfg), horizon).where("not stray").select("block", "n")
+    listed = block_axis(have.select("block"), horizon).join(have, "block", "left").select(
+        floor_div("block", cfg.accumulate).alias("integration"), F.lit(1).cast("long").alias("integrations"),
+        F.lit(1).cast("long").alias("blocks"), F.coalesce("n", F.lit(0)).alias("n"))
+    a, b = floor_div("first_block", cfg.accumulate), floor_div("last_block", cfg.accumulate)
+    one, first, last = F.lit(1).cast("long"), F.col("first_block"), F.col("last_block")
+    part = lambda at, width, blocks: F.struct(at.alias("integration"), width.alias("integrations"), blocks.alias("blocks"))
+    parts = F.array_compact(F.array(
+        part(a, one, F.least(last, (a + 1) * cfg.accumulate - 1) - first + 1),
+        F.when(b - a > 1, part(a + 1, b - a - 1, (b - a - 1) * cfg.accumulate)),
+        F.when(b > a, part(b, one, last - b * cfg.accumulate + 1))))
+    lost = outages(have.select("block"), cfg, horizon).select(F.inline(parts)).withColumn("n", F.lit(0).cast("long"))
+    per = listed.unionByName(lost).groupBy("integration").agg(
+        F.max("integrations").alias("integrations"), (F.sum("blocks") * cfg.packets_per_block).alias("total"), F.sum("n").alias("have"))
     missing = F.col("total") - F.col("have")
-    return per.select("integration", missing.alias("missing"), "total", (F.lit(100.0) * missing / F.col("total")).alias("pct"))
+    return per.select("integration", missing.alias("missing"), "total", (F.lit(100.0) * missing / F.col("total")).alias("pct"),
+                      "integrations")
+
+
+def single_integrations(per: DataFrame) -> DataFrame:
+    """:func:`missing_by_integration` with a row for every integration of an outage."""
+    d = _spread(per.withColumnRenamed("integration", "__from"), F.col("__from"), F.col("__from") + F.col("integrations") - 1, "integration")
+    return d.select("integration", *[idiv(F.col(c), F.col("integrations")).alias(c) for c in ("missing", "total")], "pct")
 
 
 def counters(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:

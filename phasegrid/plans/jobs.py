@@ -16,12 +16,15 @@ from phasegrid.session import materialize
 
 
 def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, shared: bool = False) -> dict[str, DataFrame]:
-    """Correlate, integrate and beamform: visibilities, gaps, beams, block spectra, arrivals.
+    """Correlate, integrate and beamform: visibilities, gaps, outages, beams, block spectra, arrivals.
+
+    Stray counters are set aside before blocks are formed and counted in ``stray_counters``.
 
     ``shared`` writes the block products to the scratch area once; use it when more
     than one of the results is consumed.
     """
-    arrived = blocks.assembled(packets, cfg)
+    near, strays = ingest.far_counters(ingest.usable_payloads(packets, cfg)[0], cfg)
+    arrived = blocks.assembled(near, cfg)
     products = blocks.reduce_blocks(arrived, cfg, cal, beams=cal.weights is not None,
                                     spectra="block" if cal.weights is not None else None)
     if shared:
@@ -30,6 +33,8 @@ def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, shared: bool
     out = {"visibilities": correlate.accumulate_packed(packed, cfg, cfg.accumulate),
            "eigen": adaptive.eigen(packed, cfg),
            "missing": ingest.missing_by_integration(arrived, cfg),
+           "outages": ingest.outages(ingest.own_blocks(arrived, cfg).select("block"), cfg),
+           "stray_counters": strays,
            "arrivals": ingest.arrival_flags(arrived, cfg)}
     if cal.weights is not None:
         out["beams"] = beam_rows(products, cfg, cal.weights.shape[2])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from phasegrid.functions import numeric as N
-from phasegrid.operators import adaptive as op
+from phasegrid.operators import adaptive as op, ingest
 from phasegrid.plans import jobs
 from phasegrid.plans.blocks import Calibration
 from phasegrid.sources import tables as tb
@@ -234,7 +234,7 @@ g AS (SELECT block // 2 AS integration, count(DISTINCT block) * 32 AS total FROM
 SELECT integration, total - count(*) AS missing, total, 100.0::DOUBLE * (total - count(*)) / total AS pct
 FROM c JOIN g ON c.block // 2 = g.integration GROUP BY integration, total""")
 def observe_missing(spark, root):
-    return jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["missing"]
+    return ingest.single_integrations(jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["missing"])
 
 
 @query(f"""WITH {WEIGHTS}, g AS (SELECT DISTINCT block, channel FROM samples)

@@ -1,6 +1,7 @@
 """Assembly of packets into blocks against hand-derived results."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -154,6 +155,40 @@ def test_far_counter_does_not_fill_the_gap(spark):
     assert gone == 2 and ingest.missing_by_integration(d, SMALL).count() <= 3
 
 
+@pytest.mark.parametrize("gap", [ingest.HORIZON, ingest.HORIZON + 1, 10 ** 12])
+def test_outages_count_at_any_length(spark, gap):
+    cfg = replace(SMALL, accumulate=56)
+    cell = lambda b: [(b, 0, 0, k) for k in range(cfg.packets)]
+    d = spark.createDataFrame(cell(3) + cell(5) + cell(5 + gap + 1), "block long, channel int, source int, pkt int")
+    rows = ingest.missing_by_integration(d, cfg).collect()
+    assert sum(r.total for r in rows) == 3 * (gap + 4) and sum(r.missing for r in rows) == 3 * (gap + 1)
+    assert sum(r.integrations for r in rows) == (gap + 6) // 56 + 1
+    out = [tuple(r) for r in ingest.outages(d.select("block").distinct(), cfg).collect()]
+    assert out == ([(6, gap + 5, gap, 3 * gap)] if gap + 1 > ingest.HORIZON else [])
+    if gap <= ingest.HORIZON + 1:
+        singles = ingest.single_integrations(ingest.missing_by_integration(d, cfg))
+        assert [(r.n, r.m, r.t) for r in singles.selectExpr("count(distinct integration) n", "sum(missing) m", "sum(total) t").collect()] == [
+            ((gap + 6) // 56 + 1, 3 * (gap + 1), 3 * (gap + 4))]
+        assert ingest.missing_packets(d, cfg, None).count() == 3 * (gap + 1)
+        assert ingest.arrival_flags(d, cfg, None).count() == 5 * (gap + 4)
+
+
+def test_stray_counters_are_set_aside_and_counted(spark):
+    far = 400 + 4 * 3 * (ingest.HORIZON + 10)
+    rows = full_block(SMALL, 400, 1 + 1j, blocks=2)
+    d = packets(spark, rows + [(far, 0, 0, payload(SMALL, 1 + 0j))] * 2)
+    near, strays = ingest.far_counters(d, SMALL)
+    assert near.count() == len(rows) and [tuple(r) for r in strays.collect()] == [(0, 0, far, 2)]
+    out = jobs.observe(d, SMALL, blocks.Calibration())
+    assert {r.block for r in out["arrivals"].collect()} == {0, 1} and out["outages"].count() == 0
+    assert out["stray_counters"].first().packets == 2 and {r.missing for r in out["missing"].collect()} == {0}
+    back = packets(spark, rows + full_block(SMALL, far, 1 + 1j))     # a stream that comes back is no stray
+    near, strays = ingest.far_counters(back, SMALL)
+    assert near.count() == len(rows) + 3 and strays.count() == 0
+    lone = packets(spark, rows[:1] + [(far, 0, 0, payload(SMALL, 1 + 0j))])
+    assert ingest.far_counters(lone, SMALL)[1].count() == 0
+
+
 def test_struct_arrivals_are_numbered(spark):
     rows = [(0, "a", 0, 100), (0, "a", 1, 104), (0, "b", 0, 112), (1, "a", 2, 116)]
     d = spark.createDataFrame(rows, "ts long, file string, pos long, sample_count long").repartition(3)
