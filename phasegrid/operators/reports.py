@@ -101,8 +101,8 @@ def parse_benchmark_log(lines: DataFrame) -> DataFrame:
     key=value pairs; the numbers follow the bracket, also as pairs.
     """
     keep = [c for c in lines.columns if c != "line"]
-    head = F.substring_index(F.substring("line", 2, 1 << 20), "]", 1)
-    rest = F.substring(F.col("line"), F.length("head") + 3, F.lit(1 << 20))
+    head = F.substring_index(F.substring(F.col("line"), F.lit(2), F.length("line")), "]", 1)
+    rest = F.substring(F.col("line"), F.length("head") + 3, F.length("line"))
     d = (lines.where(F.col("line").startswith("[") & F.col("line").contains("]"))
          .withColumn("head", head).withColumn("rest", rest).where(F.length("rest") > 0))
     d = d.withColumn("dims", text.key_values("head"))

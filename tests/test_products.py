@@ -121,6 +121,14 @@ def test_benchmark_log(spark, tmp_path):
     assert rows[0].metrics["realtime"] == 531.0
 
 
+def test_long_benchmark_lines_are_read_whole(spark):
+    pad = " pad=1" + " " * (1 << 20)
+    lines = [("[CorrBeam ch=8 fpga=4 rx=40] runs/sec=1" + pad + "GB/sec=2",), ("[CorrBeam" + " " * (1 << 20) + " ch=8 fpga=4 rx=40] runs/sec=3",)]
+    rows = reports.parse_benchmark_log(spark.createDataFrame(lines, "line string")).collect()
+    assert [(r.tag, r.rx, r.metrics["runs/sec"], r.metrics.get("GB/sec")) for r in sorted(rows, key=lambda r: r.metrics["runs/sec"])] == [
+        ("CorrBeam", 40, 1.0, 2.0), ("CorrBeam", 40, 3.0, None)]
+
+
 def test_profiler_exports(spark, tmp_path):
     (tmp_path / "long.csv").write_text(
         '==PROF== junk, "x"\n"ID","Kernel Name","Metric Name","Metric Unit","Metric Value"\n'
