@@ -69,6 +69,8 @@ def write_flat(docs: DataFrame, out: str, tokenizer: str, separator: int, id_byt
         if held:
             yield flush()
 
+    fs, folder = open_fs(out)
+    fs.create_dir(folder, recursive=True)      # without documents no task makes it
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(write, "file string, ordinal long, doc_id long"), "flat-places")
 

@@ -76,6 +76,13 @@ def test_separator_scan(spark, block):
     assert got.where("not complete").count() == 0
 
 
+def test_separator_scan_without_documents(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string").limit(0)
+    out = scratch_path(spark, "test-flat")
+    places = token_scan.write_flat(df, out, PATH, 49407)
+    assert places.collect() == [] and token_scan.scan_counts(spark, out, 49407).join(places, ["file", "ordinal"]).collect() == []
+
+
 def test_scan_of_foreign_files(spark, tmp_path):
     files = {"a": [5, 9, 9, 7, 7, 7], "b": [9], "c": [1, 2, 3], "d": []}
     for name, ids in files.items():
