@@ -179,24 +179,27 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
 
     Components become floor(scale * x), x as double.  Vectors that are null, hold null
     or non-finite components take no part; nor do rows without id.  Vectors of another
-    length than a query's are no candidates for it.  A repeated id counts as one row
-    (the smallest vector).  ``is_query`` is a condition on the id column; queries are
-    compared with all rows, in blocks of a bounded number of rows.
+    length than a query's are no candidates for it.  Rows that
+    repeat an id are rows of their own, no candidates for each other, and share the ``k``
+    places of their id.  ``is_query`` is a condition on the id column; queries are compared
+    with all rows, in blocks of a bounded number of rows.
     """
     x = column(vector_col).cast("array<double>")
     good = vectors.where(column(id_col).isNotNull() & column(vector_col).isNotNull())
     good = good.select(column(id_col).cast("long").alias("id"), x.alias("v"), is_query.alias("q"))
     good = good.where(~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & (F.size("v") > 0))
+    # Equal rows give equal results, so no more than k copies of one can be among a query's k best.
     rows = (good.select("id", "q", F.transform("v", lambda c: F.floor(c * scale)).alias("v"))
-            .groupBy("id").agg(F.min("v").alias("v"), F.first("q").alias("q")))
+            .groupBy("id", "v").agg(F.count("*").alias("n"), F.first("q").alias("q"))
+            .select("id", "q", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")))
     counts = rows.groupBy().agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m")).first()
     blocks, query_blocks = -(-counts["n"] // block_rows), -(-(counts["m"] or 0) // query_rows)
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score long"
     if not query_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
+    own = F.pmod(F.xxhash64("id", "v", "copy"), F.lit(blocks)).cast("int")
+    mine = F.pmod(F.xxhash64("id", "v", "copy"), F.lit(query_blocks)).cast("int")
     data = rows.select("id", "v", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     asked = rows.where("q").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), mine.alias("query_block"))
 

@@ -67,3 +67,18 @@ def test_operator(spark):
     assert sorted((r[0], r[2], r[3]) for r in got.collect()) == sorted(want)
     assert all(r["rank"] in range(1, 6) for r in got.collect())
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    whole = clustered(rng, 200, 4)
+    ids = np.arange(200) // 2                   # every id twice, with vectors of its own
+    whole = np.concatenate([whole, np.repeat(whole[-1:], 8, 0)])    # and one row nine times
+    ids = np.concatenate([ids, np.repeat(ids[-1:], 8)])
+    df = spark.createDataFrame([(int(i), (v / 256.0).tolist()) for i, v in zip(ids, whole)], "vec_id long, embedding array<double>")
+    got = top_k(df, F.col("vec_id") % 33 == 0, block_rows=64, query_rows=4)
+    want = []
+    for q in range(0, 100, 33):
+        pairs = [(-int(a @ b), int(i)) for a in whole[ids == q] for b, i in zip(whole, ids) if i != q]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(pairs)[:5], 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
