@@ -24,7 +24,7 @@ from phasegrid.llm.common import F, bounded_slices, column, materialize, release
 from phasegrid.llm.trie import PieceTable, Trie, codes_of
 from phasegrid.llm.word_encoder import WordTable
 
-SAMPLE_ROWS = 600       # labelled rows taken for each language, about; their texts count whole
+SAMPLE_ROWS = 600       # distinct labelled texts taken for each language, about; they count whole
 MAX_LANGUAGES = 256
 ROUNDS = 2
 PRIOR = 0.01
@@ -123,15 +123,19 @@ def expected_counts(words: list[str], weight: np.ndarray, prob: np.ndarray | Non
 
 def fit(rows: DataFrame, pieces: str, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
         rounds: int = ROUNDS) -> Model:
-    """Piece probabilities of each language from about ``sample_rows`` of its rows.
+    """Piece probabilities of each language from about ``sample_rows`` of its distinct texts.
 
-    Rows are drawn by a hash of the text, so the draw is the same on every run.  Rows
-    without language or letters teach nothing.  What reaches the driver is bounded by
+    Texts are drawn by their hash, so the draw is the same on every run; copies of a text
+    count once, in the draw and in the fit.  The number drawn is binomial: all texts of a
+    language that has no more than ``sample_rows``, else ``sample_rows`` with a standard
+    deviation below its square root.  Rows without language or letters teach nothing.  What reaches the driver is bounded by
     languages times vocabulary.
     """
     base = (rows.select(column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
             .where("text is not null and lang is not null"))
-    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    draw = F.xxhash64("text")
+    distinct = base.select("lang", draw.alias("draw")).distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -140,8 +144,8 @@ def fit(rows: DataFrame, pieces: str, text_col: str = "text", lang_col: str = "l
         return Model([], np.zeros((0, n_pieces + 1)), pieces)
     million = 1_000_000
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(million, -(-sample_rows * million // sizes[k])))])
-    sample = (base.where(F.pmod(F.xxhash64("text"), F.lit(million)) < share[F.col("lang")])
-              .select("lang", "text"))
+    sample = (base.where(F.pmod(draw, F.lit(million)) < share[F.col("lang")])
+              .select("lang", "text").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

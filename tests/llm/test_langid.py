@@ -69,6 +69,16 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == langid.held_out_of(r["doc_id"]) for r in got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_copied_texts_are_drawn_once(spark):
+    docs = [("the cat and the dog", "en")] * 700 + [(f"der hund {i} und die katze", "de") for i in range(5)]
+    docs += [("xyz " * 50, "fr")] * 40 + [("le chat et le chien", "fr")]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    model = langid.fit(df, PIECES, sample_rows=20)
+    once = langid.fit(df.distinct(), PIECES, sample_rows=20)
+    assert model.languages == once.languages and np.allclose(model.probability, once.probability)
+    assert all(np.ptp(p[:-1]) > 0 for p in model.probability)      # every language learned something
+
+
 def test_edges(spark):
     docs = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "ignored", None), (4, None, "en"), (None, "x", "de")]
     df = spark.createDataFrame(docs * 3, "doc_id long, text string, lang string").withColumnRenamed("doc_id", "a.b")
