@@ -29,10 +29,9 @@ MAX_LANGUAGES = 256
 ROUNDS = 2
 PRIOR = 0.01
 UNKNOWN = 1e-8          # probability of a character that is no piece
-RUN = 48                # longer runs of letters are scored in parts of this length
 CACHE_WORDS = 150_000
 CHUNK_BYTES = 2 << 20
-_SCALE = 16.0           # factor a character, against underflow
+FIT_CHARS = 1 << 19     # characters whose segmentations are held at once in the fit
 
 
 def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
@@ -45,12 +44,6 @@ def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return flat.filter(real), np.diff(ends[cuts])
 
 
-def in_parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Marked words, those over ``RUN`` letters in several, and the word each part is of."""
-    parts = [("▁" if at == 0 else "") + w[at:at + RUN] for w in words for at in range(0, len(w), RUN)]
-    return parts, np.repeat(np.arange(len(words)), [-(-len(w) // RUN) for w in words])
-
-
 @functools.lru_cache(1)
 def vocabulary(path: str) -> tuple[PieceTable, int]:
     """Pieces of a public vocabulary, numbered densely."""
@@ -74,16 +67,19 @@ class Model:
 def expected_counts(words: list[str], weight: np.ndarray, prob: np.ndarray | None, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
     """Expected uses of each piece over all segmentations of marked words of one language.
 
-    Without ``prob`` every occurrence of a piece counts once.
+    Without ``prob`` every occurrence of a piece counts once.  Sums are kept as logarithms,
+    so words of any length are summed whole.
     """
     codes, size = codes_of(words)
     at = np.cumsum(size) - size
     n, longest = len(words), int(size.max(initial=0))
+    node = at + np.arange(n)        # words lie one after the other, each with a place before its first character
     hashes = np.zeros((table.longest, n), np.uint64)
     edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     base = np.uint64(0x9E3779B97F4A7C15)
+    rows = np.arange(n)
     for end in range(1, longest + 1):
-        rows = np.flatnonzero(size >= end)
+        rows = rows[size[rows] >= end]
         c = codes[at[rows] + end - 1].astype(np.uint64) + np.uint64(1)
         hashes[1:, rows] = hashes[:-1, rows] * base + c
         hashes[0, rows] = c
@@ -102,20 +98,23 @@ def expected_counts(words: list[str], weight: np.ndarray, prob: np.ndarray | Non
             pieces.append(piece[known])
             values.append(weight[rows[known]])
     else:
-        p = np.append(prob, UNKNOWN)
-        alpha, beta = np.zeros((longest + 1, n)), np.zeros((longest + 1, n))
-        alpha[0] = 1.0
+        logp = np.log(np.append(prob, UNKNOWN))
+        alpha, beta = np.full(len(codes) + n, -np.inf), np.full(len(codes) + n, -np.inf)
+        alpha[node] = 0.0
         for end, length, rows, piece in edges:
-            alpha[end, rows] += alpha[end - length, rows] * p[piece] * _SCALE ** length
-        beta[size, np.arange(n)] = 1.0
+            to = node[rows] + end
+            alpha[to] = np.logaddexp(alpha[to], alpha[to - length] + logp[piece])
+        beta[node + size] = 0.0
         for end, length, rows, piece in reversed(edges):
-            beta[end - length, rows] += beta[end, rows] * p[piece] * _SCALE ** length
-        total = np.maximum(alpha[size, np.arange(n)], 1e-300)
+            to = node[rows] + end
+            beta[to - length] = np.logaddexp(beta[to - length], beta[to] + logp[piece])
+        total = alpha[node + size]
         for end, length, rows, piece in edges:
             known = piece >= 0
             r, q = rows[known], piece[known]
+            to = node[r] + end
             pieces.append(q)
-            values.append(alpha[end - length, r] * p[q] * _SCALE ** length * beta[end, r] / total[r] * weight[r])
+            values.append(np.exp(alpha[to - length] + logp[q] + beta[to] - total[r]) * weight[r])
     out = np.bincount(np.concatenate(pieces), np.concatenate(values)) if pieces else np.zeros(0)
     used = np.flatnonzero(out)
     return used, out[used]
@@ -167,9 +166,10 @@ def fit(rows: DataFrame, pieces: str, text_col: str = "text", lang_col: str = "l
             for batch in batches:
                 for lang, part in batch.groupby("lang"):
                     k = languages.index(lang)
-                    words, of = in_parts(part["word"].tolist())
-                    piece, value = expected_counts(words, part["n"].to_numpy(float)[of], None if now is None else now[k], lookup)
-                    yield pd.DataFrame({"k": k, "piece": piece, "value": value})
+                    words, weight = ["▁" + w for w in part["word"]], part["n"].to_numpy(float)
+                    for a, b in bounded_slices(np.fromiter(map(len, words), np.int64, len(words)), FIT_CHARS):
+                        piece, value = expected_counts(words[a:b], weight[a:b], None if now is None else now[k], lookup)
+                        yield pd.DataFrame({"k": k, "piece": piece, "value": value})
 
         totals = (counted.mapInPandas(expect, "k int, piece int, value double")
                   .groupBy("k", "piece").agg(F.sum("value").alias("value")).toPandas())
@@ -185,26 +185,27 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.table = model, vocabulary(model.pieces)[0]
-        self.by_piece = np.ascontiguousarray(model.probability.T)
+        self.by_piece = np.ascontiguousarray(np.log(model.probability.T))
         self.words, self.logs = WordTable(), np.zeros((0, len(self.model.languages)))
 
     def _forward(self, words: list[str]) -> np.ndarray:
         trie = Trie(words, self.table)
-        alpha = np.zeros((len(trie.parent), len(self.model.languages)))
-        alpha[0] = 1.0
+        alpha = np.zeros((len(trie.parent), len(self.model.languages)))     # logarithms
         for level in trie.levels():
-            here = np.zeros((len(level), alpha.shape[1]))
+            here = np.full((len(level), alpha.shape[1]), -np.inf)
             known = np.zeros(len(level), bool)
             for length in range(1, min(level.depth, self.table.longest) + 1):
                 at, piece = level.matches(length)
+                if not len(at):
+                    continue
                 before = trie.up(at + level.first, length)
-                here[at] += alpha[before] * self.by_piece[piece] * _SCALE ** length
+                here[at] = np.logaddexp(here[at], alpha[before] + self.by_piece[piece])
                 if length == 1:
                     known[at] = True
             lost = np.flatnonzero(~known)
-            here[lost] += alpha[level.parent[lost]] * (UNKNOWN * _SCALE)
+            here[lost] = np.logaddexp(here[lost], alpha[level.parent[lost]] + np.log(UNKNOWN))
             alpha[level.first:level.first + len(level)] = here
-        return np.log(np.maximum(alpha[trie.ends], 1e-300)) - trie.sizes[:, None] * np.log(_SCALE)
+        return alpha[trie.ends]
 
     def score(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Summed log probabilities by text and language, and the number of words."""
@@ -215,10 +216,9 @@ class Scorer:
         numbers, fresh = self.words.numbers(words)
         fresh = fresh.to_pylist()
         if fresh:
-            parts, of = in_parts(fresh)
-            order = sorted(range(len(parts)), key=parts.__getitem__)
+            order = sorted(range(len(fresh)), key=fresh.__getitem__)
             logs = np.zeros((len(fresh), len(self.model.languages)))
-            np.add.at(logs, of[order], self._forward([parts[i] for i in order]))
+            logs[order] = self._forward(["▁" + fresh[i] for i in order])
             self.logs = np.concatenate([self.logs, logs])
         total = np.zeros((len(texts), len(self.model.languages)))
         some = np.flatnonzero(counts)

@@ -69,6 +69,38 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == langid.held_out_of(r["doc_id"]) for r in got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_long_runs_are_summed_whole():
+    table, n = langid.vocabulary(PIECES)
+    rng = np.random.default_rng(1)
+    probability = np.append(rng.dirichlet(np.ones(n), 2), np.full((2, 1), langid.UNKNOWN), 1)
+    scorer = langid.Scorer(langid.Model(["aa", "bb"], probability, PIECES))
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    model = proto.ModelProto()
+    model.ParseFromString(open(PIECES, "rb").read())
+    names = sorted({p.piece for p in model.pieces if p.type == 1})
+    words = ["there" * 60, "ꙮ" * 200]        # over any cut; no piece at all
+    logs, _ = scorer.score(pa.array(words))
+    for k in range(2):
+        prob = dict(zip(names, probability[k]))
+        for i, w in enumerate(words):
+            marked = "▁" + w
+            alpha = [0.0]
+            for end in range(1, len(marked) + 1):
+                terms = [alpha[end - m] + math.log(prob[marked[end - m:end]]) for m in range(1, min(end, table.longest) + 1) if marked[end - m:end] in prob]
+                if marked[end - 1] not in prob:
+                    terms.append(alpha[-1] + math.log(langid.UNKNOWN))
+                top = max(terms)
+                alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            assert math.isclose(logs[i, k], alpha[-1], rel_tol=1e-9)
+
+
+def test_expected_counts_of_a_long_word():
+    table = PieceTable({"a": 0, "aa": 1, "▁": 2})
+    piece, value = langid.expected_counts(["▁" + "a" * 2001, "▁a", "▁" + "b" * 300], np.ones(3), np.array([1e-3, 1e-9, 0.5]), table)
+    got = dict(zip(piece.tolist(), value.tolist()))
+    assert math.isclose(got[0] + 2 * got[1], 2002, rel_tol=1e-9) and math.isclose(got[2], 3, rel_tol=1e-9)
+
+
 def test_copied_texts_are_drawn_once(spark):
     docs = [("the cat and the dog", "en")] * 700 + [(f"der hund {i} und die katze", "de") for i in range(5)]
     docs += [("xyz " * 50, "fr")] * 40 + [("le chat et le chien", "fr")]
