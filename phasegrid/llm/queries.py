@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from phasegrid.llm import bitpack, cover_tree, group_join, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup, token_scan
+from phasegrid.llm import (bitpack, cover_tree, group_join, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup,
+                           token_scan, whitening)
 from phasegrid.llm.common import F, scratch_path, table
 from phasegrid.llm.registry import query
 
@@ -132,3 +133,8 @@ def op3_recompression_dedup(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_group_jaccard_join")
 def op6_group_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return group_join.link_groups(table(spark, root, "documents"), words=5, percent=80)
+
+
+@query("op11_exact_whitening")
+def op11_exact_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"), components=4, scale=256)
