@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from phasegrid.llm import (bitpack, cover_tree, group_join, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup,
+from phasegrid.llm import (bitpack, collocations, cover_tree, group_join, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup,
                            token_scan, whitening)
 from phasegrid.llm.common import F, scratch_path, table
 from phasegrid.llm.registry import query
@@ -138,3 +138,29 @@ def op6_group_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
 @query("op11_exact_whitening")
 def op11_exact_whitening(spark: SparkSession, root: str) -> DataFrame:
     return whitening.whiten(table(spark, root, "embeddings"), components=4, scale=256)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS size FROM
+      (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT c.*, k, a.f AS l, b.f AS r, n.n, (1000 * CAST(c.f AS HUGEINT) * n.n) // (CAST(a.f AS HUGEINT) * b.f) AS score
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN n USING (lang)
+      JOIN f a ON a.lang = c.lang AND a.phrase = array_to_string(c.w[1:k], ' ')
+      JOIN f b ON b.lang = c.lang AND b.phrase = array_to_string(c.w[k + 1:c.size], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM
+      (SELECT *, unnest(range(1, size)) AS i FROM c), (SELECT unnest(range(2, 5)) AS m) WHERE m < size AND i + m - 1 <= size GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n,
+      CAST(score AS BIGINT) AS score FROM kept) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13_phrase_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return collocations.collocations(table(spark, root, "documents"), least=100, longest=5, top=2000)
