@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from phasegrid.llm import (bitpack, collocations, cover_tree, group_join, iblt, langid, mixing, recompression, sentencepiece_op, suffix_dedup,
-                           token_scan, whitening)
+from phasegrid.llm import (bitpack, collocations, cover_tree, group_join, hidden_markov, iblt, langid, mixing, recompression,
+                           sentencepiece_op, suffix_dedup, token_scan, whitening)
 from phasegrid.llm.common import F, scratch_path, table
 from phasegrid.llm.registry import query
 
@@ -164,3 +164,8 @@ SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score
 @query("op13_phrase_collocations", OP13_SQL)
 def op13_phrase_collocations(spark: SparkSession, root: str) -> DataFrame:
     return collocations.collocations(table(spark, root, "documents"), least=100, longest=5, top=2000)
+
+
+@query("op12_hidden_markov_score")
+def op12_hidden_markov_score(spark: SparkSession, root: str) -> DataFrame:
+    return hidden_markov.scores(table(spark, root, "documents"), hidden_markov.held_out_of())
