@@ -22,10 +22,10 @@ from phasegrid.llm.common import bounded_slices, column, materialize, release, t
 from phasegrid.scale import broadcast_if_small
 
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
-SLICE_BYTES = 16 << 20      # text whose equal words, pairs and suffixes are counted before they move
+SLICE_BYTES = 4 << 20       # text whose equal words, pairs and suffixes are counted before they move
 FILTER_BYTES = 16 << 20     # frequent words or pairs sent to every task; more of them are not, and suffixes end later
 HOT_ROWS = 100_000          # suffixes of the same leading words that are sorted together; more are parted by the next word
-BLOCK_ROWS = 300_000        # suffixes sorted at once
+BLOCK_ROWS = 150_000        # suffixes sorted at once
 HOT_LISTED = 100_000        # leading words parted further that are broadcast; more join by shuffle
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
 
 import numpy as np
@@ -41,9 +43,20 @@ def text_sizes(texts: pa.Array) -> np.ndarray:
     return pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
 
 
+@functools.cache
+def _c_library() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except (OSError, TypeError):
+        return None
+
+
 def release() -> None:
-    """Give memory that Arrow keeps for reuse back, as workers live on and take turns at different work."""
+    """Give memory that Arrow and the C library keep for reuse back, as workers live on and take turns at different work."""
     pa.default_memory_pool().release_unused()
+    if _c_library() is not None:
+        _c_library().malloc_trim(0)
 
 
 def binary_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
