@@ -227,9 +227,6 @@ class Scorer:
         return total, counts
 
 
-_scorers: dict[int, Scorer] = {}     # one for the life of a Python worker
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred`` and ``score``; columns of those names are replaced.
 
@@ -246,9 +243,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     text = f"c{[c.lower() for c in kept].index(text_col.lower())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = _scorers.get(0)
-        if here is None or here.model is not shared.value:
-            here = _scorers[0] = Scorer(shared.value)
+        here = Scorer(shared.value)     # its words go with the partition, as the worker lives on for other stages
         names = here.model.languages
         for batch in batches:
             texts = batch.column(text)

@@ -161,6 +161,10 @@ class PieceEncoder:
         self._surface = np.frombuffer(b"".join(self.model.surface), np.uint8)
         self._surface_at, self._surface_len = np.cumsum(lengths) - lengths, lengths
 
+    def forget(self) -> None:
+        """Drop the words seen so far."""
+        self.words, self.ids = WordTable(), _Tokens()
+
     def _split(self, text: str) -> list[str]:
         """Marked words without their first mark."""
         return [w[1:] for w in _MARKED.findall(MARK + text.replace(" ", MARK))] if text else []

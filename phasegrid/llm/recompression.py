@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from phasegrid.llm import windows as win
-from phasegrid.llm.common import F, binary_buffer, bounded_slices, materialize, mix64, text_sizes
+from phasegrid.llm.common import F, binary_buffer, bounded_slices, materialize, mix64, release, text_sizes
 
 LENGTH = 50
 ROUNDS = 5
 RUN_EVERY = 3           # rounds in which runs are named
 FEW = 4                 # symbols of fewer words are anchors only where a window has no other
 CHUNK_BYTES = 1 << 19
+PIECE_WORDS = 1 << 17   # words of one text that are named at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -48,7 +49,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_symbols(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return mix64(win.Prefix(raw.astype(np.uint64)).hash(start, stop) ^ mix64((stop - start).astype(np.uint64)))
+    return mix64(win.Prefix(raw).hash(start, stop) ^ mix64((stop - start).astype(np.uint64)))
 
 
 def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -154,7 +155,7 @@ def anchors_of(symbols: np.ndarray, docs: np.ndarray, length: int, rounds: int =
     anchor, name = np.full(len(window), -1, np.int64), np.zeros(len(window), np.uint64)
     open_ = np.arange(len(window))
     for height in range(rounds, -1, -1):
-        level = levels[height]
+        level = levels.pop()        # a level is not needed after its anchors are taken
         # Dependences grow along the text, so the symbols inside a window are neighbours.
         low, high = np.maximum.accumulate(level.lo), np.minimum.accumulate(level.hi[::-1])[::-1]
         from_ = np.searchsorted(low, window[open_])
@@ -172,11 +173,24 @@ def anchors_of(symbols: np.ndarray, docs: np.ndarray, length: int, rounds: int =
     head = np.flatnonzero(new)
     start, stop = window[head], window[np.append(head[1:], len(window)) - 1]
     lead, span = anchor[head] - start, stop - start
-    prefix = win.Prefix(symbols)
+    prefix = win.Prefix(symbols, win.BASES[1])
     return (some[text[head]], start - docs[some[text[head]]], lead, span, name[head],
             win.context_hash(prefix, start, lead, span, length))
 
 
+def _word_pieces(docs: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words that hold every window: one for several texts, overlapping ones for a long text.
+
+    What a symbol is made of lies inside a piece or reaches outside it, and then no window
+    of the piece has it; so a window has the same anchor in any piece that holds it.
+    """
+    n, at = int(docs[-1]), 0
+    while len(docs) == 2 and n - at > PIECE_WORDS:
+        yield at, at + PIECE_WORDS
+        at += PIECE_WORDS - length + 1
+    yield at, n
+
+
 def anchor_frame(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +198,11 @@ def anchor_frame(rows: DataFrame, length: int) -> DataFrame:
             for lo, hi in bounded_slices(text_sizes(texts), CHUNK_BYTES):
                 raw, offsets = binary_buffer(texts.slice(lo, hi - lo))
                 start, stop, docs = word_spans(raw, offsets)
-                text, first, lead, span, name, ctx = anchors_of(word_symbols(raw, start, stop), docs, length)
-                yield win.anchor_rows(name, ctx, batch.column("doc"), batch.column("twin"), text + lo, win.pack_place(first, lead, span))
+                symbols = word_symbols(raw, start, stop)
+                for a, b in _word_pieces(docs, length):
+                    text, first, lead, span, name, ctx = anchors_of(symbols[a:b], docs if hi - lo > 1 else np.array([0, b - a]), length)
+                    yield win.anchor_rows(name, ctx, batch.column("doc"), batch.column("twin"), text + lo, win.pack_place(first + a, lead, span))
+            release()
 
     return rows.mapInArrow(run, win.ANCHORS)
 
@@ -212,6 +229,7 @@ def verify(rows: DataFrame, classes: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [flat.field("name").take(take), flat.field("ctx").take(take), pa.array(inner.astype(np.int32)),
                      pa.array(digest[np.repeat(docs[row] + begin, count) + inner].view(np.int64))], ["name", "ctx", "at", "digest"])
+            release()
 
     return win.attach(rows, by_doc, keep_all=False).select("text", "wanted").mapInArrow(run, "name long, ctx long, at int, digest long")
 
@@ -281,9 +299,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     [batch.column("doc").slice(lo, hi - lo), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(docs_)),
                      pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), batch.column("twin").slice(lo, hi - lo)],
                     ["doc", "kept", "n_words", "n_removed", "removed", "twin"])
+            release()
 
     out = win.attach(rows, by_doc, keep_all=True).select("doc", "twin", "text", "marks").mapInArrow(
-        run, "doc long, kept string, n_words long, n_removed long, removed array<array<long>>, twin int")
+        run, "doc long, kept string, n_words long, n_removed long, removed array<array<long>>, twin long")
     return out.select(F.when(F.col("doc") != win.NO_ID, F.col("doc")).alias("doc_id"), "kept", "n_words", "n_removed", "removed", "twin")
 
 

@@ -41,6 +41,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                      pa.array(text_sizes(raw)), same],
                     ["doc_id", "n_pieces", "ids", "n_bytes", "round_trip"])
             release()
+        encoder.forget()        # the model stays with the worker, the words of these texts do not
+        release()
 
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, n_bytes long, round_trip boolean")
 

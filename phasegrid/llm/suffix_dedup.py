@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from phasegrid.llm import windows as win
-from phasegrid.llm.common import F, binary_buffer, bounded_slices, materialize, mix64, text_sizes
+from phasegrid.llm.common import F, binary_buffer, bounded_slices, materialize, mix64, release, text_sizes
 from phasegrid.llm.suffix_array import common_prefixes, suffix_array
 from phasegrid.scale import broadcast_if_small
 
@@ -61,7 +61,7 @@ def anchors_of(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     sizes = np.diff(offsets)
     if not len(raw) or sizes.max(initial=0) < length:
         return empty
-    prefix = win.Prefix(raw.astype(np.uint64))
+    prefix = win.Prefix(raw)
     h = mix64(prefix.fixed(k))
     least = _least(h, w)
     # First and last window of each text that has one.
@@ -104,7 +104,7 @@ def anchors_of(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     start, stop, place = (np.concatenate(x) for x in (starts, stops, places))
     lead, span = place - start, stop - start
     text = some[np.searchsorted(first, start, side="right") - 1]
-    return text, start - offsets[text], lead, span, h[place], win.context_hash(prefix, start, lead, span, length)
+    return text, start - offsets[text], lead, span, h[place], win.context_hash(win.Prefix(raw, win.BASES[1]), start, lead, span, length)
 
 
 def _pieces(sizes: np.ndarray, length: int):
@@ -132,6 +132,7 @@ def anchor_frame(rows: DataFrame, length: int) -> DataFrame:
                 row, base = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int64)
                 yield win.anchor_rows(name, ctx, batch.column("doc"), batch.column("twin"), row[text],
                                       win.pack_place(start + base[text], lead, span))
+            release()
 
     return rows.mapInArrow(run, win.ANCHORS)
 
@@ -187,7 +188,7 @@ def settle(pieces: DataFrame, length: int) -> DataFrame:
             names = []
             for i, r in enumerate(rows):
                 if r["salts"] > 1:     # other blocks of this name: compare digests of what surrounds the anchor
-                    p = win.Prefix(np.frombuffer(before[i] + after[i], np.uint8).astype(np.uint64))
+                    p = win.Prefix(np.frombuffer(before[i] + after[i], np.uint8))
                     at = np.arange(span[i] + 1)
                     digest = mix64(p.hash(at, at + length - length // 2) ^ mix64((lead[i] - at).astype(np.uint64)))
                     names.append(digest.view(np.int64).tolist())
@@ -239,6 +240,7 @@ def mark_repeats(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                                  ["name", "salt", "salts", "ctx", "lead", "span", "before", "after"])
+            release()
 
     # One text may hold the representatives of many contexts; a document is read once for all of them.
     pieces = win.attach(rows, by_doc, keep_all=False).select("text", "wanted").mapInArrow(
@@ -300,6 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                      pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["doc", "kept", "spans", "n_bytes", "n_removed"])
+            release()
 
     out = win.attach(rows, by_doc, keep_all=True).select("doc", "text", "marks").mapInArrow(
         run, "doc long, kept binary, spans array<array<long>>, n_bytes long, n_removed long")

@@ -12,45 +12,94 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from phasegrid.llm.common import F, column, materialize, mix64
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = -(1 << 63)      # stands for a null id
 SMALL_ROWS = 1_000_000  # id lists up to this length are broadcast
 MAX_LENGTH = 4095       # lead and span share a long with the start
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PRIME = (1 << 61) - 1
+BASES = (0x15A4E35B7C3D9F21, 0x0B7E151628AED2A6)    # polynomials at two points do not collide together
+KEPT_POWERS = (1 << 20) + 1     # powers of a base that a worker keeps; longer texts make their own
+_M61, _M31, _M30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_BLOCK = 1 << 15
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for i, b in enumerate((BASE, BASE_INVERSE)):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            _powers[i] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2^61 - 1."""
+    x = (x & _M61) + (x >> np.uint64(61))
+    return np.minimum(x, x - _M61)      # below the prime the difference wraps around and is larger
 
 
-class Prefix:
-    """Hashes of any stretch of a sequence of 64-bit units."""
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it, from halves of 31 bits, a block at a time."""
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), _BLOCK):
+        x, y = a[i:i + _BLOCK], b[i:i + _BLOCK]
+        xh, xl, yh, yl = x >> np.uint64(31), x & _M31, y >> np.uint64(31), y & _M31
+        middle = xl * yh + xh * yl
+        out[i:i + _BLOCK] = _reduced(((xh * yh) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _M30) << np.uint64(31)) + xl * yl)
+    return out
+
+
+def _power_list(base: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[0], done = 1, 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = times(out[:more], np.full(more, pow(base, done, PRIME), np.uint64))
+        done += more
+    return out
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """The first ``n`` powers of a base modulo 2^61 - 1."""
+    if n > KEPT_POWERS:
+        return _power_list(base, n)
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = _power_list(base, min(1 << int(n - 1).bit_length(), KEPT_POWERS))
+    return _powers[base][:n]
 
-    def __init__(self, units: np.ndarray) -> None:
-        up, self.down = powers(len(units) + 1)
-        self.sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum((units + np.uint64(1)) * up[:len(units)], out=self.sums[1:])
+
+class Prefix:
+    """Hashes of any stretch of a sequence of 64-bit units: a polynomial in a fixed point modulo a prime."""
+
+    def __init__(self, units: np.ndarray, base: int = BASES[0]) -> None:
+        n = len(units)
+        up, self.down = powers(n + 1, base)[:n], powers(n + 1, pow(base, -1, PRIME))
+        self.sums = np.zeros(n + 1, np.uint64)
+        if units.dtype == np.uint8:
+            # Bytes times halves of 31 bits: sums of a block stay far below 2^64.
+            total = np.uint64(0)
+            for a in range(0, n, _BLOCK):
+                part, unit = up[a:a + _BLOCK], units[a:a + _BLOCK] + np.uint64(1)
+                low = np.cumsum((part & _M31) * unit, dtype=np.uint64)
+                high = _reduced(np.cumsum((part >> np.uint64(31)) * unit, dtype=np.uint64))
+                here = _reduced(_reduced(low) + (((high << np.uint64(31)) & _M61) | (high >> np.uint64(30))) + total)
+                self.sums[a + 1:a + 1 + len(part)] = here
+                total = here[-1]
+            return
+        term = times(_reduced(_reduced(units) + np.uint64(1)), up)
+        # Sums of halves of 32 and 29 bits fit into 64 for any text.
+        low = np.cumsum(term & np.uint64(0xFFFFFFFF), dtype=np.uint64)
+        high = np.cumsum(term >> np.uint64(32), dtype=np.uint64)
+        self.sums[1:] = _reduced(_reduced(low) + (((high << np.uint64(32)) & _M61) | (high >> np.uint64(29))))
+
+    def _between(self, low: np.ndarray, high: np.ndarray, down: np.ndarray) -> np.ndarray:
+        return times(_reduced(high + (_M61 - low)), down)
 
     def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
+        return self._between(self.sums[start], self.sums[stop], self.down[start])
 
     def fixed(self, length: int) -> np.ndarray:
         """Hash of every stretch of ``length``."""
         n = len(self.sums) - length
-        return (self.sums[length:] - self.sums[:n]) * self.down[:n]
+        return self._between(self.sums[:n], self.sums[length:], self.down[:n])
 
 
 def pack_place(start: np.ndarray, lead: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -63,17 +112,24 @@ def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def context_hash(prefix: Prefix, start: np.ndarray, lead: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
-    """Digest of the units under a context's windows and of where the anchor is among them."""
+    """Digest of the units under a context's windows and of where the anchor is among them.
+
+    ``prefix`` is of the second base: with an anchor's name, by the first, classes have some 120 bits.
+    """
     raw = prefix.hash(start, start + span + length)
     return mix64(raw ^ mix64((lead.astype(np.uint64) << np.uint64(20)) ^ span.astype(np.uint64) ^ np.uint64(length << 40)))
 
 
+def twin_of(text: Column) -> Column:
+    """What rows of one id are told apart by: 64 bits of their text."""
+    return F.xxhash64(text)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, twin, text.  ``twin`` tells rows with one id and different texts apart (32-bit hash);
-    rows that repeat id and text have equal results anyway.  Null texts are empty."""
+    """doc, twin, text.  ``twin`` tells rows with one id and different texts apart; rows that
+    repeat id and text have equal results anyway.  Null texts are empty."""
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.hash(text).alias("twin"), text.alias("text"))
+    return docs.select(F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), twin_of(text).alias("twin"), text.alias("text"))
 
 
 def anchor_rows(name: np.ndarray, ctx: np.ndarray, doc: pa.Array, twin: pa.Array, of: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -82,7 +138,7 @@ def anchor_rows(name: np.ndarray, ctx: np.ndarray, doc: pa.Array, twin: pa.Array
                                        pa.array(place)], ["name", "ctx", "doc", "twin", "place"])
 
 
-ANCHORS = "name long, ctx long, doc long, twin int, place long"
+ANCHORS = "name long, ctx long, doc long, twin long, place long"
 
 
 def shared_anchors(anchors: DataFrame, across_docs: bool) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from phasegrid.llm.common import binary_buffer
 
 CACHE_WORDS = 300_000
+CACHE_BYTES = 32 << 20
 _TAIL = ".,;:!?"
 
 
@@ -44,14 +45,15 @@ class WordTable:
         return number[coded.indices.to_numpy()], fresh
 
     def shrink(self, bound: int) -> np.ndarray | None:
-        """Beyond ``bound`` words, forget those seen in one call only (all, if that is not enough).
+        """Beyond ``bound`` words or CACHE_BYTES, forget those seen in one call only (all, if that is not enough).
 
         Returns the old numbers of the words that stay, or nothing if all stay.
         """
-        if len(self.words) <= bound:
+        if len(self.words) <= bound and self.words.nbytes <= CACHE_BYTES:
             return None
         stay = np.flatnonzero(self.uses > 1)
-        stay = stay if len(stay) <= bound // 2 else stay[:0]
+        size = pc.sum(pc.binary_length(self.words.take(pa.array(stay)))).as_py() or 0
+        stay = stay if len(stay) <= bound // 2 and size <= CACHE_BYTES // 2 else stay[:0]
         self.words, self.uses = self.words.take(pa.array(stay)), np.ones(len(stay), np.int64)
         return stay
 
@@ -97,6 +99,7 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = special_as_text
         self.cache_words = cache_words
+        self._letters: dict[str, bool] = {}     # by last code point, of which there are as many as Unicode has
         self.words, self.word_ids = WordTable(), _Tokens()
         self.stems, self.stem_ids = WordTable(), _Tokens()
         # Models that mark word ends tell where one word of letters stops in a run of ids.
@@ -122,16 +125,29 @@ class WordEncoder:
         self.stem_ids.add(ids, np.diff(ends, prepend=0))
         return True
 
+    def _ends_in_letter(self, stems: pa.StringArray) -> pa.Array:
+        """Whether the last code point of each stem stays a letter when the model normalises it."""
+        last = pc.utf8_slice_codeunits(stems, -1, None).dictionary_encode()
+        keep = []
+        for c in last.dictionary.to_pylist():
+            if c not in self._letters:
+                made = self.model.normalizer.normalize_str(c) if self.model.normalizer is not None else c
+                self._letters[c] = made[-1:].isalpha()
+            keep.append(self._letters[c])
+        return pa.array(keep, pa.bool_()).take(last.indices)
+
     def _learn(self, fresh: pa.StringArray) -> None:
         """Ids of words seen for the first time.
 
-        A word of letters before closing punctuation has the ids of both parts,
-        and ASCII letters are encoded in lower case, as the model lowers them anyway.
+        A word of letters before closing punctuation has the ids of both parts, if its
+        last letter is still a letter at the end of what the model makes of it (not a
+        mark, which would join the punctuation); ASCII letters are encoded in lower
+        case, as the model lowers them anyway.
         """
         if not len(fresh):
             return
         stem = pc.utf8_rtrim(fresh, characters=_TAIL)
-        letters = pc.utf8_is_alpha(stem)
+        letters = pc.and_(pc.utf8_is_alpha(stem), self._ends_in_letter(stem))
         whole = pc.if_else(letters, stem, fresh)
         whole = pc.if_else(pc.and_(letters, pc.string_is_ascii(whole)), pc.ascii_lower(whole), whole)
         cut = np.where(letters.to_numpy(zero_copy_only=False), pc.binary_length(stem).to_numpy(), 0)
