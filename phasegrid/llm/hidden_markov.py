@@ -1,7 +1,7 @@
 """Scores of texts by a hidden Markov language model that is trained by Baum-Welch on all training texts.
 
-The model's symbols are words met often enough in training, each for itself, and
-classes of rarer words by their last letters; inside a class a word has its share of
+The model's symbols are words with a share of the training tokens that is the same at
+every size of corpus, each for itself, and classes of rarer words by their last letters; inside a class a word has its share of
 the class's training counts, and what was never met counts as one more word.
 
 Texts are turned into symbol numbers once, in slices that have numberings of their
@@ -29,7 +29,7 @@ from phasegrid.scale import broadcast_if_small
 KINDS = byte_kinds(b" \t\n\x0b\x0c\r")
 STATES = 8
 ROUNDS = 3
-OWN_COUNT = 100         # training occurrences from which a word is a symbol of its own
+OWN_PART = 200_000      # a word is a symbol of its own if it is one in so many training tokens or more
 ENDING = 2              # last code points that rarer words share a symbol by
 STAY = 0.9              # first guess of the probability to stay in a state
 SHARE = 0.02            # part of each state's probabilities that follows the counts of all states
@@ -105,12 +105,12 @@ def encoded(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Da
     return materialize(plain.mapInArrow(run, schema), "encoded-texts")
 
 
-def counted_words(words: DataFrame) -> DataFrame:
+def counted_words(words: DataFrame, tokens: int) -> DataFrame:
     """Words of slices with ``c``, their count in training, and ``symbol``; ``first`` marks one row a word."""
     same = Window.partitionBy("word")
     rows = words.select("slice", "code", "word", F.sum("n").over(same).alias("c"),
                         (F.row_number().over(same.orderBy("slice")) == 1).alias("first"))
-    symbol = (F.when(F.col("word") == "", "e").when(F.col("c") >= OWN_COUNT, F.concat(F.lit("w"), "word"))
+    symbol = (F.when(F.col("word") == "", "e").when(F.col("c") * OWN_PART >= max(tokens, 1), F.concat(F.lit("w"), "word"))
               .otherwise(F.concat(F.lit("r"), F.expr(f"right(word, {ENDING})"))))
     return materialize(rows.select("slice", "code", "c", "first", symbol.alias("symbol")), "counted-words")
 
@@ -264,10 +264,11 @@ def scores(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int
     """
     encoded_rows = encoded(docs, F.coalesce(held_out, F.lit(False)), id_col, text_col)
     texts = _own(encoded_rows.where("word is null").select("slice", "doc_id", "held_out", "narrow", "wide"))
-    words = counted_words(encoded_rows.where("word is not null").select("slice", "word", "code", "n"))
-    r = words.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words"),
-                                           F.count_distinct("symbol").alias("symbols")).first()
-    corpus = Training(r["tokens"], r["words"], r["symbols"])
+    words = encoded_rows.where("word is not null").select("slice", "word", "code", "n")
+    tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = counted_words(words, tokens)
+    r = words.where("first and c > 0").agg(F.count("*").alias("words"), F.count_distinct("symbol").alias("symbols")).first()
+    corpus = Training(tokens, r["words"], r["symbols"])
     both = symbols_of(texts, words, corpus)
     symbols = both.where("symbol is not null").select("slice", "symbol", "code", "n")
     texts = _own(both.where("symbol is null").drop("symbol", "code", "n"))

@@ -9,15 +9,14 @@ starts from a known distribution and ends in a known outlook.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from phasegrid.llm.common import bounded_slices
 
-SEGMENT = 2048          # longer sequences are cut
-BATCH = 400_000         # symbols whose states are held at once
+SEGMENT = 8192          # longer sequences are cut
+BATCH = 600_000         # symbols whose states are held at once
 
 
 @dataclass
@@ -48,15 +47,16 @@ class Chains:
         seen = emit[self.codes]
         scale = np.empty(len(self.codes))
         last = np.empty((len(self.size), emit.shape[1]))
+        ones = np.ones(emit.shape[1])       # a product with it is the quicker row sum
         now = enter[self.order]
         for t in range(self.steps):
             a, b = self.offset[t], self.offset[t + 1]
-            now = (now[:b - a] if t == 0 else last[:b - a] @ moves) * seen[a:b]
-            scale[a:b] = now.sum(1)
-            now /= scale[a:b, None]
-            last[:b - a] = now
+            here = seen[a:b]
+            here *= now[:b - a] if t == 0 else last[:b - a] @ moves
+            np.matmul(here, ones, out=scale[a:b])
+            np.multiply(here, (1 / scale[a:b])[:, None], out=last[:b - a])
             if keep:
-                seen[a:b] = now
+                here[:] = last[:b - a]
         logs, ends = np.empty(len(self.size)), np.empty_like(last)
         logs[self.order] = np.bincount(self.rank, np.log(scale), len(self.size))
         ends[self.order] = last
@@ -64,8 +64,10 @@ class Chains:
 
     def backward(self, emit: np.ndarray, moves: np.ndarray, states: np.ndarray, leave: np.ndarray, total: np.ndarray) -> np.ndarray:
         """Turns ``states`` into posteriors, adds moves inside chains to ``total``; posteriors of the first places, in given order."""
-        ahead = leave[self.order].copy()
+        leave_now = leave[self.order]
+        ahead = leave_now.copy()
         turned = np.ascontiguousarray(moves.T)
+        ones = np.ones(emit.shape[1])
         for t in range(self.steps - 1, -1, -1):
             a, b = self.offset[t], self.offset[t + 1]
             more = int(self.running[t + 1]) if t + 1 < self.steps else 0
@@ -73,11 +75,15 @@ class Chains:
             if more:
                 told = emit[self.codes[self.offset[t + 1]:self.offset[t + 2]]] * ahead[:more]
                 back = told @ turned
-                norm = (here[:more] * back).sum(1, keepdims=True)
-                total += moves * (here[:more].T @ (told / norm))
-                ahead[:more] = back / back.sum(1, keepdims=True)
-            post = here * ahead[:b - a]
-            states[a:b] = post / post.sum(1, keepdims=True)
+                post = here[:more] * back
+                weight = (1 / (post @ ones))[:, None]      # outlooks are kept so that they weigh 1 under the distribution
+                told *= weight
+                total += moves * (here[:more].T @ told)
+                np.multiply(back, weight, out=ahead[:more])
+                np.multiply(post, weight, out=here[:more])
+            ended = here[more:]
+            ended *= leave_now[more:b - a]
+            ended *= (1 / (ended @ ones))[:, None]
         first = np.empty((len(self.size), emit.shape[1]))
         first[self.order] = states[:len(self.size)]
         return first
@@ -99,9 +105,10 @@ def sequences(codes: np.ndarray, size: np.ndarray, emit: np.ndarray, first: np.n
     """
     k = len(first)
     out = Counts(np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))) if count else None
-    at = np.cumsum(size) - size
+    order = np.argsort(size, kind="stable")     # sequences of like size run side by side
+    at, size = (np.cumsum(size) - size)[order], size[order]
     logs = np.zeros(len(size))
-    for a, b in _batches(size):
+    for a, b in bounded_slices(size, 4 * BATCH):
         of, start, length = _segments(size[a:b], SEGMENT)
         begin = at[a:b][of] + start
         enter, leave = np.tile(first, (len(of), 1)), np.ones((len(of), k))
@@ -123,11 +130,9 @@ def sequences(codes: np.ndarray, size: np.ndarray, emit: np.ndarray, first: np.n
                 out.moves += moves * (before[c:d][inner].T @ (head[inner] / enter[c:d][inner]))
             for s in range(k):
                 out.symbols[:, s] += np.bincount(chains.codes, states[:, s], len(emit))
-    return logs, out
-
-
-def _batches(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    yield from bounded_slices(size, 4 * BATCH)
+    given = np.empty_like(logs)
+    given[order] = logs
+    return given, out
 
 
 def _join(codes, of, begin, length, cut, emit, first, moves, enter, leave, before) -> None:

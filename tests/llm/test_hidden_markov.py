@@ -91,8 +91,10 @@ def test_counts_and_base(spark):
 
 def test_probabilities_and_training(spark, monkeypatch):
     """The trained model's score equals plain recursions over the same probabilities, and held-out texts gain."""
-    monkeypatch.setattr(hm, "OWN_COUNT", 12)
     docs = corpus(2, 400)
+    total = expected(docs, 12)[0][0][3]
+    monkeypatch.setattr(hm, "OWN_PART", total // 12)
+    own = -(-total // (total // 12))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     kept = {}
     real = hm.train
@@ -104,7 +106,7 @@ def test_probabilities_and_training(spark, monkeypatch):
     got = hm.scores(df, hm.held_out_of(), states=4, rounds=6).collect()
     rows, tokens, c, _ = expected(docs, 12)
     def symbol(w):
-        return "e" if w == "" else "w" + w if c[w] >= 12 else "r" + w[-2:]
+        return "e" if w == "" else "w" + w if c[w] >= own else "r" + w[-2:]
     z = Counter()
     for w, k in c.items():
         z[symbol(w)] += k + 1
