@@ -1,7 +1,10 @@
 """Corpus pipeline: language, near copies, repeated passages, mixture, piece ids.
 
 Every stage takes what its predecessor kept, whole, and all but the last return the
-columns of ``documents``.  Rows that share a ``doc_id`` are one document.
+columns of ``documents``; other columns, whatever their names, are left out.  Rows that
+share a ``doc_id`` are one document; rows without an id are one document that comes
+before all others.  Null texts are empty, an empty table stays empty, and of equals the
+least id comes first.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = cut.select(F.coalesce("doc_id", F.lit(win.NO_ID)).alias("doc"), "twin", F.col("kept").alias("kept_text"),
                      (F.col("n_words") > F.col("n_removed")).alias("stays")).distinct()
     cut = materialize(cut, "pipeline-cut")
-    rows = docs.withColumn("doc", F.coalesce("doc_id", F.lit(win.NO_ID))).withColumn("twin", F.hash(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("doc", F.coalesce("doc_id", F.lit(win.NO_ID))).withColumn("twin", win.twin_of(F.coalesce("text", F.lit(""))))
     both = win.attach(rows, cut, keep_all=True).where("stays is null or stays")
     return (both.withColumn("text", F.coalesce("kept_text", "text"))
             .withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
