@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
@@ -57,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _write(output: str, results: dict[str, DataFrame]) -> None:
+def _write(output: str, results: Mapping[str, DataFrame]) -> None:
     for name, df in results.items():
         products.write_product(df, output, name, "overwrite")
 
@@ -89,7 +90,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.num_packets:
         packets = packets.orderBy("arrival").limit(args.num_packets)
     if args.job == "observe":
-        _write(args.output, jobs.observe(packets, cfg, cal, shared=True))
+        _write(args.output, jobs.observe(packets, cfg, cal))
     elif args.job == "adaptive":
         modes: int | dict[int, int] = 1
         if args.eigenvalue_num_filename:
@@ -97,7 +98,7 @@ def main(argv: list[str] | None = None) -> None:
                      dims.integer_map(spark, args.eigenvalue_num_filename, "channel", "k").collect()}
         delta = args.detection_threshold_delta if args.detect_signal_eigenmodes else None
         _write(args.output, jobs.adaptive_spectra(packets, cfg, cal, "shrink" if args.shrink_eigenvalues else "null",
-                                                  modes, delta, shared=True))
+                                                  modes, delta))
     elif args.job == "antenna-spectra":
         _write(args.output, {"spectra": jobs.antenna_spectra(packets, cfg, cal, args.downsample)})
     elif args.job == "bandpass":

@@ -57,24 +57,20 @@ def bind(value, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+_UNIT = r"[%,;xsmunGMKBkHz/]*"
+#: A pair between blanks whose key has no later pair with a number.
+_PAIR = rf"(?s)(?:^| )([^ =]+)=({_NUMBER}){_UNIT}(?= |$)(?!.* \1={_NUMBER}{_UNIT}(?: |$))"
+
+
 def key_values(line) -> Column:
     """``key=number`` pairs of a log line as a map; a repeated key keeps the last.
 
     A pair is a piece between blanks, cut at its first ``=``.  Values that are not a
     number are dropped; a unit after the digits, such as a percent sign, is ignored.
     """
-    key = lambda p: F.substring_index(p, "=", 1)
-    digits = lambda p: F.rtrim(F.substring(p, F.instr(p, "=") + 1, F.length(p)), F.lit("%,;xsmunGMKBkHz/"))
-    value = lambda p: digits(p).try_cast("double")
-    pieces = F.filter(F.split(_c(line), " "), lambda p: F.instr(p, "=") > 1)
-    pairs = F.reverse(F.filter(pieces, lambda p: value(p).isNotNull()))
-
-    def to_map(ps):
-        keys = F.transform(ps, key)
-        return F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(
-            k, value(F.element_at(ps, F.array_position(keys, k).cast("int"))))))
-
-    return bind(pairs, to_map)
+    found = lambda group: F.regexp_extract_all(_c(line), F.lit(_PAIR), F.lit(group))
+    return F.map_from_arrays(found(1), found(2).cast("array<double>"))
 
 
 def json_number(doc, path: str, default) -> Column:

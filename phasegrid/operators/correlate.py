@@ -110,13 +110,18 @@ def unpack(packed: DataFrame, cfg: ArrayConfig, keys: list[str] = ("block", "cha
 
 
 def accumulate(vis: DataFrame, blocks: int) -> DataFrame:
-    """Sum runs of ``blocks`` blocks; an incomplete last run is emitted too."""
+    """Sum runs of ``blocks`` blocks; an incomplete last run is emitted too.
+
+    Where rows have packet counters (start_seq, end_seq) and missing packets, so has the
+    sum: first, last, and all of them.
+    """
+    also = [f(c).alias(c) for c, f in (("start_seq", F.min), ("end_seq", F.max), ("missing", F.sum)) if c in vis.columns]
     return (vis.groupBy(N.floor_div("block", blocks).alias("integration"), "channel", "i", "j", "p", "q")
-            .agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
+            .agg(F.sum("re").alias("re"), F.sum("im").alias("im"), *also))
 
 
 def accumulate_packed(packed: DataFrame, cfg: ArrayConfig, blocks: int) -> DataFrame:
-    return accumulate(unpack(packed, cfg), blocks)
+    return accumulate(unpack(packed, cfg, [c for c in packed.columns if c not in ("re", "im")]), blocks)
 
 
 def mean_visibilities(vis: DataFrame, blocks: int) -> DataFrame:

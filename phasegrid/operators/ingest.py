@@ -7,10 +7,12 @@ may read across the edge.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from phasegrid import scale
 from phasegrid.config import ArrayConfig
@@ -83,13 +85,16 @@ def last_wins(rows: DataFrame, keys: list[str], values: list[str], arrival: str
     return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def _members(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
-    accepted = channel_window(packets, cfg).withColumn("source", source_index(cfg))
-    indexed = packet_index(accepted, cfg, stream_start(accepted, cfg))
-    return block_members(indexed.select("index", "channel", "source", "arrival", *values), cfg)
+SLOT = ["block", "channel", "source", "pkt"]
 
+#: What :func:`assemble_payloads` counts on its way, once a packet.
+COUNTERS = ["received", "discarded_channel", "truncated", "discarded_old", "processed"]
 
-SLOT = ["block", "channel", "source", "pkt"]
+
+def _members(packets: DataFrame, cfg: ArrayConfig, values: list[str], start: Column | None = None) -> DataFrame:
+    accepted = channel_window(packets, cfg).withColumn("source", source_index(cfg))
+    indexed = packet_index(accepted, cfg, stream_start(accepted, cfg) if start is None else start)
+    return block_members(indexed.select("index", "channel", "source", "arrival", *values), cfg)
 
 
 def assemble(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFrame:
@@ -100,25 +105,53 @@ def assemble(packets: DataFrame, cfg: ArrayConfig, values: list[str]) -> DataFra
     return last_wins(_members(packets, cfg, values), SLOT, values)
 
 
-def assemble_payloads(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
+def arrived_slots(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
+    """Slots for which a packet with a whole payload arrived, without the payloads."""
+    start = stream_start(channel_window(packets.where(has_samples(cfg)), cfg), cfg)
+    return _members(packets.where(has_samples(cfg)), cfg, [], start).select(*SLOT).distinct()
+
+
+def has_samples(cfg: ArrayConfig) -> Column:
+    """Whether a payload holds all scales and samples; jobs skip and count the others."""
+    return F.coalesce(F.length("payload") >= cfg.scale_bytes + cfg.sample_bytes, F.lit(False))
+
+
+def usable_payloads(packets: DataFrame, cfg: ArrayConfig) -> tuple[DataFrame, DataFrame]:
+    """Packets whose payload holds all scales and samples, and the truncated ones, which jobs skip."""
+    return packets.where(has_samples(cfg)), packets.where(~has_samples(cfg))
+
+
+def usable_start(packets: DataFrame, cfg: ArrayConfig) -> Column:
+    """:func:`stream_start` of the packets that jobs use."""
+    return stream_start(channel_window(packets.where(has_samples(cfg)), cfg), cfg)
+
+
+def assemble_payloads(packets: DataFrame, cfg: ArrayConfig, start: Column | None = None,
+                      seen: Observation | None = None) -> DataFrame:
     """The same for binary payloads: the rule is the same, whatever number of copies there is.
 
     Copies fold inside each input task, so a flood of them is one row a task and slot.
     Rows then move once: they are dealt by block and channel, which is also how the next
-    step groups them and which keeps all copies of a slot together.
+    step groups them and which keeps all copies of a slot together.  ``seen`` receives
+    COUNTERS in the same pass.
     """
-    members = _members(usable_payloads(packets, cfg)[0], cfg, ["payload"])
-    folded = last_of_task(members)
-    dealt = folded.repartition("block", "channel")
+    start = usable_start(packets, cfg) if start is None else start
+    lo = cfg.min_channel
+    inside, whole = F.col("freq_channel").between(lo, lo + cfg.channels - 1), has_samples(cfg)
+    tagged = packets.withColumn("__inside", F.coalesce(inside, F.lit(False))).withColumn("__whole", whole)
+    tagged = packet_index(tagged, cfg, start)
+    good = F.col("__inside") & F.col("__whole")
+    if seen is not None:
+        old = good & (F.col("index") < -1)
+        counts = [F.count(F.lit(1)), F.count_if(~F.col("__inside")), F.count_if(F.col("__inside") & ~F.col("__whole")),
+                  F.count_if(old), F.count_if(good & ~old)]
+        tagged = tagged.observe(seen, *[c.alias(n) for n, c in zip(COUNTERS, counts, strict=True)])
+    accepted = channel_window(tagged.where(good), cfg).withColumn("source", source_index(cfg))
+    members = block_members(accepted.select("index", "channel", "source", "arrival", "payload"), cfg)
+    dealt = last_of_task(members).repartition("block", "channel")
     return last_wins(dealt, SLOT, ["payload"]).select(*SLOT, "payload")
 
 
-def usable_payloads(packets: DataFrame, cfg: ArrayConfig) -> tuple[DataFrame, DataFrame]:
-    """Packets whose payload holds all scales and samples, and the truncated ones, which jobs skip."""
-    whole = F.coalesce(F.length("payload") >= cfg.scale_bytes + cfg.sample_bytes, F.lit(False))
-    return packets.where(whole), packets.where(~whole)
-
-
 def last_of_task(members: DataFrame) -> DataFrame:
     """Members without those that a later arrival of the same input batch replaces."""
     def run(batches):
@@ -158,151 +191,142 @@ def block_bounds(blocks: DataFrame, cfg: ArrayConfig, start: Column) -> DataFram
 HORIZON = 1 << 16
 
 
-def _with_prev(occupied: DataFrame) -> DataFrame:
-    return scale.ordered_prev(occupied.withColumn("__all", F.lit(0)), ["__all"], "block", "block", "__prev").drop("__all")
-
-
-def _spread(d: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
-    """One row per integer of ``[lo, hi]``; long ranges are dealt in parts, so that none grows inside one task."""
-    starts = F.sequence(lo.cast("long"), hi.cast("long"), F.lit(scale.RANGE).cast("long"))
-    d = d.withColumn("__hi", hi).withColumn("__first", F.explode(starts)).repartition("__first")
-    last = F.least(F.col("__hi"), F.col("__first") + (scale.RANGE - 1))
-    return d.withColumn(out, F.explode(F.sequence(F.col("__first"), last))).drop("__hi", "__first")
+def own_blocks(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
+    """Blocks that hold packets of their own, halo aside, and how many: ``block, n``."""
+    return (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
+            .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
 
 
-def block_axis(occupied: DataFrame, horizon: int | None = HORIZON) -> DataFrame:
-    """Blocks from the first to the last of ``occupied`` (distinct ``block``), without gaps above ``horizon``.
+@dataclass(frozen=True)
+class BlockGaps:
+    """Blocks of a stream in order, which everything that asks for gaps goes by.
 
-    The gaps left out are the rows of :func:`outages`; with ``horizon`` None there are
-    none and every block is listed.
+    ``blocks``: block, n, prev (the block with packets before it, null for the first).
+    ``strays``: blocks of a single packet more than ``horizon`` blocks from all others, a
+    wrong counter and not the end of an outage; they are not in ``blocks``, and None
+    stands for none.  Both are written once.
     """
-    d = _with_prev(occupied)
-    if horizon is None:
-        return _spread(d.withColumnRenamed("block", "__to"), F.coalesce(F.col("__prev") + 1, F.col("__to")), F.col("__to"),
-                       "block").select("block")
-    near = F.col("block") - F.col("__prev") <= horizon
-    return d.select(F.explode(F.sequence(F.when(near, F.col("__prev") + 1).otherwise(F.col("block")), F.col("block"))).alias("block"))
 
+    blocks: DataFrame
+    strays: DataFrame | None
+    horizon: int
 
-def outages(occupied: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> DataFrame:
-    """Gaps that :func:`block_axis` does not list, a row each: first and last block, blocks, missing packets."""
-    d = _with_prev(occupied).where(F.col("block") - F.col("__prev") > horizon)
-    d = d.select((F.col("__prev") + 1).alias("first_block"), (F.col("block") - 1).alias("last_block"))
-    n = F.col("last_block") - F.col("first_block") + 1
-    return d.withColumn("blocks", n).withColumn("missing", n * cfg.packets_per_block).where("blocks > 0")
+    def axis(self) -> DataFrame:
+        """Blocks from the first to the last, those of a gap up to the horizon included."""
+        near = F.col("block") - F.col("prev") <= self.horizon
+        listed = F.sequence(F.when(near, F.col("prev") + 1).otherwise(F.col("block")), F.col("block"))
+        return self.blocks.select(F.explode(listed).alias("block"), F.col("block").alias("__end"), "n").select(
+            "block", F.when(F.col("block") == F.col("__end"), F.col("n")).otherwise(F.lit(0)).alias("n"))
 
+    def outages(self, cfg: ArrayConfig) -> DataFrame:
+        """Gaps that :meth:`axis` does not list, a row each: first and last block, blocks, missing packets."""
+        d = self.blocks.where(F.col("block") - F.col("prev") > self.horizon)
+        n = F.col("block") - F.col("prev") - 1
+        return d.select((F.col("prev") + 1).alias("first_block"), (F.col("block") - 1).alias("last_block"), n.alias("blocks"),
+                        (n * cfg.packets_per_block).alias("missing"))
 
-def own_blocks(arrived: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """Blocks that hold packets of their own, halo aside, and how many: ``block, n``."""
-    return (arrived.where(F.col("pkt").between(0, cfg.packets - 1))
-            .groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+    def without_strays(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``block``) of the stream's own blocks."""
+        return rows if self.strays is None else rows.join(scale.broadcast_if_small(self.strays, 1 << 16), "block", "left_anti")
 
 
-def stray_flags(occupied: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """``occupied`` (``block, n``) with ``stray``: a single packet more than ``horizon`` blocks from all others.
+def block_gaps(occupied: DataFrame, horizon: int = HORIZON) -> BlockGaps:
+    """Gaps and strays of ``occupied`` (``block, n``, a row a block), which is computed once.
 
     Where every packet is alone there is no stream to be away from, and none is stray.
     """
-    d = _with_prev(occupied).withColumn("__back", -F.col("block")).withColumn("__all", F.lit(0))
-    d = scale.ordered_prev(d, ["__all"], "__back", "block", "__next")
-    far = lambda gap: F.coalesce(gap > horizon, F.lit(True))
-    alone = (F.col("n") == 1) & far(F.col("block") - F.col("__prev")) & far(F.col("__next") - F.col("block"))
-    d = d.withColumn("__alone", alone)
-    stream = d.select(F.bool_or(~F.col("__alone"))).scalar()
-    return d.withColumn("stray", F.col("__alone") & stream).drop("__prev", "__back", "__all", "__next", "__alone")
+    d = scale.ordered_neighbours(materialize(occupied.select("block", "n"), "occupied-blocks"), "block")
+    far = lambda gap: F.coalesce(gap > horizon, F.lit(True))
+    alone = (F.col("n") == 1) & far(F.col("block") - F.col("prev")) & far(F.col("next") - F.col("block"))
+    d = materialize(d.withColumn("alone", alone), "block-gaps")
+    some = d.agg(F.bool_or("alone").alias("alone"), F.bool_or(~F.col("alone")).alias("stream")).first()
+    if not (some["alone"] and some["stream"]):
+        return BlockGaps(d.select("block", "n", "prev"), None, horizon)
+    rest = scale.ordered_neighbours(d.where("not alone").select("block", "n"), "block")
+    return BlockGaps(materialize(rest.select("block", "n", "prev"), "block-gaps"), d.where("alone").select("block"), horizon)
 
 
-def far_counters(packets: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> tuple[DataFrame, DataFrame]:
-    """Packets without those of a stray counter, and the stray counters with their packets (copies included).
+def gaps_of(arrived: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> BlockGaps:
+    return block_gaps(own_blocks(arrived, cfg), horizon)
 
-    A stray counter is a single packet of the configured channels that is more than ``horizon``
-    blocks away from all others (see :func:`stray_flags`): a wrong counter, not the end of an outage.
-    """
-    lo = cfg.min_channel
-    inside = F.col("freq_channel").between(lo, lo + cfg.channels - 1)
-    at = floor_div(F.col("sample_count") - packet_delay(cfg), cfg.step * cfg.packets)
-    tagged = packets.withColumn("__at", F.when(inside, at))
-    slot = F.struct("sample_count", "fpga_id", "freq_channel")
-    blocks = (tagged.where(inside).groupBy(F.col("__at").alias("block"))
-              .agg(F.when(F.min(slot) == F.max(slot), 1).otherwise(2).alias("n")))
-    stray = stray_flags(blocks, horizon).where("stray").select(F.col("block").alias("__at"))
-    stray = scale.broadcast_if_small(materialize(stray, "stray-counters"), 1 << 16)
-    counted = tagged.join(stray, "__at", "left_semi").groupBy("fpga_id", "freq_channel", "sample_count")
-    return tagged.join(stray, "__at", "left_anti").drop("__at"), counted.agg(F.count(F.lit(1)).alias("packets"))
-
-
-def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = (),
-                  horizon: int | None = HORIZON) -> DataFrame:
-    """Every (block, channel, source) between the first and the last block with what arrived.
 
-    Gaps of more than ``horizon`` blocks are rows of :func:`outages` instead; None lists all blocks.
+def stray_packets(packets: DataFrame, cfg: ArrayConfig, gaps: BlockGaps) -> DataFrame:
+    """Counters of the packets in stray blocks, and how many packets (copies included) have them."""
+    keys = ["fpga_id", "freq_channel", "sample_count"]
+    if gaps.strays is None:
+        return packets.where(F.lit(False)).groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"))
+    usable = packets.where(has_samples(cfg))
+    at = packet_index(channel_window(usable, cfg), cfg, usable_start(packets, cfg)).withColumn("block", floor_div("index", cfg.packets))
+    return at.join(scale.broadcast_if_small(gaps.strays, 1 << 16), "block", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"))
+
+
+def cell_contents(arrived: DataFrame, cfg: ArrayConfig, values: list[str] = (), gaps: BlockGaps | None = None) -> DataFrame:
+    """Every (block, channel, source) between the first and the last block with what arrived.
 
-    ``have`` maps packet numbers to ``values``; it is bounded by N+2 entries and null
-    for a cell without packets.  A block that only holds halo packets of its
-    neighbour does not extend the range.  Folding the packets first leaves one row
-    per cell to join with the grid.
+    Gaps beyond the horizon are rows of :meth:`BlockGaps.outages` instead, and stray
+    blocks take no part.  ``have`` maps packet numbers to ``values``; it is bounded by N+2
+    entries and null for a cell without packets.  A block that only holds halo packets of
+    its neighbour does not extend the range.  Folding the packets first leaves one row per
+    cell to join with the grid.
     """
+    gaps = gaps or gaps_of(arrived, cfg)
     entry = F.struct(F.col("pkt"), F.struct("pkt", *values))
-    own = F.bool_or(F.col("pkt").between(0, cfg.packets - 1))
-    cells = arrived.groupBy("block", "channel", "source").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("have"), own.alias("own"))
-    axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
-    grid = (block_axis(cells.where("own").select("block").distinct(), horizon)
-            .select("block", F.explode(axis(cfg.channels)).alias("channel"))
+    cells = arrived.groupBy("block", "channel", "source").agg(F.map_from_entries(F.collect_list(entry)).alias("have"))
+    axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
+    grid = (gaps.axis().select("block", F.explode(axis(cfg.channels)).alias("channel"))
             .select("block", "channel", F.explode(axis(cfg.fpgas)).alias("source")))
-    return grid.join(cells.drop("own"), ["block", "channel", "source"], "left")
+    return grid.join(cells, ["block", "channel", "source"], "left")
 
 
-def missing_packets(arrived: DataFrame, cfg: ArrayConfig, horizon: int | None = HORIZON) -> DataFrame:
+def missing_packets(arrived: DataFrame, cfg: ArrayConfig, gaps: BlockGaps | None = None) -> DataFrame:
     """Expected packets that never arrived; the halo does not count.
 
-    An anti join by set difference inside each cell.  Those of an outage are counted in :func:`outages`.
+    An anti join by set difference inside each cell.  Those of an outage are counted in :meth:`BlockGaps.outages`.
     """
     every = F.sequence(F.lit(0), F.lit(cfg.packets - 1))
     gone = F.array_except(every, F.coalesce(F.map_keys("have"), F.array().cast("array<int>")))
-    return cell_contents(arrived, cfg, horizon=horizon).select("block", "channel", "source", F.explode(gone).alias("pkt"))
+    return cell_contents(arrived, cfg, gaps=gaps).select("block", "channel", "source", F.explode(gone).alias("pkt"))
 
 
-def _slots(arrived: DataFrame, cfg: ArrayConfig, values: list[str], horizon: int | None) -> DataFrame:
+def _slots(arrived: DataFrame, cfg: ArrayConfig, values: list[str], gaps: BlockGaps | None) -> DataFrame:
     slots = F.sequence(F.lit(-1), F.lit(cfg.packets))
-    return (cell_contents(arrived, cfg, values, horizon)
+    return (cell_contents(arrived, cfg, values, gaps)
             .select("block", "channel", "source", "have", F.explode(slots).alias("pkt"))
             .select("block", "channel", "source", "pkt", F.element_at("have", F.col("pkt")).alias("cell")))
 
 
-def arrival_flags(arrived: DataFrame, cfg: ArrayConfig, horizon: int | None = HORIZON) -> DataFrame:
-    """Arrived flag of every packet slot of every block, halo included; outages are rows of :func:`outages`."""
-    d = _slots(arrived.select("block", "channel", "source", "pkt"), cfg, [], horizon)
+def arrival_flags(arrived: DataFrame, cfg: ArrayConfig, gaps: BlockGaps | None = None) -> DataFrame:
+    """Arrived flag of every packet slot of every block, halo included; outages are rows of :meth:`BlockGaps.outages`."""
+    d = _slots(arrived.select("block", "channel", "source", "pkt"), cfg, [], gaps)
     return d.select("block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"))
 
 
-def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str], horizon: int | None = HORIZON) -> DataFrame:
-    """Complete every slot; a missing packet gets zeros (a zero scale silences it).  Outages are rows of :func:`outages`."""
-    return _slots(arrived, cfg, values, horizon).select(
+def impute_missing(arrived: DataFrame, cfg: ArrayConfig, values: list[str], gaps: BlockGaps | None = None) -> DataFrame:
+    """Complete every slot; a missing packet gets zeros (a zero scale silences it).  Outages are rows of :meth:`BlockGaps.outages`."""
+    return _slots(arrived, cfg, values, gaps).select(
         "block", "channel", "source", "pkt", F.col("cell").isNotNull().alias("arrived"),
         *[F.coalesce(F.col(f"cell.{v}"), F.lit(0)).alias(v) for v in values])
 
 
-def missing_by_integration(arrived: DataFrame, cfg: ArrayConfig, horizon: int = HORIZON) -> DataFrame:
+def missing_by_integration(gaps: BlockGaps, cfg: ArrayConfig) -> DataFrame:
     """Missing and expected packets and the percentage of every integration.
 
     Blocks without any packet count in full, at any length of a gap: an outage is added to its first and
     last integration by arithmetic, and those between are one row that stands for ``integrations`` of them.
-    Stray blocks (:func:`stray_flags`) take no part.  Only packet numbers are read.
     """
-    have = stray_flags(own_blocks(arrived, cfg), horizon).where("not stray").select("block", "n")
-    listed = block_axis(have.select("block"), horizon).join(have, "block", "left").select(
-        floor_div("block", cfg.accumulate).alias("integration"), F.lit(1).cast("long").alias("integrations"),
-        F.lit(1).cast("long").alias("blocks"), F.coalesce("n", F.lit(0)).alias("n"))
-    a, b = floor_div("first_block", cfg.accumulate), floor_div("last_block", cfg.accumulate)
-    one, first, last = F.lit(1).cast("long"), F.col("first_block"), F.col("last_block")
-    part = lambda at, width, blocks: F.struct(at.alias("integration"), width.alias("integrations"), blocks.alias("blocks"))
+    one = F.lit(1).cast("long")
+    part = lambda at, width, blocks, n: F.struct(
+        at.alias("integration"), width.alias("integrations"), blocks.alias("blocks"), n.alias("n"))
+    # A block and the gap before it: the block itself, and up to three parts of the gap.
+    first, last, zero = F.col("prev") + 1, F.col("block") - 1, F.lit(0).cast("long")
+    a, b = floor_div(first, cfg.accumulate), floor_div(last, cfg.accumulate)
+    gap = last >= first
     parts = F.array_compact(F.array(
-        part(a, one, F.least(last, (a + 1) * cfg.accumulate - 1) - first + 1),
-        F.when(b - a > 1, part(a + 1, b - a - 1, (b - a - 1) * cfg.accumulate)),
-        F.when(b > a, part(b, one, last - b * cfg.accumulate + 1))))
-    lost = outages(have.select("block"), cfg, horizon).select(F.inline(parts)).withColumn("n", F.lit(0).cast("long"))
-    per = listed.unionByName(lost).groupBy("integration").agg(
+        part(floor_div("block", cfg.accumulate), one, one, F.col("n")),
+        F.when(gap, part(a, one, F.least(last, (a + 1) * cfg.accumulate - 1) - first + 1, zero)),
+        F.when(gap & (b - a > 1), part(a + 1, b - a - 1, (b - a - 1) * cfg.accumulate, zero)),
+        F.when(gap & (b > a), part(b, one, last - b * cfg.accumulate + 1, zero))))
+    per = gaps.blocks.select(F.inline(parts)).groupBy("integration").agg(
         F.max("integrations").alias("integrations"), (F.sum("blocks") * cfg.packets_per_block).alias("total"), F.sum("n").alias("have"))
     missing = F.col("total") - F.col("have")
     return per.select("integration", missing.alias("missing"), "total", (F.lit(100.0) * missing / F.col("total")).alias("pct"),
@@ -311,8 +335,12 @@ def missing_by_integration(arrived: DataFrame, cfg: ArrayConfig, horizon: int =
 
 def single_integrations(per: DataFrame) -> DataFrame:
     """:func:`missing_by_integration` with a row for every integration of an outage."""
-    d = _spread(per.withColumnRenamed("integration", "__from"), F.col("__from"), F.col("__from") + F.col("integrations") - 1, "integration")
-    return d.select("integration", *[idiv(F.col(c), F.col("integrations")).alias(c) for c in ("missing", "total")], "pct")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("integrations") - 1, F.lit(scale.RANGE).cast("long"))
+    d = per.withColumn("__from", F.explode(starts)).repartition("integration", "__from")      # a long row is dealt in parts
+    step = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + (scale.RANGE - 1), F.col("integrations") - 1)))
+    d = d.withColumn("__step", step)
+    return d.select((F.col("integration") + F.col("__step")).alias("integration"),
+                    *[idiv(F.col(c), F.col("integrations")).alias(c) for c in ("missing", "total")], "pct")
 
 
 def counters(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:

@@ -106,8 +106,9 @@ def parse_benchmark_log(lines: DataFrame) -> DataFrame:
     d = (lines.where(F.col("line").startswith("[") & F.col("line").contains("]"))
          .withColumn("head", head).withColumn("rest", rest).where(F.length("rest") > 0))
     d = d.withColumn("dims", text.key_values("head"))
-    d = d.where(F.forall(F.array(F.lit("ch"), F.lit("fpga"), F.lit("rx")), lambda k: F.map_contains_key("dims", k)))
-    tag = F.trim(F.array_join(F.filter(F.split("head", " "), lambda w: ~w.contains("=")), " "))
+    for name in ("ch", "fpga", "rx"):
+        d = d.where(F.map_contains_key("dims", name))
+    tag = F.trim(F.regexp_replace("head", "(?:^| )[^ ]*=[^ ]*", ""))
     dims = [F.col("dims")[k].cast("int").alias(k) for k in ("ch", "fpga", "rx")]
     return d.where(F.length(tag) > 1).select(*keep, tag.alias("tag"), *dims, text.key_values("rest").alias("metrics"))
 

@@ -12,11 +12,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from phasegrid.config import ArrayConfig
-from phasegrid.operators import adaptive, ingest
+from phasegrid.operators import adaptive, fold, ingest
 from phasegrid.operators.correlate import packed_triangle
+from phasegrid.session import materialize
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,19 @@ class Calibration:
     bandwidth_hz: float = 0.0
     residuals: dict[int, int] = field(default_factory=dict)   # sample delay by source position
 
+    @property
+    def beams(self) -> int:
+        return self.weights.shape[-2]
+
+
+@dataclass(frozen=True)
+class Folding:
+    """Period in samples, phase bins, and delays in samples by channel."""
+
+    period: float
+    bins: int
+    delays: dict[int, int] = field(default_factory=dict)
+
 
 def decode_payloads(payloads: pd.Series, cfg: ArrayConfig) -> np.ndarray:
     """Scaled complex samples ``[packet][step][receiver][pol]`` of binary payloads."""
@@ -107,7 +121,9 @@ def assembled(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
 
 PRODUCT_SCHEMA = ("block long, channel int, missing int, vis_re array<double>, vis_im array<double>, "
                   "beam_re array<double>, beam_im array<double>, spectrum array<double>, "
-                  "k array<int>, eigvals array<double>")
+                  "k array<int>, eigvals array<double>, fold_total array<double>, fold_hits array<long>")
+#: Columns of every product row: counters of the first and last packet of the block, and how many packets are missing.
+SEQUENCE = ["start_seq", "end_seq", "missing"]
 PRODUCT_COLUMNS = [f.split()[0] for f in PRODUCT_SCHEMA.split(", ")]
 
 
@@ -117,14 +133,16 @@ def _flat(x) -> np.ndarray | None:
 
 def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, visibilities: bool = True,
                   beams: bool = False, spectra: str | None = None, trim: int = 5, factor: int = 1,
-                  mitigation: str | None = None, modes: int | dict[int, int] = 1, delta: float | None = None) -> DataFrame:
+                  mitigation: str | None = None, modes: int | dict[int, int] = 1, delta: float | None = None,
+                  folding: Folding | None = None) -> DataFrame:
     """One product row per (block, channel) that holds a packet of its own.
 
     ``spectra``: ``"packet"`` sums trimmed packet spectra of the beams, ``"block"``
     and ``"antenna"`` take the power spectrum of the whole block (beams or
     receivers) averaged over ``factor`` bins.  ``mitigation``: ``"null"`` or
     ``"shrink"`` adds a projected copy of every beam; ``modes`` is the number of
-    signal vectors, or a map by channel where an absent channel has none.
+    signal vectors, or a map by channel where an absent channel has none.  ``folding``
+    adds the block's share of a fold of the beam powers, sums and hits by bin.
     """
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         block, channel = key
@@ -142,7 +160,7 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
             same = np.stack([adaptive.hermitian(vis[None, :, p, p], cfg.receivers)[0] for p in range(cfg.pols)])
             lam, _, counts, proj = adaptive.decompose(same, np.full(cfg.pols, fixed), delta, mitigation)
             weights = np.concatenate([weights, weights @ proj], axis=1)
-        if weights is not None and (beams or spectra in ("packet", "block")):
+        if weights is not None and (beams or folding or spectra in ("packet", "block")):
             y = form_beams(cube, weights)
         if spectra == "packet":
             spec = packet_spectra_sum(y, cfg.steps, trim)
@@ -153,24 +171,53 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
             spec = np.add.reduceat(power, edges, axis=-1) / np.diff(edges, append=power.shape[-1])
         if not visibilities:
             vis = None
-        y = whole_block(y, slots, cfg) if beams else None
+        y = whole_block(y, slots, cfg) if beams or folding else None
+        total = hits = None
+        if folding:
+            sample = block * cfg.block_samples + np.arange(cfg.block_samples) - folding.delays.get(channel, 0)
+            total, hits = fold.fold_block(np.abs(y) ** 2, sample, folding.period, folding.bins)
+        y = y if beams else None
         out.update(vis_re=_flat(None if vis is None else vis.real), vis_im=_flat(None if vis is None else vis.imag),
                    beam_re=_flat(None if y is None else y.real), beam_im=_flat(None if y is None else y.imag),
                    spectrum=_flat(spec), k=_flat(None if counts is None else counts.astype(np.int32)),
-                   eigvals=_flat(lam))
+                   eigvals=_flat(lam), fold_total=_flat(total), fold_hits=_flat(hits))
         return pd.DataFrame([out])
 
     return (arrived.select("block", "channel", "source", "pkt", "payload")
             .groupBy("block", "channel").applyInPandas(run, PRODUCT_SCHEMA))
 
 
-def unpack_axis(products: DataFrame, column: str, dims: dict[str, int], value: str) -> DataFrame:
-    """Long rows of a flat product array with the given axes, outermost first."""
+@dataclass(frozen=True)
+class BlockProducts:
+    """Product rows of a run, written once, without the blocks of stray counters; gaps, and packet counters."""
+
+    rows: DataFrame
+    gaps: ingest.BlockGaps
+    counters: dict[str, int]
+
+
+def block_products(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, **what: Any) -> BlockProducts:
+    """:func:`reduce_blocks` of packets, with the counters of each block's first and last packet.
+
+    All jobs go through here, so that one rule for stray counters holds for all.  The
+    rows are written as they are made, which cuts the lineage after the only pass over
+    the payloads; packets are counted in the same pass.
+    """
+    start, seen = ingest.usable_start(packets, cfg), Observation()
+    rows = reduce_blocks(ingest.assemble_payloads(packets, cfg, start, seen), cfg, cal, **what)
+    rows = materialize(ingest.block_bounds(rows, cfg, start), "block-products")
+    own = rows.groupBy("block").agg(F.sum(F.lit(cfg.fpgas * cfg.packets) - F.col("missing")).alias("n"))
+    gaps = ingest.block_gaps(own)
+    return BlockProducts(gaps.without_strays(rows), gaps, seen.get)
+
+
+def unpack_axis(products: DataFrame, column: str, dims: dict[str, int], value: str, keep: list[str] = ()) -> DataFrame:
+    """Long rows of a flat product array with the given axes, outermost first, and the columns to ``keep``."""
     from phasegrid.functions.numeric import idiv
 
-    d = products.where(F.col(column).isNotNull()).select("block", "channel", F.posexplode(column).alias("__n", value))
+    d = products.where(F.col(column).isNotNull()).select("block", "channel", *keep, F.posexplode(column).alias("__n", value))
     out, stride = [], 1
     for name, size in reversed(dims.items()):
         out.append(F.pmod(idiv(F.col("__n"), stride), F.lit(size)).cast("int").alias(name))
         stride *= size
-    return d.select("block", "channel", *reversed(out), value)
+    return d.select("block", "channel", *reversed(out), value, *keep)

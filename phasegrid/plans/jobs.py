@@ -2,94 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from phasegrid.config import ArrayConfig
-from phasegrid.functions import numeric as N
 from phasegrid.operators import adaptive, correlate, fold, ingest
 from phasegrid.plans import blocks
-from phasegrid.plans.blocks import Calibration
-from phasegrid.session import materialize
+from phasegrid.plans.blocks import SEQUENCE, Calibration, Folding
 
 
-def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, shared: bool = False) -> dict[str, DataFrame]:
-    """Correlate, integrate and beamform: visibilities, gaps, outages, beams, block spectra, arrivals.
+class Products(Mapping[str, DataFrame]):
+    """Results of a job by name; each is planned when it is first asked for."""
 
-    Stray counters are set aside before blocks are formed and counted in ``stray_counters``.
+    def __init__(self, **plans: Callable[[], DataFrame]) -> None:
+        self._plans, self._made = plans, {}
 
-    ``shared`` writes the block products to the scratch area once; use it when more
-    than one of the results is consumed.
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._plans[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
+def packed_rows(products: DataFrame) -> DataFrame:
+    return products.select("block", "channel", *SEQUENCE, F.col("vis_re").alias("re"), F.col("vis_im").alias("im"))
+
+
+def counter_row(made: blocks.BlockProducts, packets: DataFrame) -> DataFrame:
+    """Packets of a run by what became of them, as counted while blocks were formed, and the strays among them."""
+    counts = packets.sparkSession.createDataFrame([tuple(made.counters[c] for c in ingest.COUNTERS)],
+                                                  ", ".join(f"{c} long" for c in ingest.COUNTERS))
+    strays = 0 if made.gaps.strays is None else made.gaps.strays.count()
+    return counts.withColumn("stray_blocks", F.lit(strays).cast("long"))
+
+
+def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration) -> Products:
+    """Correlate, integrate and beamform: visibilities, gaps, outages, beams, block spectra, arrivals, counters.
+
+    Payloads are read once, before this returns; every result comes from what was
+    written then.  All carry the counters of their blocks' first and last packet and how
+    many packets are missing.  Stray counters are counted in ``stray_counters``.
     """
-    near, strays = ingest.far_counters(ingest.usable_payloads(packets, cfg)[0], cfg)
-    arrived = blocks.assembled(near, cfg)
-    products = blocks.reduce_blocks(arrived, cfg, cal, beams=cal.weights is not None,
-                                    spectra="block" if cal.weights is not None else None)
-    if shared:
-        products = materialize(products, "block-products")
-    packed = products.select("block", "channel", F.col("vis_re").alias("re"), F.col("vis_im").alias("im"))
-    out = {"visibilities": correlate.accumulate_packed(packed, cfg, cfg.accumulate),
-           "eigen": adaptive.eigen(packed, cfg),
-           "missing": ingest.missing_by_integration(arrived, cfg),
-           "outages": ingest.outages(ingest.own_blocks(arrived, cfg).select("block"), cfg),
-           "stray_counters": strays,
-           "arrivals": ingest.arrival_flags(arrived, cfg)}
-    if cal.weights is not None:
-        out["beams"] = beam_rows(products, cfg, cal.weights.shape[2])
-        out["spectra"] = blocks.unpack_axis(
-            products, "spectrum", {"pol": cfg.pols, "beam": cal.weights.shape[2], "bin": cfg.block_samples}, "value")
-    return out
+    with_beams = cal.weights is not None
+    made = blocks.block_products(packets, cfg, cal, beams=with_beams, spectra="block" if with_beams else None)
+    packed = packed_rows(made.rows)
+    plans = {"visibilities": lambda: correlate.accumulate_packed(packed, cfg, cfg.accumulate),
+             "eigen": lambda: adaptive.eigen(packed, cfg),
+             "missing": lambda: ingest.missing_by_integration(made.gaps, cfg),
+             "outages": lambda: made.gaps.outages(cfg),
+             "stray_counters": lambda: ingest.stray_packets(packets, cfg, made.gaps),
+             "counters": lambda: counter_row(made, packets),
+             "arrivals": lambda: ingest.arrival_flags(ingest.arrived_slots(packets, cfg), cfg, made.gaps)}
+    if with_beams:
+        shape = {"pol": cfg.pols, "beam": cal.beams, "bin": cfg.block_samples}
+        plans["beams"] = lambda: beam_rows(made.rows, cfg, cal.beams)
+        plans["spectra"] = lambda: blocks.unpack_axis(made.rows, "spectrum", shape, "value", SEQUENCE)
+    return Products(**plans)
 
 
 def beam_rows(products: DataFrame, cfg: ArrayConfig, beams: int) -> DataFrame:
     axes = {"pol": cfg.pols, "beam": beams, "s": cfg.block_samples}
     both = products.withColumn("z", F.arrays_zip("beam_re", "beam_im"))
-    d = blocks.unpack_axis(both, "z", axes, "v")
+    d = blocks.unpack_axis(both, "z", axes, "v", SEQUENCE)
     return d.select("block", "channel", "pol", "beam", "s", F.col("v.beam_re").alias("re"),
-                    F.col("v.beam_im").alias("im"))
+                    F.col("v.beam_im").alias("im"), *SEQUENCE)
 
 
 def adaptive_spectra(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, mode: str = "null",
-                     modes: int | dict[int, int] = 1, delta: float | None = None, trim: int = 5,
-                     shared: bool = False) -> dict[str, DataFrame]:
+                     modes: int | dict[int, int] = 1, delta: float | None = None, trim: int = 5) -> Products:
     """Original and interference-mitigated beams, their packet spectra and mode counts."""
-    products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, cal, visibilities=False, beams=True,
-                                    spectra="packet", trim=trim, mitigation=mode, modes=modes, delta=delta)
-    if shared:
-        products = materialize(products, "adaptive-products")
-    m = 2 * cal.weights.shape[2]
-    counts = blocks.unpack_axis(products, "k", {"pol": cfg.pols}, "k")
-    return {"beams": beam_rows(products, cfg, m),
-            "spectra": blocks.unpack_axis(
-                products, "spectrum", {"pol": cfg.pols, "beam": m, "bin": cfg.steps - 2 * trim}, "value"),
-            "counts": counts,
-            "eigenvalues": blocks.unpack_axis(products, "eigvals", {"pol": cfg.pols, "mode": cfg.receivers}, "value"),
-            "statistics": adaptive.mode_statistics(counts, ["channel", "pol"])}
+    made = blocks.block_products(packets, cfg, cal, visibilities=False, beams=True, spectra="packet", trim=trim,
+                                 mitigation=mode, modes=modes, delta=delta)
+    m = 2 * cal.beams
+    counts = blocks.unpack_axis(made.rows, "k", {"pol": cfg.pols}, "k")
+    shape = {"pol": cfg.pols, "beam": m, "bin": cfg.steps - 2 * trim}
+    modes_axis = {"pol": cfg.pols, "mode": cfg.receivers}
+    return Products(beams=lambda: beam_rows(made.rows, cfg, m),
+                    spectra=lambda: blocks.unpack_axis(made.rows, "spectrum", shape, "value", SEQUENCE),
+                    counts=lambda: counts,
+                    eigenvalues=lambda: blocks.unpack_axis(made.rows, "eigvals", modes_axis, "value", SEQUENCE),
+                    statistics=lambda: adaptive.mode_statistics(counts, ["channel", "pol"]),
+                    counters=lambda: counter_row(made, packets))
 
 
 def antenna_spectra(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, factor: int) -> DataFrame:
-    """Power spectrum of every receiver over the block, averaged over ``factor`` bins."""
-    products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, cal, visibilities=False,
-                                    spectra="antenna", factor=factor)
-    axes = {"recv": cfg.receivers, "pol": cfg.pols, "bin": cfg.block_samples // factor}
-    return blocks.unpack_axis(products, "spectrum", axes, "value")
+    """Power spectrum of every receiver over the block, averaged over ``factor`` bins (a short last group over its own)."""
+    made = blocks.block_products(packets, cfg, cal, visibilities=False, spectra="antenna", factor=factor)
+    axes = {"recv": cfg.receivers, "pol": cfg.pols, "bin": -(-cfg.block_samples // factor)}
+    return blocks.unpack_axis(made.rows, "spectrum", axes, "value", SEQUENCE)
 
 
 def beamformed_bandpass(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, factor: int) -> DataFrame:
     """Power spectrum of every beam over the block, averaged over ``factor`` bins."""
-    products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, cal, visibilities=False,
-                                    spectra="block", factor=factor)
-    axes = {"pol": cfg.pols, "beam": cal.weights.shape[2], "bin": cfg.block_samples // factor}
-    return blocks.unpack_axis(products, "spectrum", axes, "value")
+    made = blocks.block_products(packets, cfg, cal, visibilities=False, spectra="block", factor=factor)
+    axes = {"pol": cfg.pols, "beam": cal.beams, "bin": -(-cfg.block_samples // factor)}
+    return blocks.unpack_axis(made.rows, "spectrum", axes, "value", SEQUENCE)
 
 
 def projection_matrix(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, k: int = 3,
                       runs: int = 4) -> DataFrame:
     """The k dominant vectors of the projection averaged over ``runs`` blocks."""
-    products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, cal)
-    packed = products.select("block", "channel", F.col("vis_re").alias("re"), F.col("vis_im").alias("im"))
+    packed = packed_rows(blocks.block_products(packets, cfg, cal).rows).drop(*SEQUENCE)
     mean = adaptive.mean_projection(adaptive.eigen(packed, cfg), cfg.receivers, k, runs)
     return adaptive.top_vectors(mean, cfg.receivers, k)
 
@@ -116,19 +137,22 @@ def project_beam(cal: Calibration, vectors: DataFrame, window: int, beam: int, k
 
 def pulsar_fold(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, period: float, n_bins: int,
                 delays: dict[int, int] | None = None) -> DataFrame:
-    """Fold the beam power of every channel, polarization and beam at a period in samples."""
-    products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, cal, visibilities=False, beams=True)
-    rows = beam_rows(products, cfg, cal.weights.shape[2])
-    delay = F.coalesce(ingest._lookup(delays, F.col("channel")), F.lit(0)) if delays else F.lit(0)
-    powers = rows.select("channel", "pol", "beam", (F.col("block") * cfg.block_samples + F.col("s")).alias("sample"),
-                         delay.alias("delay"), N.power("re", "im").alias("power"))
+    """Fold the beam power of every channel, polarization and beam at a period in samples.
+
+    A block is folded where its beams are formed; what moves is sums by phase bin, so
+    the shuffle does not grow with the samples of a block.
+    """
+    made = blocks.block_products(packets, cfg, cal, visibilities=False, folding=Folding(period, n_bins, delays or {}))
+    both = made.rows.withColumn("z", F.arrays_zip("fold_total", "fold_hits"))
+    shape = {"pol": cfg.pols, "beam": cal.beams, "bin": n_bins}
     keys = ["channel", "pol", "beam"]
-    return fold.normalise_fold(fold.fold(powers, keys, period, n_bins), keys, n_bins)
+    folded = blocks.unpack_axis(both, "z", shape, "v").groupBy(*keys, "bin").agg(
+        F.sum("v.fold_total").alias("total"), F.sum("v.fold_hits").alias("hits"))
+    return fold.normalise_fold(folded, keys, n_bins)
 
 
 def offline_correlation(packets: DataFrame, cfg: ArrayConfig) -> DataFrame:
     """Decode a capture, scale it and correlate every pair over the whole capture."""
-    products = blocks.reduce_blocks(blocks.assembled(packets, cfg), cfg, Calibration())
-    packed = products.select("block", "channel", F.col("vis_re").alias("re"), F.col("vis_im").alias("im"))
+    packed = packed_rows(blocks.block_products(packets, cfg, Calibration()).rows).drop(*SEQUENCE)
     return (correlate.unpack(packed, cfg).groupBy("channel", "i", "j", "p", "q")
             .agg(F.sum("re").alias("re"), F.sum("im").alias("im")))

@@ -38,6 +38,20 @@ def ordered_prev(df: DataFrame, keys: list[str], order: str, value: str, out: st
             .drop(bucket, carry, f"{bucket}f"))
 
 
+def ordered_neighbours(df: DataFrame, order: str, width: int = RANGE) -> DataFrame:
+    """``df`` with ``prev`` and ``next``, the values before and after in ``order`` (an integer, unique), null at the ends.
+
+    Ranges of ``width`` are sorted by themselves; their ends, a row a range that has
+    rows, are put in order by one task.  ``df`` is read twice.
+    """
+    d = df.withColumn("__range", floor_div(order, width))
+    inside, ends = W.partitionBy("__range").orderBy(order), W.partitionBy(F.lit(0)).orderBy("__range")
+    edges = d.groupBy("__range").agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    edges = edges.select("__range", F.lag("__high").over(ends).alias("__before"), F.lead("__low").over(ends).alias("__after"))
+    return (d.withColumn("prev", F.lag(order).over(inside)).withColumn("next", F.lead(order).over(inside)).join(edges, "__range")
+            .select(*df.columns, F.coalesce("prev", "__before").alias("prev"), F.coalesce("next", "__after").alias("next")))
+
+
 def ordered_prefix(df: DataFrame, keys: list[str], order: str, value: str, how: str, out: str,
                    inclusive: bool = True, width: int = RANGE, levels: int = 2) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value`` by ``keys`` in ``order`` (unique per key).

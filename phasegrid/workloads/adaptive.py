@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phasegrid.functions import numeric as N
 from phasegrid.operators import adaptive as op, ingest
 from phasegrid.plans import jobs
-from phasegrid.plans.blocks import Calibration
+from phasegrid.plans.blocks import SEQUENCE, Calibration
 from phasegrid.sources import tables as tb
 from phasegrid.workloads import eigen_sql as E
 from phasegrid.workloads import query
@@ -226,7 +226,7 @@ def calibration() -> Calibration:
 GROUP BY ALL""")
 def observe_visibilities(spark, root):
     """Binary packets through assembly, correlation and integration."""
-    return jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["visibilities"]
+    return jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["visibilities"].drop(*SEQUENCE)
 
 
 @query(f"""WITH {SAMPLES}, c AS (SELECT DISTINCT block, channel, pkt, recv // 4 AS source FROM samples),
@@ -245,7 +245,7 @@ CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS beam) b CROSS JOIN (SELECT
 LEFT JOIN beams y ON y.block = g.block AND y.channel = g.channel AND y.pol = p.pol AND y.beam = b.beam
   AND y.pkt * 16 + y.t = s.s""")
 def observe_beams(spark, root):
-    d = jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["beams"]
+    d = jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["beams"].drop(*SEQUENCE)
     return d.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("re", "im")})
 
 
@@ -258,7 +258,7 @@ SELECT block, channel, pol, beam, CAST((k + 8) % 16 - 2 AS INTEGER) AS bin,
 round(sum(sqrt(re * re + im * im)), 4) AS value FROM spec WHERE (k + 8) % 16 BETWEEN 2 AND 13 GROUP BY ALL""")
 def adaptive_original_spectra(spark, root):
     """Spectra of the original beams of the adaptive job."""
-    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"]
+    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"].drop(*SEQUENCE)
     return d.where(F.col("beam") < 2).withColumn("value", F.round("value", 4))
 
 
@@ -276,7 +276,7 @@ round(sum(sqrt(re * re + im * im)), 3) AS value FROM spec WHERE (k + 8) % 16 BET
 def adaptive_mitigated_spectra(spark, root):
     """Spectra of the projected beams (shrink mode, detected modes)."""
     d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), mode="shrink", delta=0.8416,
-                              trim=2)["spectra"]
+                              trim=2)["spectra"].drop(*SEQUENCE)
     return d.where(F.col("beam") >= 2).withColumn("value", F.round("value", 3))
 
 
@@ -295,7 +295,7 @@ def adaptive_mode_statistics(spark, root):
 SELECT block, channel, recv, pol, CAST(k // 8 AS INTEGER) AS bin, round(avg(re * re + im * im), 2) AS value
 FROM spec GROUP BY ALL""")
 def antenna_spectra(spark, root):
-    d = jobs.antenna_spectra(tb.embedding_packets(spark, root), CFG, Calibration(), 8)
+    d = jobs.antenna_spectra(tb.embedding_packets(spark, root), CFG, Calibration(), 8).drop(*SEQUENCE)
     return d.withColumn("value", F.round("value", 2))
 
 
@@ -307,7 +307,7 @@ def antenna_spectra(spark, root):
 SELECT block, channel, pol, beam, CAST(k // 8 AS INTEGER) AS bin, round(avg(re * re + im * im), 2) AS value
 FROM spec GROUP BY ALL""")
 def beamformed_bandpass(spark, root):
-    d = jobs.beamformed_bandpass(tb.embedding_packets(spark, root), CFG, calibration(), 8)
+    d = jobs.beamformed_bandpass(tb.embedding_packets(spark, root), CFG, calibration(), 8).drop(*SEQUENCE)
     return d.withColumn("value", F.round("value", 2))
 
 

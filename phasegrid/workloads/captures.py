@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from phasegrid.plans import jobs
-from phasegrid.plans.blocks import Calibration
+from phasegrid.plans.blocks import SEQUENCE, Calibration
 from phasegrid.sources import tables as tb
 from phasegrid.workloads import query
 
@@ -39,7 +39,7 @@ LEFT JOIN vis v ON v.integration = g.integration AND v.channel = g.channel AND v
   AND v.q = r.q""")
 def capture_visibilities(spark, root):
     """Integrated visibilities of ten receivers from full-size packets."""
-    return jobs.observe(tb.document_packets(spark, root), CFG, Calibration())["visibilities"]
+    return jobs.observe(tb.document_packets(spark, root), CFG, Calibration())["visibilities"].drop(*SEQUENCE)
 
 
 @query(f"""WITH {BYTES}, y AS (SELECT channel, idx, t, p, sum(re) AS re, sum(im) AS im FROM x GROUP BY ALL),

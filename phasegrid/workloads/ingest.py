@@ -164,14 +164,14 @@ def block_bounds(spark, root):
 WHERE NOT EXISTS (SELECT 1 FROM arrived a WHERE a.block = c.block AND a.channel = c.channel
                   AND a.source = c.source AND a.pkt = p.pkt)""")
 def missing_packets(spark, root):
-    return op.missing_packets(arrived(spark, root), CFG, None)
+    return op.missing_packets(arrived(spark, root), CFG)
 
 
 @query(f"""WITH {GRID} SELECT c.block, c.channel, c.source, p.pkt, a.value IS NOT NULL AS arrived FROM cells c
 CROSS JOIN (SELECT CAST(unnest(range(-1, 17)) AS INTEGER) AS pkt) p
 LEFT JOIN arrived a ON a.block = c.block AND a.channel = c.channel AND a.source = c.source AND a.pkt = p.pkt""")
 def arrival_flags(spark, root):
-    return op.arrival_flags(arrived(spark, root), CFG, None)
+    return op.arrival_flags(arrived(spark, root), CFG)
 
 
 @query(f"""WITH {GRID} SELECT c.block, c.channel, c.source, p.pkt, a.value IS NOT NULL AS arrived,
@@ -179,7 +179,7 @@ coalesce(a.value, 0) AS value FROM cells c
 CROSS JOIN (SELECT CAST(unnest(range(-1, 17)) AS INTEGER) AS pkt) p
 LEFT JOIN arrived a ON a.block = c.block AND a.channel = c.channel AND a.source = c.source AND a.pkt = p.pkt""")
 def impute_missing(spark, root):
-    return op.impute_missing(arrived(spark, root), CFG, ["value"], None)
+    return op.impute_missing(arrived(spark, root), CFG, ["value"])
 
 
 @query(f"""WITH {GRID}, per AS (
@@ -190,7 +190,7 @@ def impute_missing(spark, root):
 SELECT integration, missing, blocks * 128 AS total, 100.0::DOUBLE * missing / (blocks * 128) AS pct FROM per""")
 def missing_percent(spark, root):
     """Missing, expected and percentage of every integration; holes count as missing."""
-    return op.single_integrations(op.missing_by_integration(arrived(spark, root), CFG))
+    return op.single_integrations(op.missing_by_integration(op.gaps_of(arrived(spark, root), CFG), CFG))
 
 
 @query(f"""WITH {PACKETS} SELECT arrival, fpga_id, freq_channel, sample_count,

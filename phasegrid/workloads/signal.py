@@ -269,16 +269,15 @@ def packet_fft(spark, root):
     return d.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("re", "im")})
 
 
-@query(f"""WITH {SCALED}, s AS (SELECT block, channel, recv, pol, pkt * 16 + t AS n, re, im FROM x WHERE (block + pkt) % 5 <> 3),
+@query(f"""WITH {SCALED}, s AS (SELECT block, channel, recv, pol, pkt * 16 + t AS n, re, im FROM x),
 sp AS (SELECT block, channel, recv, pol, k,
   sum(re * cos(2 * pi() * ((k * n) % 128) / 128) + im * sin(2 * pi() * ((k * n) % 128) / 128)) AS re,
   sum(im * cos(2 * pi() * ((k * n) % 128) / 128) - re * sin(2 * pi() * ((k * n) % 128) / 128)) AS im
   FROM s, (SELECT CAST(unnest(range(128)) AS INTEGER) AS k) GROUP BY ALL)
 SELECT block, channel, recv, pol, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM sp""")
 def block_fft(spark, root):
-    """128-point spectra of all blocks; packets that are missing count as zeros in their place."""
+    """128-point spectra of all blocks; packets that an incomplete block lacks count as zeros in their place."""
     series = spectra.split_frames(tb.embedding_frames(spark, root), CFG.pols, CFG.steps)
-    series = series.where((F.col("block") + F.col("pkt")) % 5 != 3)
     whole = spectra.block_series(series, ["block", "channel", "recv", "pol"], CFG.packets, CFG.steps)
     d = spectra.bins(spectra.fft_rows(whole))
     return d.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("re", "im")})
@@ -381,7 +380,7 @@ EVENT_POWER = """
 pw AS (SELECT event_id AS sample, 37 * (user_id % 5) AS delay, CAST(user_id % 4 AS INTEGER) AS channel,
 CAST(round(value * 100) AS BIGINT) - 500 AS power FROM events),
 folded AS (SELECT channel, CAST(((((sample - delay) % 113) + 113) % 113 * 16) // 113 AS INTEGER) AS bin,
-CAST(sum(power) AS BIGINT) AS total, count(*) AS hits FROM pw WHERE power > 0 GROUP BY ALL)"""
+CAST(sum(greatest(power, 0)) AS BIGINT) AS total, count(*) FILTER (power > 0) AS hits FROM pw GROUP BY ALL)"""
 
 
 def event_power(spark, root):
@@ -395,12 +394,12 @@ def event_power(spark, root):
 FROM folded GROUP BY bin""")
 def phase_fold(spark, root):
     """All channels folded together; only positive powers count."""
-    return fold.fold(event_power(spark, root), [], 113, 16).where("hits > 0")
+    return fold.fold(event_power(spark, root), [], 113, 16)
 
 
 @query(f"WITH {EVENT_POWER} SELECT * FROM folded")
 def phase_fold_by_channel(spark, root):
-    return fold.fold(event_power(spark, root), ["channel"], 113, 16).where("hits > 0")
+    return fold.fold(event_power(spark, root), ["channel"], 113, 16)
 
 
 @query(f"""WITH {EVENT_POWER}, quiet AS (SELECT * REPLACE (CASE WHEN channel = 2 THEN -1 ELSE power END AS power) FROM pw), fine AS (

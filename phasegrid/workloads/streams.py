@@ -11,7 +11,7 @@ from phasegrid.sources import tables as tb
 from phasegrid.streaming import rollup
 from phasegrid.streaming.assembler import BlockAssembler, missing_in
 from phasegrid.plans import jobs
-from phasegrid.plans.blocks import Calibration
+from phasegrid.plans.blocks import SEQUENCE, Calibration
 from phasegrid.workloads import query
 from phasegrid.workloads.adaptive import calibration
 from phasegrid.workloads.bindings import ARRIVED, PACKETS, SAMPLES, VIS
@@ -94,7 +94,7 @@ FROM vis GROUP BY ALL) SELECT *, i AS ant_i, j AS ant_j, CAST(256 * i + j AS INT
 def visibility_product(spark, root):
     """Visibilities written as a product and read back with receiver identities."""
     out = scratch_path(spark, "products")
-    d = jobs.observe(tb.embedding_packets(spark, root), CFG, Calibration())["visibilities"]
+    d = jobs.observe(tb.embedding_packets(spark, root), CFG, Calibration())["visibilities"].drop(*SEQUENCE)
     products.write_product(d, out, "visibilities")
     return products.read_visibilities(spark, out)
 
@@ -103,7 +103,7 @@ def visibility_product(spark, root):
 block FROM samples, (SELECT unnest(range(4)) AS b) b, (SELECT unnest(range(12)) AS k) k""")
 def spectrum_series(spark, root):
     """Keys and blocks of the spectrum time series."""
-    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"]
+    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"].drop(*SEQUENCE)
     return products.spectrum_series(d, 12).select("key", "block")
 
 

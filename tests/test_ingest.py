@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.errors import PySparkException
@@ -146,47 +147,99 @@ def test_truncated_payloads_are_set_aside(spark):
     assert blocks.reduce_blocks(got, SMALL, blocks.Calibration()).count() == blocks.reduce_blocks(want, SMALL, blocks.Calibration()).count()
 
 
+def cells(cfg, *blocks):
+    return [(b, 0, 0, k) for b in blocks for k in range(cfg.packets)]
+
+
+SLOTS = "block long, channel int, source int, pkt int"
+
+
 def test_far_counter_does_not_fill_the_gap(spark):
-    cell = lambda b: [(b, 0, 0, k) for k in range(SMALL.packets)]
-    d = spark.createDataFrame(cell(3) + cell(5) + [(10 ** 15, 0, 0, 0)], "block long, channel int, source int, pkt int")
-    axis = [r.block for r in ingest.block_axis(d.select("block").distinct()).orderBy("block").collect()]
-    assert axis == [3, 4, 5, 10 ** 15]
-    gone = ingest.missing_packets(d, SMALL).groupBy("block").count().count()
-    assert gone == 2 and ingest.missing_by_integration(d, SMALL).count() <= 3
+    d = spark.createDataFrame(cells(SMALL, 3, 5) + [(10 ** 15, 0, 0, 0)], SLOTS)
+    gaps = ingest.gaps_of(d, SMALL)
+    assert [r.block for r in gaps.axis().orderBy("block").collect()] == [3, 4, 5]
+    assert [r.block for r in gaps.strays.collect()] == [10 ** 15] and gaps.outages(SMALL).count() == 0
+    gone = ingest.missing_packets(d, SMALL).collect()
+    assert {r.block for r in gone} == {4}
+    # what is listed and what is counted agree
+    assert sum(r.missing for r in ingest.missing_by_integration(gaps, SMALL).collect()) == len(gone)
+    flags = ingest.arrival_flags(d, SMALL).where("pkt between 0 and 2")
+    assert flags.where("not arrived").count() == len(gone) and flags.count() == 9
+
+
+def test_strays_between_parts_of_a_stream(spark):
+    """The gap from part to part is one outage, whatever lone counters lie in it."""
+    far = ingest.HORIZON + 1
+    d = spark.createDataFrame(cells(SMALL, 0, 6 * far) + [(2 * far, 0, 0, 1), (4 * far, 0, 0, 2)], SLOTS)
+    gaps = ingest.gaps_of(d, SMALL)
+    assert sorted(r.block for r in gaps.strays.collect()) == [2 * far, 4 * far]
+    assert [tuple(r) for r in gaps.outages(SMALL).collect()] == [(1, 6 * far - 1, 6 * far - 1, 3 * (6 * far - 1))]
+    lone = ingest.gaps_of(spark.createDataFrame([(0, 0, 0, 1), (2 * far, 0, 0, 1)], SLOTS), SMALL)
+    assert lone.strays is None and lone.blocks.count() == 2       # where all are alone, none is stray
 
 
 @pytest.mark.parametrize("gap", [ingest.HORIZON, ingest.HORIZON + 1, 10 ** 12])
 def test_outages_count_at_any_length(spark, gap):
     cfg = replace(SMALL, accumulate=56)
-    cell = lambda b: [(b, 0, 0, k) for k in range(cfg.packets)]
-    d = spark.createDataFrame(cell(3) + cell(5) + cell(5 + gap + 1), "block long, channel int, source int, pkt int")
-    rows = ingest.missing_by_integration(d, cfg).collect()
+    d = spark.createDataFrame(cells(cfg, 3, 5, 5 + gap + 1), SLOTS)
+    gaps = ingest.gaps_of(d, cfg)
+    rows = ingest.missing_by_integration(gaps, cfg).collect()
     assert sum(r.total for r in rows) == 3 * (gap + 4) and sum(r.missing for r in rows) == 3 * (gap + 1)
     assert sum(r.integrations for r in rows) == (gap + 6) // 56 + 1
-    out = [tuple(r) for r in ingest.outages(d.select("block").distinct(), cfg).collect()]
+    out = [tuple(r) for r in gaps.outages(cfg).collect()]
     assert out == ([(6, gap + 5, gap, 3 * gap)] if gap + 1 > ingest.HORIZON else [])
     if gap <= ingest.HORIZON + 1:
-        singles = ingest.single_integrations(ingest.missing_by_integration(d, cfg))
+        singles = ingest.single_integrations(ingest.missing_by_integration(gaps, cfg))
         assert [(r.n, r.m, r.t) for r in singles.selectExpr("count(distinct integration) n", "sum(missing) m", "sum(total) t").collect()] == [
             ((gap + 6) // 56 + 1, 3 * (gap + 1), 3 * (gap + 4))]
-        assert ingest.missing_packets(d, cfg, None).count() == 3 * (gap + 1)
-        assert ingest.arrival_flags(d, cfg, None).count() == 5 * (gap + 4)
+        listed = ingest.missing_packets(d, cfg).count()
+        assert listed + sum(r[3] for r in out) == 3 * (gap + 1)
+
+
+def test_gap_plans_read_once(spark, tmp_path):
+    spark.createDataFrame(cells(SMALL, 3, 5, 9), SLOTS).write.parquet(str(tmp_path / "slots"))
+    d = spark.read.parquet(str(tmp_path / "slots"))
+    gaps = ingest.gaps_of(d, SMALL)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(ingest.single_integrations(ingest.missing_by_integration(gaps, SMALL))) == 1
+    assert scans(gaps.axis()) == scans(gaps.outages(SMALL)) == 1
+    assert scans(ingest.missing_packets(d, SMALL, gaps)) == 2
 
 
 def test_stray_counters_are_set_aside_and_counted(spark):
     far = 400 + 4 * 3 * (ingest.HORIZON + 10)
     rows = full_block(SMALL, 400, 1 + 1j, blocks=2)
     d = packets(spark, rows + [(far, 0, 0, payload(SMALL, 1 + 0j))] * 2)
-    near, strays = ingest.far_counters(d, SMALL)
-    assert near.count() == len(rows) and [tuple(r) for r in strays.collect()] == [(0, 0, far, 2)]
     out = jobs.observe(d, SMALL, blocks.Calibration())
+    assert [tuple(r) for r in out["stray_counters"].collect()] == [(0, 0, far, 2)]
     assert {r.block for r in out["arrivals"].collect()} == {0, 1} and out["outages"].count() == 0
-    assert out["stray_counters"].first().packets == 2 and {r.missing for r in out["missing"].collect()} == {0}
+    assert {r.missing for r in out["missing"].collect()} == {0}
+    assert {r.integration for r in out["visibilities"].collect()} == {0, 1} and out["counters"].first().stray_blocks == 1
+    assert {r.channel: r.re for r in jobs.offline_correlation(d, SMALL).where("i = 0 and j = 0").collect()} == {0: 48.0}
     back = packets(spark, rows + full_block(SMALL, far, 1 + 1j))     # a stream that comes back is no stray
-    near, strays = ingest.far_counters(back, SMALL)
-    assert near.count() == len(rows) + 3 and strays.count() == 0
-    lone = packets(spark, rows[:1] + [(far, 0, 0, payload(SMALL, 1 + 0j))])
-    assert ingest.far_counters(lone, SMALL)[1].count() == 0
+    out = jobs.observe(back, SMALL, blocks.Calibration())
+    assert out["stray_counters"].count() == 0 and out["outages"].count() == 1 and out["visibilities"].select("integration").distinct().count() == 3
+
+
+def test_packets_are_counted_while_blocks_are_formed(spark):
+    rows = full_block(SMALL, 400, 1 + 1j, blocks=2)
+    bad = [(400, 0, 5, payload(SMALL, 1)), (100, 0, 0, payload(SMALL, 1)), (404, 0, 0, b"short"), (404, 0, 0, None)]
+    got = jobs.observe(packets(spark, rows + bad), SMALL, blocks.Calibration())["counters"].first()
+    assert got.asDict() == {"received": len(rows) + 4, "discarded_channel": 1, "truncated": 2, "discarded_old": 1,
+                            "processed": len(rows), "stray_blocks": 0}
+    none = jobs.observe(packets(spark, rows).limit(0), SMALL, blocks.Calibration())
+    assert none["counters"].first().received == 0 and none["missing"].count() == none["arrivals"].count() == 0
+
+
+def test_products_carry_their_counters(spark):
+    cfg = replace(SMALL, accumulate=2)
+    rows = full_block(SMALL, 400, 1 + 1j, blocks=3)[:-2]     # the last block lacks two packets
+    out = jobs.observe(packets(spark, rows), cfg, blocks.Calibration(weights=np.ones((1, 1, 1, 2), complex)))
+    want = {0: (400, 420, 0), 1: (424, 432, 2)}
+    assert {r.integration: (r.start_seq, r.end_seq, r.missing) for r in out["visibilities"].collect()} == want
+    for name in ("beams", "spectra", "eigen"):
+        got = {r.block: (r.start_seq, r.end_seq, r.missing) for r in out[name].collect()}
+        assert got == {0: (400, 408, 0), 1: (412, 420, 0), 2: (424, 432, 2)}
 
 
 def test_struct_arrivals_are_numbered(spark):
