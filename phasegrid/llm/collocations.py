@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from phasegrid.llm.byte_words import byte_kinds, counted, words_of
 from phasegrid.llm.common import bounded_slices, column, materialize, release, text_sizes
@@ -89,8 +89,8 @@ def _word_filter(words: DataFrame) -> pa.Array | None:
     return _key(t["phrase"].combine_chunks(), t["lang"].combine_chunks()).cast(pa.string())
 
 
-def _pair_filter(texts: DataFrame, keys: pa.Array, least: int) -> np.ndarray | None:
-    """Frequent pairs of frequent words as numbers in order, if few enough for every task."""
+def _pair_filter(texts: DataFrame, keys: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Frequent pairs of frequent words as numbers in order, and their counts, if few enough for every task."""
     shared = texts.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +99,22 @@ def _pair_filter(texts: DataFrame, keys: pa.Array, least: int) -> np.ndarray | N
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
     pairs = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pairs = materialize(pairs.select("pair"), "frequent-pairs")
-    if 8 * pairs.count() > FILTER_BYTES:
+    pairs = materialize(pairs, "frequent-pairs")
+    if 16 * pairs.count() > FILTER_BYTES:
         return None
-    return np.sort(pairs.toArrow()["pair"].combine_chunks().to_numpy())
+    found = pairs.toArrow().sort_by("pair")
+    return found["pair"].to_numpy(), found["n"].to_numpy()
+
+
+def _pair_rows(spark: SparkSession, keys: pa.Array, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """lang, phrase, words, f of the pairs, which are as few as go to every task."""
+    number, n = pairs
+    first, second = (keys.take(pa.array(x)) for x in np.divmod(number, 1 << 32))
+    lang = pc.struct_field(pc.extract_regex(second, "(?s) (?P<lang>.*)$"), "lang")
+    words = [pc.struct_field(pc.extract_regex(k, "(?s)^(?P<word>[^ ]*) "), "word") for k in (first, second)]
+    rows = pa.table([lang, pc.binary_join_element_wise(*words, " "), pa.array(np.full(len(n), 2), pa.int32()), pa.array(n, pa.int64())],
+                    ["lang", "phrase", "words", "f"])
+    return spark.createDataFrame(rows, "lang string, phrase string, words int, f long")
 
 
 def _pairs(number: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +124,10 @@ def _pairs(number: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def suffixes(texts: DataFrame, keys: pa.Array | None, pairs: np.ndarray | None, longest: int) -> DataFrame:
-    """lang, phrase (2 to ``longest`` words from a place on), n: suffixes, equal ones of a slice as one row."""
+    """lang, phrase (2 to ``longest`` words from a place on), n: suffixes, equal ones of a slice as one row.
+
+    Where frequent pairs are known, suffixes end before a pair that is not, and those of two words are left out.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((keys, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +142,8 @@ def suffixes(texts: DataFrame, keys: pa.Array | None, pairs: np.ndarray | None,
                     near = np.searchsorted(pairs, pair)
                     at = at[pairs[np.minimum(near, len(pairs) - 1)] == pair] if len(pairs) else at[:0]
             goes_on[at] = True
+            if pairs is not None:
+                at = at[goes_on[at + 1]]
             columns, on = [pa.array(s.lang[at]), pa.array(s.code[at])], np.ones(len(at), bool)
             for k in range(1, longest):
                 on = on & goes_on[at + k - 1]
@@ -214,8 +231,13 @@ def equal_partitions(keys: np.ndarray, weight: np.ndarray, start: np.ndarray, wh
             yield d, order[low[here]], size[here]
 
 
-def phrase_counts(rows: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, words, f of all phrases of 2 to ``longest`` words with a count of ``least`` or more."""
+def phrase_counts(rows: DataFrame, least: int, longest: int, pairs: DataFrame | None) -> DataFrame:
+    """lang, phrase, words, f of all phrases of 2 to ``longest`` words with a count of ``least`` or more.
+
+    ``pairs``: those of two words, if they are known; the suffixes are then of three or more.
+    """
+    fewest = 2 if pairs is None else 3
+
     def flush(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(parts)
         head = _key(t["head"].combine_chunks(), t["lang"].combine_chunks()).dictionary_encode().indices.to_numpy()
@@ -227,7 +249,7 @@ def phrase_counts(rows: DataFrame, least: int, longest: int) -> DataFrame:
         keys[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = coded.indices.to_numpy()
         start = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
         for d, at, n in equal_partitions(keys, t["n"].to_numpy(), start, t["k"].to_numpy()[start], least):
-            if len(at):
+            if len(at) and d >= fewest:
                 spelled = [coded.dictionary.take(pa.array(keys[at, j])) for j in range(d)]
                 yield pa.RecordBatch.from_arrays([t["lang"].combine_chunks().take(pa.array(at)), pc.binary_join_element_wise(*spelled, " "),
                                                   pa.array(np.full(len(at), d), pa.int32()), pa.array(n)], ["lang", "phrase", "words", "f"])
@@ -258,7 +280,7 @@ def phrase_counts(rows: DataFrame, least: int, longest: int) -> DataFrame:
     met = routed(rows, longest).repartition("lang", "head").sortWithinPartitions("lang", "head")
     found = met.mapInArrow(run, "lang string, phrase string, words int, f long")
     found = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return materialize(found, "phrase-counts")
+    return materialize(found if pairs is None else found.unionByName(pairs), "phrase-counts")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, share: int = 100,
@@ -283,7 +305,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
     frequent = words.where(F.col("f") >= least)
     keys = _word_filter(frequent)
     pairs = None if keys is None else _pair_filter(texts, keys, least)
-    phrases = phrase_counts(suffixes(texts, keys, pairs, longest), least, longest)
+    known = None if pairs is None else _pair_rows(docs.sparkSession, keys, pairs)
+    phrases = phrase_counts(suffixes(texts, keys, None if pairs is None else pairs[0], longest), least, longest, known)
     parts = frequent.select("lang", "phrase", "f").unionByName(phrases.select("lang", "phrase", "f"))
 
     size = F.col("words")

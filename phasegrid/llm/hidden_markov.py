@@ -33,7 +33,8 @@ OWN_PART = 200_000      # a word is a symbol of its own if it is one in so many
 ENDING = 2              # last code points that rarer words share a symbol by
 STAY = 0.9              # first guess of the probability to stay in a state
 SHARE = 0.02            # part of each state's probabilities that follows the counts of all states
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 32 << 20  # text with a numbering of its own
+PART_BYTES = 4 << 20    # text whose words are found at once
 SMALL_CLASSES = 200_000
 _WIDE = 0xFFFF
 
@@ -60,11 +61,29 @@ def unpack(narrow: pa.Array, wide: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def by_use(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Renumbering by falling use, so that few numbers are large: old by new, new by old."""
     old = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
-    new = np.empty(n, np.int64)
+    new = np.empty(n, np.int32)
     new[old] = np.arange(n)
     return old, new
 
 
+def _numbered(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts and the empty word, numbers of all words and ends, and how many each text has."""
+    parts, sizes, at = [], [], []
+    for a, b in bounded_slices(text_sizes(texts), PART_BYTES):
+        words, row, _ = words_of(texts.slice(a, b - a), KINDS)
+        parts.append(words.dictionary_encode())
+        sizes.append(np.bincount(row, minlength=b - a).astype(np.int32) + 1)
+        at.append((np.arange(len(row)) + row).astype(np.int32))
+    whole = pa.chunked_array(parts).unify_dictionaries()
+    size, names = np.concatenate(sizes), whole.chunk(0).dictionary
+    codes = np.full(int(size.sum()), len(names), np.int32)      # ends, where no word goes
+    base = 0
+    for chunk, places, some in zip(whole.chunks, at, sizes, strict=True):
+        codes[base + places] = chunk.indices.to_numpy()
+        base += int(some.sum())
+    return pa.concat_arrays([names, pa.array([""])]), codes, size
+
+
 def encoded(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     """Rows of texts (doc_id, held_out, narrow, wide) and of their slice's words (word, code, n in training).
 
@@ -78,12 +97,7 @@ def encoded(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Da
         for batch in batches:
             for a, b in bounded_slices(text_sizes(batch.column("text")), SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                words, row, _ = words_of(part.column("text"), KINDS)
-                coded = words.dictionary_encode()
-                size = np.bincount(row, minlength=b - a) + 1
-                codes = np.full(int(size.sum()), len(coded.dictionary))         # ends, where no word goes
-                codes[np.arange(len(row)) + row] = coded.indices.to_numpy()
-                names = pa.concat_arrays([coded.dictionary, pa.array([""])])
+                names, codes, size = _numbered(part.column("text"))
                 old, new = by_use(codes, len(names))
                 codes = new[codes]
                 learns = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), size)
@@ -154,6 +168,7 @@ def symbols_of(texts: DataFrame, words: DataFrame, corpus: Training) -> DataFram
         one = fill(len(docs), slice=docs["slice"], doc_id=docs["doc_id"], held_out=docs["held_out"], n_tokens=pa.array(size),
                    n_known=pa.array(np.add.reduceat((c > 0)[codes].astype(np.int64), start)), base_score=pa.array(np.add.reduceat(base[codes], start)),
                    inside=pa.array(np.add.reduceat(inside[codes], start)), narrow=narrow, wide=wide)
+        release()
         two = fill(len(old), slice=pa.array(np.full(len(old), number)), symbol=named.dictionary.take(pa.array(old)),
                    code=pa.array(np.arange(len(old)), pa.int32()), n=pa.array(np.bincount(mine[learns], minlength=len(old))))
         return pa.concat_tables([one, two])
@@ -204,6 +219,7 @@ def expected(texts: DataFrame, symbols: DataFrame, now: States, corpus: Training
             return pa.table({"symbol": pa.array([], pa.string()), **{s: pa.array([], pa.float64()) for s in cols}})
         codes, size, emit, symbols = _gathered(docs, symbols, now, corpus)
         _, got = hmm.sequences(codes, size, emit, now.first, now.moves, count=True)
+        release()
         used = np.flatnonzero(got.symbols.any(1))
         values = np.concatenate([got.symbols[used], got.first[None], got.symbols.sum(0)[None], got.moves])
         labels = pa.concat_arrays([symbols["symbol"].combine_chunks().take(pa.array(used)),
@@ -277,6 +293,7 @@ def scores(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int
     def run(docs: pa.Table, symbols: pa.Table) -> pa.Table:
         codes, size, emit, _ = _gathered(docs, symbols, now, corpus)
         logs, _ = hmm.sequences(codes, size, emit, now.first, now.moves, count=False)
+        release()
         score = logs / np.log(10) + docs["inside"].to_numpy()
         return docs.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"]).append_column("score", pa.array(score))
 

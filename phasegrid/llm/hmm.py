@@ -16,7 +16,7 @@ import numpy as np
 from phasegrid.llm.common import bounded_slices
 
 SEGMENT = 8192          # longer sequences are cut
-BATCH = 600_000         # symbols whose states are held at once
+BATCH = 400_000         # symbols whose states are held at once
 
 
 @dataclass
@@ -37,10 +37,8 @@ class Chains:
         self.steps = int(self.size[0]) if len(size) else 0
         self.running = len(size) - np.searchsorted(self.size[::-1], np.arange(self.steps), "right")    # chains longer than t
         self.offset = np.concatenate([[0], np.cumsum(self.running)])
-        rank = np.arange(int(self.offset[-1])) - np.repeat(self.offset[:-1], self.running)
-        time = np.repeat(np.arange(self.steps), self.running)
-        self.rank = rank
-        self.codes = codes[at[self.order][rank] + time]
+        self.rank = (np.arange(int(self.offset[-1])) - np.repeat(self.offset[:-1], self.running)).astype(np.int32)
+        self.codes = codes[at[self.order][self.rank] + np.repeat(np.arange(self.steps), self.running)]
 
     def forward(self, emit: np.ndarray, moves: np.ndarray, enter: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """Log likelihoods, state distributions by place (if kept) and after the last symbol; chains in given order."""
