@@ -6,14 +6,14 @@ import argparse
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from phasegrid.config import ArrayConfig
 from phasegrid.plans import jobs
 from phasegrid.plans.setup import RunFiles, load_calibration, receivers, wired_streams
 from phasegrid.session import build_session, ship_package
 from phasegrid.sinks import products
-from phasegrid.sources import capture, dims
+from phasegrid.sources import capture, dims, pcap, wire
 from phasegrid.streaming import rollup
 from phasegrid.streaming.assembler import BlockAssembler
 
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("job", choices=JOBS)
     p.add_argument("--input", required=True, help="folder of captures, or of stored frames")
     p.add_argument("--output", required=True, help="folder for the products")
+    p.add_argument("--split-bytes", type=int, default=pcap.SPLIT_BYTES, help="bytes of a capture file in one task")
     p.add_argument("--capture-backend", choices=("pcap", "table"), default="pcap")
     shape = p.add_argument_group("array shape")
     shape.add_argument("--channels", type=int, default=8)
@@ -79,8 +80,9 @@ def main(argv: list[str] | None = None) -> None:
     streams = wired_streams(spark, cfg, files)
     products.write_baselines(receivers(spark, cfg, streams), args.output)
     streaming = args.job == "observe-stream"
+    seen = Observation()
     packets = capture.open_capture(spark, args.capture_backend, args.input, cfg, streaming=streaming,
-                                   source_from_ip=args.fpga_id_from_ip)
+                                   source_from_ip=args.fpga_id_from_ip, split_bytes=args.split_bytes, seen=seen)
     if streaming:
         sums = rollup.Integrator(cfg, cal, f"{args.output}/integrations")
         assembler = BlockAssembler(cfg, f"{args.output}/assembly", ["payload"], on_blocks=sums)
@@ -111,6 +113,8 @@ def main(argv: list[str] | None = None) -> None:
         _write(args.output, {"profile": jobs.pulsar_fold(packets, cfg, cal, args.period, args.phase_bins)})
     else:
         _write(args.output, {"visibilities": jobs.offline_correlation(packets, cfg)})
+    gate = spark.createDataFrame([tuple(seen.get[c] for c in wire.GATE_COUNTERS)], ", ".join(f"{c} long" for c in wire.GATE_COUNTERS))
+    products.write_product(gate, args.output, "frame_counters", "overwrite")
     print(json.dumps({"job": args.job, "output": args.output}))
 
 

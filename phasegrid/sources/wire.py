@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from phasegrid.config import ArrayConfig
 from phasegrid.functions.numeric import _c, idiv
@@ -22,6 +22,7 @@ ETHERNET_BYTES = 42       # Ethernet 14 + IP 20 + UDP 8
 HEADER_BYTES = 22
 MIN_FRAME = 64            # shorter frames are ignored
 SOURCE_IP_OFFSET = 26
+SLOT_BYTES = 4096         # a receive slot; longer frames are set aside
 
 
 def little_endian(binary, offset, size: int) -> Column:
@@ -116,6 +117,32 @@ def oversized(frames: DataFrame, slot_bytes: int, frame: str = "frame") -> tuple
     return frames.where(~bad), frames.where(bad)
 
 
+#: What :func:`gate` counts on its way, once a frame.
+GATE_COUNTERS = ["short", "oversized", "not_udp"]
+
+
+def gate(frames: DataFrame, cfg: ArrayConfig, seen: Observation | None = None, slot_bytes: int = SLOT_BYTES,
+         frame: str = "frame") -> DataFrame:
+    """Frames that can be packets of this array; ``seen`` receives GATE_COUNTERS in the same pass.
+
+    Frames go that are below 64 bytes, that were captured longer than their declared
+    length or do not fit a receive slot, or that have a network header other than IPv4 and
+    UDP.  A bare payload has none.
+    """
+    f, length = F.col(frame), F.length(frame)
+    bare = HEADER_BYTES + cfg.scale_bytes + cfg.sample_bytes
+    declared = F.coalesce(F.col("wire_length"), length) if "wire_length" in frames.columns else length
+    short = F.coalesce(length < MIN_FRAME, F.lit(True))
+    long = ~short & ((length > declared) | (length > slot_bytes))
+    udp = (F.hex(F.substring(f, 13, 2)) == "0800") & (F.hex(F.substring(f, 24, 1)) == "11")
+    other = ~short & ~long & (length > bare) & ~udp
+    flags = {"__short": short, "__long": long, "__other": other}
+    d = frames.withColumns(flags)
+    if seen is not None:
+        d = d.observe(seen, *[F.count_if(flag).alias(name) for flag, name in zip(flags, GATE_COUNTERS, strict=True)])
+    return d.where("not (__short or __long or __other)").drop(*flags)
+
+
 def udp_payloads(frames: DataFrame, min_bytes: int = 106, frame: str = "frame") -> DataFrame:
     """UDP payload of full frames; frames below 106 bytes or not UDP are dropped."""
     f = F.col(frame)

@@ -6,11 +6,11 @@ import struct
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from helpers import payload
 from phasegrid.config import ArrayConfig
-from phasegrid.sources import capture, pcap, synthetic, wire
+from phasegrid.sources import capture, packet_files, pcap, synthetic, wire
 from phasegrid.streaming import rollup
 
 CFG = ArrayConfig(channels=2, fpgas=2, recv_per_fpga=10, pols=2, steps=64, packets=4)
@@ -110,11 +110,88 @@ def test_pcap_formats_and_truncation(spark, tmp_path):
     (tmp_path / "b.pcap").write_bytes(swapped)
     rows = sorted(pcap.read_pcap(spark, str(tmp_path)).collect(), key=lambda r: r.file)
     assert [bytes(r.frame) for r in rows] == [b"a" * 70, b"xyz"] and rows[1].wire_length == 9
-    assert [r[1] for r in pcap.records(io.BytesIO(swapped), ">", 10 ** 9, 24, None)] == [5_000_007]
+    stream = io.BytesIO(swapped)
+    assert [r[1] for r in packet_files.layout(stream).walk(stream, 24, len(swapped), bodies=True)] == [5_000_007]
     usable, bad = wire.oversized(pcap.read_pcap(spark, str(tmp_path)), slot_bytes=50)
     assert usable.count() == 1 and bad.count() == 1
 
 
+def varied(n=40):
+    """Records of many lengths, a few that hold records themselves."""
+    inner = pcap.pcap_bytes([(10 ** 15 + k, b"i" * 50) for k in range(6)])[24:]
+    return [(10 ** 15 + k, bytes([k]) * (64 + 7 * k % 90) + (inner + b"zz" if k % 9 == 4 else b"")) for k in range(n)]
+
+
+@pytest.mark.parametrize("make", [pcap.pcap_bytes, pcap.pcapng_bytes, lambda f: pcap.pcapng_bytes(f, ">", 9, 7)])
+@pytest.mark.parametrize("cut_off", [0, 5])
+def test_every_cut_gives_each_record_once(make, cut_off):
+    """A file cut at any byte: the part before and the part after have all records, found by looks alone."""
+    content = make(varied())
+    content = content[:len(content) - cut_off]
+    stream = io.BytesIO(content)
+    kind = packet_files.layout(stream)
+    whole = [r[0] for r in kind.walk(stream, kind.begin, len(content), bodies=True)]
+    assert len(whole) == 40 - (cut_off > 0)
+    surveyed = packet_files.survey(stream, 0, len(content))
+    for at in range(kind.begin, len(content)):
+        left, right = packet_files.survey(stream, 0, at, kind.begin), packet_files.survey(stream, at, len(content))
+        if isinstance(kind, packet_files.Classic):
+            assert left.stop == right.start == min([p for p in whole if p >= at], default=len(content))
+        else:
+            assert left.stop == right.start or right.start == len(content) and cut_off
+            scope = [(a, b) for a, b in surveyed.scope if a < right.start]
+            again = packet_files.layout(stream, scope)
+            assert [r[0] for r in again.walk(stream, right.start, len(content), bodies=True)] == [p for p in whole if p >= at]
+
+
+@pytest.mark.parametrize("name,make", [("a.pcap", pcap.pcap_bytes), ("b.pcapng", lambda f: pcap.pcapng_bytes(f, "<", 9, 11))])
+def test_split_reading_equals_whole(spark, tmp_path, name, make):
+    frames = varied(60)
+    (tmp_path / name).write_bytes(make(frames))
+    want = sorted(frames)
+    rows = lambda d: sorted((r.us, bytes(r.frame)) for r in d.selectExpr("unix_micros(ts) as us", "frame").collect())
+    assert rows(pcap.read_pcap(spark, str(tmp_path))) == want
+    for split in (97, 1000):
+        assert rows(pcap.read_pcap(spark, str(tmp_path), split_bytes=split, index=True)) == want
+    assert rows(pcap.read_pcap(spark, str(tmp_path), split_bytes=1500)) == want
+    binary = spark.read.format("binaryFile").load(str(tmp_path))
+    assert rows(pcap.frames_of_files(binary)) == want
+
+
+def test_content_that_looks_like_records(spark, tmp_path):
+    """Frames with whole captures inside: looks alone are refused, the index is exact."""
+    inner = pcap.pcap_bytes([(10 ** 15 + k, b"i" * 50) for k in range(40)])[24:]
+    frames = [(10 ** 15 + k, inner + bytes([k])) for k in range(5)]
+    (tmp_path / "a.pcap").write_bytes(pcap.pcap_bytes(frames))
+    split = len(inner) // 2
+    got = pcap.read_pcap(spark, str(tmp_path), split_bytes=split, index=True)
+    assert sorted(bytes(r.frame) for r in got.collect()) == sorted(f for _, f in frames)
+    with pytest.raises(PySparkException, match="index=True"):
+        pcap.read_pcap(spark, str(tmp_path), split_bytes=split).count()
+
+
+def test_both_formats_give_the_same_packets(spark, captures, tmp_path):
+    root, frames = captures
+    rows = [(10 ** 15 + k, f) for k, f in enumerate(frames)]
+    (tmp_path / "all.pcapng").write_bytes(pcap.pcapng_bytes(rows, resolution=9, section_every=10))
+    a = capture.open_capture(spark, "pcap", root, CFG).drop("arrival")
+    for split in (pcap.SPLIT_BYTES, 5000):
+        b = capture.open_capture(spark, "pcap", str(tmp_path), CFG, split_bytes=split).drop("arrival")
+        assert b.exceptAll(a).count() == 0 and b.count() == 25
+
+
+def test_gate_counts_in_the_same_pass(spark):
+    good = frame(1000, 0, 0, BODY)
+    tcp, arp = bytearray(good), bytearray(good)
+    tcp[23], arp[12:14] = 6, b"\x08\x06"
+    rows = [(good, len(good)), (good, len(good) - 1), (good + b"x", len(good) + 1), (bytes(tcp), 9000), (bytes(arp), 9000), (b"x" * 63, 63),
+            (None, 5), (good[42:], len(good) - 42), (good, None)]
+    seen = Observation()
+    d = wire.gate(spark.createDataFrame(rows, "frame binary, wire_length int"), CFG, seen, len(good))
+    assert d.count() == 3 and seen.get == {"short": 2, "oversized": 2, "not_udp": 2}
+    assert wire.gate(spark.createDataFrame([(good,)], "frame binary"), CFG).count() == 1
+
+
 def test_capture_backends_and_stream(spark, captures, tmp_path):
     root, frames = captures
     batch = capture.open_capture(spark, "pcap", root, CFG)
