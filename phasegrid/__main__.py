@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> None:
     if streaming:
         sums = rollup.Integrator(cfg, cal, f"{args.output}/integrations")
         assembler = BlockAssembler(cfg, f"{args.output}/assembly", ["payload"], on_blocks=sums)
-        rollup.run_batches(packets, assembler, f"{args.output}/checkpoint")
+        rollup.run_batches(packets, assembler, f"{args.output}/checkpoint", end=True)
         _write(args.output, {"visibilities": sums.integrations(spark), "counters": assembler.counters(spark)})
         return
     if args.num_packets:

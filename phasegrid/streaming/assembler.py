@@ -7,7 +7,10 @@ come.  That table is bounded by the array, while packets are only filtered,
 joined and aggregated by Spark, whatever their distribution over blocks.
 
 State and output of batch ``n`` are folders named after ``n`` and depend only on
-the state of ``n - 1`` and the batch, so a repeated batch replaces itself.
+the state of ``n - 1`` and the batch, so a repeated batch replaces itself.  The end of
+a stream is such a step as well: :meth:`BlockAssembler.finish` writes what is still open
+in the place of the batch that would come next.  Done again it replaces itself, and if
+the stream goes on after all, the next batch replaces it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from phasegrid.functions.numeric import floor_div
 from phasegrid.operators import ingest
 
 META = ("start long, next_block long, stalled_ms long, received long, discarded_channel long, "
-        "discarded_old long, deferred long, emitted_blocks long, "
+        "discarded_old long, deferred long, emitted_blocks long, final boolean, "
         "marks array<struct<channel: int, source: int, mark: long>>")
 
 
@@ -136,6 +139,13 @@ class BlockAssembler:
     # --- one micro-batch -----------------------------------------------------------
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()     # counted, judged, emitted and kept: read once from its source
+        try:
+            self._step(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _step(self, batch: DataFrame, batch_id: int) -> None:
         spark, cfg = batch.sparkSession, self.cfg
         accepted = ingest.channel_window(batch, cfg).withColumn("source", ingest.source_index(cfg))
         state = self._load(spark, batch_id)
@@ -166,9 +176,10 @@ class BlockAssembler:
         self._save(spark, batch_id, keep, marks, (
             start, next_block, stalled, counts["received"], counts["other"], counts["old"], held, next_block - first))
 
-    def _blocks(self, packets: DataFrame, first: int, last: int) -> DataFrame:
-        members = ingest.block_members(packets, self.cfg)
-        members = members.where((F.col("block") >= first) & (F.col("block") < last))
+    def _blocks(self, packets: DataFrame, first: int, last: int | None) -> DataFrame:
+        members = ingest.block_members(packets, self.cfg).where(F.col("block") >= first)
+        if last is not None:
+            members = members.where(F.col("block") < last)
         return ingest.last_wins(members, ["block", "channel", "source", "pkt"], self.values)
 
     def _emit(self, blocks: DataFrame, batch_id: int) -> None:
@@ -177,23 +188,30 @@ class BlockAssembler:
         if self.on_blocks is not None:
             self.on_blocks(blocks.sparkSession.read.schema(blocks.schema).parquet(path), batch_id)
 
-    def _save(self, spark, batch_id, keep, marks, meta) -> None:
+    def _save(self, spark, batch_id, keep, marks, meta, final: bool = False) -> None:
         if keep is not None:
             keep.write.mode("overwrite").parquet(self._folder("open", batch_id))
         rows = [(c, s, m) for (c, s), m in marks.items()]
-        spark.createDataFrame([(*meta, rows)], META).coalesce(1).write.mode("overwrite").parquet(
+        spark.createDataFrame([(*meta, final, rows)], META).coalesce(1).write.mode("overwrite").parquet(
             self._folder("meta", batch_id))
 
-    def flush(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """End of stream: emit the block in progress after batch ``batch_id``, gaps included."""
-        state = self._load(spark, batch_id + 1)
+    def finish(self, spark: SparkSession) -> DataFrame:
+        """End of stream: emit all blocks in progress, gaps and held packets included, and return them.
+
+        The step is written as the batch after the last one.
+        """
+        last = self._all_meta(spark).where("not final").agg(F.max("batch")).first()[0]
+        state = None if last is None else self._load(spark, last + 1)
         if state is None:
             raise RuntimeError("the stream has not accepted a packet")
-        meta, _, opened = state
-        block = meta["next_block"]
-        blocks = self._blocks(opened, block, block + 1)
-        self._emit(blocks, batch_id + 1)
-        return spark.read.schema(blocks.schema).parquet(self._folder("blocks", batch_id + 1))
+        meta, marks, opened = state
+        blocks = self._blocks(opened, meta["next_block"], None)
+        self._emit(blocks, last + 1)
+        done = spark.read.schema(blocks.schema).parquet(self._folder("blocks", last + 1))
+        emitted, end = done.agg(F.count_distinct("block"), F.max("block")).first()
+        after = meta["next_block"] if end is None else end + 1
+        self._save(spark, last + 1, opened.limit(0), marks, (meta["start"], after, None, 0, 0, 0, 0, emitted), final=True)
+        return done
 
     # --- results -------------------------------------------------------------------
 
@@ -202,8 +220,11 @@ class BlockAssembler:
         return spark.read.parquet(f"{self.root}/blocks").drop("batch")
 
     def counters(self, spark: SparkSession) -> DataFrame:
-        """Counter row of every micro-batch."""
-        return spark.read.schema(META + ", batch long").parquet(f"{self.root}/meta").drop("marks")
+        """Counter row of every micro-batch; the end of the stream counts no packets."""
+        return self._all_meta(spark).where("not final").drop("marks", "final")
+
+    def _all_meta(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(META + ", batch long").parquet(f"{self.root}/meta")
 
 
 def _raise(marks: dict, seen: dict) -> None:
@@ -212,9 +233,10 @@ def _raise(marks: dict, seen: dict) -> None:
 
 
 def missing_in(blocks: DataFrame, cfg: ArrayConfig) -> DataFrame:
-    """Missing packets of each emitted block (halo not counted)."""
+    """Missing packets of each emitted block that has packets of its own (halo not counted)."""
     own = F.count_if(F.col("pkt").between(0, cfg.packets - 1))
-    return blocks.groupBy("block").agg((F.lit(cfg.packets_per_block) - own).alias("missing"))
+    return blocks.groupBy("block").agg((F.lit(cfg.packets_per_block) - own).alias("missing")).where(
+        F.col("missing") < cfg.packets_per_block)
 
 
 def native_progress(packets: DataFrame, cfg: ArrayConfig, start: int, delay: str = "10 seconds") -> DataFrame:

@@ -32,11 +32,16 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, handler, checkpoint: str) -> StreamingQuery:
-    """Process everything available through a ``foreachBatch`` function."""
+def run_batches(stream: DataFrame, handler, checkpoint: str, end: bool = False) -> StreamingQuery:
+    """Process everything available through a ``foreachBatch`` function.
+
+    ``end``: nothing comes after it, so the handler's ``finish`` emits what is still open.
+    """
     query = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    if end:
+        handler.finish(stream.sparkSession)
     return query
 
 

@@ -27,26 +27,20 @@ def event_stream(spark, root):
             .option("maxFilesPerTrigger", 1).parquet(root))
 
 
-COMPLETE = ARRIVED + """,
-far AS (SELECT channel, source, max(sample_count - 128 * fpga_id - start) AS mark FROM accepted, anchor GROUP BY ALL),
-done AS (SELECT CASE WHEN count(*) = 8 THEN (min(mark) + 32) // 1024 ELSE 0 END AS blocks FROM far)"""
-
-
 def assembled(spark, root):
     base = scratch_path(spark, "assembler")
     assembler = BlockAssembler(EVENTS, f"{base}/out", ["value"])
-    rollup.run_batches(tb.packets_of_events(event_stream(spark, root)), assembler, f"{base}/checkpoint")
+    rollup.run_batches(tb.packets_of_events(event_stream(spark, root)), assembler, f"{base}/checkpoint", end=True)
     return assembler
 
 
-@query(f"WITH {COMPLETE} SELECT a.* FROM arrived a, done WHERE block < blocks")
+@query(f"WITH {ARRIVED} SELECT * FROM arrived")
 def stream_blocks(spark, root):
-    """Blocks completed by per-stream progress, last copy of each packet."""
+    """Blocks completed by per-stream progress, then those the end of the stream completes; last copy of each packet."""
     return assembled(spark, root).blocks(spark)
 
 
-@query(f"""WITH {COMPLETE} SELECT block, 128 - count(*) FILTER (pkt BETWEEN 0 AND 15) AS missing FROM arrived, done
-WHERE block < blocks GROUP BY block""")
+@query(f"""WITH {ARRIVED} SELECT block, 128 - count(*) AS missing FROM arrived WHERE pkt BETWEEN 0 AND 15 GROUP BY block""")
 def stream_missing(spark, root):
     return missing_in(assembled(spark, root).blocks(spark), EVENTS)
 
@@ -71,19 +65,15 @@ def stream_counters(spark, root):
     return counts.totals(spark)
 
 
-@query(f"""WITH {VIS}, marks AS (
-  SELECT channel, recv // 4 AS source, max((block * 8 + pkt) * 16) AS m FROM samples GROUP BY ALL),
-done AS (SELECT (min(m) + 8) // 128 AS blocks FROM marks)
-SELECT block // 2 AS integration, channel, i, j, p, q, sum(re) AS re, sum(im) AS im FROM vis, done
-WHERE block < blocks GROUP BY ALL""")
+@query(f"""WITH {VIS} SELECT block // 2 AS integration, channel, i, j, p, q, sum(re) AS re, sum(im) AS im FROM vis GROUP BY ALL""")
 def stream_visibilities(spark, root):
-    """Stored packets streamed through assembly and integration."""
+    """Stored packets streamed through assembly and integration, the last short integration included."""
     base = scratch_path(spark, "stream-vis")
     tb.embedding_packets(spark, root).write.parquet(f"{base}/packets")
     packets = spark.readStream.schema(spark.read.parquet(f"{base}/packets").schema).parquet(f"{base}/packets")
     sums = rollup.Integrator(CFG, Calibration(), f"{base}/vis")
     assembler = BlockAssembler(CFG, f"{base}/out", ["payload"], on_blocks=sums)
-    rollup.run_batches(packets, assembler, f"{base}/checkpoint")
+    rollup.run_batches(packets, assembler, f"{base}/checkpoint", end=True)
     return sums.integrations(spark)
 
 

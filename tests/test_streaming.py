@@ -58,7 +58,7 @@ def test_batches_give_the_same_blocks_as_one_batch_job(spark, tmp_path):
     want = {(r.block, r.channel, r.pkt): r.value for r in ingest.assemble(whole, CFG, ["value"]).collect()}
     assert {k[0] for k in got} == set(range(6))
     assert got == {k: v for k, v in want.items() if k[0] < 6}
-    rest = a.flush(spark, 3)
+    rest = a.finish(spark)
     assert {(r.block, r.channel, r.pkt): r.value for r in rest.collect()} == {k: v for k, v in want.items() if k[0] == 6}
     assert missing_in(a.blocks(spark).where("block < 6"), CFG).where("missing > 0").count() == 0
 
@@ -115,6 +115,28 @@ def test_repeated_batch_replaces_itself_and_old_packets_count(spark, tmp_path):
     assert a.counters(spark).where("batch = 1").first().discarded_old == 1
 
 
+def test_end_of_stream_emits_everything_once(spark, tmp_path):
+    """Open blocks, short ones and held packets come out; done again, or overtaken by more data, nothing is there twice."""
+    rows = grid(range(25)) + [(1000 + 8 * 900, 0, 0)]
+    a = BlockAssembler(CFG, str(tmp_path), ["value"], clock=Clock())
+    feed(spark, a, rows)
+    assert {k[0] for k in emitted(spark, a)} == {0, 1}
+    whole = lambda rows: {(r.block, r.channel, r.pkt): r.value for r in ingest.assemble(spark.createDataFrame(
+        [(i, s, f, c, i) for i, (s, f, c) in enumerate(rows)],
+        "arrival long, sample_count long, fpga_id int, freq_channel int, value long"), CFG, ["value"]).collect()}
+    a.finish(spark)
+    assert emitted(spark, a) == whole(rows) and a.blocks(spark).count() == len(whole(rows))
+    BlockAssembler(CFG, str(tmp_path), ["value"]).finish(spark)
+    assert emitted(spark, a) == whole(rows) and a.blocks(spark).count() == len(whole(rows))
+    assert a.counters(spark).count() == 1
+    # the stream goes on after all
+    more = grid(range(25, 45))
+    data = [(len(rows) + i, s, f, c, len(rows) + i) for i, (s, f, c) in enumerate(more)]
+    a(spark.createDataFrame(data, "arrival long, sample_count long, fpga_id int, freq_channel int, value long"), 1)
+    a.finish(spark)
+    assert emitted(spark, a) == whole(rows + more) and a.blocks(spark).count() == len(whole(rows + more))
+
+
 def test_duplicate_across_batches_keeps_the_last(spark, tmp_path):
     a = BlockAssembler(CFG, str(tmp_path), ["value"])
     feed(spark, a, grid(range(5)), [(1016, 0, 1)] + grid(range(5, 12)))
@@ -139,9 +161,8 @@ def test_file_stream_to_integrations(spark, tmp_path):
     stream = (spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     sums = rollup.Integrator(WIRE, Calibration(), str(tmp_path / "vis"))
     a = BlockAssembler(WIRE, str(tmp_path / "blocks"), ["payload"], on_blocks=sums)
-    rollup.run_batches(stream, a, str(tmp_path / "cp"))
+    rollup.run_batches(stream, a, str(tmp_path / "cp"), end=True)
     assert a.counters(spark).count() == 3
-    a.flush(spark, 2)
     got = {(r.integration, r.i, r.j): r.re for r in sums.integrations(spark).collect()}
     want = {(r.integration, r.i, r.j): r.re for r in jobs.observe(d, WIRE, Calibration())["visibilities"].collect()}
     assert got == want and len(got) == 4 * 3
