@@ -44,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
                        ("delay-file", "source delays in samples"), ("eigenvalue-num-filename", "signal vectors by channel")):
         files.add_argument(f"--{flag}", help=text)
     files.add_argument("--utc", help="pointing time of the targets (default: now)")
+    files.add_argument("--steering-interval", type=float, help="seconds after which beams are pointed anew (default: never)")
+    files.add_argument("--obs-length", type=float, default=0.0, help="seconds of the observation, for which beams are pointed")
     rfi = p.add_argument_group("interference removal")
     rfi.add_argument("--shrink-eigenvalues", action="store_true", help="shrink instead of null")
     rfi.add_argument("--detect-signal-eigenmodes", action="store_true")
@@ -76,7 +78,7 @@ def main(argv: list[str] | None = None) -> None:
                       steps=args.steps, packets=args.packets, beams=args.beams, min_channel=args.min_channel,
                       accumulate=args.accumulation_length, fpga_ids=args.fpga_ids, fpga_delays=delays)
     files = RunFiles(args.config, args.stream_antenna_map, args.gains, args.fine_delays, args.beam_weights, args.targets)
-    cal = load_calibration(spark, cfg, files, args.utc)
+    cal = load_calibration(spark, cfg, files, args.utc, args.steering_interval, args.obs_length)
     streams = wired_streams(spark, cfg, files)
     products.write_baselines(receivers(spark, cfg, streams), args.output)
     streaming = args.job == "observe-stream"

@@ -15,11 +15,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from phasegrid.config import ArrayConfig
+from phasegrid.functions.numeric import SPEED_OF_LIGHT
 from phasegrid.operators import adaptive, fold, ingest
 from phasegrid.operators.correlate import packed_triangle
 from phasegrid.session import materialize
 
 
+@dataclass(frozen=True)
+class Tracking:
+    """Beams that follow their targets: the direction of every beam in each refresh epoch.
+
+    An epoch holds from ``starts`` on, in samples since the first packet, until the next
+    one's.  Weights are worked out where a block is reduced, from three numbers a beam.
+    """
+
+    starts: np.ndarray          # [epoch], ascending, the first one 0
+    directions: np.ndarray      # [epoch][beam][l, m, n]
+    positions: np.ndarray       # [receiver][east, north, up] in metres
+    connected: np.ndarray       # [receiver]: false for one without an antenna
+
+    def __post_init__(self) -> None:
+        if len(self.starts) != len(self.directions) or not len(self.starts) or self.starts[0] != 0 or (np.diff(self.starts) <= 0).any():
+            raise ValueError("epochs must start at 0 and ascend, with directions for each")
+
+    def epoch(self, sample: int) -> int:
+        """The last epoch that starts at a sample or before; samples before the first packet are in the first."""
+        return max(int(np.searchsorted(self.starts, sample, side="right")) - 1, 0)
+
+    def weights(self, sample: int, freq_hz: float, pols: int) -> np.ndarray:
+        """``[pol][beam][receiver]`` for a block that starts at ``sample``; a receiver without antenna gets exactly zero."""
+        path = self.directions[self.epoch(sample)] @ self.positions.T
+        w = np.exp(-2j * np.pi * freq_hz / SPEED_OF_LIGHT * path) / len(self.positions)
+        return np.broadcast_to(np.where(self.connected, w, 0), (pols, *w.shape))
+
+
 @dataclass(frozen=True)
 class Calibration:
     """Dimension data of a run, bounded by the array shape (all optional)."""
@@ -31,10 +60,24 @@ class Calibration:
     base_hz: float = 0.0
     bandwidth_hz: float = 0.0
     residuals: dict[int, int] = field(default_factory=dict)   # sample delay by source position
+    tracking: Tracking | None = None         # instead of fixed weights
+
+    @property
+    def has_beams(self) -> bool:
+        return self.weights is not None or self.tracking is not None
 
     @property
     def beams(self) -> int:
-        return self.weights.shape[-2]
+        return self.weights.shape[-2] if self.tracking is None else self.tracking.directions.shape[1]
+
+    def channel_hz(self, cfg: ArrayConfig, channel: int) -> float:
+        return self.base_hz + (cfg.min_channel + channel) * self.bandwidth_hz
+
+    def block_weights(self, cfg: ArrayConfig, block: int, channel: int) -> np.ndarray | None:
+        """Weights ``[pol][beam][receiver]`` of a block."""
+        if self.tracking is not None:
+            return self.tracking.weights(block * cfg.packets * cfg.step, self.channel_hz(cfg, channel), cfg.pols)
+        return None if self.weights is None else self.weights[channel]
 
 
 @dataclass(frozen=True)
@@ -85,8 +128,7 @@ def block_cube(pdf: pd.DataFrame, channel: int, cfg: ArrayConfig, cal: Calibrati
         recv, pol = cal.permutation[..., 0], cal.permutation[..., 1]
         cube = np.where((recv >= 0)[..., None], cube[np.maximum(recv, 0), pol], 0)
     if cal.delays_ns is not None:
-        freq = cal.base_hz + (cfg.min_channel + channel) * cal.bandwidth_hz
-        freq = freq + np.fft.fftfreq(n * u) * cal.bandwidth_hz
+        freq = cal.channel_hz(cfg, channel) + np.fft.fftfreq(n * u) * cal.bandwidth_hz
         turn = np.exp(-2j * np.pi * freq[None, :] * cal.delays_ns[:, None] * 1e-9)
         cube = np.fft.ifft(np.fft.fft(cube, axis=2) * turn[:, None, :], axis=2)
     return cube, slots
@@ -153,7 +195,7 @@ def reduce_blocks(arrived: DataFrame, cfg: ArrayConfig, cal: Calibration, *, vis
         vis = packed_triangle(cube.reshape(cfg.receivers * cfg.pols, -1), cfg.receivers, cfg.pols)
         out = {"block": block, "channel": channel,
                "missing": cfg.fpgas * cfg.packets - own}
-        weights = cal.weights[channel] if cal.weights is not None else None
+        weights = cal.block_weights(cfg, block, channel)
         counts = lam = y = spec = None
         if mitigation:
             fixed = modes.get(channel, 0) if isinstance(modes, dict) else modes

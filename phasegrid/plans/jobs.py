@@ -51,7 +51,7 @@ def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration) -> Products:
     written then.  All carry the counters of their blocks' first and last packet and how
     many packets are missing.  Stray counters are counted in ``stray_counters``.
     """
-    with_beams = cal.weights is not None
+    with_beams = cal.has_beams
     made = blocks.block_products(packets, cfg, cal, beams=with_beams, spectra="block" if with_beams else None)
     packed = packed_rows(made.rows)
     plans = {"visibilities": lambda: correlate.accumulate_packed(packed, cfg, cfg.accumulate),

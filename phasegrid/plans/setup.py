@@ -10,11 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phasegrid.config import ArrayConfig
 from phasegrid.operators import beam, calibrate, wiring
-from phasegrid.plans.blocks import Calibration
+from phasegrid.plans.blocks import Calibration, Tracking
 from phasegrid.sources import dims
 
 
@@ -86,8 +86,43 @@ def _channels(d: DataFrame, cfg: ArrayConfig) -> DataFrame:
             .withColumn("channel", F.col("index") + cfg.min_channel))
 
 
-def load_calibration(spark: SparkSession, cfg: ArrayConfig, files: RunFiles, utc: str | None = None) -> Calibration:
-    """Everything the block jobs need; ``utc`` is the pointing time of tracked targets."""
+def epoch_directions(targets: DataFrame, latitude: float, longitude: float, at: Column, interval_s: float, epochs: int) -> DataFrame:
+    """Direction of every target (beam, mode, ra_deg, dec_deg) at the begin of each refresh epoch: epoch, beam, l, m, n.
+
+    ``at`` is the time of the first one.
+    """
+    d = targets.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))      # targets are one row a beam
+    moved = F.unix_micros(at) + F.round(F.col("epoch") * F.lit(float(interval_s) * 1e6)).cast("long")
+    d = d.withColumn("ts", F.timestamp_micros(moved))
+    return beam.target_directions(d, latitude, longitude).select("epoch", "beam", "l", "m", "n")
+
+
+def tracking(directions: DataFrame, positions: DataFrame, cfg: ArrayConfig, interval_s: float, rate_hz: float) -> Tracking:
+    """Arrays of :func:`epoch_directions` and of the receivers' places (canonical, antenna_id, east, north, up).
+
+    ``rate_hz``: counts of the sample counter in a second.
+    """
+    rows = directions.collect()         # three numbers a beam and epoch
+    epochs = max(r["epoch"] for r in rows) + 1
+    found = np.zeros((epochs, cfg.beams, 3))
+    for r in rows:
+        found[r["epoch"], r["beam"]] = r["l"], r["m"], r["n"]
+    places, connected = np.zeros((cfg.receivers, 3)), np.zeros(cfg.receivers, bool)
+    for r in positions.collect():
+        places[r["canonical"]] = [r[c] or 0.0 for c in ("east", "north", "up")]
+        connected[r["canonical"]] = r["antenna_id"] >= 0
+    starts = np.round(np.arange(epochs) * interval_s * rate_hz).astype(np.int64)
+    return Tracking(starts, found, places, connected)
+
+
+def load_calibration(spark: SparkSession, cfg: ArrayConfig, files: RunFiles, utc: str | None = None,
+                     refresh_s: float | None = None, length_s: float = 0.0) -> Calibration:
+    """Everything the block jobs need; ``utc`` is the pointing time of targets.
+
+    With ``refresh_s`` beams follow their targets: directions are worked out anew every so
+    many seconds of an observation of ``length_s`` that starts at ``utc``; the last ones
+    hold beyond its end.
+    """
     streams = wired_streams(spark, cfg, files)
     recv = receivers(spark, cfg, streams)
     site = dims.site(spark, files.config).first() if files.config else None
@@ -124,6 +159,7 @@ def load_calibration(spark: SparkSession, cfg: ArrayConfig, files: RunFiles, utc
             delays[r["canonical"]] = r["delay_ns"]
 
     shape = (cfg.channels, cfg.pols, cfg.beams, cfg.receivers)
+    follow = None
     if files.targets:
         at = F.lit(utc).cast("timestamp") if utc else F.current_timestamp()
         run = F.lit(0).cast("long")
@@ -136,6 +172,10 @@ def load_calibration(spark: SparkSession, cfg: ArrayConfig, files: RunFiles, utc
             F.col("index").alias("channel"), run.alias("run")), cfg.min_channel, base, width)
         d = beam.steering_weights(wiring.antenna_positions(recv, places), directions, channels, cfg.receivers, cfg.pols)
         weights = _array(d, cfg, shape, ["channel", "pol", "beam", "recv"], 0.0)
+        if refresh_s:
+            every = epoch_directions(beam_targets(dims.targets(spark, files.targets), cfg.beams), site["latitude_deg"],
+                                     site["longitude_deg"], at, refresh_s, int(length_s // refresh_s) + 1)
+            follow = tracking(every, wiring.antenna_positions(recv, places), cfg, refresh_s, width)
     else:
         d = _channels(recv.withColumn("pol", F.explode(F.sequence(F.lit(0), F.lit(cfg.pols - 1)))), cfg)
         d = d.withColumn("pol_name", pol_name).withColumn("beam", F.explode(F.sequence(F.lit(0), F.lit(cfg.beams - 1))))
@@ -148,4 +188,4 @@ def load_calibration(spark: SparkSession, cfg: ArrayConfig, files: RunFiles, utc
 
     residuals = {i: cfg.split_delays()[f][1] for i, f in enumerate(cfg.fpga_ids)}
     return Calibration(gains=gains, permutation=perm, weights=weights, delays_ns=delays, base_hz=base,
-                       bandwidth_hz=width, residuals=residuals)
+                       bandwidth_hz=width, residuals=residuals, tracking=follow)

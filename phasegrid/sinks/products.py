@@ -37,13 +37,9 @@ def read_product(spark: SparkSession, root: str, product: str) -> DataFrame:
 def read_visibilities(spark: SparkSession, root: str) -> DataFrame:
     """Visibilities with identities; without a baseline table receivers stand for antennas."""
     vis = read_product(spark, root, "visibilities")
-    try:
-        base = read_product(spark, root, "baselines").select("i", "j", "ant_i", "ant_j", "baseline_id", "zeroed")
-    except Exception as error:  # an old product folder without the table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return (vis.withColumns({"ant_i": F.col("i"), "ant_j": F.col("j"),
-                                 "baseline_id": N.baseline_id("i", "j"), "zeroed": F.lit(0)}))
+    if not _exists(spark, f"{root}/baselines"):      # an old product folder without the table
+        return vis.withColumns({"ant_i": F.col("i"), "ant_j": F.col("j"), "baseline_id": N.baseline_id("i", "j"), "zeroed": F.lit(0)})
+    base = read_product(spark, root, "baselines").select("i", "j", "ant_i", "ant_j", "baseline_id", "zeroed")
     return vis.join(base, ["i", "j"], "left")
 
 

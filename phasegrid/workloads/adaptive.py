@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from phasegrid.functions import numeric as N
 from phasegrid.operators import adaptive as op, ingest
 from phasegrid.plans import jobs
-from phasegrid.plans.blocks import SEQUENCE, Calibration
+from phasegrid.plans.blocks import SEQUENCE, Calibration, Tracking
+from phasegrid.session import scratch_path
+from phasegrid.sinks import products
 from phasegrid.sources import tables as tb
 from phasegrid.workloads import eigen_sql as E
 from phasegrid.workloads import query
@@ -249,6 +251,47 @@ def observe_beams(spark, root):
     return d.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("re", "im")})
 
 
+#: Three epochs of two beams on receivers in a row: begin in samples, and direction cosines by beam (any numbers will do).
+EPOCHS = [(0, [(0.0, 0.0, 1.0), (0.1, 0.2, 0.97)]), (100, [(0.02, -0.01, 0.99), (0.12, 0.19, 0.96)]), (300, [(0.05, 0.0, 0.98), (0.2, 0.1, 0.9)])]
+TRACK_HZ, TRACK_WIDTH_HZ = 1.2e8, 781250.0
+TRACKED = SCALED + f""",
+dirs AS (SELECT * FROM (VALUES {", ".join(f"({e}, {b}, {l}::DOUBLE, {m}::DOUBLE, {n}::DOUBLE)" for e, (_, beams) in enumerate(EPOCHS) for b, (l, m, n) in enumerate(beams))}) d(epoch, beam, l, m, n)),
+tracked AS (
+  SELECT block, channel, pol, CAST(beam AS INTEGER) AS beam, CAST(pkt * 16 + t AS INTEGER) AS s,
+         -2 * pi() * ({TRACK_HZ}::DOUBLE + channel * {TRACK_WIDTH_HZ}::DOUBLE) / 299792458.0::DOUBLE * (l * 10 * recv + m * 3 * recv + n * 0.5) AS phase, recv, re, im
+  FROM x JOIN dirs ON epoch = CASE WHEN block * 128 >= {EPOCHS[2][0]} THEN 2 WHEN block * 128 >= {EPOCHS[1][0]} THEN 1 ELSE 0 END WHERE recv <> 3),
+tb AS (SELECT block, channel, pol, beam, s, sum(re * cos(phase) - im * sin(phase)) / 8 AS re, sum(re * sin(phase) + im * cos(phase)) / 8 AS im
+  FROM tracked GROUP BY ALL)"""
+
+
+@query(f"""WITH {TRACKED}, g AS (SELECT DISTINCT block, channel FROM samples)
+SELECT g.block, g.channel, p.pol, b.beam, s.s, round(coalesce(re, 0), 5) + 0.0 AS re, round(coalesce(im, 0), 5) + 0.0 AS im
+FROM g CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS pol) p
+CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS beam) b CROSS JOIN (SELECT CAST(unnest(range(128)) AS INTEGER) AS s) s
+LEFT JOIN tb y ON y.block = g.block AND y.channel = g.channel AND y.pol = p.pol AND y.beam = b.beam AND y.s = s.s""")
+def observe_tracking(spark, root):
+    """Beams that are pointed anew twice; each block uses the epoch it starts in, and receiver 3 has no antenna."""
+    places = np.array([[10.0 * r, 3.0 * r, 0.5] for r in range(8)])
+    track = Tracking(np.array([e for e, _ in EPOCHS]), np.array([d for _, d in EPOCHS]), places, np.arange(8) != 3)
+    cal = Calibration(tracking=track, base_hz=TRACK_HZ, bandwidth_hz=TRACK_WIDTH_HZ)
+    d = jobs.observe(tb.embedding_packets(spark, root), CFG, cal)["beams"].drop(*SEQUENCE)
+    return d.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("re", "im")})
+
+
+@query(f"""WITH {SAMPLES}, s AS (SELECT DISTINCT block, channel, pkt, recv // 4 AS source FROM samples),
+b AS (SELECT block, channel, count(*) AS have FROM s GROUP BY ALL)
+SELECT block // 2 AS integration, channel, CAST(min(block) * 128 AS BIGINT) AS start_seq, CAST(max(block) * 128 + 112 AS BIGINT) AS end_seq,
+CAST(sum(16 - have) AS BIGINT) AS missing FROM b GROUP BY ALL""")
+def observe_sequence(spark, root):
+    """Counters of the first and last packet of every integration, counted from the first of all, and its missing packets, as the product has them."""
+    packets = tb.embedding_packets(spark, root)
+    out = scratch_path(spark, "sequence")
+    products.write_product(jobs.observe(packets, CFG, Calibration())["visibilities"], out, "visibilities")
+    zero = packets.agg(F.min("sample_count")).scalar()
+    d = products.read_product(spark, out, "visibilities").where("i = 0 and j = 0 and p = 0 and q = 0")
+    return d.select("integration", "channel", (F.col("start_seq") - zero).alias("start_seq"), (F.col("end_seq") - zero).alias("end_seq"), "missing")
+
+
 @query(f"""WITH {WEIGHTS}, spec AS (
   SELECT block, channel, pol, beam, pkt, k,
          sum(re * cos(2 * pi() * ((k * t) % 16) / 16) + im * sin(2 * pi() * ((k * t) % 16) / 16)) AS re,
