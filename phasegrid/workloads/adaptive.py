@@ -278,6 +278,33 @@ def observe_tracking(spark, root):
     return d.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("re", "im")})
 
 
+@query(f"""WITH {SCALED},
+y AS (SELECT channel, recv, pol, block * 128 + pkt * 16 + t - CASE WHEN recv >= 4 THEN 3 ELSE 0 END AS tt,
+  re * ((recv + 2 * pol + channel) % 3 + 1) - im * ((recv + pol) % 2) AS re, re * ((recv + pol) % 2) + im * ((recv + 2 * pol + channel) % 3 + 1) AS im FROM x),
+perm AS (SELECT c, q, (c * 3 + 1) % 8 AS hw, (q + c) % 2 AS hp FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS c),
+  (SELECT CAST(unnest([0, 1]) AS INTEGER) AS q) WHERE c <> 5),
+own AS (SELECT DISTINCT block, channel FROM samples),
+z AS (SELECT y.channel, c, q, own.block, tt, re, im FROM y JOIN perm ON recv = hw AND pol = hp
+  JOIN own ON own.channel = y.channel AND own.block = CAST(floor(tt / 128.0) AS BIGINT)),
+vis AS (SELECT a.block // 2 AS integration, a.channel, a.c AS i, b.c AS j, a.q AS p, b.q AS q,
+  CAST(sum(a.re * b.re + a.im * b.im) AS DOUBLE) AS re, CAST(sum(a.im * b.re - a.re * b.im) AS DOUBLE) AS im
+  FROM z a JOIN z b ON a.channel = b.channel AND a.tt = b.tt AND a.c <= b.c GROUP BY ALL),
+g AS (SELECT DISTINCT block // 2 AS integration, channel FROM own),
+r AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(p AS INTEGER) AS p, CAST(q AS INTEGER) AS q
+  FROM (SELECT unnest(range(8)) AS i) JOIN (SELECT unnest(range(8)) AS j) ON i <= j
+  CROSS JOIN (SELECT unnest(range(2)) AS p) CROSS JOIN (SELECT unnest(range(2)) AS q))
+SELECT g.integration, g.channel, r.i, r.j, r.p, r.q, coalesce(re, 0) AS re, coalesce(im, 0) AS im FROM g CROSS JOIN r
+LEFT JOIN vis v ON v.integration = g.integration AND v.channel = g.channel AND v.i = r.i AND v.j = r.j AND v.p = r.p AND v.q = r.q""")
+def observe_calibrated(spark, root):
+    """Visibilities with gains, another order of receivers and polarizations, one left out, and a source three samples late."""
+    c, p, r = np.meshgrid(range(2), range(2), range(8), indexing="ij")
+    gains = ((r + 2 * p + c) % 3 + 1) + 1j * ((r + p) % 2)
+    slot, pol = np.meshgrid(range(8), range(2), indexing="ij")
+    wired = np.stack([np.where(slot == 5, -1, (slot * 3 + 1) % 8), (pol + slot) % 2], axis=-1)
+    cal = Calibration(gains=gains, permutation=wired, residuals={0: 0, 1: 3})
+    return jobs.observe(tb.embedding_packets(spark, root), CFG, cal)["visibilities"].drop(*SEQUENCE)
+
+
 @query(f"""WITH {SAMPLES}, s AS (SELECT DISTINCT block, channel, pkt, recv // 4 AS source FROM samples),
 b AS (SELECT block, channel, count(*) AS have FROM s GROUP BY ALL)
 SELECT block // 2 AS integration, channel, CAST(min(block) * 128 AS BIGINT) AS start_seq, CAST(max(block) * 128 + 112 AS BIGINT) AS end_seq,
