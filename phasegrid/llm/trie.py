@@ -14,7 +14,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-_SLOT_BITS = 21
+_SPARSE = 32            # slots for each piece of a length, so that few other strings pass
 
 
 def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,23 +44,22 @@ class PieceTable:
         for group in groups:
             group.sort()
             keys = np.array([g[0] for g in group], np.uint64)
-            bits = np.zeros(1 << _SLOT_BITS if len(keys) else 1, bool)
-            if len(keys):
-                bits[self._slot(keys)] = True
+            bits = np.zeros(1 << (_SPARSE * len(keys)).bit_length(), bool)
+            bits[self._slot(keys, bits)] = True
             self.keys.append(keys)
             self.ids.append(np.array([g[1] for g in group], np.int64))
             self.bits.append(bits)
 
     @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return ((h * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    def _slot(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        return ((h * _SPREAD) >> np.uint64(32)).astype(np.int64) & (len(bits) - 1)
 
     def find(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``h`` that are pieces of ``length``, and the piece numbers."""
         keys = self.keys[length]
         if not len(keys) or not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.bits[length][self._slot(h)])
+        at = np.flatnonzero(self.bits[length][self._slot(h, self.bits[length])])
         pos = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
         ok = keys[pos] == h[at]
         return at[ok], self.ids[length][pos[ok]]
