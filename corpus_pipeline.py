@@ -21,6 +21,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5       # language share below which a document is of no language
 MIX_SHARE = (9, 10)     # of all tokens that reach the mixture, each used once at most
 ID_ROWS = 1_000_000     # id lists up to this length are broadcast
+BATCH_ROWS = 1_000      # texts that move between Spark and Python at once, whatever a session allows
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Executors know the package, and batches of texts are bounded: both sides hold them, and keep room for them."""
+    ship_package(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, BATCH_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from labelled documents outside the held-out fifth.  A document
     without a label gets the predicted one.
     """
-    ship_package(spark)
+    _prepare(spark)
     model = langid.fit(docs.where(~langid.held_out()), PIECES)
     known = langid.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -37,7 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles with a similarity of 0.8 or more, the document of least id stays."""
-    ship_package(spark)
+    _prepare(spark)
     classes = materialize(group_join.link_groups(docs), "pipeline-classes")
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     gone = broadcast_if_small(gone, ID_ROWS)
@@ -46,7 +55,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are cut; documents left without words go."""
-    ship_package(spark)
+    _prepare(spark)
     cut = recompression.remove_repeats(docs).where("n_removed > 0")
     cut = cut.select(F.coalesce("doc_id", F.lit(win.NO_ID)).alias("doc"), "twin", F.col("kept").alias("kept_text"),
                      (F.col("n_words") > F.col("n_removed")).alias("stays")).distinct()
@@ -71,7 +80,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole texts as ids of the public piece vocabulary."""
-    ship_package(spark)
+    _prepare(spark)
     return sentencepiece_op.encode(docs, PIECES)
 
 
@@ -84,7 +93,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written and read again."""
-    ship_package(spark)
+    _prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
