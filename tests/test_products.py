@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from helpers import full_block, packets
@@ -141,6 +142,15 @@ def test_profiler_exports(spark, tmp_path):
     wide = logs.profiler_csv(spark, str(tmp_path / "wide.csv"))
     got = {(r.kernel, r.metric): r.value for r in wide.collect()}
     assert got == {("k1", "gpu.time"): 1000.5, ("k1", "sm.pct"): 7.0, ("k2", "gpu.time"): 2.0, ("k2", "sm.pct"): None}
+    # files of other columns in one read, each by its own header
+    (tmp_path / "more.csv").write_text('chatter\nID,Metric Value,Kernel Name,Metric Name\n7,"1,5","k ""q"", x",Cycles\n')
+    (tmp_path / "none.csv").write_text("no header here\n")
+    both = {(r.launch, r.kernel, r.metric): (r.unit, r.value) for r in logs.profiler_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert both["7", 'k "q", x', "Cycles"] == (None, 15.0) and both["0", "k1", "Duration"] == ("ms", 1.5) and both["0", "k1", "sm.pct"] == (None, 7.0)
+    assert len(both) == 3 + 4 + 1
+    (tmp_path / "bad").write_text('"ID","Metric Name"\n"1","x"\n')
+    with pytest.raises(PySparkException, match="lacks required columns"):
+        logs.profiler_csv(spark, str(tmp_path / "bad")).collect()
     launches = reports.profile_wide(wide.withColumn("launch", F.col("launch").cast("int")), ["launch", "kernel"],
                                     {"gpu.time": "duration_us", "sm.pct": "sm_pct"})
     means = reports.kernel_means(launches, ["duration_us", "sm_pct"])
