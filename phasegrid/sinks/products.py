@@ -37,7 +37,7 @@ def read_product(spark: SparkSession, root: str, product: str) -> DataFrame:
 def read_visibilities(spark: SparkSession, root: str) -> DataFrame:
     """Visibilities with identities; without a baseline table receivers stand for antennas."""
     vis = read_product(spark, root, "visibilities")
-    if not _exists(spark, f"{root}/baselines"):      # an old product folder without the table
+    if not path_exists(spark, f"{root}/baselines"):      # an old product folder without the table
         return vis.withColumns({"ant_i": F.col("i"), "ant_j": F.col("j"), "baseline_id": N.baseline_id("i", "j"), "zeroed": F.lit(0)})
     base = read_product(spark, root, "baselines").select("i", "j", "ant_i", "ant_j", "baseline_id", "zeroed")
     return vis.join(base, ["i", "j"], "left")
@@ -92,7 +92,7 @@ def run_manifest(spark: SparkSession, files: dict[str, str], facts: dict[str, di
     """
     rows = []
     for name, path in files.items():
-        found = spark.read.text(path, wholetext=True).first() if path and _exists(spark, path) else None
+        found = spark.read.text(path, wholetext=True).first() if path and path_exists(spark, path) else None
         rows.append((name, path, found is not None, found["value"] if found else ""))
     inputs = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.struct(
         F.lit(p).alias("path"), F.lit(ok).alias("present"), F.lit(c).alias("content"))) for n, p, ok, c in rows]))
@@ -107,7 +107,7 @@ def run_manifest(spark: SparkSession, files: dict[str, str], facts: dict[str, di
     return forward.join(reverse, "run").select("run", F.to_json(doc).alias("manifest"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

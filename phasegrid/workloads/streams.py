@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phasegrid.operators import adaptive as eig
-from phasegrid.session import scratch_path
+from phasegrid.session import materialize, scratch_path
 from phasegrid.sinks import products
+from phasegrid.sinks.series import SeriesStore
 from phasegrid.sources import tables as tb
 from phasegrid.streaming import rollup
 from phasegrid.streaming.assembler import BlockAssembler, missing_in
@@ -15,7 +16,7 @@ from phasegrid.plans.blocks import SEQUENCE, Calibration
 from phasegrid.workloads import query
 from phasegrid.workloads.adaptive import calibration
 from phasegrid.workloads.bindings import ARRIVED, PACKETS, SAMPLES, VIS
-from phasegrid.workloads.signal import CFG, packed
+from phasegrid.workloads.signal import CFG, WEIGHTS, packed
 
 EVENTS = tb.EVENT_CFG
 
@@ -97,6 +98,26 @@ def spectrum_series(spark, root):
     return products.spectrum_series(d, 12).select("key", "block")
 
 
+@query(f"""WITH {WEIGHTS}, spec AS (
+  SELECT block, channel, pol, beam, pkt, k,
+         sum(re * cos(2 * pi() * ((k * t) % 16) / 16) + im * sin(2 * pi() * ((k * t) % 16) / 16)) AS re,
+         sum(im * cos(2 * pi() * ((k * t) % 16) / 16) - re * sin(2 * pi() * ((k * t) % 16) / 16)) AS im
+  FROM beams, (SELECT CAST(unnest(range(16)) AS INTEGER) AS k) GROUP BY ALL),
+v AS (SELECT block, channel, pol, beam, (k + 8) % 16 - 2 AS bin, round(sum(sqrt(re * re + im * im)), 4) AS value
+  FROM spec WHERE (k + 8) % 16 BETWEEN 2 AND 13 GROUP BY ALL)
+SELECT 'ts:fft:ch:' || channel || ':p:' || pol || ':b:' || beam || ':f:' || ((bin + 6) % 12) AS key, block, value FROM v""")
+def spectrum_store(spark, root):
+    """Spectrum points added in three batches that correct each other, compacted in between, and read back."""
+    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"].where("beam < 2")
+    points = materialize(products.spectrum_series(d.drop(*SEQUENCE), 12).withColumn("value", F.round("value", 4)), "spectrum-points")
+    store = SeriesStore(scratch_path(spark, "series"))
+    store.upsert(points.withColumn("value", F.lit(-1.0)), 0)
+    store.upsert(points.where("block % 2 = 0"), 1)
+    store.compact(spark, 1)
+    store.upsert(points.where("block % 2 = 1"), 2)
+    return store.read(spark)
+
+
 @query(f"""WITH {SAMPLES} SELECT DISTINCT 'ts:eig:ch:' || channel || ':p:' || p.p || ':q:' || q.q || ':k:' || k.k AS key, block
 FROM samples, (SELECT unnest(range(2)) AS p) p, (SELECT unnest(range(2)) AS q) q, (SELECT unnest(range(8)) AS k) k
 WHERE channel = block % 2""")

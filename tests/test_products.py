@@ -2,17 +2,19 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from helpers import full_block, packets
 from phasegrid.config import ArrayConfig
-from phasegrid.operators import reports, wiring
+from phasegrid.operators import adaptive, correlate, reports, wiring
 from phasegrid.plans import jobs
 from phasegrid.plans.blocks import Calibration
 from phasegrid.session import materialize, scratch_root
 from phasegrid.sinks import products
+from phasegrid.sinks.series import SeriesStore, eigen_points
 from phasegrid.sources import dims, logs
 
 CFG = ArrayConfig(channels=2, fpgas=1, recv_per_fpga=2, pols=2, steps=4, packets=2)
@@ -171,3 +173,46 @@ def test_histogram_and_latest(spark):
     assert rows == {(0, 0): 2, (0, 1): 1, (0, 5): 1, (0, 9): 1, (1, 0): 1}
     assert {(r.g, r.v) for r in reports.latest_block(d, ["g"], "v").collect()} == {(0, 10), (1, 3)}
     assert {r.column: r.type for r in reports.inventory(d, "x").collect()} == {"g": "int", "v": "int"}
+
+
+def test_series_store_merges_and_compacts(spark, tmp_path):
+    schema = "key string, block long, value double"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    got = lambda s: sorted(tuple(r) for r in s.read(spark).select("key", "block", "value").collect())
+    store = SeriesStore(str(tmp_path / "s"), files=2)
+    with pytest.raises(FileNotFoundError):
+        store.read(spark)
+    store.compact(spark, 5)
+    store.upsert(rows(("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 5.0)), 0)
+    store.upsert(rows(("a", 2, 20.0), ("a", 3, 3.0), ("a", 3, 4.0)), 1)
+    want = [("a", 1, 1.0), ("a", 2, 20.0), ("a", 3, 4.0), ("b", 1, 5.0)]
+    assert got(store) == want
+    store.upsert(rows(("a", 2, 20.0), ("a", 3, 3.0), ("a", 3, 4.0)), 1)       # repeated
+    store.compact(spark, 0)
+    assert got(store) == want
+    (tmp_path / "s" / "base" / "1").mkdir()         # a compaction that died
+    (tmp_path / "s" / "base" / "1" / "part-0.parquet").write_bytes(b"rest")
+    assert got(store) == want
+    store.compact(spark, 1)
+    store.compact(spark, 1)
+    assert got(store) == want and spark.read.parquet(str(tmp_path / "s" / "base" / "1")).count() == 4
+    store.upsert(rows(("b", 1, 6.0)), 2)
+    assert got(store) == want[:3] + [("b", 1, 6.0)]
+    assert got(SeriesStore(str(tmp_path / "s"), keep=2)) == [("a", 2, 20.0), ("a", 3, 4.0), ("b", 1, 6.0)]
+
+
+def test_eigen_points(spark):
+    cfg = ArrayConfig(channels=2, fpgas=1, recv_per_fpga=3, pols=2, steps=8, packets=2)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6, 40)) + 1j * rng.normal(size=(6, 40))
+    v = correlate.packed_triangle(x, 3, 2).ravel()
+    rows = [(b, c, v.real.tolist(), v.imag.tolist()) for b in (0, 1) for c in (0, 1)]
+    eig = adaptive.eigen(spark.createDataFrame(rows, "block long, channel int, re array<double>, im array<double>"), cfg)
+    got = {r.key: r.value for r in eigen_points(eig, 3, 1, 2).where("block = 1").collect()}
+    assert all(k.startswith("ts:ch:1:") for k in got) and len(got) == 2 * (3 + 3 * 3 * 2)
+    for p in (0, 1):
+        m = x.reshape(3, 2, 40)[:, p] @ x.reshape(3, 2, 40)[:, p].conj().T
+        for k in range(3):
+            name = f"ts:ch:1:p:{p}-{p}:k:{k}"
+            u = np.array([got[f"{name}:vec:j:{j}:re"] + 1j * got[f"{name}:vec:j:{j}:im"] for j in range(3)])
+            assert np.allclose(m @ u, got[f"{name}:val"] * u)
