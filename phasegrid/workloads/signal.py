@@ -196,10 +196,23 @@ t4 AS (SELECT *, atan2(cos(de) * sin(ra + zeta), cos(th) * cos(de) * cos(ra + ze
   asin(greatest(-1, least(1, sin(th) * cos(de) * cos(ra + zeta) + cos(th) * sin(de)))) AS de1,
   radians(280.46061837::DOUBLE + d * 360.98564736629::DOUBLE + t * t * 0.000387933::DOUBLE
           - t * t * t / 38710000.0::DOUBLE + 149.55013889::DOUBLE) AS lst, radians(-30.31288472::DOUBLE) AS lat FROM t3),
+t5 AS (SELECT *, radians(125.04452::DOUBLE - 1934.136261::DOUBLE * t) AS nd, radians(280.4665::DOUBLE + 36000.7698::DOUBLE * t) AS ls,
+  radians(218.3165::DOUBLE + 481267.8813::DOUBLE * t) AS lm, radians(357.52911::DOUBLE + 35999.05029::DOUBLE * t) AS ma,
+  radians(102.93735::DOUBLE + 1.71946::DOUBLE * t) AS pe, 0.016708634::DOUBLE - 0.000042037::DOUBLE * t AS ec,
+  cos(de1) * cos(ra1) AS x0, cos(de1) * sin(ra1) AS y0, sin(de1) AS z0 FROM t4),
+t6 AS (SELECT *, (-17.20::DOUBLE * sin(nd) - 1.32::DOUBLE * sin(2 * ls) - 0.23::DOUBLE * sin(2 * lm) + 0.21::DOUBLE * sin(2 * nd)) * asec AS ps,
+  (9.20::DOUBLE * cos(nd) + 0.57::DOUBLE * cos(2 * ls) + 0.10::DOUBLE * cos(2 * lm) - 0.09::DOUBLE * cos(2 * nd)) * asec AS ob,
+  radians(280.46646::DOUBLE + 36000.76983::DOUBLE * t) + radians(1.914602::DOUBLE * sin(ma) + 0.019993::DOUBLE * sin(2 * ma) + 0.000289::DOUBLE * sin(3 * ma)) AS su
+  FROM t5),
+t7 AS (SELECT *, radians(23.43929111::DOUBLE - 0.013004167::DOUBLE * t) + ob AS eps, 20.49552::DOUBLE * asec * (sin(su) - ec * sin(pe)) AS vx,
+  20.49552::DOUBLE * asec * (ec * cos(pe) - cos(su)) AS vy FROM t6),
+t8 AS (SELECT *, x0 - ps * (y0 * cos(eps) + z0 * sin(eps)) + vx AS x1, y0 + ps * x0 * cos(eps) - ob * z0 + vy * cos(eps) AS y1,
+  z0 + ps * x0 * sin(eps) + ob * y0 + vy * sin(eps) AS z1, lst + ps * cos(eps) AS ast FROM t7),
+t9 AS (SELECT *, sqrt(x1 * x1 + y1 * y1 + z1 * z1) AS w FROM t8),
 directions AS (SELECT target, mode,
-  CASE WHEN mode = 'zenith' THEN 0 ELSE -cos(de1) * sin(lst - ra1) END AS l,
-  CASE WHEN mode = 'zenith' THEN 0 ELSE sin(de1) * cos(lat) - cos(de1) * cos(lst - ra1) * sin(lat) END AS m,
-  CASE WHEN mode = 'zenith' THEN 1 ELSE sin(de1) * sin(lat) + cos(de1) * cos(lst - ra1) * cos(lat) END AS n FROM t4)"""
+  CASE WHEN mode = 'zenith' THEN 0 ELSE -(x1 * sin(ast) - y1 * cos(ast)) / w END AS l,
+  CASE WHEN mode = 'zenith' THEN 0 ELSE (z1 * cos(lat) - (x1 * cos(ast) + y1 * sin(ast)) * sin(lat)) / w END AS m,
+  CASE WHEN mode = 'zenith' THEN 1 ELSE (z1 * sin(lat) + (x1 * cos(ast) + y1 * sin(ast)) * cos(lat)) / w END AS n FROM t9)"""
 
 
 @query(f"""WITH {TARGETS} SELECT target, mode, round(l, 6) + 0.0 AS l, round(m, 6) + 0.0 AS m, round(n, 6) + 0.0 AS n

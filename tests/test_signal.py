@@ -393,3 +393,14 @@ def test_timing_report(spark):
     assert (r.n, r.mean, r.max, r.p50, r.p90, r.p99) == (5, 3.0, 5.0, 3.0, 5.0, 5.0)
     c = reports.capacity(spark.createDataFrame([(4.0,)], "mean double"), 8192, 3, 2e6).first()
     assert (c.serial, c.serial_verdict) == (250.0, "MARGINAL") and c.overlapped_verdict == "OK"
+
+
+def test_apparent_place_of_a_published_example(spark):
+    """Theta Persei on 2028 November 13.19: mean place of date and apparent place of a textbook example."""
+    d = spark.createDataFrame([(41.5472, 49.3485, 62088.19)], "ra double, de double, mjd double")
+    x, y, z = sky.apparent(F.radians("ra"), F.radians("de"), F.col("mjd"))
+    r = d.select(F.degrees(F.atan2(y, x)).alias("ra"), F.degrees(F.asin(z)).alias("de")).first()
+    assert abs(r.ra - 41.5599646) * 3600 * np.cos(np.radians(49.35)) < 1 and abs(r.de - 49.3520685) * 3600 < 1
+    longitude, obliquity, _ = sky.nutation(F.lit(46895.0))      # 1987 April 10, 0h: -3.788 and +9.443 arc seconds
+    r = spark.range(1).select(F.degrees(longitude).alias("psi"), F.degrees(obliquity).alias("eps")).first()
+    assert abs(r.psi * 3600 + 3.788) < 0.5 and abs(r.eps * 3600 - 9.443) < 0.1
