@@ -39,14 +39,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a label gets the predicted one.
     """
     _prepare(spark)
+    docs = docs.select(*COLUMNS)
     model = langid.fit(docs.where(~langid.held_out()), PIECES)
-    known = langid.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    known = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles with a similarity of 0.8 or more, the document of least id stays."""
     _prepare(spark)
+    docs = docs.select(*COLUMNS)
     classes = materialize(group_join.link_groups(docs), "pipeline-classes")
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     gone = broadcast_if_small(gone, ID_ROWS)
@@ -56,6 +58,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are cut; documents left without words go."""
     _prepare(spark)
+    docs = docs.select(*COLUMNS)
     cut = recompression.remove_repeats(docs).where("n_removed > 0")
     cut = cut.select(F.coalesce("doc_id", F.lit(win.NO_ID)).alias("doc"), "twin", F.col("kept").alias("kept_text"),
                      (F.col("n_words") > F.col("n_removed")).alias("stays")).distinct()
@@ -81,6 +84,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole texts as ids of the public piece vocabulary."""
     _prepare(spark)
+    docs = docs.select(*COLUMNS)
     return sentencepiece_op.encode(docs, PIECES)
 
 
@@ -94,6 +98,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written and read again."""
     _prepare(spark)
+    docs = docs.select(*COLUMNS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
