@@ -132,18 +132,19 @@ def _around_centres(postings: DataFrame, percent: int, extra: int) -> DataFrame:
     """One candidate pair a document: with the best-connected document that shares most tokens with it.
 
     A document's connectedness is the sum of how often its tokens occur; the original of
-    many copies has the largest.
+    many copies has the largest.  (Of equals the least document: a complement reverses the
+    order of any long, also of the one that stands for a null id.)
     """
     often = materialize(postings.groupBy("token").agg(F.count("*").alias("df")), "token-counts")
     weight = postings.join(often, "token").groupBy("doc").agg(F.sum("df").alias("w"), F.first("n").alias("n"))
     weight = materialize(weight, "group-weights")
     tagged = postings.select("token", "doc").join(broadcast_if_small(weight, SMALL_ROWS), "doc")
-    centre = tagged.groupBy("token").agg(F.max(F.struct("w", F.negate("doc").alias("d"), F.col("n").alias("m"))).alias("c"))
+    centre = tagged.groupBy("token").agg(F.max(F.struct("w", F.bitwise_not("doc").alias("d"), F.col("n").alias("m"))).alias("c"))
     centre = materialize(centre, "centres")
-    pairs = (tagged.join(centre, "token").select("doc", "n", (-F.col("c.d")).alias("centre"), F.col("c.m").alias("m"))
+    pairs = (tagged.join(centre, "token").select("doc", "n", F.bitwise_not("c.d").alias("centre"), F.col("c.m").alias("m"))
              .where("doc <> centre").where(_fits("n", "m", percent)))
     shared = pairs.groupBy("doc", "n", "centre").agg(F.count("*").alias("k")).where(F.col("k") >= need(F.col("n"), percent, extra))
-    best = shared.groupBy("doc").agg(F.max_by("centre", F.struct("k", F.negate("centre"))).alias("centre"))
+    best = shared.groupBy("doc").agg(F.max_by("centre", F.struct("k", F.bitwise_not("centre"))).alias("centre"))
     return best.select(F.col("doc").alias("a"), F.col("centre").alias("b"))
 
 
