@@ -125,3 +125,13 @@ def test_edges(spark):
     none = langid.fit(df.limit(0), PIECES)
     assert {r["lang_pred"] for r in langid.predict(frame, none).collect()} == {"und"}
     assert langid.predict(frame.limit(0), model).collect() == []
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(f"{w} {i} {w}{w}", lang) for lang, w, n in (("aa", "haus", 5), ("bb", "river", 3), ("cc", "maison", 3)) for i in range(n)]
+    rows = [(i, t.replace(str(i % 10), "abcdefghij"[i % 10]), lang) for i, (t, lang) in enumerate(rows)]
+    df = spark.createDataFrame([(i, t + " " + "xyzuvwkpqr"[i % 10] * 3, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    model = langid.fit(df, PIECES)
+    assert model.languages == ["aa", "bb"]
+    assert {r["lang_pred"] for r in langid.predict(df, model).collect()} <= {"aa", "bb"}
