@@ -242,8 +242,8 @@ def block_products(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, **wha
     """:func:`reduce_blocks` of packets, with the counters of each block's first and last packet.
 
     All jobs go through here, so that one rule for stray counters holds for all.  The
-    rows are written as they are made, which cuts the lineage after the only pass over
-    the payloads; packets are counted in the same pass.
+    rows are written as they are made, which cuts the lineage after the pass that unpacks
+    the payloads; packets are counted in the same pass (an earlier one finds the first packet).
     """
     start, seen = ingest.usable_start(packets, cfg), Observation()
     rows = reduce_blocks(ingest.assemble_payloads(packets, cfg, start, seen), cfg, cal, **what)

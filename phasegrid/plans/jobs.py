@@ -47,7 +47,7 @@ def counter_row(made: blocks.BlockProducts, packets: DataFrame) -> DataFrame:
 def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration) -> Products:
     """Correlate, integrate and beamform: visibilities, gaps, outages, beams, block spectra, arrivals, counters.
 
-    Payloads are read once, before this returns; every result comes from what was
+    Payloads are unpacked once, before this returns; every result comes from what was
     written then.  All carry the counters of their blocks' first and last packet and how
     many packets are missing.  Stray counters are counted in ``stray_counters``.
     """
