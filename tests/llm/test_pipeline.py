@@ -116,3 +116,9 @@ def test_nulls_repeats_and_clashing_columns(spark):
             assert got.count() <= len(rows)
         if name != "piece_ids":
             assert got.columns == names.replace(" long", "").replace(" string", "").split(", ")
+
+
+def test_run_reads_its_own_columns_only(spark, tmp_path):
+    root = str(tmp_path / "wide")
+    spark.createDataFrame([], "score double, doc_id long, text string, lang string, source string, n_chars long, twin int, key long").write.parquet(f"{root}/documents.parquet")
+    assert pipeline.run(spark, root).collect() == []
