@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 from dataclasses import replace
 
 import numpy as np
@@ -44,15 +44,24 @@ def counter_row(made: blocks.BlockProducts, packets: DataFrame) -> DataFrame:
     return counts.withColumn("stray_blocks", F.lit(strays).cast("long"))
 
 
-def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration) -> Products:
+def _wanted(plans: dict[str, Callable[[], DataFrame]], only: Collection[str] | None) -> Products:
+    unknown = set(only or ()) - set(plans)
+    if unknown:
+        raise ValueError(f"no products {sorted(unknown)}")
+    return Products(**{name: plan for name, plan in plans.items() if only is None or name in only})
+
+
+def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, only: Collection[str] | None = None) -> Products:
     """Correlate, integrate and beamform: visibilities, gaps, outages, beams, block spectra, arrivals, counters.
 
     Payloads are unpacked once, before this returns; every result comes from what was
     written then.  All carry the counters of their blocks' first and last packet and how
-    many packets are missing.  Stray counters are counted in ``stray_counters``.
+    many packets are missing.  Stray counters are counted in ``stray_counters``.  With
+    ``only``, no other results are made, and what they alone need is not written.
     """
-    with_beams = cal.has_beams
-    made = blocks.block_products(packets, cfg, cal, beams=with_beams, spectra="block" if with_beams else None)
+    wanted = lambda *names: only is None or any(n in only for n in names)
+    made = blocks.block_products(packets, cfg, cal, visibilities=wanted("visibilities", "eigen"), beams=cal.has_beams and wanted("beams"),
+                                 spectra="block" if cal.has_beams and wanted("spectra") else None)
     packed = packed_rows(made.rows)
     plans = {"visibilities": lambda: correlate.accumulate_packed(packed, cfg, cfg.accumulate),
              "eigen": lambda: adaptive.eigen(packed, cfg),
@@ -61,11 +70,11 @@ def observe(packets: DataFrame, cfg: ArrayConfig, cal: Calibration) -> Products:
              "stray_counters": lambda: ingest.stray_packets(packets, cfg, made.gaps),
              "counters": lambda: counter_row(made, packets),
              "arrivals": lambda: ingest.arrival_flags(ingest.arrived_slots(packets, cfg), cfg, made.gaps)}
-    if with_beams:
+    if cal.has_beams:
         shape = {"pol": cfg.pols, "beam": cal.beams, "bin": cfg.block_samples}
         plans["beams"] = lambda: beam_rows(made.rows, cfg, cal.beams)
         plans["spectra"] = lambda: blocks.unpack_axis(made.rows, "spectrum", shape, "value", SEQUENCE)
-    return Products(**plans)
+    return _wanted(plans, only)
 
 
 def beam_rows(products: DataFrame, cfg: ArrayConfig, beams: int) -> DataFrame:
@@ -77,20 +86,27 @@ def beam_rows(products: DataFrame, cfg: ArrayConfig, beams: int) -> DataFrame:
 
 
 def adaptive_spectra(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, mode: str = "null",
-                     modes: int | dict[int, int] = 1, delta: float | None = None, trim: int = 5) -> Products:
-    """Original and interference-mitigated beams, their packet spectra and mode counts."""
-    made = blocks.block_products(packets, cfg, cal, visibilities=False, beams=True, spectra="packet", trim=trim,
-                                 mitigation=mode, modes=modes, delta=delta)
+                     modes: int | dict[int, int] = 1, delta: float | None = None, trim: int = 5,
+                     only: Collection[str] | None = None) -> Products:
+    """Original and interference-mitigated beams, their packet spectra and mode counts.
+
+    With ``only``, no other results are made.  Beams are by far the longest: a whole block
+    of samples, however few packets of it arrived.
+    """
+    wanted = lambda name: only is None or name in only
+    made = blocks.block_products(packets, cfg, cal, visibilities=False, beams=wanted("beams"), spectra="packet" if wanted("spectra") else None,
+                                 trim=trim, mitigation=mode, modes=modes, delta=delta)
     m = 2 * cal.beams
     counts = blocks.unpack_axis(made.rows, "k", {"pol": cfg.pols}, "k")
     shape = {"pol": cfg.pols, "beam": m, "bin": cfg.steps - 2 * trim}
     modes_axis = {"pol": cfg.pols, "mode": cfg.receivers}
-    return Products(beams=lambda: beam_rows(made.rows, cfg, m),
-                    spectra=lambda: blocks.unpack_axis(made.rows, "spectrum", shape, "value", SEQUENCE),
-                    counts=lambda: counts,
-                    eigenvalues=lambda: blocks.unpack_axis(made.rows, "eigvals", modes_axis, "value", SEQUENCE),
-                    statistics=lambda: adaptive.mode_statistics(counts, ["channel", "pol"]),
-                    counters=lambda: counter_row(made, packets))
+    plans = {"beams": lambda: beam_rows(made.rows, cfg, m),
+             "spectra": lambda: blocks.unpack_axis(made.rows, "spectrum", shape, "value", SEQUENCE),
+             "counts": lambda: counts,
+             "eigenvalues": lambda: blocks.unpack_axis(made.rows, "eigvals", modes_axis, "value", SEQUENCE),
+             "statistics": lambda: adaptive.mode_statistics(counts, ["channel", "pol"]),
+             "counters": lambda: counter_row(made, packets)}
+    return _wanted(plans, only)
 
 
 def antenna_spectra(packets: DataFrame, cfg: ArrayConfig, cal: Calibration, factor: int) -> DataFrame:

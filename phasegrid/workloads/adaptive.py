@@ -228,7 +228,7 @@ def calibration() -> Calibration:
 GROUP BY ALL""")
 def observe_visibilities(spark, root):
     """Binary packets through assembly, correlation and integration."""
-    return jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["visibilities"].drop(*SEQUENCE)
+    return jobs.observe(tb.embedding_packets(spark, root), CFG, calibration(), only=["visibilities"])["visibilities"].drop(*SEQUENCE)
 
 
 @query(f"""WITH {SAMPLES}, c AS (SELECT DISTINCT block, channel, pkt, recv // 4 AS source FROM samples),
@@ -236,7 +236,7 @@ g AS (SELECT block // 2 AS integration, count(DISTINCT block) * 32 AS total FROM
 SELECT integration, total - count(*) AS missing, total, 100.0::DOUBLE * (total - count(*)) / total AS pct
 FROM c JOIN g ON c.block // 2 = g.integration GROUP BY integration, total""")
 def observe_missing(spark, root):
-    return ingest.single_integrations(jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["missing"])
+    return ingest.single_integrations(jobs.observe(tb.embedding_packets(spark, root), CFG, calibration(), only=["missing"])["missing"])
 
 
 @query(f"""WITH {WEIGHTS}, g AS (SELECT DISTINCT block, channel FROM samples)
@@ -247,7 +247,7 @@ CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS beam) b CROSS JOIN (SELECT
 LEFT JOIN beams y ON y.block = g.block AND y.channel = g.channel AND y.pol = p.pol AND y.beam = b.beam
   AND y.pkt * 16 + y.t = s.s""")
 def observe_beams(spark, root):
-    d = jobs.observe(tb.embedding_packets(spark, root), CFG, calibration())["beams"].drop(*SEQUENCE)
+    d = jobs.observe(tb.embedding_packets(spark, root), CFG, calibration(), only=["beams"])["beams"].drop(*SEQUENCE)
     return d.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("re", "im")})
 
 
@@ -274,7 +274,7 @@ def observe_tracking(spark, root):
     places = np.array([[10.0 * r, 3.0 * r, 0.5] for r in range(8)])
     track = Tracking(np.array([e for e, _ in EPOCHS]), np.array([d for _, d in EPOCHS]), places, np.arange(8) != 3)
     cal = Calibration(tracking=track, base_hz=TRACK_HZ, bandwidth_hz=TRACK_WIDTH_HZ)
-    d = jobs.observe(tb.embedding_packets(spark, root), CFG, cal)["beams"].drop(*SEQUENCE)
+    d = jobs.observe(tb.embedding_packets(spark, root), CFG, cal, only=["beams"])["beams"].drop(*SEQUENCE)
     return d.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("re", "im")})
 
 
@@ -302,7 +302,7 @@ def observe_calibrated(spark, root):
     slot, pol = np.meshgrid(range(8), range(2), indexing="ij")
     wired = np.stack([np.where(slot == 5, -1, (slot * 3 + 1) % 8), (pol + slot) % 2], axis=-1)
     cal = Calibration(gains=gains, permutation=wired, residuals={0: 0, 1: 3})
-    return jobs.observe(tb.embedding_packets(spark, root), CFG, cal)["visibilities"].drop(*SEQUENCE)
+    return jobs.observe(tb.embedding_packets(spark, root), CFG, cal, only=["visibilities"])["visibilities"].drop(*SEQUENCE)
 
 
 @query(f"""WITH {SAMPLES}, s AS (SELECT DISTINCT block, channel, pkt, recv // 4 AS source FROM samples),
@@ -313,7 +313,7 @@ def observe_sequence(spark, root):
     """Counters of the first and last packet of every integration, counted from the first of all, and its missing packets, as the product has them."""
     packets = tb.embedding_packets(spark, root)
     out = scratch_path(spark, "sequence")
-    products.write_product(jobs.observe(packets, CFG, Calibration())["visibilities"], out, "visibilities")
+    products.write_product(jobs.observe(packets, CFG, Calibration(), only=["visibilities"])["visibilities"], out, "visibilities")
     zero = packets.agg(F.min("sample_count")).scalar()
     d = products.read_product(spark, out, "visibilities").where("i = 0 and j = 0 and p = 0 and q = 0")
     return d.select("integration", "channel", (F.col("start_seq") - zero).alias("start_seq"), (F.col("end_seq") - zero).alias("end_seq"), "missing")
@@ -328,7 +328,7 @@ SELECT block, channel, pol, beam, CAST((k + 8) % 16 - 2 AS INTEGER) AS bin,
 round(sum(sqrt(re * re + im * im)), 4) AS value FROM spec WHERE (k + 8) % 16 BETWEEN 2 AND 13 GROUP BY ALL""")
 def adaptive_original_spectra(spark, root):
     """Spectra of the original beams of the adaptive job."""
-    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"].drop(*SEQUENCE)
+    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2, only=["spectra"])["spectra"].drop(*SEQUENCE)
     return d.where(F.col("beam") < 2).withColumn("value", F.round("value", 4))
 
 
@@ -346,7 +346,7 @@ round(sum(sqrt(re * re + im * im)), 3) AS value FROM spec WHERE (k + 8) % 16 BET
 def adaptive_mitigated_spectra(spark, root):
     """Spectra of the projected beams (shrink mode, detected modes)."""
     d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), mode="shrink", delta=0.8416,
-                              trim=2)["spectra"].drop(*SEQUENCE)
+                              trim=2, only=["spectra"])["spectra"].drop(*SEQUENCE)
     return d.where(F.col("beam") >= 2).withColumn("value", F.round("value", 3))
 
 
@@ -354,7 +354,7 @@ def adaptive_mitigated_spectra(spark, root):
 median(k) AS median_k, avg(k) AS mean_k FROM det GROUP BY ALL""")
 def adaptive_mode_statistics(spark, root):
     return jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), delta=0.8416,
-                                 trim=2)["statistics"]
+                                 trim=2, only=["statistics"])["statistics"]
 
 
 @query(f"""WITH {SCALED}, b AS (SELECT DISTINCT block, channel FROM x), spec AS (

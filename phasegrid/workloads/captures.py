@@ -39,7 +39,7 @@ LEFT JOIN vis v ON v.integration = g.integration AND v.channel = g.channel AND v
   AND v.q = r.q""")
 def capture_visibilities(spark, root):
     """Integrated visibilities of ten receivers from full-size packets."""
-    return jobs.observe(tb.document_packets(spark, root), CFG, Calibration())["visibilities"].drop(*SEQUENCE)
+    return jobs.observe(tb.document_packets(spark, root), CFG, Calibration(), only=["visibilities"])["visibilities"].drop(*SEQUENCE)
 
 
 @query(f"""WITH {BYTES}, y AS (SELECT channel, idx, t, p, sum(re) AS re, sum(im) AS im FROM x GROUP BY ALL),
@@ -52,5 +52,5 @@ FROM f WHERE (k + 32) % 64 BETWEEN 5 AND 58 GROUP BY ALL""")
 def capture_spectra(spark, root):
     """Trimmed beam spectra (54 of 64 fine channels) from full-size packets."""
     cal = Calibration(weights=np.ones((CFG.channels, CFG.pols, 1, CFG.receivers), dtype=complex))
-    d = jobs.adaptive_spectra(tb.document_packets(spark, root), CFG, cal)["spectra"]
+    d = jobs.adaptive_spectra(tb.document_packets(spark, root), CFG, cal, only=["spectra"])["spectra"]
     return d.where(F.col("beam") == 0).select("block", "channel", "pol", "bin", F.round("value", 3).alias("value"))

@@ -94,7 +94,7 @@ def visibility_product(spark, root):
 block FROM samples, (SELECT unnest(range(4)) AS b) b, (SELECT unnest(range(12)) AS k) k""")
 def spectrum_series(spark, root):
     """Keys and blocks of the spectrum time series."""
-    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"].drop(*SEQUENCE)
+    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2, only=["spectra"])["spectra"].drop(*SEQUENCE)
     return products.spectrum_series(d, 12).select("key", "block")
 
 
@@ -108,7 +108,7 @@ v AS (SELECT block, channel, pol, beam, (k + 8) % 16 - 2 AS bin, round(sum(sqrt(
 SELECT 'ts:fft:ch:' || channel || ':p:' || pol || ':b:' || beam || ':f:' || ((bin + 6) % 12) AS key, block, value FROM v""")
 def spectrum_store(spark, root):
     """Spectrum points added in three batches that correct each other, compacted in between, and read back."""
-    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2)["spectra"].where("beam < 2")
+    d = jobs.adaptive_spectra(tb.embedding_packets(spark, root), CFG, calibration(), trim=2, only=["spectra"])["spectra"].where("beam < 2")
     points = materialize(products.spectrum_series(d.drop(*SEQUENCE), 12).withColumn("value", F.round("value", 4)), "spectrum-points")
     store = SeriesStore(scratch_path(spark, "series"))
     store.upsert(points.withColumn("value", F.lit(-1.0)), 0)
