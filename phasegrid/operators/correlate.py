@@ -120,8 +120,26 @@ def accumulate(vis: DataFrame, blocks: int) -> DataFrame:
             .agg(F.sum("re").alias("re"), F.sum("im").alias("im"), *also))
 
 
+#: Blocks whose packed arrays are brought together to be added up; longer integrations add up such sums.
+FOLD = 32
+
+
 def accumulate_packed(packed: DataFrame, cfg: ArrayConfig, blocks: int) -> DataFrame:
-    return accumulate(unpack(packed, cfg, [c for c in packed.columns if c not in ("re", "im")]), blocks)
+    """:func:`accumulate` of packed rows: arrays are added up before they become a row for every pair.
+
+    What moves is one row for each block, and not one for each of its pairs.
+    """
+    integration, part = N.floor_div("block", blocks), N.floor_div("block", FOLD)
+    also = [f(c).alias(c) for c, f in (("start_seq", F.min), ("end_seq", F.max), ("missing", F.sum)) if c in packed.columns]
+    parts = packed.groupBy(integration.alias("integration"), "channel", *([part.alias("part")] if blocks > FOLD else [])).agg(
+        F.sort_array(F.collect_list(F.struct("block", "re", "im"))).alias("v"), *also)
+    total = lambda c: F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.get("v", F.lit(0))[c],
+                                  lambda a, v: F.zip_with(a, v[c], lambda x, y: x + y))
+    keys = ["integration", "channel", *[c for c in ("start_seq", "end_seq", "missing") if c in packed.columns]]
+    long = unpack(parts.select(*keys, total("re").alias("re"), total("im").alias("im")), cfg, keys)
+    if blocks <= FOLD:
+        return long.select("integration", "channel", "i", "j", "p", "q", "re", "im", *keys[2:])
+    return long.groupBy("integration", "channel", "i", "j", "p", "q").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), *also)
 
 
 def mean_visibilities(vis: DataFrame, blocks: int) -> DataFrame:

@@ -404,3 +404,40 @@ def test_apparent_place_of_a_published_example(spark):
     longitude, obliquity, _ = sky.nutation(F.lit(46895.0))      # 1987 April 10, 0h: -3.788 and +9.443 arc seconds
     r = spark.range(1).select(F.degrees(longitude).alias("psi"), F.degrees(obliquity).alias("eps")).first()
     assert abs(r.psi * 3600 + 3.788) < 0.5 and abs(r.eps * 3600 - 9.443) < 0.1
+
+
+def test_only_wanted_products_are_made(spark):
+    cfg = ArrayConfig(channels=1, fpgas=1, recv_per_fpga=4, pols=2, steps=16, packets=4)
+    d, cal = packets(spark, full_block(cfg, 800, lambda t, n, p: (n + 1) * (1 + p) - 2j)), Calibration(weights=unit_weights(cfg))
+    rows = lambda out, name: sorted(map(tuple, out[name].collect()))
+    for job, names in ((jobs.observe, ["visibilities", "spectra", "missing"]), (jobs.adaptive_spectra, ["spectra", "counts"])):
+        every = job(d, cfg, cal)
+        for name in names:
+            some = job(d, cfg, cal, only=[name])
+            assert list(some) == [name] and "beams" in every
+            assert rows(some, name) == rows(every, name)
+    with pytest.raises(ValueError, match="nothing"):
+        jobs.observe(d, cfg, cal, only=["nothing"])
+    made = blocks.block_products(d, cfg, cal, visibilities=False, spectra="packet", trim=2).rows.first()
+    assert made["spectrum"] and made["beam_re"] is None and made["vis_re"] is None
+
+
+def test_blocks_by_arrow_and_by_pandas(spark):
+    d = packets(spark, full_block(ONE, 800, lambda t, n, p: (n + 1) * (1 + p) - 2j, blocks=3))
+    arrived = blocks.assembled(d, ONE)
+    got, want = (blocks.reduce_blocks(arrived, ONE, Calibration(weights=unit_weights(ONE)), beams=True, spectra="packet", trim=1,
+                                      mitigation="null", arrow=a).orderBy("block", "channel") for a in (True, False))
+    assert got.schema.simpleString() == want.schema.simpleString() and got.collect() == want.collect() != []
+
+
+def test_packed_arrays_are_added_before_their_rows_move(spark):
+    rows = [(b, 0, [float(b + n) for n in range(40)], [float(b * n) for n in range(40)], b, b + 1, 1) for b in [*range(5), 70, 71, 200]]
+    packed = spark.createDataFrame(rows, "block long, channel int, re array<double>, im array<double>, start_seq long, end_seq long, missing int")
+    keys = ["block", "channel", "start_seq", "end_seq", "missing"]
+    for n in (4, 100):      # below and above the number of blocks that are brought together
+        got = correlate.accumulate_packed(packed, ONE, n)
+        want = correlate.accumulate(correlate.unpack(packed, ONE, keys), n)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plan = correlate.accumulate_packed(packed, ONE, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")      # the tree is printed from the result down
