@@ -95,6 +95,17 @@ def decompose(v: np.ndarray, k, delta: float | None, mode: str) -> tuple[np.ndar
 EIGEN_FIELDS = ("p int, q int, eigvals array<double>, vec_re array<double>, vec_im array<double>")
 
 
+#: Matrices decomposed at once; a batch of Spark's holds any number, and each takes many times its size on the way.
+MATRICES = 512
+
+
+def bounded_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of ``MATRICES`` at most."""
+    for pdf in batches:
+        for at in range(0, len(pdf), MATRICES):
+            yield pdf.iloc[at:at + MATRICES]
+
+
 def _key_schema(df: DataFrame, drop: set[str]) -> tuple[list[str], str]:
     fields = [f for f in df.schema if f.name not in drop]
     return [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -113,7 +124,7 @@ def eigen(packed: DataFrame, cfg: ArrayConfig, cross: bool = True) -> DataFrame:
     names, schema = _key_schema(packed, {"re", "im"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in bounded_rows(batches):
             v = _stack(pdf, cfg.baselines, cfg.pols)
             for p in range(cfg.pols):
                 for q in range(cfg.pols):
@@ -136,7 +147,7 @@ def mitigate(packed: DataFrame, cfg: ArrayConfig, delta: float | None = None, mo
     fixed = "k" in packed.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in bounded_rows(batches):
             v = _stack(pdf, cfg.baselines, cfg.pols)
             k = pdf["k"].to_numpy() if fixed else np.ones(len(pdf), dtype=int)
             for p in range(cfg.pols):
@@ -260,7 +271,7 @@ def mean_projection(eig: DataFrame, n: int, k: int, runs: int) -> DataFrame:
     names = ["block", "channel", "p", "q"]
 
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in bounded_rows(batches):
             u = np.stack(pdf["vec_re"].to_numpy()) + 1j * np.stack(pdf["vec_im"].to_numpy())
             top = u.reshape(len(pdf), n, n)[:, :, n - k:]
             flat = (top @ top.conj().transpose(0, 2, 1)).reshape(len(pdf), -1)
@@ -276,7 +287,7 @@ def mean_projection(eig: DataFrame, n: int, k: int, runs: int) -> DataFrame:
     rows = rows.select(*keys, F.col("m.re").alias("re"), F.col("m.im").alias("im"))
 
     def decompose_mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in bounded_rows(batches):
             m = (np.stack(pdf["re"].to_numpy()) + 1j * np.stack(pdf["im"].to_numpy())).reshape(len(pdf), n, n)
             lam, u = np.linalg.eigh(m)
             flat = u.reshape(len(pdf), -1)

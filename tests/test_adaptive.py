@@ -188,3 +188,23 @@ def test_noise_floor_and_counts(spark):
     assert {r.channel: r.k for r in adaptive.signal_counts(ch, conf).collect()} == {0: 1, 1: 4}
     stats = adaptive.mode_statistics(spark.createDataFrame([(0, k) for k in [1, 1, 2, 5]], "c int, k int"), ["c"]).first()
     assert (stats.min_k, stats.max_k, stats.median_k, stats.mean_k) == (1, 5, 1.5, 2.25)
+
+
+def test_batches_of_matrices_are_bounded():
+    """A batch of 10,000 rows, as Spark makes them, is decomposed in parts of bounded size, whole and in order."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    class Rows:
+        schema = T.StructType().add("block", T.LongType()).add("re", T.ArrayType(T.DoubleType())).add("im", T.ArrayType(T.DoubleType()))
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    n = 2 * adaptive.MATRICES + 3
+    flat = np.random.default_rng(3).normal(size=(n, 10 * 4))
+    batch = pd.DataFrame({"block": range(n), "re": list(flat), "im": list(0 * flat)})
+    parts = list(adaptive.eigen(Rows(), CFG, cross=False)(iter([batch])))
+    assert max(map(len, parts)) <= adaptive.MATRICES
+    for p in (0, 1):
+        assert [b for x in parts if x["p"].iloc[0] == p for b in x["block"]] == list(range(n))
